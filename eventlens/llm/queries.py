@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from eventlens.llm import line_dedup, packing, token_files, warc
+from eventlens.llm import decontaminate, langid, line_dedup, packing, quality, secrets, token_files, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_warc": warc.op4_warc,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_files": token_files.op7_token_files,
+    "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_quality": quality.op9_quality,
+    "op10_language": langid.op10_language,
 }
 
 ORACLE_SQL = {
+    "op5_secret_scan": secrets.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_decontamination": decontaminate.ORACLE_SQL,
 }
