@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from eventlens.llm import decontaminate, langid, line_dedup, packing, quality, secrets, token_files, warc
+from eventlens.llm import decontaminate, langid, line_dedup, near_dup, packing, quality, secrets, token_files, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_near_dup": near_dup.op3_near_dup,
     "op4_warc": warc.op4_warc,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
