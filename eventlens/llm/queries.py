@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from eventlens.llm import decontaminate, langid, line_dedup, near_dup, packing, quality, secrets, token_files, warc
+from eventlens.llm import decontaminate, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, token_files, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_packing": packing.op2_packing,
     "op3_near_dup": near_dup.op3_near_dup,
     "op4_warc": warc.op4_warc,
