@@ -83,6 +83,8 @@ class SumOfSquares:
         line = [x for level in sorted(self.at, reverse=True) for pieces in self.at[level] for x in pieces]
         self.count[:] = 0
         self.at, self.n_open = {}, 0
+        if not line:
+            return
         held, room = [], self.window
         left = sum(len(x[2]) for x in line)
 
