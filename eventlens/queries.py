@@ -418,16 +418,16 @@ def w01_w05_newest_per_key(spark, sf_dir):
     return L.newest_per_key(ev(spark, sf_dir), ["source_id", "provider_record_id"], [F.desc("ts"), F.desc("id")], 3).select("source_id", "provider_record_id", "id")
 
 
-@query("WITH w AS (SELECT id, row_number() OVER k AS version_no, epoch(date_trunc('second', lead(ts) OVER k))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS seconds_to_next, lead(id) OVER k IS NOT NULL AS has_newer FROM ev WINDOW k AS (PARTITION BY source_id, provider_record_id ORDER BY ts, id)) SELECT * FROM w")
+@query("WITH w AS (SELECT id, row_number() OVER k AS version_no, epoch(date_trunc('second', lead(ts) OVER k)) - epoch(date_trunc('second', ts)) AS seconds_to_next, lead(id) OVER k IS NOT NULL AS has_newer FROM ev WINDOW k AS (PARTITION BY source_id, provider_record_id ORDER BY ts, id)) SELECT * FROM w")
 def w06_w12_revision_chain(spark, sf_dir):
     e = ev(spark, sf_dir).withColumn("observation_id", F.col("id"))
     keys = ["source_id", "provider_record_id"]
-    return L.has_newer(L.revision_chain(e, keys, "ts"), keys, "ts").select("id", F.col("version_no").cast("long").alias("version_no"), "seconds_to_next", "has_newer")
+    return L.has_newer(L.revision_chain(e, keys, "ts"), keys, "ts").select("id", F.col("version_no").cast("long").alias("version_no"), F.col("seconds_to_next").cast("double").alias("seconds_to_next"), "has_newer")
 
 
-@query("SELECT id, epoch(date_trunc('second', max(issued_at) OVER (PARTITION BY source_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))::BIGINT AS high_water FROM ev")
+@query("SELECT id, epoch(date_trunc('second', max(issued_at) OVER (PARTITION BY source_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS high_water FROM ev")
 def w10_high_water(spark, sf_dir):
-    return L.high_water(ev(spark, sf_dir), ["source_id"], "issued_at", "n").select("id", F.unix_timestamp("high_water").alias("high_water"))
+    return L.high_water(ev(spark, sf_dir), ["source_id"], "issued_at", "n").select("id", F.unix_timestamp("high_water").cast("double").alias("high_water"))
 
 
 @query(f"WITH {_SPAN} SELECT CAST(clock AS DATE)::VARCHAR AS day, count(*) AS n, max(severity) AS max_severity FROM span GROUP BY 1")

@@ -72,7 +72,7 @@ def normalize_usgs(docs: DataFrame) -> Batch:
     p, g = F.col("rec.properties"), F.col("rec.geometry")
     rid, other = identifier("rec.id"), F.lower(F.trim(p["type"])) != "earthquake"
     other = F.coalesce(other, F.lit(False))
-    ids = F.filter(F.transform(F.split(F.coalesce(p["ids"], F.lit("")), ","), F.trim), lambda x: x.rlike(r"^[A-Za-z0-9._-]{1,128}$"))
+    ids = F.filter(F.transform(F.split(F.coalesce(p["ids"], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z0-9._-]{1,128}$"))
     nets = F.filter(F.when(p["net"].isNotNull(), F.array(p["net"])).otherwise(F.split(F.coalesce(p["sources"], F.lit("")), ",")), lambda x: F.trim(x).rlike(r"^[A-Za-z0-9_-]{1,24}$"))
     origins = F.transform(nets, lambda x: F.concat(F.lit("usgs:"), F.lower(F.trim(x))))
     geometry = F.when(g["type"] == "Point", _point(F.get(g["coordinates"], 0), F.get(g["coordinates"], 1)))
@@ -245,6 +245,10 @@ def normalize_gdacs(docs: DataFrame) -> Batch:
 _CAP_INFO = "struct<language:string,category:string,event:string,urgency:string,severity:string,certainty:string,effective:string,onset:string,expires:string,senderName:string,headline:string,description:string,instruction:string,area:array<struct<areaDesc:string,polygon:array<string>,circle:array<string>>>>"
 
 
+def _of_language(prefix: str):
+    return lambda x: F.lower(F.split(x, "-")[0]) == prefix
+
+
 def normalize_cap(docs: DataFrame, country: str) -> Batch:
     """CAP 1.2 warnings: one language, references of the same sender, polygons from lat,lon text."""
     xml, failed = decode_xml_feed(docs, "meteoalarm", "alert", f"identifier string, sender string, sent string, status string, msgType string, scope string, references string, info array<{_CAP_INFO}>")
@@ -255,7 +259,7 @@ def normalize_cap(docs: DataFrame, country: str) -> Batch:
     languages = F.array_distinct(F.transform(infos, language))
     chosen = F.get(languages, 0)
     for prefix in ("en", "pl") if country == "PL" else ("en",):
-        chosen = F.coalesce(F.get(F.filter(languages, lambda x, p=prefix: F.lower(F.split(x, "-")[0]) == p), 0), chosen)
+        chosen = F.coalesce(F.get(F.filter(languages, _of_language(prefix)), 0), chosen)
     rec = rec.withColumn("languages", languages).withColumn("selected", F.filter(infos, lambda i: language(i) == chosen))
     s = F.col("selected")
     clock = lambda name: F.transform(s, lambda i: parse_ts(i[name])["ts"])
@@ -394,7 +398,7 @@ def normalize_eonet(docs: DataFrame, days: int = 30) -> Batch:
 
 def _message_field(name: str) -> Column:
     """The one value of a `Name: value` line; null without one or with several."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("message", F.lit(rf"(?im)^{name}:[ \t]*([^\n]*)$"), F.lit(1)), F.trim))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("message", F.lit(rf"(?im)^{name}:[ \t]*([^\n]*)$"), F.lit(1)), lambda x: F.trim(x)))
     return F.when(F.size(found) == 1, found[0])
 
 

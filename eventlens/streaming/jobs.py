@@ -38,7 +38,7 @@ class LatestState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("rank", "clock timestamp, payload string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         data = pd.concat(list(rows)).sort_values(["clock", "payload"])
         best = self.state.get()
         out = []
@@ -66,7 +66,7 @@ class HighWater(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("mark", "clock timestamp, payload string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         mark, out = self.state.get(), []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
             clock = pd.Timestamp(r.clock)
@@ -93,20 +93,20 @@ class Expiry(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("end", "valid_to timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         last = pd.concat(list(rows)).sort_values("clock").iloc[-1]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.state.update((last.valid_to.to_pydatetime(),))
         at = int(last.valid_to.timestamp() * 1000)
-        if at > timer.getCurrentWatermarkInMs():
+        if at > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(at)
             status = "active"
         else:
             status = "expired"
         yield pd.DataFrame({"key": [key[0]], "status": [status], "valid_to": [last.valid_to]})
 
-    def handleExpiredTimer(self, key, timer, info) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         end = self.state.get()
         self.state.clear()
         yield pd.DataFrame({"key": [key[0]], "status": ["expired"], "valid_to": [pd.Timestamp(end[0]) if end else pd.NaT]})
@@ -126,18 +126,18 @@ class Staleness(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         data = pd.concat(list(rows))
         last = data.clock.max()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         due = int((last.timestamp() + 3 * int(data.poll_seconds.iloc[-1]) + 120) * 1000)
-        if due > timer.getCurrentWatermarkInMs():
+        if due > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(due)
         yield pd.DataFrame({"source_id": [key[0]], "status": ["fresh"], "at": [last]})
 
-    def handleExpiredTimer(self, key, timer, info) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield pd.DataFrame({"source_id": [key[0]], "status": ["stale"], "at": [pd.Timestamp(info.getExpiryTimeInMs(), unit="ms")]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        yield pd.DataFrame({"source_id": [key[0]], "status": ["stale"], "at": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")]})
 
     def close(self) -> None:
         pass
