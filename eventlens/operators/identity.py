@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.arrays import add_tag, col, has_tag, norm_array, origin_family
 from eventlens.operators.filters import _ts, category_map, effective_state
 from eventlens.schemas import SOURCES
+from eventlens.sources.lineage import cut
 
 #: Namespace of public ids (fixed value: the URL namespace of RFC 4122).
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -44,14 +45,14 @@ def key_components(records: DataFrame, rounds: int = 30) -> DataFrame:
     A label moves from records to keys and back; each round is two grouped minima, so a hot key is summed before it is
     shuffled. The lineage is cut by a checkpoint each third round; stops at the fixpoint.
     """
-    edges = records.select("record_id", F.explode("keys").alias("key")).distinct().checkpoint()
+    edges = cut(records.select("record_id", F.explode("keys").alias("key")).distinct())
     labels = records.select("record_id", F.col("record_id").alias("component")).distinct()
     before = None
     for i in range(rounds):
         by_key = edges.join(labels, "record_id").groupBy("key").agg(F.min("component").alias("component"))
         labels = edges.join(by_key, "key").groupBy("record_id").agg(F.min("component").alias("component"))
         if i % 3 == 2 or i < 2:
-            labels = labels.checkpoint()
+            labels = cut(labels)
             now = labels.agg(F.sum(F.xxhash64("record_id", "component").cast("decimal(38,0)"))).first()[0]
             if now == before:
                 break
@@ -174,11 +175,11 @@ def not_superseded(material: DataFrame) -> DataFrame:
 
 def cap_cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Edges (event_id, src, dst) that lie on or lead out of a cycle, by peeling nodes without incoming edges."""
-    left = edges.select("event_id", "src", "dst").distinct().checkpoint()
+    left = cut(edges.select("event_id", "src", "dst").distinct())
     n = left.count()
     for _ in range(rounds):
         heads = left.select("event_id", F.col("dst").alias("src")).distinct()
-        left = left.join(heads, ["event_id", "src"], "left_semi").checkpoint()
+        left = cut(left.join(heads, ["event_id", "src"], "left_semi"))
         now = left.count()
         if now in (0, n):
             break

@@ -575,6 +575,41 @@ def i28_s13_duplicates(spark, sf_dir):
     return good.select("key", F.lit(False).alias("rejected")).union(bad.select("key", F.lit(True)).distinct())
 
 
+def _records(spark, sf_dir):
+    """One normalized record per (source, user): the user's latest event of a source, sharing the key a:user."""
+    from eventlens.schemas import EVENT_COLUMNS
+
+    last = ev(spark, sf_dir).groupBy("source_id", "provider_record_id").agg(F.max_by(F.struct("ts", "title", "n"), F.struct("ts", "n")).alias("x"))
+    none = F.array().cast("array<string>")
+    values = {
+        "source_id": F.col("source_id"), "provider_record_id": F.col("provider_record_id"), "kind": F.lit("incident"), "category": F.lit("internet"), "title": F.col("x.title"), "source_updated_at": F.col("x.ts"), "countries": none,
+        "origins": F.array("source_id"), "external_ids": F.array(F.concat(F.lit("a:"), "provider_record_id")), "supersedes": none, "tags": none, "severity": F.lit(1), "lifecycle_status": F.lit("active"), "location_precision": F.lit("unknown"),
+        "time_precision": F.lit("second"), "raw_hash": F.md5(F.concat_ws("|", "source_id", "provider_record_id", F.col("x.n").cast("string"))), "source_url": F.lit("https://x.example.org/"), "raw": F.lit("{}"),
+    }
+    return last.select(*(values.get(c, F.lit(None)).cast(k).alias(c) for c, k in EVENT_COLUMNS.items()))
+
+
+@query("""WITH r AS (SELECT DISTINCT source_id, provider_record_id::INT AS u FROM ev), k AS (SELECT u, count(*) AS n FROM r GROUP BY u)
+SELECT CASE WHEN u % 30 = 0 THEN 'conflict' WHEN u % 3 = 0 OR u % 10 = 0 THEN 'attached' END AS status, sum(n)::BIGINT AS n FROM k WHERE u % 3 = 0 OR u % 10 = 0 GROUP BY 1
+UNION ALL SELECT 'new', count(*) FROM k WHERE u % 3 <> 0 AND u % 10 <> 0 UNION ALL SELECT 'attached_to_new', sum(n - 1)::BIGINT FROM k WHERE u % 3 <> 0 AND u % 10 <> 0""")
+def i02_identity(spark, sf_dir):
+    """Records of a user share a key; some users are known by one event, some by two (a conflict, never merged)."""
+    rec = _records(spark, sf_dir).withColumn("external_ids", F.array(F.concat(F.lit("a:"), "provider_record_id"), F.concat(F.lit("b:"), "provider_record_id")))
+    users = rec.select(F.col("provider_record_id").alias("u")).distinct()
+    known = users.where("u % 3 = 0").select(F.concat(F.lit("a:"), "u").alias("external_id"), F.concat(F.lit("E"), "u").alias("event_id")).union(users.where("u % 10 = 0").select(F.concat(F.lit("b:"), "u"), F.concat(F.lit("F"), "u")))
+    good, bad = I.resolve_identity(rec, known)
+    status = F.when(F.col("is_new"), "new").when(F.col("event_id").rlike("^[EF]"), "attached").otherwise("attached_to_new")
+    return good.select(status.alias("status")).union(bad.select(F.lit("conflict"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT source_id, provider_record_id, max(ts) AS ts, arg_max(title, (ts, n)) AS title FROM ev GROUP BY 1, 2)
+SELECT 'ev:a:' || provider_record_id AS event_id, arg_max(title, ts) AS title, array_to_string(list_sort(list(source_id)), ',') AS sources, count(*)::INT AS independent_source_count, 'new' AS change_type FROM r GROUP BY provider_record_id""")
+def p07_ingest(spark, sf_dir):
+    """A first batch into empty tables: identity, observations, projections, changes."""
+    tables, _ = P.persist_batch(P.empty_tables(spark), _records(spark, sf_dir), NOW)
+    return tables["events"].select("event_id", "title", F.array_join("source_ids", ",").alias("sources"), F.col("independent_source_count").cast("int").alias("independent_source_count"), "change_type")
+
+
 # --- functions -------------------------------------------------------------------------------------------------------
 
 
