@@ -7,13 +7,13 @@ other and from any pivot, so fixed pivots split nothing; regions are seeded wher
 2. A pair within r shares a shingle among the first n - ceil(similarity * n) + 1 of both sets in any one order of all
    shingles. The order here puts shingles that are frequent in the corpus last. Every such shingle spans a region: the
    documents that hold it there.
-3. Small regions are compared at once. A large region takes a pivot: every member's distance to it is computed, members
-   within r are tied to it, and all others are boundary documents. By the triangle inequality two members can be
-   within r only if their distances to the pivot differ by at most r. The region recurs on what is not yet one
-   component, with boundary documents as the next pivots, until each region is one component or all pairs of its
-   components within the window have been compared.
-4. Before sets are compared, a projection that never enlarges distances (sizes, then 1024 parity bits) rules out
-   most pairs; pairs left are verified on whole sets.
+3. Small regions are compared at once. Large ones take their member of lowest hash as the pivot; regions of one pivot
+   merge. Every member's distance to the pivot is computed, and members within r are tied to it. The region recurs on
+   what is not one component yet, with boundary documents as the next pivots; what then still is not is dealt to
+   blocks, replicated to every other block of the region.
+4. A projection that never enlarges distances (sizes, then 1024 parity bits, whose differing bits are a metric too)
+   rules out pairs before sets are compared, by triangle-inequality windows within blocks. The pairs left are verified
+   on whole sets.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import OWN, slices, written
-from eventlens.llm.components import connected_components
+from eventlens.llm.components import LocalComponents, connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SKETCH_BITS = 1024
 #: Share of the hash space in which shingles are counted exactly, in 32nds; prefixes of most documents end before it.
-ZONE = 6
+ZONE = 9
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,14 +147,19 @@ def _whole(k: int):
     return run
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Members that two ascending sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         shared, total = [], []
         for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            n = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            n = _shared(x, y)
             shared.append(n)
             total.append(len(x) + len(y) - n)
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
@@ -181,8 +186,7 @@ class _Join:
         return pairs.where(fits).select("a", "b")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """a, b, shared, total of new plausible pairs, written; `compared` grows by them."""
-        pairs = self.plausible(pairs)
+        """a, b, shared, total of plausible pairs (a < b) not compared yet, written; `compared` grows by them."""
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
         for side in ("a", "b"):
@@ -196,12 +200,13 @@ class _Join:
         return compared.where(F.expr(f"100 * shared >= {self.percent} * total")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, most_frequent: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, most_frequent: int = 500_000, extra_pivots: int = 8, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when 100 * shared >= percent * all shingles of both.
 
     Rows of one id are one node. Rows without words or without an id link with nothing; component_id is their own id.
     small: regions up to this size are compared at once. most_frequent bounds the broadcast list of frequent
-    shingles; it only affects the order, never the result.
+    shingles, extra_pivots the second pivots of a region, block the members of a block; they affect the order of work,
+    never the result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counted = rows.select("text").mapInArrow(_count(k), "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > small)
@@ -214,36 +219,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     token = reps.select("doc", "n", F.explode(F.arrays_zip("prefix", "dense")).alias("t")).select(F.col("t.prefix").alias("token"), F.col("t.dense").alias("dense"), "doc", "n")
     token = token.select("token", "dense", F.struct("n", "doc").alias("m"))
 
-    # small regions: shingles counted exactly as rare, so no list is longer than `small` (but for repeated ids)
-    lists = token.where("not dense").groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
+    # regions of shingles outside the exact counts: their sizes and pivots (the member of lowest hash)
+    dense = written(token.where("dense").select("token", "m"), "dense")
+    order = F.struct(F.xxhash64("m.doc").alias("h"), F.col("m.doc").alias("doc"))
+    pivots = written(dense.groupBy("token").agg(F.count("*").alias("size"), F.min(order)["doc"].alias("pivot")).where("size > 1"), "pivots")
+    dense = written(dense.join(pivots, "token"), "regions")
+
+    # small regions: no list is longer than `small` (but for repeated ids), so all pairs of fitting sizes are taken
+    few = token.where("not dense").select("token", "m").unionByName(dense.where(F.col("size") <= small).select("token", "m"))
+    lists = few.groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
     ends = lambda x, i: F.transform(F.filter(F.slice("ms", i + 2, F.size("ms")), lambda y: join.sizes_fit(x["n"], y["n"])), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b")))
     near = lists.select(F.explode(F.flatten(F.transform("ms", ends))).alias("p")).select("p.a", "p.b").distinct()
     near = written(join.plausible(near), "near")
 
-    # large regions: a pivot each
-    dense = written(token.where("dense").select("token", "m.doc", "m.n"), "dense")
-    order = F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("doc"))
-    pivots = written(dense.groupBy("token").agg(F.count("*").alias("size"), F.min(order)["doc"].alias("pivot")).where("size > 1"), "pivots")
-    regions = written(dense.join(pivots, "token").select("token", "doc", "n", "size", "pivot"), "regions")
-    star = regions.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-
-    wanted = near.select(F.col("a").alias("doc")).union(near.select("b")).union(regions.select("doc")).distinct()
+    # large regions: those of one pivot make one region, so a group of copies has a few regions and not one per shingle
+    region = written(dense.where(F.col("size") > small).select("pivot", "m.doc", "m.n").distinct(), "region")
+    wanted = near.select(F.col("a").alias("doc")).union(near.select("b")).union(region.select("doc")).distinct()
     join.whole = written(rows.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_whole(k), "doc long, whole binary"), "whole")
-    near_links = join.links(join.compare(near))
-    from_pivot = join.compare(star)
-    links = [near_links, join.links(from_pivot)]
-    distance = from_pivot.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("d"))
-    distance = distance.unionByName(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    component = connected_components(links[0].unionByName(links[1]))
-    regions = written(regions.join(distance.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d"), ["doc", "pivot"], "left").select("token", "doc", "n", "size", "d"), "regions")
-    depth = 0
-    while True:
-        new = join.compare(_open_pairs(join, regions, component, depth, percent))
-        if not new.take(1):
-            break
-        links.append(join.links(new))
-        component = connected_components(_union(links))
-        depth += 1
+    links = [join.links(join.compare(near))]
+    links.append(join.links(join.compare(join.plausible(region.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))))))
+    component = connected_components(_union(links))
+    # boundary documents of lowest hash are the next pivots of their region
+    rank = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("doc"), "doc"))
+    state = _state(region, component)
+    more = state.withColumn("rank", rank).where(F.col("rank").between(2, 1 + extra_pivots)).select("pivot", F.col("doc").alias("b"), F.col("component").alias("cb"))
+    pairs = state.join(more, "pivot").where("component <> cb").select(F.col("doc").alias("a"), "b")
+    links.append(join.links(join.compare(join.plausible(pairs))))
+    component = connected_components(_union(links))
+    # what is left: pairs of different components within a region, in blocks
+    links.append(_block_links(join, _state(region, component), percent, block))
+    component = connected_components(_union(links))
     component = component.select(F.col("id").alias("rep"), F.col("component"))
     known = written(first.join(component, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id")), "known")
     out = usable.select("doc", "n", "k1", "k2").join(known, ["n", "k1", "k2"]).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
@@ -258,30 +263,72 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _open_pairs(join: _Join, regions: DataFrame, component: DataFrame, depth: int, percent: int, at_once: int = 4096, pivots: int = 16, deepest: int = 4) -> DataFrame:
-    """Pairs of different components in one region, within the triangle window of its first pivot.
+def _state(region: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of regions that hold more than one component, with their component."""
+    now = written(region.join(component.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "state")
+    sides = now.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    return now.join(written(sides.select("pivot", "members"), "open"), "pivot")
+
 
-    One of the two lies outside the region's largest component. Where there are many such pairs, the members of lowest
-    hash act as this depth's pivots; from `deepest` on all pairs are taken.
+def _block_links(join: _Join, state: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) links that tie different components of a region, written.
+
+    A region is dealt to blocks of about `block` members; each pair of blocks is one row of work. Bits in which two
+    sketches differ are a metric that never exceeds the sets' difference, so within a pair of blocks only members whose
+    distances to the first member lie in one triangle window are looked at. Pairs that sizes and sketches leave are
+    verified on whole sets unless links found before have tied their components; one link a merger comes out.
     """
-    now = regions.join(component.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    now = written(now, "state")
-    parts = now.groupBy("token", "component").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component"))["component"].alias("largest")).where("parts > 1")
-    largest = written(largest, "largest")
-    open_regions = now.join(largest, "token")
-    outside = written(open_regions.where("component <> largest"), "outside")
-    load = outside.groupBy("token").agg(F.count("*").alias("outside"))
-    chosen = outside.join(load, "token")
-    if depth < deepest:
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc", F.lit(depth)), "doc"))
-        chosen = chosen.withColumn("rank", rank).where((F.col("outside") * F.col("size") <= at_once) | (F.col("rank") <= pivots))
-    x = chosen.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("component").alias("ca"))
-    y = open_regions.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("component").alias("cb"))
-    window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    return x.join(y, "token").where((F.col("ca") != F.col("cb")) & join.sizes_fit(F.col("na"), F.col("nb")) & window).select("a", "b")
+    spark = state.sparkSession
+    parts = F.ceil(F.col("members") / block).cast("int")
+    m = state.join(join.reps.select("doc", "sketch"), "doc").join(join.whole, "doc").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("parts")).cast("int"))
+    member = F.struct("doc", "n", "component", "sketch", "whole")
+    blocks = written(m.groupBy("pivot", "parts", "block").agg(F.collect_list(member).alias("ms")), "blocks")
+    work = blocks.select("pivot", "parts", "block", F.explode(F.sequence("block", F.col("parts") - 1)).alias("block2"))
+    work = work.join(blocks.select("pivot", "block", "ms"), ["pivot", "block"]).join(blocks.select("pivot", F.col("block").alias("block2"), F.col("ms").alias("ms2")), ["pivot", "block2"])
+    work = work.select("ms", F.when(F.col("block") < F.col("block2"), F.col("ms2")).alias("ms2")).repartition(F.xxhash64("pivot", "block", "block2"))
+
+    def arrays(x: pa.Array) -> tuple[np.ndarray, ...]:
+        sketch = x.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(x), -1)
+        return (*(x.field(c).to_numpy() for c in ("doc", "n", "component")), sketch, [np.frombuffer(w, np.uint64) for w in x.field("whole").to_pylist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                doc, n, comp, sk, sets = arrays(b.column("ms")[i].values)
+                same = not b.column("ms2")[i].is_valid
+                doc2, n2, comp2, sk2, sets2 = (doc, n, comp, sk, sets) if same else arrays(b.column("ms2")[i].values)
+                names, roots = np.unique(np.concatenate([comp, comp2]), return_inverse=True)
+                r, r2, tied = roots[: len(comp)], roots[len(comp) :], LocalComponents(len(names))
+                to = np.bitwise_count(sk2 ^ sk[0]).sum(1, dtype=np.int64)  # distances to the first member
+                own = np.bitwise_count(sk ^ sk[0]).sum(1, dtype=np.int64)
+                order = np.argsort(to, kind="stable")
+                to = to[order]
+                # 100 (S - D) >= percent (S + D) for sizes that sum to S and D differing shingles
+                reach = (100 - percent) * (n + n * 100 // percent + 1) // (100 + percent)
+                lo, hi = np.searchsorted(to, own - reach, "left"), np.searchsorted(to, own + reach, "right")
+                found = []
+                for j in range(len(doc)):
+                    at = order[lo[j] : hi[j]]
+                    at = at[(tied.root[r2[at]] != tied.root[r[j]]) & (100 * np.minimum(n2[at], n[j]) >= percent * np.maximum(n2[at], n[j]))]
+                    if same:
+                        at = at[at > j]
+                    differ = np.bitwise_count(sk2[at] ^ sk[j]).sum(1, dtype=np.int64)
+                    for x in at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[j])]:
+                        if tied.root[r2[x]] != tied.root[r[j]]:
+                            shared = _shared(sets[j], sets2[x])
+                            if 100 * shared >= percent * (n[j] + n2[x] - shared):
+                                found.append((doc[j], doc2[x]))
+                                tied.add(r[j : j + 1], r2[x : x + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    # rows of work hold up to two blocks of whole sets: few at a time
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        return written(work.mapInArrow(run, "a long, b long"), "block-links")
+    finally:
+        spark.conf.set(key, before)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,3 +339,15 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r(id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.id = w.doc_id GROUP BY 1, 2
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_join": jaccard.ORACLE_SQL,
+    "op3_near_dup": near_dup.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
     "op5_secret_scan": secrets.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
