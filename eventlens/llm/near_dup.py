@@ -3,7 +3,7 @@
 Equal vectors of one label collapse to a representative with a multiplicity. A label's representatives are dealt to
 shards of bounded size; a task builds a navigable graph for each shard. Every shard is then queried with the vectors of
 every shard of its label, in blocks. Beams widen until an audit against brute force passes; a query whose beam is full
-of links is answered by scanning the shard. Cosines are verified in double precision. A block returns one row per
+of links is answered by scanning the shard, and so are all queries of a block whose audit fails at the widest beam. Cosines are verified in double precision. A block returns one row per
 vector: its number of links, and the smallest vector it is tied to in that block; links never leave as pairs.
 """
 
@@ -151,42 +151,54 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _audit(graph: Graph, q: np.ndarray, entry: np.ndarray, own: bool, floor: np.float32, ef: int, audit: int, target: float) -> bool:
+    """Whether beams of width ef find what brute force finds, by `audit` queries whose beams are not full (full ones are scanned)."""
+    order = np.random.default_rng(1).permutation(len(q))
+    hit = truth = near = seen = 0
+    for i in range(0, len(order), audit):
+        part = order[i : i + audit]
+        got, sims = graph.search(q[part], entry[part], 0, ef)
+        rest = ~_full(sims, floor, ef, len(graph.x))
+        part, got, sims = part[rest], got[rest], sims[rest]
+        exact = q[part] @ graph.x.T
+        if own:
+            sims = np.where(got == part[:, None], -np.inf, sims)
+            exact[np.arange(len(part)), part] = -np.inf
+        hit += int((sims >= floor).sum())
+        truth += int((exact >= floor).sum())
+        near += int((sims.max(1) >= exact.max(1) - 1e-5).sum())
+        seen += len(part)
+        if seen >= audit:
+            break
+    return hit >= target * truth and near >= (0.9 if own else target) * seen
+
+
+def _full(sims: np.ndarray, floor: np.float32, ef: int, n: int) -> np.ndarray:
+    """Queries whose beam holds nothing but links, so that there may be more."""
+    return (sims >= floor).all(1) & (ef < n)
+
+
 def links_between(graph: Graph, queries: np.ndarray, own: bool, threshold: float, audit: int = 128, target: float = 0.99, widest: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) pairs that the search found, of cosine near the threshold or above (in single precision, with a margin).
 
-    own: the queries are the graph's own nodes, and each starts from itself.
+    own: the queries are the graph's own nodes, and each starts from itself. Full beams are answered by a scan, and all
+    queries are where the audit still fails at the widest beam.
     """
     floor, n = np.float32(threshold - 1e-5), len(graph.x)
     q = queries.astype(np.float32)
     entry = np.arange(len(q), dtype=np.int32)[:, None] if own else graph.entries(q)
-    picked = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    exact = q[picked] @ graph.x.T
-    if own:
-        exact[np.arange(len(picked)), picked] = -np.inf
-    truth, best = exact >= floor, exact.max(1) if exact.shape[1] else None
     ef = min(32, n)
-    while True:
-        got, sims = graph.search(q[picked], entry[picked], 0, ef)
-        if own:
-            sims = np.where(got == picked[:, None], -np.inf, sims)
-        hit = int(((sims >= floor) & (got >= 0)).sum())
-        full = int((np.sort(sims, 1)[:, : 1 + own].max(1) >= floor).sum())  # those beams are widened further below
-        near = float((sims.max(1) >= best - 1e-5).mean())
-        if ef >= min(widest, n) or full or (hit >= target * int(truth.sum()) and near >= (0.9 if own else target)):
-            break
+    while not (passed := _audit(graph, q, entry, own, floor, ef, audit, target)) and ef < min(widest, n):
         ef = min(2 * ef, n, widest)
     todo = np.arange(len(q))
-    while len(todo):
-        got, sims = graph.search(q[todo], entry[todo], 0, ef)
-        is_full = (sims >= floor).all(1) & (ef < n)
-        ok = ~is_full
+    if passed:
+        got, sims = graph.search(q, entry, 0, ef)
+        full = _full(sims, floor, ef, n)
+        ok = ~full
         row, column = np.nonzero((sims[ok] >= floor) & (got[ok] >= 0))
         yield todo[ok][row], got[ok][row, column]
-        todo = todo[is_full]
-        if ef >= widest:
-            break
-        ef = min(4 * ef, widest, n)
-    for i in range(0, len(todo), 256):  # too many links for a beam: scan
+        todo = todo[full]
+    for i in range(0, len(todo), 256):
         part = todo[i : i + 256]
         row, column = np.nonzero(q[part] @ graph.x.T >= floor)
         yield part[row], column

@@ -145,6 +145,36 @@ def test_graph_recall():
     assert np.mean([i in found[i] for i in range(300)]) > 0.95
 
 
+def planted(seed, ordinary=1200, hot=400):
+    """Ordinary vectors, each second one a near copy of the one before it, and a hot group of near copies among them."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(ordinary, 24))
+    x[1::2] = x[::2] + rng.normal(size=(ordinary // 2, 24)) * 0.1
+    group = rng.normal(size=24) + rng.normal(size=(hot, 24)) * 0.05
+    x = near_dup.unit(np.concatenate([x, group]))[rng.permutation(ordinary + hot)].astype(np.float32)
+    return x
+
+
+def links_found(graph, q, own):
+    found = {(int(a), int(b)) for p, n in near_dup.links_between(graph, q, own, 0.93) for a, b in zip(p, n, strict=True)}
+    return {tuple(sorted(z)) for z in found if z[0] != z[1]} if own else found
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("hot", [0, 400])
+def test_links_survive_a_graph_of_bad_recall(own, hot):
+    x = planted(5, hot=hot)
+    q = x if own else near_dup.unit(x + np.random.default_rng(6).normal(size=x.shape) * 0.01).astype(np.float32)
+    a, b = np.nonzero(q @ x.T >= 0.93)
+    want = {tuple(sorted(z)) for z in zip(a.tolist(), b.tolist(), strict=True) if z[0] != z[1]} if own else set(zip(a.tolist(), b.tolist(), strict=True))
+    bare = near_dup.Graph(x, [np.full((len(x), 24), -1, np.int32)], 0)  # no links: a beam finds its entry alone
+    assert want <= links_found(bare, q, own)
+    if hot:  # a hot group must not stop the widening for all other vectors
+        poor = near_dup.Graph.build(x, m=3, ef=4)
+        ordinary = {z for z in want if (q[z[0]] @ x.T >= 0.93).sum() < 32}
+        assert len(ordinary & links_found(poor, q, own)) >= 0.98 * len(ordinary) > 0
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7), (None, 3)]
