@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,25 +41,26 @@ def newer_normalizer(new: Column | str, old: Column | str) -> Column:
     return F.coalesce(col(new).try_cast("int") > col(old).try_cast("int"), F.lit(False))
 
 
-def key_components(records: DataFrame, rounds: int = 30) -> DataFrame:
-    """record_id, component: records that share hard keys, transitively, by label propagation over (record, key).
+def key_components(records: DataFrame) -> DataFrame:
+    """record_id, component: records that share hard keys, transitively, with the smallest of them as the component.
 
-    A label moves from records to keys and back; each round is two grouped minima, so a hot key is summed before it is
-    shuffled. The lineage is cut by a checkpoint each third round; stops at the fixpoint.
+    A record points to a smaller one of its component. Each round it, and the one it points to, take the least pointer
+    two steps away among the records of its keys, so a chain folds up in rounds that grow with the logarithm of its
+    length. A hot key is summed by a grouped minimum. Each round is cut; ends at the fixpoint only.
     """
     edges = cut(records.select("record_id", F.explode("keys").alias("key")).distinct())
-    labels = records.select("record_id", F.col("record_id").alias("component")).distinct()
-    before = None
-    for i in range(rounds):
-        by_key = edges.join(labels, "record_id").groupBy("key").agg(F.min("component").alias("component"))
-        labels = edges.join(by_key, "key").groupBy("record_id").agg(F.min("component").alias("component"))
-        if i % 3 == 2 or i < 2:
-            labels = cut(labels)
-            now = labels.agg(F.sum(F.xxhash64("record_id", "component").cast("decimal(38,0)"))).first()[0]
-            if now == before:
-                break
-            before = now
-    return labels
+    up, before = edges.select("record_id", F.col("record_id").alias("component")).distinct(), None
+    while True:
+        two = up.join(up.select(F.col("record_id").alias("component"), F.col("component").alias("top")), "component")
+        by_key = edges.join(two, "record_id").groupBy("key").agg(F.min("top").alias("low"))
+        low = edges.join(by_key, "key").groupBy("record_id").agg(F.min("low").alias("low"))
+        both = two.join(low, "record_id")
+        moves = both.select("record_id", F.least("component", "top", "low").alias("component")).union(both.select("component", "low"))
+        up = cut(moves.groupBy("record_id").agg(F.min("component").alias("component")))
+        now = up.agg(F.sum(F.xxhash64("record_id", "component").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return up
+        before = now
 
 
 def match_keys(records: DataFrame, external_ids: DataFrame) -> DataFrame:
@@ -80,51 +83,54 @@ def apply_overrides(resolved: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumns({"conflict": clash, "event_id": F.coalesce("__forced", "event_id")}).drop("__forced")
 
 
-def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataFrame | None = None, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with event_id and is_new, rejected rows with `reason`).
 
     No match opens an event, one attaches, more than one is a conflict that is rejected and never merges. Records of
-    one key component replay in order of (priority, clock, record), as one at a time would; components of more than
-    `most` records are a data error and are rejected whole before the grouped map.
+    one key component replay in order of (priority, clock, record), as one at a time would. A component of any size
+    streams through one task in sorted order, which remembers the owners of keys that more than one row bears.
     """
     priority = category_map({s[0]: s[5] for s in SOURCES})
-    rows = hard_keys(batch).withColumn("record_id", F.concat_ws("|", "source_id", "provider_record_id"))
+    rows = hard_keys(batch).withColumns({"record_id": F.concat_ws("|", "source_id", "provider_record_id"), "__keys": F.xxhash64("keys")})
     rows = rows.withColumns({"__priority": F.coalesce(F.try_element_at(priority, F.col("source_id")), F.lit(2)), "__clock": F.coalesce("source_updated_at", "issued_at", "occurred_start")})
-    joined = rows.join(key_components(rows), "record_id").join(match_keys(rows, external_ids), "record_id", "left")
+    joined = rows.join(key_components(rows), "record_id")
     if overrides is not None:
         o = overrides.select("source_id", "provider_record_id", F.col("event_id").alias("forced"))
         joined = joined.join(F.broadcast(o) if o.limit(10_001).count() <= 10_000 else o, ["source_id", "provider_record_id"], "left")
     else:
         joined = joined.withColumn("forced", F.lit(None).cast("string"))
-    sizes = joined.groupBy("component").agg(F.count("*").alias("__size"))
-    joined = joined.join(sizes, "component")
-    known = joined.select("component", F.explode("keys").alias("external_id")).join(external_ids.select("external_id", "event_id"), "external_id")
-    owned = known.groupBy("component").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("external_id", "event_id")))).alias("owned"))
-    small = joined.where(F.col("__size") <= most).select("component", "record_id", "keys", "forced", "__priority", "__clock", "source_id", "provider_record_id", "raw_hash").join(owned, "component", "left")
-
-    def replay(g: pd.DataFrame) -> pd.DataFrame:
-        keys = dict(g.owned.iloc[0] or {})
-        out = []
-        g = g.assign(__null=g["__clock"].isna()).sort_values(["__priority", "__null", "__clock", "record_id", "raw_hash"])
-        for r in g.itertuples():
-            found = sorted({keys[k] for k in r.keys if k in keys})
-            event, new, reason = None, False, None
-            if isinstance(r.forced, str):
-                event, reason = r.forced, "override_conflict" if any(f != r.forced for f in found) else None
-            elif len(found) > 1:
-                reason = "identity_conflict"
-            elif found:
-                event = found[0]
-            else:
-                event, new = "ev:" + min(r.keys), True
-            if reason is None:
-                keys.update(dict.fromkeys(r.keys, event))
-            out.append((r.record_id, r.raw_hash, event if reason is None else None, new, reason))
-        return pd.DataFrame(out, columns=["record_id", "raw_hash", "event_id", "is_new", "reason"])
-
-    decided = small.groupBy("component").applyInPandas(replay, "record_id string, raw_hash string, event_id string, is_new boolean, reason string").dropDuplicates(["record_id", "raw_hash"])
-    drop = ["__priority", "__clock", "component", "matches", "forced", "__size"]
-    done = joined.join(decided, ["record_id", "raw_hash"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("__size") > most, F.lit("component_too_large")))).drop(*drop)
+    borne = rows.select("record_id", "__keys", F.explode("keys").alias("external_id"))
+    shared = borne.groupBy("external_id").agg(F.count("*").alias("__rows")).where("__rows > 1").select("external_id", F.lit(True).alias("__shared"))
+    owners = borne.distinct().join(shared, "external_id", "left").join(external_ids.select("external_id", "event_id"), "external_id", "left").where("__shared or event_id is not null")
+    owners = owners.groupBy("record_id", "__keys").agg(F.collect_set(F.when(F.col("event_id").isNull(), F.col("external_id"))).alias("open"), F.collect_set("event_id").alias("known"))
+    line = joined.join(owners, ["record_id", "__keys"], "left").select("component", "record_id", "raw_hash", "forced", "open", "known", F.array_min("keys").alias("least"), "__priority", "__clock")
+    line = line.repartition("component").sortWithinPartitions("component", "__priority", F.asc_nulls_last("__clock"), "record_id", F.asc_nulls_last("raw_hash"))
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, keys = None, {}
+        for g in frames:
+            out = []
+            for r in g.itertuples():
+                if r.component != component:
+                    component, keys = r.component, {}
+                mine = () if r.open is None else r.open
+                found = {keys[k] for k in mine if k in keys} | set(() if r.known is None else r.known)
+                event, new, reason = None, False, None
+                if isinstance(r.forced, str):
+                    event, reason = r.forced, "override_conflict" if any(f != r.forced for f in found) else None
+                elif len(found) > 1:
+                    reason = "identity_conflict"
+                elif found:
+                    event = min(found)
+                else:
+                    event, new = "ev:" + r.least, True
+                if reason is None:
+                    keys.update(dict.fromkeys(mine, event))
+                out.append((r.record_id, r.raw_hash, event if reason is None else None, new, reason))
+            yield pd.DataFrame(out, columns=["record_id", "raw_hash", "event_id", "is_new", "reason"])
+
+    decided = line.select("component", "record_id", "raw_hash", "forced", "open", "known", "least").mapInPandas(replay, "record_id string, raw_hash string, event_id string, is_new boolean, reason string").dropDuplicates(["record_id", "raw_hash"])
+    done = joined.join(decided, ["record_id", "raw_hash"], "left").drop("__keys", "__priority", "__clock", "component", "forced")
     return done.where("reason is null").drop("reason"), done.where("reason is not null")
 
 
@@ -173,18 +179,35 @@ def not_superseded(material: DataFrame) -> DataFrame:
     return material.join(refs.distinct(), ["event_id", "provider_record_id", "source_id"], "left_anti")
 
 
-def cap_cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Edges (event_id, src, dst) that lie on or lead out of a cycle, by peeling nodes without incoming edges."""
+def cap_cycles(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """Edges (event_id, src, dst) that lie on or lead out of a cycle, by peeling nodes without incoming edges.
+
+    An event of at most `most` edges is peeled inside a task, larger ones layer by layer, to the end.
+    """
     left = cut(edges.select("event_id", "src", "dst").distinct())
+    big = left.groupBy("event_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("event_id")
+
+    def peel(g: pd.DataFrame) -> pd.DataFrame:
+        into, out = g.dst.value_counts().to_dict(), g.groupby("src").dst.agg(list).to_dict()
+        ready, gone = [s for s in out if s not in into], set()
+        while ready:
+            gone.add(src := ready.pop())
+            for dst in out.get(src, ()):
+                into[dst] -= 1
+                if not into[dst]:
+                    ready.append(dst)
+        return g[~g.src.isin(gone)]
+
+    small = left.join(big, "event_id", "left_anti").groupBy("event_id").applyInPandas(peel, left.schema)
+    left = cut(left.join(big, "event_id", "left_semi"))
     n = left.count()
-    for _ in range(rounds):
+    while n:
         heads = left.select("event_id", F.col("dst").alias("src")).distinct()
         left = cut(left.join(heads, ["event_id", "src"], "left_semi"))
-        now = left.count()
-        if now in (0, n):
+        before, n = n, left.count()
+        if n == before:
             break
-        n = now
-    return left
+    return small.unionByName(left)
 
 
 def rebuild_events(material: DataFrame, previous: DataFrame, now) -> DataFrame:

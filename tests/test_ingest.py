@@ -150,6 +150,33 @@ def test_identity_conflict_is_rejected_not_merged(spark):
     assert {r.provider_record_id: r.reason for r in I.resolve_identity(rows, known, over)[1].collect()}["y"] == "override_conflict"
 
 
+def test_long_chains_and_large_components_are_decided(spark):
+    import random
+
+    names = [f"{i:03d}" for i in range(120)]
+    random.Random(1).shuffle(names)
+    chain = norm(spark, *({"provider_record_id": r, "external_ids": [f"usgs:c{i}", f"usgs:c{i + 1}"]} for i, r in enumerate(names)))
+    assert {r.component for r in I.key_components(chain.select(F.col("provider_record_id").alias("record_id"), F.col("external_ids").alias("keys"))).collect()} == {"000"}
+    owners, want = {}, {}
+    for i, r in sorted(enumerate(names), key=lambda x: x[1]):
+        found = {owners[k] for k in (i, i + 1) if k in owners}
+        if len(found) > 1:
+            want[r] = None
+        else:
+            want[r] = found.pop() if found else "ev:" + min(f"record:usgs:{r}", f"usgs:c{i}", f"usgs:c{i + 1}")
+            owners |= {i: want[r], i + 1: want[r]}
+    none = spark.createDataFrame([], "external_id string, event_id string")
+    good, bad = I.resolve_identity(chain, none)
+    assert {r.provider_record_id: r.event_id for r in good.collect()} | {r.provider_record_id: None for r in bad.collect()} == want
+    hot = norm(spark, {"provider_record_id": "x", "external_ids": ["usgs:hot"]}).crossJoin(spark.range(10_100)).withColumn("provider_record_id", F.format_string("r%05d", "id")).withColumn("raw_hash", F.col("provider_record_id")).drop("id")
+    good, bad = I.resolve_identity(hot, none)
+    assert bad.count() == 0 and {(r.event_id, r.is_new): r["count"] for r in good.groupBy("event_id", "is_new").count().collect()} == {("ev:record:usgs:r00000", True): 1, ("ev:record:usgs:r00000", False): 10_099}
+    edges = spark.createDataFrame([("e", f"a{i}", f"a{i + 1}") for i in range(60)] + [("f", "x", "x")], "event_id string, src string, dst string")
+    assert [tuple(r) for r in I.cap_cycles(edges).collect()] == [("f", "x", "x")]
+    few = spark.createDataFrame([("e", a, b) for a, b in ("ab", "bc", "cd")] + [("g", "a", "b"), ("g", "b", "a")], "event_id string, src string, dst string")
+    assert sorted(tuple(r) for r in I.cap_cycles(few, most=1).collect()) == [("g", "a", "b"), ("g", "b", "a")]
+
+
 def test_origins_cycles_and_supersession(spark):
     m = spark.createDataFrame([("e", ["usgs:us"]), ("e", ["usgs:ci"]), ("e", ["unknown:x"]), ("e", ["gwis", "emsc"]), ("f", ["firms"])], "event_id string, origins array<string>")
     assert {r.event_id: (r.independent_origins, r.independent_source_count) for r in I.independent_origins(m).collect()} == {"e": (["usgs"], 1), "f": (["nasa:firms"], 1)}
