@@ -83,12 +83,14 @@ def apply_overrides(resolved: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumns({"conflict": clash, "event_id": F.coalesce("__forced", "event_id")}).drop("__forced")
 
 
-def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataFrame | None = None, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with event_id and is_new, rejected rows with `reason`).
 
     No match opens an event, one attaches, more than one is a conflict that is rejected and never merges. Records of
     one key component replay in order of (priority, clock, record), as one at a time would. A component of any size
     streams through one task in sorted order, which remembers the owners of keys that more than one row bears.
+    `records` are stored ones with the event_id and external_ids of their current material: a record stays with its
+    event, an override that agrees with it wins over keys, and a CAP message never changes its sender.
     """
     priority = category_map({s[0]: s[5] for s in SOURCES})
     rows = hard_keys(batch).withColumns({"record_id": F.concat_ws("|", "source_id", "provider_record_id"), "__keys": F.xxhash64("keys")})
@@ -99,25 +101,38 @@ def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataF
         joined = joined.join(F.broadcast(o) if o.limit(10_001).count() <= 10_000 else o, ["source_id", "provider_record_id"], "left")
     else:
         joined = joined.withColumn("forced", F.lit(None).cast("string"))
+    cap = lambda c: F.filter(c, lambda k: k.startswith("cap:"))
+    joined = joined.withColumn("caps", F.when(F.col("source_id") == "meteoalarm", cap("external_ids")))
+    if records is not None:
+        joined = joined.join(records.select("source_id", "provider_record_id", F.col("event_id").alias("stored"), cap("external_ids").alias("stored_caps")), ["source_id", "provider_record_id"], "left")
+    else:
+        joined = joined.withColumns({"stored": F.lit(None).cast("string"), "stored_caps": F.lit(None).cast("array<string>")})
     borne = rows.select("record_id", "__keys", F.explode("keys").alias("external_id"))
     shared = borne.groupBy("external_id").agg(F.count("*").alias("__rows")).where("__rows > 1").select("external_id", F.lit(True).alias("__shared"))
     owners = borne.distinct().join(shared, "external_id", "left").join(external_ids.select("external_id", "event_id"), "external_id", "left").where("__shared or event_id is not null")
     owners = owners.groupBy("record_id", "__keys").agg(F.collect_set(F.when(F.col("event_id").isNull(), F.col("external_id"))).alias("open"), F.collect_set("event_id").alias("known"))
-    line = joined.join(owners, ["record_id", "__keys"], "left").select("component", "record_id", "raw_hash", "forced", "open", "known", F.array_min("keys").alias("least"), "__priority", "__clock")
+    line = joined.join(owners, ["record_id", "__keys"], "left").select("component", "record_id", "raw_hash", "forced", "stored", "stored_caps", "caps", "open", "known", F.array_min("keys").alias("least"), "__priority", "__clock")
     line = line.repartition("component").sortWithinPartitions("component", "__priority", F.asc_nulls_last("__clock"), "record_id", F.asc_nulls_last("raw_hash"))
 
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        component, keys = None, {}
+        component, keys, senders = None, {}, {}
         for g in frames:
             out = []
             for r in g.itertuples():
                 if r.component != component:
-                    component, keys = r.component, {}
+                    component, keys, senders = r.component, {}, {}
                 mine = () if r.open is None else r.open
                 found = {keys[k] for k in mine if k in keys} | set(() if r.known is None else r.known)
                 event, new, reason = None, False, None
-                if isinstance(r.forced, str):
-                    event, reason = r.forced, "override_conflict" if any(f != r.forced for f in found) else None
+                if isinstance(r.stored, str):
+                    found.add(r.stored)
+                caps, old = set(() if r.caps is None else r.caps), senders.get(r.record_id, r.stored_caps)
+                if caps and old is not None and len(old) and not caps.intersection(old):
+                    reason = "cap_sender_conflict"
+                elif isinstance(r.forced, str):
+                    event = r.forced
+                    if r.stored != event if isinstance(r.stored, str) else any(f != event for f in found):
+                        reason = "override_conflict"
                 elif len(found) > 1:
                     reason = "identity_conflict"
                 elif found:
@@ -125,12 +140,15 @@ def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataF
                 else:
                     event, new = "ev:" + r.least, True
                 if reason is None:
-                    keys.update(dict.fromkeys(mine, event))
+                    for k in mine:
+                        keys.setdefault(k, event)
+                    if r.caps is not None:
+                        senders[r.record_id] = caps
                 out.append((r.record_id, r.raw_hash, event if reason is None else None, new, reason))
             yield pd.DataFrame(out, columns=["record_id", "raw_hash", "event_id", "is_new", "reason"])
 
-    decided = line.select("component", "record_id", "raw_hash", "forced", "open", "known", "least").mapInPandas(replay, "record_id string, raw_hash string, event_id string, is_new boolean, reason string").dropDuplicates(["record_id", "raw_hash"])
-    done = joined.join(decided, ["record_id", "raw_hash"], "left").drop("__keys", "__priority", "__clock", "component", "forced")
+    decided = line.select("component", "record_id", "raw_hash", "forced", "stored", "stored_caps", "caps", "open", "known", "least").mapInPandas(replay, "record_id string, raw_hash string, event_id string, is_new boolean, reason string").dropDuplicates(["record_id", "raw_hash"])
+    done = joined.join(decided, ["record_id", "raw_hash"], "left").drop("__keys", "__priority", "__clock", "component", "stored", "stored_caps", "caps")
     return done.where("reason is null").drop("reason"), done.where("reason is not null")
 
 
@@ -210,6 +228,39 @@ def cap_cycles(edges: DataFrame, most: int = 100_000) -> DataFrame:
     return small.unionByName(left)
 
 
+def cap_closing(material: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_id, provider_record_id, raw_hash) of rows that close a cycle of CAP references within their event.
+
+    `rows` come upon the material of their records in order of (clock, record), as one at a time would; only events in
+    which a cycle would stand are replayed, on the edges that are left of them.
+    """
+    record = ["event_id", "provider_record_id"]
+    new = rows.where("source_id = 'meteoalarm'").select(*record, "supersedes", "raw_hash", F.coalesce("source_updated_at", "issued_at", "occurred_start").alias("clock"), F.lit(True).alias("fresh"))
+    old = material.where("source_id = 'meteoalarm'").join(rows.select(*record), record, "left_anti").select(*record, "supersedes", "raw_hash", F.lit(None).cast("timestamp").alias("clock"), F.lit(False).alias("fresh"))
+    nodes = cut(old.unionByName(new))
+    edges = nodes.select("event_id", F.col("provider_record_id").alias("src"), F.explode("supersedes").alias("dst"), "raw_hash", "clock", "fresh")
+    edges = edges.join(nodes.select("event_id", F.col("provider_record_id").alias("dst")), ["event_id", "dst"], "left_semi")
+    left = edges.join(cap_cycles(edges), ["event_id", "src", "dst"], "left_semi")
+
+    def replay(g: pd.DataFrame) -> pd.DataFrame:
+        out = g[~g.fresh].groupby("src").dst.agg(list).to_dict()
+        g, lost = g[g.fresh].assign(null=lambda x: x.clock.isna()), []
+        for (_, _, src, raw_hash), targets in g.groupby(["null", "clock", "src", "raw_hash"], dropna=False).dst:
+            reached, todo = set(), list(targets)
+            while todo:
+                if (at := todo.pop()) not in reached:
+                    reached.add(at)
+                    todo.extend(out.get(at, ()))
+            if src in reached:
+                lost.append((src, raw_hash))
+            else:
+                out[src] = list(targets)
+        return pd.DataFrame(lost, columns=["provider_record_id", "raw_hash"])
+
+    found = left.groupBy("event_id").applyInPandas(replay, "provider_record_id string, raw_hash string")
+    return found.select(F.lit("meteoalarm").alias("source_id"), "provider_record_id", "raw_hash")
+
+
 def rebuild_events(material: DataFrame, previous: DataFrame, now) -> DataFrame:
     """The projection of each event from its current material: the best candidate, sets of sources and evidence, independence.
 

@@ -177,6 +177,24 @@ def test_long_chains_and_large_components_are_decided(spark):
     assert sorted(tuple(r) for r in I.cap_cycles(few, most=1).collect()) == [("g", "a", "b"), ("g", "b", "a")]
 
 
+def test_ingest_keeps_splits_senders_and_breaks_reference_cycles(spark):
+    cap = {"source_id": "meteoalarm", "kind": "advisory", "category": "weather", "source_url": "https://x.example.org/"}
+    warn = lambda r, sender, refs, hours, title: cap | {"provider_record_id": r, "external_ids": [f"cap:{sender}:{r}"], "sender": sender, "supersedes": refs, "issued_at": NOW - timedelta(hours=hours), "title": title}
+    quakes = [{"provider_record_id": "u", "external_ids": ["usgs:u"]}, {"source_id": "gdacs", "provider_record_id": "EQ:1", "external_ids": ["usgs:u", "gdacs:EQ:1"], "title": "g"}]
+    t1, bad = P.persist_batch(P.empty_tables(spark), norm(spark, *quakes, warn("w1", "S", ["w2"], 3, "one"), warn("w2", "S", ["w1"], 2, "two")), NOW)
+    assert [tuple(r) for r in bad.collect()] == [("meteoalarm", "w2", "cap_cycle")]
+    t1 = frozen(t1)
+    assert {r.title for r in t1["events"].collect()} == {"t", "one"} or {r.title for r in t1["events"].collect()} == {"g", "one"}
+    event = t1["records"].where("source_id = 'gdacs'").first().event_id
+    t1["evidence"] = t1["observations"].select("event_id", "observation_id")
+    t2 = frozen(I.split_source(t1, event, "gdacs", "wrong place", NOW))
+    later = NOW + timedelta(hours=1)
+    t3, bad = P.persist_batch(t2, norm(spark, quakes[1] | {"title": "g2", "source_updated_at": NOW}, warn("w1", "T", [], 1, "forged"), warn("w3", "S", ["w1"], 1, "three")), later)
+    assert [tuple(r) for r in bad.collect()] == [("meteoalarm", "w1", "cap_sender_conflict")]
+    assert {r.event_id: r.title for r in t3["events"].where("category = 'earthquake'").collect()}[f"{event}/split/gdacs"] == "g2"
+    assert {r.title for r in t3["events"].where("category = 'weather'").collect()} == {"three"}
+
+
 def test_origins_cycles_and_supersession(spark):
     m = spark.createDataFrame([("e", ["usgs:us"]), ("e", ["usgs:ci"]), ("e", ["unknown:x"]), ("e", ["gwis", "emsc"]), ("f", ["firms"])], "event_id string, origins array<string>")
     assert {r.event_id: (r.independent_origins, r.independent_source_count) for r in I.independent_origins(m).collect()} == {"e": (["usgs"], 1), "f": (["nasa:firms"], 1)}
