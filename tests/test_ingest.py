@@ -271,6 +271,17 @@ def test_highlights_do_not_depend_on_order(spark):
     assert len(picked) == 8 and [p[1] for p in picked[:3]] == ["i00", "i01", "i02"]
 
 
+def test_fingerprint_streams_in_blocks(spark):
+    import hashlib
+
+    digest = lambda rows: hashlib.md5("".join(sorted(hashlib.md5(str(r).encode()).hexdigest() for r in rows)).encode()).hexdigest()
+    for rows in ([i % 700 for i in range(3000)] + [5] * 600, []):
+        df = sinks.md5_fingerprint(spark.createDataFrame([(r,) for r in rows], "x long").repartition(7), F.col("x").cast("string"))
+        assert [tuple(r) for r in df.collect()] == [(len(rows), digest(rows))]
+        assert "collect_list" not in df._jdf.queryExecution().toString()  # nothing holds all rows at once
+    assert sinks.md5_fingerprint(spark.createDataFrame([(None,), (1,)], "x long"), F.col("x").cast("string")).first() == (2, digest([1]))
+
+
 def test_versioned_tables_and_split(spark, tmp_path):
     t = sinks.Tables(spark, f"file://{tmp_path}/t")
     a = spark.createDataFrame([(1,)], "x int")
