@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.time import BASIS_CLOCK, local_day
 from eventlens.operators.filters import basis_value, high_severity, is_fresh
+from eventlens.sources.lineage import cut
 
 
 def order_events(df: DataFrame, basis: str) -> DataFrame:
@@ -83,52 +83,52 @@ def timeline_by_day(df: DataFrame, tz: str = "UTC") -> DataFrame:
     return df.groupBy(local_day(basis_value(), tz).alias("day")).agg(F.count("*").alias("n"), F.max("severity").alias("max_severity")).orderBy(F.desc_nulls_last("day"))
 
 
-def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | None = None, keys: list[str] | None = None, most: int = 512) -> DataFrame:
+def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Up to n rows per key: one of each category, then fresh ones, sources not yet shown first; no repeats.
 
-    Order: fresh, high source severity, newest basis clock, id. The last pick depends on earlier ones, so it runs
-    over the first `most` ranked rows of a key in a grouped map; ranks are windows before that.
+    Order: fresh, high source severity, newest basis clock, id. Of rows that repeat one another, name the same sources
+    and have no twin the best one stands for all. A pick depends on earlier ones, so each of the n rounds is a grouped
+    minimum over all rows that are still allowed; no rank cuts them and no task sorts them.
     """
     keys = keys or []
     one = [*keys, "__all"]
-    rank = [is_fresh(since, until).desc(), high_severity().desc(), F.desc_nulls_last(basis_value()), F.asc("id")]
-    d = df.withColumn("__all", F.lit(1)).withColumns({"fresh": is_fresh(since, until), "repeat_key": F.concat_ws("|", "category", F.lower("title"), F.array_join("countries", ","))})
-    d = d.withColumns({"rank": F.row_number().over(Window.partitionBy(*one).orderBy(*rank)), "cat_rank": F.row_number().over(Window.partitionBy(*one, "category").orderBy(*rank))})
-    d = d.where((F.col("rank") <= most) | (F.col("cat_rank") == 1))
-    d = d.select(*one, "id", "category", "source_ids", "fresh", "repeat_key", "rank", "cat_rank")
+    of = [F.col(k).alias(f"__of_{k}") for k in one]
+    low = lambda c: -F.coalesce(c.cast("int"), F.lit(-1))
+    clock = F.unix_micros(basis_value().cast("timestamp"))
+    rank = F.struct(low(is_fresh(since, until)).alias("fresh"), low(high_severity()).alias("high"), clock.isNull().alias("undated"), (-clock).alias("clock"), "id")
+    none = F.array().cast("array<string>")
+    d = df.select(*keys, F.lit(1).alias("__all"), "id", "category", F.array_sort(F.coalesce("source_ids", none)).alias("source_ids"), F.concat_ws("|", "category", F.lower("title"), F.array_join("countries", ",")).alias("repeat_key"), rank.alias("rank"))
+    twins = None
     if relations is not None:
         same = relations.where("relation_type = 'possible_same_event'")
-        twins = same.select(F.col("event_a").alias("id"), F.col("event_b").alias("o")).union(same.select("event_b", "event_a")).groupBy("id").agg(F.slice(F.collect_set("o"), 1, most).alias("twins"))
-        d = d.join(twins, "id", "left")
+        twins = cut(same.select(F.col("event_a").alias("id"), F.col("event_b").alias("o")).union(same.select("event_b", "event_a")).distinct())
+        d = d.join(twins.select("id", F.col("id").alias("twin")).distinct(), "id", "left")
     else:
-        d = d.withColumn("twins", F.lit(None).cast("array<string>"))
-    key_fields = "".join(f"{k} {dict(d.dtypes)[k]}, " for k in keys)
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rank")
-        taken, seen, sources = [], set(), set()
-
-        def take(r, step) -> bool:
-            near = set(r.twins) if r.twins is not None else set()
-            if r.repeat_key in seen or near & {t[0] for t in taken} or len(taken) >= n:
-                return False
-            taken.append((r.id, step))
-            seen.add(r.repeat_key)
-            sources.update(r.source_ids)
-            return True
-
-        for r in g[g.cat_rank == 1].itertuples():
-            take(r, "category")
-        left = [r for r in g.itertuples() if r.fresh and r.id not in {t[0] for t in taken}]
-        fresh_source = [r for r in left if not set(r.source_ids) & sources]
-        for r in [*fresh_source, *(r for r in left if r not in fresh_source)]:
-            take(r, "fill")
-        out = pd.DataFrame({"id": [t[0] for t in taken], "step": [t[1] for t in taken], "position": range(1, len(taken) + 1)})
-        for k in keys:
-            out.insert(0, k, g[k].iloc[0])
-        return out[[*keys, "id", "step", "position"]]
-
-    return d.groupBy(*one).applyInPandas(pick, f"{key_fields}id string, step string, position int")
+        d = d.withColumn("twin", F.lit(None).cast("string"))
+    d = cut(d.groupBy(*one, "category", "repeat_key", "source_ids", "twin").agg(F.min("rank").alias("rank")).drop("twin"))
+    taken = None
+    for position in range(1, n + 1):
+        rest, shown = d, none
+        step = F.lit(0)
+        if taken is not None:
+            state = taken.groupBy(*of).agg(F.collect_set("category").alias("categories"), F.collect_set("repeat_key").alias("seen"), F.flatten(F.collect_list(F.when(F.col("step") == "category", F.col("source_ids")))).alias("shown"))
+            rest = d.join(_small(state), [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in one], "left").drop(*(f"__of_{k}" for k in one)).where(~F.coalesce(F.array_contains("seen", F.col("repeat_key")), F.lit(False)))
+            step = F.when(F.coalesce(F.array_contains("categories", F.col("category")), F.lit(False)), 1).otherwise(0)
+            shown = F.coalesce("shown", none)
+            if twins is not None:
+                blocked = taken.join(twins, "id").select(*of, F.col("o").alias("__id")).distinct()
+                rest = rest.join(blocked, [*(F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in one), F.col("rank.id") == F.col("__id")], "left_anti")
+        rest = rest.withColumns({"step": step, "known": F.when(step == 1, F.arrays_overlap("source_ids", shown)).otherwise(False)}).where((F.col("step") == 0) | (F.col("rank.fresh") == -1))
+        best = rest.groupBy(*one).agg(F.min(F.struct("step", "known", "rank", "category", "repeat_key", "source_ids")).alias("x"))
+        best = cut(best.select(*one, F.col("x.rank.id").alias("id"), F.when(F.col("x.step") == 0, "category").otherwise("fill").alias("step"), F.lit(position).alias("position"), "x.category", "x.repeat_key", "x.source_ids"))
+        taken = best if taken is None else taken.unionByName(best)
+        if best.isEmpty():
+            break
+    return taken.select(*keys, "id", "step", "position")
+
+
+def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def briefing_pick(df: DataFrame, ids: DataFrame, n: int = 12) -> tuple[DataFrame, DataFrame]:

@@ -271,6 +271,19 @@ def test_highlights_do_not_depend_on_order(spark):
     assert len(picked) == 8 and [p[1] for p in picked[:3]] == ["i00", "i01", "i02"]
 
 
+def test_highlights_see_past_repeats(spark):
+    make = lambda rows: X.default_basis(spark.createDataFrame(rows, "scope string, id string, category string, title string, source_ids array<string>, occurred_start timestamp").withColumns({"issued_at": F.col("occurred_start"), "valid_from": F.col("occurred_start"), "last_changed_at": F.col("occurred_start"), "severity": F.lit(1), "original_severity": F.lit("x"), "countries": F.array(F.lit("PL"))}))
+    at = lambda i: NOW - timedelta(minutes=i)
+    rows = [("a", f"r{i:04d}", "earthquake", "Same", ["hot"], at(i)) for i in range(700)] + [("a", "x1", "earthquake", "Other", ["hot"], at(800)), ("a", "x2", "earthquake", "New", ["quiet"], at(900))]
+    rows += [("b", "y1", "weather", "W", ["s"], at(5)), ("b", "y2", "cyber", "C", ["s"], at(6)), ("b", "y3", "cyber", "D", ["s"], at(7))]
+    since = NOW - timedelta(days=2)
+    out = L.highlights(make(rows), since, NOW, keys=["scope"]).collect()
+    assert sorted((r.scope, r.position, r.id, r.step) for r in out) == [("a", 1, "r0000", "category"), ("a", 2, "x2", "fill"), ("a", 3, "x1", "fill"), ("b", 1, "y1", "category"), ("b", 2, "y2", "category"), ("b", 3, "y3", "fill")]
+    twins = spark.createDataFrame([("r0000", f"r{i:04d}", "possible_same_event") for i in range(1, 600)] + [("y2", "y1", "possible_same_event"), ("r0000", "x2", "possible_same_event")], "event_a string, event_b string, relation_type string")
+    out = L.highlights(make(rows), since, NOW, keys=["scope"], relations=twins).collect()
+    assert sorted((r.scope, r.position, r.id, r.step) for r in out) == [("a", 1, "r0000", "category"), ("a", 2, "x1", "fill"), ("b", 1, "y1", "category"), ("b", 2, "y3", "category")]
+
+
 def test_fingerprint_streams_in_blocks(spark):
     import hashlib
 
