@@ -503,6 +503,16 @@ def j02_match_keys(spark, sf_dir):
     return I.match_keys(recs, owned)
 
 
+@query("""WITH k AS (SELECT l_orderkey AS ev_id, min(l_partkey) AS key FROM lineitem GROUP BY 1)
+SELECT 'r' || l.l_orderkey AS record_id, list_sort(list(DISTINCT 'ev' || k.ev_id)) AS matches FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l JOIN k ON k.key = l.l_partkey GROUP BY 1""", uses_ev=False)
+def j02_match_keys_whole(spark, sf_dir):
+    """All orders as owners of their least part and as records with all their parts."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_partkey").alias("k"))
+    owned = li.groupBy("l_orderkey").agg(F.min("k").alias("k")).select(F.col("k").cast("string").alias("external_id"), F.concat(F.lit("ev"), F.col("l_orderkey").cast("string")).alias("event_id"))
+    recs = li.groupBy(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("record_id")).agg(F.collect_set(F.col("k").cast("string")).alias("keys"))
+    return I.match_keys(recs, owned)
+
+
 _SNAP = "cur AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS st FROM orders WHERE o_orderkey % 7 <> 0), base AS (SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS st FROM orders WHERE o_orderkey % 11 <> 0)"
 
 
@@ -523,6 +533,14 @@ def i27_advance_baseline(spark, sf_dir):
     return I.advance_baseline(old, new).select("owner", "outcome")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS owner, CASE WHEN o_orderkey % 5 = 0 THEN 'accepted' WHEN o_orderdate > DATE '1995-01-01' THEN 'accepted' WHEN o_orderdate < DATE '1995-01-01' THEN 'older' WHEN o_orderstatus = 'O' THEN 'same' ELSE 'conflict' END AS outcome FROM orders""", uses_ev=False)
+def i27_advance_baseline_orders(spark, sf_dir):
+    """A baseline of each order but each fifth, against the order's own date and status."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("owner"), F.col("o_orderdate").cast("timestamp").alias("generated_at"), F.col("o_orderstatus").alias("set_hash"))
+    old = o.where("k % 5 <> 0").select("owner", F.lit("1995-01-01").cast("timestamp").alias("generated_at"), F.lit("O").alias("set_hash"))
+    return I.advance_baseline(old, o.drop("k")).select("owner", "outcome")
+
+
 @query("""WITH p AS (SELECT id, source_id || ':' || provider_record_id AS name FROM ev), h AS (SELECT id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(name)) AS h FROM p)
 SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS public_id FROM h""")
 def i24_public_ids(spark, sf_dir):
@@ -543,6 +561,15 @@ def k10_manifest(spark, sf_dir):
     return sinks.compare_manifest(sinks.write_manifest(t), manifest)
 
 
+@query("""SELECT 'orders' AS "table", CASE WHEN count(*) FILTER (o_orderkey % 7 = 0) = 0 THEN 'same' ELSE 'differs' END AS status FROM orders UNION ALL
+SELECT 'lineitem', CASE WHEN count(*) FILTER (l_quantity < 0) = 0 THEN 'same' ELSE 'differs' END FROM lineitem""", uses_ev=False)
+def k10_manifest_whole(spark, sf_dir):
+    """Manifests of whole tables: one shuffled, one that lacked each seventh order."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem")}
+    manifest = sinks.write_manifest({"orders": t["orders"].where("o_orderkey % 7 <> 0"), "lineitem": t["lineitem"].where("l_quantity >= 0").repartition(3)})
+    return sinks.compare_manifest(sinks.write_manifest(t), manifest)
+
+
 @query(f"""WITH c AS (SELECT * FROM (VALUES (NULL, 168, true, {S}), ('PL', 72, false, TIMESTAMP '2024-01-10'), ('DE', 24, true, TIMESTAMP '2024-01-30')) AS t(country, hours, first, since))
 SELECT coalesce(c.country, 'world') || '/' || hours AS scope_id, count(*) AS processed FROM c JOIN ev ON last_changed_at >= since AND last_changed_at < {U} AND (c.country IS NULL OR list_contains(countries, c.country)) GROUP BY 1""")
 def p04_j21_briefings(spark, sf_dir):
