@@ -16,9 +16,11 @@ OWN = "__el_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset on one machine one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="eventlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,6 +67,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: str = "text") -> Column:
     """64-bit hash that tells rows of one id with different texts apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

@@ -36,28 +36,37 @@ def fold(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def bounded_sample(df: DataFrame, most: int, salt: int, id_col: str = "doc_id") -> DataFrame:
-    """At most about `most` rows of df, the same for the same rows: those whose salted id hash falls below most / count."""
-    n = df.count()
-    if n <= most:
-        return df
-    cut = int(most / n * (1 << 20))
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), id_col), F.lit(1 << 20)) < cut)
+def threshold(most: int, n: int) -> int:
+    """The signed 64-bit value below which a share most / n of all hashes lies; above every hash where n <= most."""
+    return (1 << 63) - 1 if n <= most else (most << 64) // n - (1 << 63)
 
 
-def sampled_features(df: DataFrame, text_col: str, label_col: str, features=ngram_frequencies) -> tuple[np.ndarray, list]:
-    """Features and labels of a bounded sample, computed by tasks; rows are sorted, so that the order of tasks does not matter."""
+def sampled_features(df: DataFrame, text_col: str, label_col: str, most: int, salt: int, id_col: str = "doc_id", features=ngram_frequencies) -> tuple[np.ndarray, list]:
+    """Features and labels of at most `most` rows per label, those of least salted hash; the same for the same rows.
+
+    Tasks compute the features of about twice as many rows as are kept. Repeated rows may be drawn as often as they
+    stand. Labels are few: one row each is counted on the driver.
+    """
     import pyarrow as pa
+    from pyspark.sql import Window
 
     from eventlens.llm.common import blobs, slices
 
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
             x = features(blobs(b.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column("label")], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("label")], ["h", "x", "label"])
 
-    rows = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).mapInArrow(run, "x binary, label string").toArrow()
-    pairs = sorted(zip(rows["label"].to_pylist(), rows["x"].to_pylist(), strict=True), key=lambda p: (p[0] or "", p[1]))
+    label = F.col(label_col).cast("string")
+    counts = {r["label"]: r["count"] for r in df.groupBy(label.alias("label")).count().collect()}
+    if not counts:
+        return np.zeros((0, 0), np.float32), []
+    cut = F.create_map(*(F.lit(v) for name, n in counts.items() if name is not None for v in (name, threshold(2 * most, n))))
+    rows = df.select(F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), label.alias("label"))
+    rows = rows.where(F.col("h") <= F.try_element_at(cut, F.col("label"))).mapInArrow(run, "h long, x binary, label string")
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h", "x"))
+    rows = rows.withColumn("first", first).where(F.col("first") <= most).select("label", "x").toArrow()
+    pairs = sorted(zip(rows["label"].to_pylist(), rows["x"].to_pylist(), strict=True))  # so that the order of tasks does not matter
     if not pairs:
         return np.zeros((0, 0), np.float32), []
     return np.frombuffer(b"".join(p[1] for p in pairs), np.float32).reshape(len(pairs), -1), [p[0] for p in pairs]

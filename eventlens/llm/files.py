@@ -1,10 +1,18 @@
-"""Custom binary files on the shared file system, written by tasks and read back by Spark."""
+"""Custom binary files on the shared file system: tasks write them, a Parquet table lists those of successful tasks.
+
+A file's name is never used twice, so attempts of one task cannot meet; files of lost attempts are in no list and are
+never read.
+"""
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _system(uri: str):
@@ -14,19 +22,18 @@ def _system(uri: str):
 
 
 class RollingWriter:
-    """Writes parts of a directory URI; a part appears under its final name only when whole, so task retries are safe."""
+    """Writes files of about `limit` bytes into a directory URI."""
 
-    def __init__(self, uri: str, task: int, suffix: str, limit: int = 24 << 20):
+    def __init__(self, uri: str, suffix: str, limit: int = 24 << 20):
         self.fs, self.root = _system(uri)
-        self.task, self.suffix, self.limit = task, suffix, limit
-        self.number, self.size, self.stream = 0, 0, None
-        self.names: list[str] = []
+        self.suffix, self.limit = suffix, limit
+        self.size, self.stream, self.name = 0, None, None
         self.fs.create_dir(self.root, recursive=True)
 
     def write(self, data: bytes) -> None:
         if self.stream is None:
-            self.temporary = f"{self.root}/_writing-{uuid.uuid4().hex}"
-            self.stream, self.size = self.fs.open_output_stream(self.temporary), 0
+            self.name, self.size = f"{uuid.uuid4().hex}{self.suffix}", 0
+            self.stream = self.fs.open_output_stream(f"{self.root}/{self.name}")
         self.stream.write(data)
         self.size += len(data)
 
@@ -35,15 +42,12 @@ class RollingWriter:
         return self.size >= self.limit
 
     def roll(self) -> str | None:
-        """Close the open part and give its name."""
+        """Close the open file and give its name."""
         if self.stream is None:
             return None
         self.stream.close()
-        name = f"part-{self.task:06d}-{self.number:05d}{self.suffix}"
-        self.fs.move(self.temporary, f"{self.root}/{name}")
-        self.stream, self.size, self.number = None, 0, self.number + 1
-        self.names.append(name)
-        return name
+        self.stream, self.size = None, 0
+        return self.name
 
 
 def put(uri: str, name: str, data: bytes) -> None:
@@ -53,11 +57,34 @@ def put(uri: str, name: str, data: bytes) -> None:
         f.write(data)
 
 
-def get(uri: str, name: str) -> bytes:
+def open_file(uri: str, name: str):
     system, root = _system(uri)
-    with system.open_input_stream(f"{root}/{name}") as f:
+    return system.open_input_stream(f"{root}/{name}")
+
+
+def get(uri: str, name: str) -> bytes:
+    with open_file(uri, name) as f:
         return f.read()
 
 
-def base_name(path: str) -> str:
-    return os.path.basename(path)
+def spread(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows of a file list dealt one by one over tasks (`most` at most), however few of its own partitions hold them."""
+    n = files.count()
+    return files.repartition(max(1, min(n, most)), F.xxhash64("file")) if n else files
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (weight in bytes, values) rows, cut at about `size` bytes."""
+    held, weight = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for n, row in rows:
+        held.append(row)
+        weight += n + 64
+        if weight > size:
+            yield batch()
+            held, weight = [], 0
+    if held:
+        yield batch()

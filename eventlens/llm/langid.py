@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import blobs, plain, slices
+from eventlens.llm.common import blobs, free_name, plain, slices
 from eventlens.llm.features import fold, ngram_frequencies, sampled_features
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -83,22 +83,19 @@ def fit_ecoc(x: np.ndarray, labels: list[str], steps: int = 200, rate: float = 0
 
 
 def train_language(docs: DataFrame, most: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Fit on at most about `most` labelled texts per language, none of the held-out fold; None without any."""
+    """Fit on at most `most` labelled texts per language, none of the held-out fold; None without any."""
     train = docs.where((fold(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
-    counts = {r[lang_col]: r["count"] for r in train.groupBy(lang_col).count().collect()}  # one row a language
-    if not counts:
-        return None
-    cut = F.lit(0)
-    for name, n in counts.items():
-        cut = F.when(F.col(lang_col) == name, F.lit(int(min(1.0, most / n) * (1 << 20)))).otherwise(cut)
-    sample = train.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20)) < cut)
-    x, labels = sampled_features(sample, text_col, lang_col)
+    x, labels = sampled_features(train, text_col, lang_col, most, 3, id_col)
     return fit_ecoc(x, labels) if len(x) else None
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", ambiguous_below: float = 0.1) -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1) and lang_ambiguous added; `und` with score 0 where a text is null or has no letter."""
-    extra = {"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_ambiguous": F.lit(False)}
+    """docs with lang_pred, lang_score (0 to 1) and lang_ambiguous added; `und` with score 0 where a text is null or has no letter.
+
+    Of languages with equal loss the first by name is taken, and the row is ambiguous. Columns of docs that bear these
+    names stay; the new ones then end in an underscore. Texts of any length are read whole, a few megabytes at a time.
+    """
+    extra = {free_name(docs, "lang_pred"): F.lit(""), free_name(docs, "lang_score"): F.lit(0.0), free_name(docs, "lang_ambiguous"): F.lit(False)}
     schema = docs.withColumns(extra).schema
     arrow, names = plain(schema), docs.columns
 

@@ -1,8 +1,10 @@
 """Positive-unlabelled quality classifier.
 
 A linear model over hashed byte n-grams and a few shape features of the whole text is trained with the non-negative unbiased risk: trusted
-positives (labels.quality = 1) against unlabelled web text, with the class prior estimated from all labelled rows of
-the training fold. When the estimated negative risk turns negative, its gradient is reversed.
+positives (labels.quality = 1) against unlabelled web text; labels of 0 are never used. The class prior is estimated from
+the two samples alone: a model that tells positives from unlabelled text is fitted on one half of both, and on the other
+half the least ratio of the shares above a threshold bounds the prior (best-bin estimation). When the estimated negative
+risk turns negative, its gradient is reversed.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import blobs, plain, slices
-from eventlens.llm.features import bounded_sample, fold, ngram_frequencies, sampled_features, shape_features
+from eventlens.llm.common import blobs, free_name, plain, slices
+from eventlens.llm.features import fold, ngram_frequencies, sampled_features, shape_features
 
 #: Shape features, after the n-grams.
 N_SHAPE = 6
@@ -47,8 +49,8 @@ class QualityModel:
         return _sigmoid(self.inputs(x) @ self.weights + self.bias)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> QualityModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-3, negative_floor: bool = True) -> QualityModel:
+    """Full-batch Adam on the non-negative risk with the logistic loss; without the floor, positives against all unlabelled."""
     both = np.concatenate([positive, unlabelled])
     mean = both[:, :-1].mean(0)
     scale = (1 / np.maximum(both[:, :-1].std(0), 1e-4)).astype(np.float32)
@@ -63,7 +65,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         loss = lambda z: np.logaddexp(0, z)  # noqa: E731  of the negative class
         negative = loss(zu).mean() - prior * loss(zp).mean()
         up, uu = prior * (sp - 1) / len(p), np.zeros(len(u))
-        if negative >= 0:
+        if not negative_floor:
+            uu = (1 - prior) * su / len(u)
+        elif negative >= 0:
             up, uu = up - prior * sp / len(p), su / len(u)
         else:  # step back along the negative risk alone
             up, uu = prior * sp / len(p), -su / len(u)
@@ -75,25 +79,47 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel | None:
-    """Fit on at most about `most` trusted positives and as many unlabelled texts, none of the held-out fold.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from held-back halves, 0.01 to 0.99.
 
-    The prior is the share of positives among all labelled training rows. None without positives.
+    Above any score threshold, the unlabelled share is at least prior times the positive share, with equality where
+    no negative scores that high; the threshold of the least upper bound (shares with their deviations) is taken.
     """
-    train = docs.where(fold(id_col) != 2)
-    marked = train.select(id_col, text_col).join(labels.select(F.col("doc_id").alias("__el_doc"), "quality").where("quality is not null").dropDuplicates(["__el_doc"]), F.col(id_col) == F.col("__el_doc"))
-    totals = labels.where((fold("doc_id") != 2) & F.col("quality").isNotNull()).agg(F.count("*").alias("n"), F.avg((F.col("quality") == 1).cast("double")).alias("prior")).first()
-    if not totals["n"]:
-        return None
-    positive, _ = sampled_features(bounded_sample(marked.where("quality = 1"), most, 1, id_col), text_col, "quality", features)
-    unlabelled, _ = sampled_features(bounded_sample(train.withColumn("__el_none", F.lit("u")), most, 2, id_col), text_col, "__el_none", features)
+    half = fit_nnpu(positive[::2], unlabelled[::2], 0.5, negative_floor=False)
+    p, u = np.sort(half.score(positive[1::2])), np.sort(half.score(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    above = 1 - np.arange(len(p)) / len(p)  # share of positives at or above each positive score
+    share = 1 - np.searchsorted(u, p, "left") / len(u)
+    bound = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(np.argmin((share + bound) / above))
+    return float(np.clip(share[best] / above[best], 0.01, 0.99))
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> QualityModel | None:
+    """Fit on at most `most` trusted positives and as many unlabelled texts, none of the held-out fold.
+
+    A document is a trusted positive if all its quality labels that are not null are 1. None without positives.
+    """
+    train = docs.where(fold(id_col) != 2).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    trusted = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min("quality").alias("least"), F.max("quality").alias("greatest"))
+    marked = train.join(trusted.where("least = 1 and greatest = 1"), "id", "left_semi")
+    positive, _ = sampled_features(marked.withColumn("label", F.lit("p")), "text", "label", most, 1, "id", features)
+    unlabelled, _ = sampled_features(train.withColumn("label", F.lit("u")), "text", "label", most, 2, "id", features)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit_nnpu(positive, unlabelled, float(np.clip(totals["prior"], 0.01, 0.99)))
+    rng = np.random.default_rng(4)
+    positive, unlabelled = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "text", column: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 added; null and empty texts get that of no n-grams, 0.5 without a model."""
+    """docs with a score from 0 to 1 added; null and empty texts get that of no n-grams, 0.5 without a model.
+
+    A column of docs that bears the name stays; the new one then ends in an underscore. Equal texts score alike. Texts
+    of any length are read whole, a few megabytes at a time.
+    """
+    column = free_name(docs, column)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
     arrow = plain(schema)
     names = docs.columns

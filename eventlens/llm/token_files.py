@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import scratch_path, slices, written
-from eventlens.llm.files import RollingWriter, base_name, get, put
+from eventlens.llm.files import RollingWriter, get, put, spread
 from eventlens.llm.tokens import ChunkEncoder, vocabulary_path
 
 HEAD = struct.Struct("<4sIQQ")
@@ -81,7 +81,10 @@ def _tokenise(path: str, end_id: int, vocabulary_size: int):
     """Rows of kind 0: the ids of a document; of kind 1: how often each id stands in this task (id, count pairs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder, seen = ChunkEncoder(path), np.zeros(vocabulary_size, np.int64)
+        seq = TaskContext.get().partitionId() << 40
         kind = np.dtype("<u2" if vocabulary_size <= 1 << 16 else "<u4")
         for b in slices(batches, "text"):
             ids, n = encoder.encode(b.column("text"))
@@ -90,10 +93,11 @@ def _tokenise(path: str, end_id: int, vocabulary_size: int):
             whole = np.insert(ids.astype(kind), np.cumsum(n), end_id)
             offsets = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int64) * kind.itemsize
             data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(whole.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), pa.array(n + 1), data.cast(pa.binary())], ["kind", "doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), pa.array(seq + np.arange(len(n))), pa.array(n + 1), data.cast(pa.binary())], ["kind", "doc_id", "seq", "n_tokens", "ids"])
+            seq += len(n)
         used = np.flatnonzero(seen)
         pairs = np.stack([used, seen[used]], 1).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([len(used)], pa.int64()), pa.array([pairs], pa.binary())], ["kind", "doc_id", "n_tokens", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([seq]), pa.array([len(used)], pa.int64()), pa.array([pairs], pa.binary())], ["kind", "doc_id", "seq", "n_tokens", "ids"])
 
     return run
 
@@ -112,11 +116,12 @@ def _sum_counts(vocabulary_size: int):
     return run
 
 
-def write_token_files(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: str | None = None, shard_tokens: int = 6_000_000, block_tokens: int = 1_000_000) -> tuple[str, list]:
-    """Encode docs and write token files in ascending doc_id order; (folder URI, [(file, n_docs, n_tokens)] in order).
+def write_token_files(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: str | None = None, shard_tokens: int = 6_000_000, block_tokens: int = 1_000_000) -> tuple[str, DataFrame]:
+    """Encode docs and write token files in ascending doc_id order; (folder URI, table of file, part, number, n_docs, n_tokens, start).
 
-    Null text is empty (end_id alone), null ids come first, rows of one id follow each other. Ids are counted over
-    all documents before they are ranked. What comes to the driver: the counts of the vocabulary and one row a file.
+    Null text is empty (end_id alone), null ids come first, rows of one id follow each other in the order of the input
+    and may fill many files. Ids are counted over all documents before they are ranked. start counts the ids of all
+    files before one. Only the counts of the vocabulary come to the driver.
     """
     from tokenizers import Tokenizer
 
@@ -124,7 +129,7 @@ def write_token_files(docs: DataFrame, uri: str | None = None, id_col: str = "do
     uri = uri or scratch_path(spark, "tokens")
     size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(rows.mapInArrow(_tokenise(path, end_id, size), "kind int, doc_id long, n_tokens long, ids binary"), "ids")
+    rows = written(rows.mapInArrow(_tokenise(path, end_id, size), "kind int, doc_id long, seq long, n_tokens long, ids binary"), "ids")
     counts = rows.where("kind = 1").select("ids").mapInArrow(_sum_counts(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(range(size), key=lambda i, n=dict(map(tuple, counts)): (-n.get(i, 0), i))
     put(uri, "ranks.bin", np.array(order, "<u4").tobytes())
@@ -136,7 +141,7 @@ def write_token_files(docs: DataFrame, uri: str | None = None, id_col: str = "do
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, made = RollingWriter(uri, TaskContext.get().partitionId(), ".elt"), []
+        out, made, part = RollingWriter(uri, ".elt"), [], TaskContext.get().partitionId()
         held, n_held, n_docs, n_ids = [], 0, 0, 0
 
         def block() -> None:
@@ -149,7 +154,7 @@ def write_token_files(docs: DataFrame, uri: str | None = None, id_col: str = "do
         def roll() -> None:
             nonlocal n_docs, n_ids
             if name := out.roll():
-                made.append((name, n_docs, n_ids))
+                made.append((name, part, len(made), n_docs, n_ids))
             n_docs = n_ids = 0
 
         for b in batches:
@@ -162,37 +167,41 @@ def write_token_files(docs: DataFrame, uri: str | None = None, id_col: str = "do
                         roll()
         block()
         roll()
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64() if i else pa.string()) for i in range(5)], ["file", "part", "number", "n_docs", "n_tokens"])
+
+    parts = max(1, -(-total // shard_tokens))
+    order = [F.asc_nulls_first("doc_id"), F.asc("seq")]
+    ranged = rows.where("kind = 0").select("doc_id", "seq", "n_tokens", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return uri, with_starts(written(ranged.mapInArrow(write, "file string, part long, number long, n_docs long, n_tokens long"), "token-files"), parts)
+
 
-    ranged = rows.where("kind = 0").select("doc_id", "n_tokens", "ids").repartitionByRange(max(1, -(-total // shard_tokens)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    made = ranged.mapInArrow(write, "file string, n_docs long, n_tokens long").collect()
-    return uri, sorted(map(tuple, made))
+def with_starts(files: DataFrame, parts: int) -> DataFrame:
+    """files with start, the n_tokens of all files before; running sums within runs of about sqrt(parts) parts, and over the runs."""
+    width = max(1, int(parts**0.5))
+    files = files.withColumn("run", (F.col("part") / width).cast("long"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = files.groupBy("run").agg(F.sum("n_tokens").alias("n_tokens")).select("run", before(Window.orderBy("run")).alias("base"))
+    within = files.withColumn("start", before(Window.partitionBy("run").orderBy("part", "number")))
+    out = within.join(runs, "run").select("file", "part", "number", "n_docs", "n_tokens", (F.col("base") + F.col("start")).alias("start"))
+    return written(out, "token-starts")
 
 
-def read_token_files(spark, uri: str, files: list) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of every document."""
-    starts, at = {}, 0
-    for name, _, n in files:
-        starts[name] = at
-        at += n
+def read_token_files(uri: str, files: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of every document in the listed files."""
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    if not files:
-        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = np.frombuffer(get(uri, "ranks.bin"), "<u4")
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                start = starts[base_name(path)]
-                for docs, counts, values in read_blocks(content):
+            for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
+                for docs, counts, values in read_blocks(get(uri, name)):
                     ids = ids_of[values].astype("<u4")
                     ends = np.cumsum(counts)
                     data = [ids[j - n : j].tobytes() for j, n in zip(ends, counts, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - counts), pa.array(counts), pa.array(data, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                     start += int(ends[-1]) if len(ends) else 0
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.elt").load(uri)
-    return found.select("path", "content").mapInArrow(run, schema)
+    return spread(files.select("file", "start")).mapInArrow(run, schema)
 
 
 def checksum(values: np.ndarray) -> int:
@@ -201,4 +210,4 @@ def checksum(values: np.ndarray) -> int:
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     uri, files = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read_token_files(spark, uri, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(uri, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

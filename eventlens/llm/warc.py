@@ -2,14 +2,19 @@
 
 ARC files open with a version block (filedesc://) that names the version of the record header lines:
 version 1 is "URL IP date type length", version 2 "URL IP date type status checksum location offset file length".
-A record is its header line, as many bytes as the declared length, and a newline. The converter follows the declared
-lengths, and synthesises for each record a WARC id, date, type and digests. Records of one payload become revisits of
-the one with the largest source id.
+A record is its header line, as many bytes as the declared length, and a newline. Three passes, each over files on the
+shared file system:
+
+1. Pages are written as gzipped ARC files of both versions. The page's id travels in the record's HTTP head.
+2. The ARC files are scanned for their payload digests; of equal payloads the record with the largest id is the response.
+3. Each ARC file is converted into a WARC file by its header lines and declared lengths; ids, dates, types and digests are
+   synthesised. No payload is shuffled: a task gets the file's name and the few records in it that revisit others.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import re
@@ -22,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import OWN, blobs, scratch_path, slices
-from eventlens.llm.files import RollingWriter
+from eventlens.llm.common import blobs, plain, scratch_path, slices, written
+from eventlens.llm.files import RollingWriter, batches_of, open_file, spread
+
+#: The HTTP header that carries a page's id.
+SOURCE_HEADER = "X-Source-Id"
 
 #: Field names of the header lines, by version (fixed values of the format).
 ARC_FIELDS = {
@@ -132,47 +140,104 @@ def read_warc(stream) -> Iterator[tuple[dict, bytes]]:
         yield headers, block
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive, one record each."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+def source_id(record: ArcRecord) -> int | None:
+    """The id in the HTTP head of a record; None if it has none."""
+    found = re.search(rf"\r\n{SOURCE_HEADER}: (-?\d+)\r\n".encode(), record.content[: _head(record.content)])
+    return int(found[1]) if found else None
 
 
-def page_to_arc(version: int, page_id: int | None, url: str | None, html: bytes | None) -> bytes:
+def page_to_arc(version: int, page_id: int | None, url: str | None, html: bytes | None, offset: int = 0) -> bytes:
     body = html or b""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-    stamp = f"202401{1 + (page_id or 0) // 86400 % 28:02d}{(page_id or 0) // 3600 % 24:02d}{(page_id or 0) // 60 % 60:02d}{(page_id or 0) % 60:02d}"
-    return arc_record(version, url or "", stamp, "text/html", head + body)
+    own = "" if page_id is None else f"{SOURCE_HEADER}: {page_id}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(body)}\r\n\r\n".encode()
+    n = page_id or 0
+    stamp = f"202401{1 + n // 86400 % 28:02d}{n // 3600 % 24:02d}{n // 60 % 60:02d}{n % 60:02d}"
+    return arc_record(version, url or "", stamp, "text/html", head + body, offset)
+
+
+def _member(data: bytes) -> bytes:
+    z = zlib.compressobj(1, wbits=31)
+    return z.compress(data) + z.flush()
+
+
+def write_arc(pages: DataFrame, uri: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> tuple[str, DataFrame]:
+    """Pages as gzipped ARC files, one gzip member a record, of both versions (ids of even numbers: 1); (folder URI, table of file and n).
+
+    Null bodies are empty, null URLs are "-", null ids write no id. Repeated rows are records of their own.
+    """
+    uri = uri or scratch_path(pages.sparkSession, "arc")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("string").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outs = {v: [RollingWriter(uri, ".arc.gz"), 0] for v in (1, 2)}
+        made = []
+
+        def roll(out: list) -> None:
+            if name := out[0].roll():
+                made.append((name, out[1]))
+            out[1] = 0
+
+        for b in slices(batches, "html"):
+            for page, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), blobs(b.column("html")), strict=True):
+                version = 1 + (page or 0) % 2
+                out = outs[version]
+                if not out[1]:
+                    out[0].write(_member(arc_version_block(version)))
+                out[0].write(_member(page_to_arc(version, page, url, html, out[0].size)))
+                out[1] += 1
+                if out[0].full:
+                    roll(out)
+        for out in outs.values():
+            roll(out)
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["file", "n"])
+
+    return uri, written(rows.mapInArrow(run, "file string, n long"), "arc-files")
+
+
+def _records(uri: str, name: str) -> Iterator[ArcRecord]:
+    with open_file(uri, name) as raw, gzip.GzipFile(fileobj=raw) as members:
+        yield from read_arc(io.BufferedReader(members))
+
+
+def payload_keys(uri: str, arcs: DataFrame) -> DataFrame:
+    """file, k (number in the file), source, sha (of the payload), size of every ARC record."""
+    schema = "file string, k long, source long, sha binary, size long"
+    arrow = plain(schema)
+
+    def rows(batches) -> Iterator[tuple]:
+        for b in batches:
+            for name in b.column("file").to_pylist():
+                for k, record in enumerate(_records(uri, name)):
+                    payload = memoryview(record.content)[_head(record.content) :]
+                    yield 100, (name, k, source_id(record), hashlib.sha1(payload).digest(), len(payload))
+
+    return spread(arcs).mapInArrow(lambda batches: batches_of(rows(batches), arrow), schema)
 
 
 def write_archives(pages: DataFrame, uri: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_revisit_bytes: int = 0) -> tuple[str, DataFrame]:
-    """Convert pages, held as ARC records of both versions, into gzipped WARC files; (folder URI, lazy (file, n) rows).
+    """Pages as ARC files, and those converted into gzipped WARC files; (folder URI, table of file and n).
 
     Null bodies are empty; null ids count as smaller than all others. Ties of the largest id (repeated rows) are all
-    responses. The lazy rows write when an action runs.
+    responses. Pages of any size are records of their own. An empty table writes no file.
     """
     spark = pages.sparkSession
     uri = uri or scratch_path(spark, "warc")
-    body = F.coalesce(F.col(body_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(body_col).alias("html"), F.sha1(F.encode(body, "utf-8")).alias(f"{OWN}sha"), F.octet_length(body).alias(f"{OWN}size"))
+    arc_uri, arcs = write_arc(pages, None, id_col, url_col, body_col)
+    keys = written(payload_keys(arc_uri, arcs), "payloads")
     # one row per payload that repeats; partial sums make a hot payload one row per task before it is shuffled
-    firsts = rows.where(F.col(f"{OWN}size") >= min_revisit_bytes).groupBy(f"{OWN}sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(f"{OWN}sha", "first")
+    firsts = keys.where(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.max("source").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     # AQE splits the hot payloads of this join: the other side has one row for each
-    rows = rows.join(firsts, f"{OWN}sha", "left").select("page_id", "url", "html", "first")
+    again = keys.join(written(firsts, "firsts"), "sha").where("first is not null and (source is null or source <> first)")
+    again = again.groupBy("file").agg(F.collect_list("k").alias("ks"), F.collect_list("first").alias("firsts"))  # at most the records of one file
+    work = written(arcs.join(again, "file", "left").select("file", "n", "ks", "firsts"), "conversions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        out, made, n = RollingWriter(uri, TaskContext.get().partitionId(), ".warc.gz"), [], 0
-        for b in slices(batches, "html"):
-            for version in (1, 2):
-                part = [x for x in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), blobs(b.column("html")), b.column("first").to_pylist(), strict=True) if (x[0] or 0) % 2 == version - 1]
-                arc = io.BytesIO(arc_version_block(version) + b"".join(page_to_arc(version, *x[:3]) for x in part))
-                for (page, _, _, first), record in zip(part, read_arc(arc), strict=True):
-                    z = zlib.compressobj(1, wbits=31)
-                    out.write(z.compress(to_warc(record, page, first, first is not None and page != first)) + z.flush())
+        out, made, n = RollingWriter(uri, ".warc.gz"), [], 0
+        for b in batches:
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
+                revisits = dict(zip(row["ks"] or [], row["firsts"] or [], strict=True))
+                for k, record in enumerate(_records(arc_uri, row["file"])):
+                    out.write(_member(to_warc(record, source_id(record), revisits.get(k), k in revisits)))
                     n += 1
                     if out.full:
                         made.append((out.roll(), n))
@@ -181,12 +246,16 @@ def write_archives(pages: DataFrame, uri: str | None = None, id_col: str = "page
             made.append((out.roll(), n))
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["file", "n"])
 
-    return uri, rows.mapInArrow(run, "file string, n long")
+    return uri, written(spread(work).mapInArrow(run, "file string, n long"), "warc-files")
+
 
+def read_archives(uri: str, files: DataFrame) -> DataFrame:
+    """One row per record of the listed files: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, and payload (null for revisits).
 
-def read_archives(spark, uri: str) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, and payload (null for revisits)."""
-    names = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, payload binary"
+    A payload that does not match its digest or its length is an error. Files that are not listed are not read.
+    """
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, payload binary"
+    arrow = plain(schema)
 
     def row(headers: dict, block: bytes) -> tuple:
         revisit, cut = headers["warc-type"] == "revisit", _head(block)
@@ -196,33 +265,19 @@ def read_archives(spark, uri: str) -> DataFrame:
             raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
         return source_of(headers["warc-record-id"]), int(headers["x-payload-length"]), digest, headers["warc-type"], source_of(headers["warc-refers-to"]) if revisit else None, headers["warc-target-uri"], headers["warc-date"], payload
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-
-        def batch(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in names.split(", ")])
-
+    def rows(batches) -> Iterator[tuple]:
         for b in batches:
-            for content in b.column("content").to_pylist():
-                rows, size = [], 0
-                for member in _members(content):
-                    for headers, block in read_warc(io.BytesIO(member)):
-                        rows.append(row(headers, block))
-                        size += len(block)
-                        if size > 8 << 20:
-                            yield batch(rows)
-                            rows, size = [], 0
-                if rows:
-                    yield batch(rows)
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri)
-    return found.select("content").mapInArrow(run, names)
+            for name in b.column("file").to_pylist():
+                with open_file(uri, name) as raw, gzip.GzipFile(fileobj=raw) as members:
+                    for headers, block in read_warc(io.BufferedReader(members)):
+                        yield len(block), row(headers, block)
+
+    return spread(files).mapInArrow(lambda batches: batches_of(rows(batches), arrow), schema)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    uri, made = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    made.agg(F.sum("n")).collect()  # writes the archives
-    return read_archives(spark, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    uri, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read_archives(uri, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = r"""

@@ -9,9 +9,14 @@ import numpy as np
 import pytest
 
 from eventlens.llm import langid, near_dup, quality, warc
+from eventlens.llm import files as table_of_files
 from eventlens.llm.components import LocalComponents, connected_components
 
 
+def files_put(uri, name):
+    table_of_files.put(uri, name, b"not a whole file")
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice("the of and river stone house walks over under".split()) for _ in range(40))
@@ -66,9 +71,9 @@ def test_archives_round_trip(spark):
     html = ["<p>é</p>", "", None, "<p>x</p>" * 5000, "<p>é</p>", "same", "same", "same"]
     rows = [(i, f"http://h/{i} a\n", h, 1) for i, h in enumerate(html)] + [(None, None, "same", 1), (3, "http://h/3", html[3], 1), (-5, "http://h/x", "minus", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, first int").repartition(3)
-    uri, made = warc.write_archives(pages)
-    made.collect()
-    out = warc.read_archives(spark, uri).collect()
+    uri, files = warc.write_archives(pages)
+    files_put(uri, "0-left-by-a-lost-attempt.warc.gz")
+    out = warc.read_archives(uri, files).collect()
     last = {}
     for i, _, h, _ in rows:
         last[h or ""] = max(last.get(h or "", -(1 << 60)), i if i is not None else -(1 << 60))
@@ -78,8 +83,15 @@ def test_archives_round_trip(spark):
         first = last[h or ""] == i
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else last[h or ""]))
     assert sorted([tuple(r)[:5] for r in out], key=repr) == sorted(want, key=repr)
-    uri, made = warc.write_archives(pages.limit(0))
-    made.collect()
+    assert sum(r.n for r in files.collect()) == len(rows)
+    assert warc.read_archives(*warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_pages_of_megabytes_and_many_members(spark):
+    rows = [(i, None, f"<p>{i % 1500}</p>") for i in range(6000)] + [(9000, "u", "x" * 6_000_000), (9001, "u", "x" * 6_000_000)]
+    out = warc.read_archives(*warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))).select("page_id", "payload_bytes", "record_type", "refers_to")
+    want = [(i, len(h), "response", None) if i >= 4500 and i != 9000 else (i, len(h), "revisit", 9001 if i == 9000 else 4500 + i % 1500) for i, _, h in rows]
+    assert sorted(map(tuple, out.collect())) == want
 
 
 def test_arc_versions():
