@@ -85,7 +85,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     Above any score threshold, the unlabelled share is at least prior times the positive share, with equality where
     no negative scores that high; the threshold of the least upper bound (shares with their deviations) is taken.
     """
-    half = fit_nnpu(positive[::2], unlabelled[::2], 0.5, negative_floor=False)
+    half = fit_nnpu(positive[::2], unlabelled[::2], 0.5, steps=150, negative_floor=False)
     p, u = np.sort(half.score(positive[1::2])), np.sort(half.score(unlabelled[1::2]))
     if not len(p) or not len(u):
         return 0.5
