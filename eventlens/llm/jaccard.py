@@ -1,19 +1,20 @@
 """Exact Jaccard join of word-shingle sets in metric space.
 
 The Jaccard distance is a metric, with radius r = 1 - similarity. Unrelated documents are all at distance 1 from each
-other and from any pivot, so fixed pivots split nothing; regions are seeded where distances fall below 1:
+other and from any pivot, so a Voronoi diagram of the whole corpus has one cell; the diagrams start where distances fall
+below 1, in regions of documents that share a shingle.
 
-1. Equal sets collapse to one representative.
+1. Equal sets collapse to one representative; representatives of one id are tied.
 2. A pair within r shares a shingle among the first n - ceil(similarity * n) + 1 of both sets in any one order of all
    shingles. The order here puts shingles that are frequent in the corpus last. Every such shingle spans a region: the
-   documents that hold it there.
-3. Small regions are compared at once. Large ones take their member of lowest hash as the pivot; regions of one pivot
-   merge. Every member's distance to the pivot is computed, and members within r are tied to it. The region recurs on
-   what is not one component yet, with boundary documents as the next pivots; what then still is not is dealt to
-   blocks, replicated to every other block of the region.
-4. A projection that never enlarges distances (sizes, then 1024 parity bits, whose differing bits are a metric too)
-   rules out pairs before sets are compared, by triangle-inequality windows within blocks. The pairs left are verified
-   on whole sets.
+   documents that hold it there. Small regions are compared at once.
+3. A large region is a Voronoi diagram. Pivots lie further than 2r apart and stand for different components; every member
+   has its exact distance to each. It belongs to the cell of its nearest pivot, or to the outer cell if none is within
+   1 - 2r. By the triangle inequality a partner of a member of pivot p's cell lies within 2r of its own nearest distance
+   and within 1 - r of p: such boundary documents are replicated to the cell of p.
+4. Cells that still hold several components recur as regions with pivots of their own, until they are small or a
+   diagram doesn't split them; then they are compared block by block. A projection that never enlarges distances (sizes,
+   then 1024 parity bits) rules out pairs by triangle windows before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import OWN, slices, written
+from eventlens.llm.common import OWN, slices, text_key, written
 from eventlens.llm.components import LocalComponents, connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -109,7 +110,25 @@ def _count(k: int):
     return run
 
 
-def _sets(k: int, percent: int, frequent: np.ndarray):
+def common_slots(rows: DataFrame, k: int, small: int, most_bits: int = 27) -> np.ndarray:
+    """A bitmap (uint64 words) over the low hash bits that covers every shingle counted in more than `small` rows.
+
+    It has about 32 slots a shingle, and 2^most_bits slots (16 MB) at most. A shingle whose slot is not set has at most
+    `small` rows; one whose slot is set by another only takes the route of frequent ones.
+    """
+    counted = rows.select("text").mapInArrow(_count(k), "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > small).select("token")
+    counted = written(counted, "common")
+    bits = min(most_bits, max(16, (32 * counted.count()).bit_length()))
+    slot = F.col("token").bitwiseAND(F.lit((1 << bits) - 1))
+    words = counted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _sets(k: int, percent: int, bitmap: np.ndarray):
+    mask = np.uint64(64 * len(bitmap) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             s, counts = shingle_sets(b.column("text"), k)
@@ -118,8 +137,7 @@ def _sets(k: int, percent: int, frequent: np.ndarray):
             for c in (_A, _C):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ c))])
                 keys.append((sums[ends] - sums[ends - counts]).view(np.int64))
-            at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
-            common = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
+            common = (bitmap[(s & mask) >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
             # by document, rare before common, then by hash: the sets are sorted by hash already
             doc = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((common, doc))
@@ -132,7 +150,7 @@ def _sets(k: int, percent: int, frequent: np.ndarray):
             prefix = pa.ListArray.from_arrays(offsets, pa.array(s[head].view(np.int64)))
             flags = pa.ListArray.from_arrays(offsets, pa.array(dense))
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * 16), pa.array(sketches(s, counts).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(counts), *map(pa.array, keys), sketch, prefix, flags], ["doc", "n", "k1", "k2", "sketch", "prefix", "dense"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tkey"), pa.array(counts), *map(pa.array, keys), sketch, prefix, flags], ["doc", "tkey", "n", "k1", "k2", "sketch", "prefix", "dense"])
 
     return run
 
@@ -142,7 +160,7 @@ def _whole(k: int):
         for b in slices(batches, "text"):
             s, counts = shingle_sets(b.column("text"), k)
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([s[j - n : j].tobytes() for j, n in zip(ends, counts, strict=True)], pa.binary())], ["doc", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([s[j - n : j].tobytes() for j, n in zip(ends, counts, strict=True)], pa.binary())], ["rep", "whole"])
 
     return run
 
@@ -165,93 +183,75 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
 
 
-class _Join:
-    """State of one join: representatives, whole sets, and the pairs that were compared."""
+def _sizes_fit(percent: int, a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    def __init__(self, reps: DataFrame, percent: int):
-        self.reps, self.percent = reps, percent
-        self.whole: DataFrame | None = None
-        self.compared: DataFrame | None = None
 
-    def sizes_fit(self, a: Column, b: Column) -> Column:
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs, a < b, each once, that sizes and sketches do not rule out."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    fits = _sizes_fit(percent, F.col("na"), F.col("nb")) & ((100 + percent) * differing <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return pairs.where(fits).select("a", "b")
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) pairs, a < b, each once, that sizes and sketches do not rule out."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(self.reps.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-        differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        fits = self.sizes_fit(F.col("na"), F.col("nb")) & ((100 + self.percent) * differing <= (100 - self.percent) * (F.col("na") + F.col("nb")))
-        return pairs.where(fits).select("a", "b")
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """a, b, shared, total of plausible pairs (a < b) not compared yet, written; `compared` grows by them."""
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            pairs = pairs.join(self.whole.select(F.col("doc").alias(side), F.col("whole").alias(f"w{side}")), side)
-        out = written(pairs.mapInArrow(_distances, "a long, b long, shared long, total long"), "distances")
-        found = out.select("a", "b")
-        self.compared = found if self.compared is None else self.compared.unionByName(found)
-        return out
+def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that link, by whole sets; written."""
+    for side in ("a", "b"):
+        pairs = pairs.join(whole.select(F.col("rep").alias(side), F.col("whole").alias(f"w{side}")), side)
+    return written(pairs.mapInArrow(_distances, "a long, b long, shared long, total long").where(F.expr(f"100 * shared >= {percent} * total")).select("a", "b"), "links")
 
-    def links(self, compared: DataFrame) -> DataFrame:
-        return compared.where(F.expr(f"100 * shared >= {self.percent} * total")).select("a", "b")
 
-
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, most_frequent: int = 500_000, extra_pivots: int = 8, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, pivots: int = 8, leaf: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when 100 * shared >= percent * all shingles of both.
 
-    Rows of one id are one node. Rows without words or without an id link with nothing; component_id is their own id.
-    small: regions up to this size are compared at once. most_frequent bounds the broadcast list of frequent
-    shingles, extra_pivots the second pivots of a region, block the members of a block; they affect the order of work,
-    never the result.
+    Rows of one id are one node, whatever their texts. Rows without words or without an id link with nothing;
+    component_id is their own id. Texts of any length are taken whole; an empty table gives no rows. small: regions up to
+    this size are compared at once; pivots: of a diagram; leaf: cells up to this size are not split. They affect the
+    order of work, never the result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    counted = rows.select("text").mapInArrow(_count(k), "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > small)
-    frequent = np.sort(np.array(counted.orderBy(F.desc("n"), "token").limit(most_frequent).select("token").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-    sets = written(rows.mapInArrow(_sets(k, percent, frequent), "doc long, n long, k1 long, k2 long, sketch array<long>, prefix array<long>, dense array<boolean>"), "sets")
-    usable = sets.where("n > 0 and doc is not null")
-    first = written(usable.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep")), "first")
-    reps = usable.join(first.select(F.col("rep").alias("doc"), "n", "k1", "k2"), ["doc", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc", "k1", "k2"])
-    join = _Join(written(reps.select("doc", "n", "sketch"), "reps"), percent)
-    token = reps.select("doc", "n", F.explode(F.arrays_zip("prefix", "dense")).alias("t")).select(F.col("t.prefix").alias("token"), F.col("t.dense").alias("dense"), "doc", "n")
-    token = token.select("token", "dense", F.struct("n", "doc").alias("m"))
-
-    # regions of shingles outside the exact counts: their sizes and pivots (the member of lowest hash)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("tkey"), F.col(text_col).alias("text"))
+    bitmap = common_slots(rows, k, small)
+    sets = written(rows.mapInArrow(_sets(k, percent, bitmap), "doc long, tkey long, n long, k1 long, k2 long, sketch array<long>, prefix array<long>, dense array<boolean>"), "sets")
+    usable, key = sets.where("n > 0 and doc is not null"), ["n", "k1", "k2"]
+    first = usable.groupBy(*key).agg(F.min(F.struct("doc", "tkey")).alias("f")).select(*key, "f.doc", "f.tkey")
+    first = written(first.withColumn("rep", F.monotonically_increasing_id()), "first")
+    nodes = written(usable.select("doc", *key).join(first.select(*key, "rep"), key).select("doc", "n", "rep"), "nodes")
+    reps = usable.drop(*key[1:]).join(first.select("doc", "tkey", "rep"), ["doc", "tkey"]).dropDuplicates(["doc", "tkey"])
+    reps = written(reps.select("rep", "n", "sketch", "prefix", "dense"), "reps")
+    token = reps.select("rep", "n", F.explode(F.arrays_zip("prefix", "dense")).alias("t")).select(F.col("t.prefix").alias("token"), F.col("t.dense").alias("dense"), F.struct("n", "rep").alias("m"))
+
+    # regions of shingles that are frequent or not counted: their sizes, and the member of lowest hash, which names them
     dense = written(token.where("dense").select("token", "m"), "dense")
-    order = F.struct(F.xxhash64("m.doc").alias("h"), F.col("m.doc").alias("doc"))
-    pivots = written(dense.groupBy("token").agg(F.count("*").alias("size"), F.min(order)["doc"].alias("pivot")).where("size > 1"), "pivots")
-    dense = written(dense.join(pivots, "token"), "regions")
+    order = F.struct(F.xxhash64("m.rep").alias("h"), F.col("m.rep").alias("rep"))
+    sizes = written(dense.groupBy("token").agg(F.count("*").alias("size"), F.min(order)["rep"].alias("cell")).where("size > 1"), "sizes")
+    dense = written(dense.join(sizes, "token"), "regions")
 
-    # small regions: no list is longer than `small` (but for repeated ids), so all pairs of fitting sizes are taken
+    # small regions: no list is longer than `small`, by the counts of all shingles, so all pairs of fitting sizes are taken
     few = token.where("not dense").select("token", "m").unionByName(dense.where(F.col("size") <= small).select("token", "m"))
     lists = few.groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
-    ends = lambda x, i: F.transform(F.filter(F.slice("ms", i + 2, F.size("ms")), lambda y: join.sizes_fit(x["n"], y["n"])), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b")))
+    ends = lambda x, i: F.transform(F.filter(F.slice("ms", i + 2, F.size("ms")), lambda y: _sizes_fit(percent, x["n"], y["n"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))
     near = lists.select(F.explode(F.flatten(F.transform("ms", ends))).alias("p")).select("p.a", "p.b").distinct()
-    near = written(join.plausible(near), "near")
-
-    # large regions: those of one pivot make one region, so a group of copies has a few regions and not one per shingle
-    region = written(dense.where(F.col("size") > small).select("pivot", "m.doc", "m.n").distinct(), "region")
-    wanted = near.select(F.col("a").alias("doc")).union(near.select("b")).union(region.select("doc")).distinct()
-    join.whole = written(rows.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_whole(k), "doc long, whole binary"), "whole")
-    links = [join.links(join.compare(near))]
-    links.append(join.links(join.compare(join.plausible(region.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))))))
-    component = connected_components(_union(links))
-    # boundary documents of lowest hash are the next pivots of their region
-    rank = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("doc"), "doc"))
-    state = _state(region, component)
-    more = state.withColumn("rank", rank).where(F.col("rank").between(2, 1 + extra_pivots)).select("pivot", F.col("doc").alias("b"), F.col("component").alias("cb"))
-    pairs = state.join(more, "pivot").where("component <> cb").select(F.col("doc").alias("a"), "b")
-    links.append(join.links(join.compare(join.plausible(pairs))))
-    component = connected_components(_union(links))
-    # what is left: pairs of different components within a region, in blocks
-    links.append(_block_links(join, _state(region, component), percent, block))
-    component = connected_components(_union(links))
-    component = component.select(F.col("id").alias("rep"), F.col("component"))
-    known = written(first.join(component, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id")), "known")
-    out = usable.select("doc", "n", "k1", "k2").join(known, ["n", "k1", "k2"]).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    near = written(_plausible(near, reps, percent), "near")
+
+    # large regions: those of one name make one region, so a group of copies has a few regions and not one per shingle
+    region = written(dense.where(F.col("size") > small).select("cell", "m.rep", "m.n").distinct(), "region")
+    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(region.select("rep")).distinct()
+    texts = rows.join(first.join(wanted, "rep", "left_semi").select("doc", "tkey", "rep"), ["doc", "tkey"]).dropDuplicates(["doc", "tkey"])
+    whole = written(texts.select("rep", "text").mapInArrow(_whole(k), "rep long, whole binary"), "whole")
+    spread = written(nodes.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("doc", "b"), "ids")
+    links = [nodes.join(spread, "doc").select(F.col("rep").alias("a"), "b").distinct(), _links(near, whole, percent)]
+    links, component, leaves = _diagrams(region, whole, links, percent, pivots, leaf)
+    if leaves is not None:
+        links.append(_block_links(_state(leaves, component), reps, whole, percent, leaf // 2))
+        component = connected_components(_union(links))
+    names = component.withColumnRenamed("id", "rep").join(first.select("rep", "doc"), "rep")
+    least = written(names.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
+    known = written(component.join(least, "component").select(F.col("id").alias("rep"), "component_id"), "known")
+    known = written(first.select("rep", "doc").join(known, "rep", "left").select("rep", F.coalesce("component_id", "doc").alias("component_id")), "names")
+    out = nodes.join(known, "rep").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     return out.unionByName(alone)
 
@@ -263,72 +263,148 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _state(region: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of regions that hold more than one component, with their component."""
-    now = written(region.join(component.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "state")
-    sides = now.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    return now.join(written(sides.select("pivot", "members"), "open"), "pivot")
+def _state(cells: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of cells that hold several components: with their component and the cell's members, shingles and components."""
+    now = written(cells.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
+    each = now.groupBy("cell", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sides = each.groupBy("cell").agg(F.sum("m").alias("members"), F.sum("n").alias("shingles"), F.count("*").alias("components")).where("components > 1")
+    return now.join(written(sides, "open"), "cell")
 
 
-def _block_links(join: _Join, state: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b) links that tie different components of a region, written.
+def _diagrams(cells: DataFrame, whole: DataFrame, links: list[DataFrame], percent: int, pivots: int, leaf: int) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
+    """Split large cells until none is left: (links with those to pivots, components by them, cells to be compared in blocks).
 
-    A region is dealt to blocks of about `block` members; each pair of blocks is one row of work. Bits in which two
+    A split counts if the cells that stay open have at most twice the members, and each has three quarters of the
+    members or half of the components at most; so the recursion ends.
+    """
+    component, leaves = connected_components(_union(links)), []
+    state = _state(cells, component)
+    while True:
+        is_leaf = F.col("members") <= leaf
+        leaves.append(state.where(is_leaf).select("cell", "rep", "n"))
+        big = written(state.where(~is_leaf), "big")
+        if big.isEmpty():
+            break
+        split = _split(big, whole, percent, pivots)
+        links.append(split.where("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        component = connected_components(_union(links))
+        inner = split.select(F.xxhash64("cell", "pivot").alias("cell"), F.col("cell").alias("parent"), "rep", "n")
+        inner = written(_state(inner, component), "inner")
+        per = inner.select("parent", "cell", "members", "components").distinct().groupBy("parent").agg(F.sum("members").alias("all"), F.max("members").alias("most"), F.max("components").alias("open"))
+        was = big.select(F.col("cell").alias("parent"), F.col("members").alias("was"), F.col("components").alias("had")).distinct()
+        per = written(per.join(was, "parent").select("parent", ((F.col("all") <= 2 * F.col("was")) & ((4 * F.col("most") <= 3 * F.col("was")) | (2 * F.col("open") <= F.col("had")))).alias("pays")), "pays")
+        leaves.append(big.join(per.where("not pays"), big["cell"] == per["parent"], "left_semi").select("cell", "rep", "n"))
+        state = inner.join(per.where("pays").select("parent"), "parent", "left_semi").drop("parent")
+    return links, component, _union(leaves)
+
+
+def _split(state: DataFrame, whole: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """cell, rep, n, pivot (-1: the outer cell), linked (rep and pivot link) for every cell that a member belongs or is replicated to; written.
+
+    About 2 * pivots components of a cell, and its largest one, offer their member of lowest hash as pivots.
+    """
+    radius = 1 - percent / 100
+    order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))
+    offers = state.groupBy("cell", "component").agg(F.count("*").alias("m"), F.min(order)["rep"].alias("rep"), F.first("members").alias("members"), F.first("shingles").alias("shingles"), F.first("components").alias("components"))
+    offers = written(offers, "offers")
+    largest = offers.groupBy("cell").agg(F.max(F.struct("m", "rep"))["rep"].alias("largest"))
+    share = F.xxhash64(F.lit(11), "cell", "component").cast("double") / 2.0**64 + 0.5
+    offers = offers.join(largest, "cell").where((F.col("rep") == F.col("largest")) | (share < 2.0 * pivots / F.col("components")))
+    parts = F.ceil(F.greatest(F.col("members") / 1024, F.col("shingles") / 500_000)).cast("long")
+    offers = offers.select("cell", "rep", F.xxhash64(F.lit(12), "rep").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).join(whole.select("rep", F.col("whole").alias("set")), "rep")
+    members = state.select("cell", "rep", "n", F.pmod(F.xxhash64("rep", F.lit(5)), parts).alias("part")).join(whole, "rep")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(w, np.uint64) for w in left["whole"].to_pylist()]
+        offered = sorted(zip(right["h"].to_pylist(), right["rep"].to_pylist(), right["set"].to_pylist(), strict=True))
+        chosen, at = [], []  # pivots further than 2 radii apart
+        for _, rep, w in offered:
+            w = np.frombuffer(w, np.uint64)
+            if len(chosen) < pivots and all(_distance(w, p) > 2 * radius for p in at):
+                chosen.append(rep)
+                at.append(w)
+        out = {c: [] for c in ("cell", "rep", "n", "pivot", "linked")}
+        for cell, rep, n, x in zip(left["cell"].to_pylist(), left["rep"].to_pylist(), left["n"].to_pylist(), sets, strict=True):
+            shared = np.array([_shared(x, p) for p in at])
+            total = len(x) + np.array([len(p) for p in at]) - shared
+            far = 1 - shared / total
+            inside = (far <= far.min() + 2 * radius + 1e-9) & (far <= 1 - radius + 1e-9)
+            rows = [(p, bool(100 * s >= percent * t)) for p, s, t, ok in zip(chosen, shared.tolist(), total.tolist(), inside, strict=True) if ok]
+            if far.min() > 1 - 2 * radius - 1e-9:
+                rows.append((-1, False))
+            for p, linked in rows:
+                for c, v in zip(out, (cell, rep, n, p, linked), strict=True):
+                    out[c].append(v)
+        return pa.table({c: pa.array(v, pa.bool_() if c == "linked" else pa.int64()) for c, v in out.items()})
+
+    pairs = members.groupBy("cell", "part").cogroup(offers.groupBy("cell", "part"))
+    return written(pairs.applyInArrow(run, "cell long, rep long, n long, pivot long, linked boolean"), "split")
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> float:
+    shared = _shared(x, y)
+    return 1 - shared / (len(x) + len(y) - shared)
+
+
+def _block_links(state: DataFrame, reps: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) links that tie different components of a cell, written.
+
+    A cell is dealt to blocks of about `block` members; each pair of blocks is one group of work. Bits in which two
     sketches differ are a metric that never exceeds the sets' difference, so within a pair of blocks only members whose
     distances to the first member lie in one triangle window are looked at. Pairs that sizes and sketches leave are
     verified on whole sets unless links found before have tied their components; one link a merger comes out.
     """
-    spark = state.sparkSession
-    parts = F.ceil(F.col("members") / block).cast("int")
-    m = state.join(join.reps.select("doc", "sketch"), "doc").join(join.whole, "doc").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("parts")).cast("int"))
-    member = F.struct("doc", "n", "component", "sketch", "whole")
-    blocks = written(m.groupBy("pivot", "parts", "block").agg(F.collect_list(member).alias("ms")), "blocks")
-    work = blocks.select("pivot", "parts", "block", F.explode(F.sequence("block", F.col("parts") - 1)).alias("block2"))
-    work = work.join(blocks.select("pivot", "block", "ms"), ["pivot", "block"]).join(blocks.select("pivot", F.col("block").alias("block2"), F.col("ms").alias("ms2")), ["pivot", "block2"])
-    work = work.select("ms", F.when(F.col("block") < F.col("block2"), F.col("ms2")).alias("ms2")).repartition(F.xxhash64("pivot", "block", "block2"))
-
-    def arrays(x: pa.Array) -> tuple[np.ndarray, ...]:
-        sketch = x.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(x), -1)
-        return (*(x.field(c).to_numpy() for c in ("doc", "n", "component")), sketch, [np.frombuffer(w, np.uint64) for w in x.field("whole").to_pylist()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                doc, n, comp, sk, sets = arrays(b.column("ms")[i].values)
-                same = not b.column("ms2")[i].is_valid
-                doc2, n2, comp2, sk2, sets2 = (doc, n, comp, sk, sets) if same else arrays(b.column("ms2")[i].values)
-                names, roots = np.unique(np.concatenate([comp, comp2]), return_inverse=True)
-                r, r2, tied = roots[: len(comp)], roots[len(comp) :], LocalComponents(len(names))
-                to = np.bitwise_count(sk2 ^ sk[0]).sum(1, dtype=np.int64)  # distances to the first member
-                own = np.bitwise_count(sk ^ sk[0]).sum(1, dtype=np.int64)
-                order = np.argsort(to, kind="stable")
-                to = to[order]
-                # 100 (S - D) >= percent (S + D) for sizes that sum to S and D differing shingles
-                reach = (100 - percent) * (n + n * 100 // percent + 1) // (100 + percent)
-                lo, hi = np.searchsorted(to, own - reach, "left"), np.searchsorted(to, own + reach, "right")
-                found = []
-                for j in range(len(doc)):
-                    at = order[lo[j] : hi[j]]
-                    at = at[(tied.root[r2[at]] != tied.root[r[j]]) & (100 * np.minimum(n2[at], n[j]) >= percent * np.maximum(n2[at], n[j]))]
-                    if same:
-                        at = at[at > j]
-                    differ = np.bitwise_count(sk2[at] ^ sk[j]).sum(1, dtype=np.int64)
-                    for x in at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[j])]:
-                        if tied.root[r2[x]] != tied.root[r[j]]:
-                            shared = _shared(sets[j], sets2[x])
-                            if 100 * shared >= percent * (n[j] + n2[x] - shared):
-                                found.append((doc[j], doc2[x]))
-                                tied.add(r[j : j + 1], r2[x : x + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-    # rows of work hold up to two blocks of whole sets: few at a time
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "4")
-    try:
-        return written(work.mapInArrow(run, "a long, b long"), "block-links")
-    finally:
-        spark.conf.set(key, before)
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / 500_000)).cast("int")
+    m = state.select("cell", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int").alias("own"))
+    m = written(m.join(reps.select("rep", "n", "sketch"), "rep").join(whole, "rep"), "blocks")
+    left = m.withColumn("b1", F.col("own")).withColumn("b2", F.explode(F.sequence("own", F.col("parts") - 1)))
+    right = m.where("own > 0").select(*(F.col(c).alias(c) for c in m.columns)).withColumn("b2", F.col("own")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+
+    def arrays(x: pa.Table) -> tuple[np.ndarray, ...]:
+        x = x.combine_chunks()
+        flat = x["sketch"].combine_chunks()
+        sketch = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy().view(np.uint64).reshape(len(x), -1)
+        return (*(x[c].to_numpy() for c in ("rep", "n", "component")), sketch, [np.frombuffer(w, np.uint64) for w in x["whole"].to_pylist()])
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = []
+        if len(one):
+            rep, n, comp, sk, sets = arrays(one)
+            same = one["b1"][0] == one["b2"][0]
+            rep2, n2, comp2, sk2, sets2 = (rep, n, comp, sk, sets) if same else arrays(two) if len(two) else (None,) * 5
+            if rep2 is not None:
+                found = _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same, percent)
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate("ab")})
+
+    work = left.groupBy("cell", "b1", "b2").cogroup(right.groupBy("cell", "b1", "b2"))
+    return written(work.applyInArrow(run, "a long, b long"), "block-links")
+
+
+def _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same: bool, percent: int) -> list[tuple]:
+    """Links between two blocks (or within one) that tie components not tied before."""
+    names, roots = np.unique(np.concatenate([comp, comp2]), return_inverse=True)
+    r, r2, tied = roots[: len(comp)], roots[len(comp) :], LocalComponents(len(names))
+    to = np.bitwise_count(sk2 ^ sk[0]).sum(1, dtype=np.int64)  # distances to the first member
+    own = np.bitwise_count(sk ^ sk[0]).sum(1, dtype=np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    # 100 (S - D) >= percent (S + D) for sizes that sum to S and D differing shingles
+    reach = (100 - percent) * (n + n * 100 // percent + 1) // (100 + percent)
+    lo, hi = np.searchsorted(to, own - reach, "left"), np.searchsorted(to, own + reach, "right")
+    found = []
+    for j in range(len(rep)):
+        at = order[lo[j] : hi[j]]
+        at = at[(tied.root[r2[at]] != tied.root[r[j]]) & (100 * np.minimum(n2[at], n[j]) >= percent * np.maximum(n2[at], n[j]))]
+        if same:
+            at = at[at > j]
+        differ = np.bitwise_count(sk2[at] ^ sk[j]).sum(1, dtype=np.int64)
+        for x in at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[j])]:
+            if tied.root[r2[x]] != tied.root[r[j]]:
+                shared = _shared(sets[j], sets2[x])
+                if 100 * shared >= percent * (n[j] + n2[x] - shared):
+                    found.append((rep[j], rep2[x]))
+                    tied.add(r[j : j + 1], r2[x : x + 1])
+    return found
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

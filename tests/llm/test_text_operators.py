@@ -261,13 +261,42 @@ def jaccard_brute(rows, k, percent):
     return sorted(((i, len(s), None if i is None else find(i)) for i, sets in grams.items() for s in sets), key=repr)
 
 
-@pytest.mark.parametrize(("k", "percent", "small"), [(4, 85, 16), (5, 80, 2), (4, 60, 2)])
-def test_jaccard_is_brute_force(docs, nothing, k, percent, small):
-    out = jaccard.jaccard_components(docs, k, percent, small=small).collect()
+@pytest.mark.parametrize(("k", "percent", "small", "leaf"), [(4, 85, 16, 512), (5, 80, 2, 4), (4, 60, 2, 6)])
+def test_jaccard_is_brute_force(docs, nothing, k, percent, small, leaf):
+    out = jaccard.jaccard_components(docs, k, percent, small=small, leaf=leaf).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in out], key=repr) == jaccard_brute(corpus(), k, percent)
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
+def drifting(seed):
+    """Chains of texts that change word by word, around a passage that all of them share."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(30))
+    passage = [word() for _ in range(40)]
+    rows = []
+    for _ in range(6):
+        own = [word() for _ in range(40)]
+        for _ in range(25):
+            own[rng.randrange(40)] = word()
+            rows.append((len(rows), " ".join(passage + own)))
+    rows += [(len(rows) + i, " ".join(passage + [word() for _ in range(60)])) for i in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "percent", "pivots"), [(2, 80, 3)])
+def test_diagrams_recur_and_lose_no_link(spark, seed, percent, pivots):
+    rows = drifting(seed)
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, percent, small=2, pivots=pivots, leaf=16).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in out], key=repr) == jaccard_brute(rows, 3, percent)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(1, a + " x"), (1, b + " x"), (2, a + " x y"), (3, b + " x y"), (4, "quite another text of its own")]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4)} and len(out) == 5
+
+
 def test_jaccard_keeps_one_of_each_group(docs):
     left = jaccard.keep_one(docs, 4, 85)
     want = {c for i, _, c in jaccard_brute(corpus(), 4, 85) if i is not None}
