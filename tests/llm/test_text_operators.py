@@ -230,14 +230,56 @@ def test_contamination_is_brute_force(spark, docs, nothing, limit):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_proximity_finds_changed_passages(spark):
+def near_brute(rows, items, size=13, slack=2):
+    """{(doc, text): items} by looking at every position of every text."""
+    counts, blocks = {}, {}
+    for _, t, *_ in rows:
+        for x in words_of(t):
+            counts[x] = counts.get(x, 0) + 1
+    for k, t in items:
+        w = words_of(t)
+        n = min(len(w), size)
+        for s in range(len(w) - n + 1 if n else 0):
+            if s % 7 == 0 or s == len(w) - n:
+                blocks.setdefault(tuple(w[s : s + n]), set()).add(str(k))
+    out = {}
+    for i, t, *_ in rows:
+        w, found = words_of(t), set()
+        for win, ids in blocks.items():
+            distinct = sorted(set(win), key=lambda x: (counts.get(x, 0), x))
+            misses = min(slack, len(distinct) // 5)
+            for p in range(len(w)):
+                if w[p] in distinct[: misses + 1] and len(set(w[max(0, p - size + 1) : p + size]) & set(win)) >= len(distinct) - misses:
+                    found |= ids
+                    break
+        out[(i, t)] = sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_proximity_is_brute_force(spark, docs, limit):
     passage = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12 m13"
-    docs = spark.createDataFrame([(1, "x " + passage.replace("f6", "zz")), (2, "nothing like it a1")], "doc_id long, text string")
-    windows = decontaminate.item_windows(spark.createDataFrame([(9, passage)], "item_id long, text string"))
-    more = spark.createDataFrame([(3, passage)], "doc_id long, text string")
-    anchors = decontaminate.anchored_windows(docs.union(more), windows)
-    index = decontaminate.postings(docs, anchors, 1)
-    assert {r.doc_id for r in decontaminate.proximity_matches(index, anchors, 1).collect()} <= {1}
+    rows = [(1, "x " + passage.replace("f6", "zz")), (2, "nothing like it a1"), (3, passage), (4, passage.replace("a1", "y").replace("m13", "z") + " and more"), (5, "only " + passage[:20]), (6, "a b c d1"), (7, passage.replace("a1", "").replace("m13", "").replace("g7", "new"))]
+    items = [(9, passage), (8, passage.replace("k11", "unseen")), (7, "a b c d")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: r.near_ids for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, broadcast_rows=limit).collect()}
+    assert out == {1: ["8", "9"], 2: [], 3: ["8", "9"], 4: ["9"], 5: [], 6: [], 7: []}
+    assert out == {i: x for (i, _), x in near_brute(rows, items).items()}
+    rows = corpus()
+    items = [(k, rows[k][1]) for k in (0, 2, 5, 9)] + [(20, "alpha3"), (21, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contamination(docs, bench, broadcast_rows=limit).collect()
+    want = near_brute(rows, items)
+    assert sorted([(r.doc_id, r.near_ids) for r in out], key=repr) == sorted([(i, want[(i, t)]) for i, t, _ in rows], key=repr)
+
+
+def test_contamination_of_a_very_long_text(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    bench = spark.createDataFrame([(1, " ".join(words[5000:5040])), (2, " ".join(words[19_980:]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5000:5040]))], "doc_id long, text string")
+    out = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.contamination(docs, bench, broadcast_rows=0).collect()}
+    assert out == {1: (20_000, 60, ["1", "2"], False), 2: (40, 40, ["1"], True)}
 
 
 def jaccard_brute(rows, k, percent):
