@@ -12,6 +12,7 @@ from eventlens.functions.geo import bbox, distance_to_rings_km, geodesic_km, int
 from eventlens.functions.text import contains_words, fold, is_public_url, label, safe_url, search_words
 from eventlens.functions.time import BASIS_CLOCK, DAY_TAG, display_time
 from eventlens.schemas import DEFAULT_BASIS, EUROPE, EUROPE_BOX, SEVERITY_LABELS, EventQuery
+from eventlens.sources.lineage import small
 
 _DAY = "INTERVAL 1 DAY"
 
@@ -128,23 +129,31 @@ def filter_country(df: DataFrame, iso2: str) -> DataFrame:
 
 def filter_europe(df: DataFrame) -> DataFrame:
     """European countries; Russia and Turkey only where an exact geometry meets the box."""
+    return df.where(in_europe("geometry" in df.columns))
+
+
+def in_europe(geometry: bool = True) -> Column:
     listed = F.arrays_overlap("countries", F.array(*map(F.lit, EUROPE)))
-    if "geometry" not in df.columns:
-        return df.where(listed)
+    if not geometry:
+        return _false(listed)
     edge = F.arrays_overlap("countries", F.array(F.lit("RU"), F.lit("TR"))) & F.col("location_precision").isin("point", "area") & intersects_bbox("geometry", *EUROPE_BOX)
-    return df.where(F.coalesce(listed, F.lit(False)) | F.coalesce(edge, F.lit(False)))
+    return _false(listed) | _false(edge)
 
 
 def filter_radius(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     """Exact points and areas within a distance on the ellipsoid; country areas and representative points are left out."""
+    return df.where(within_radius(F.lit(float(lat)), F.lit(float(lon)), F.lit(float(km))))
+
+
+def within_radius(lat: Column, lon: Column, km: Column) -> Column:
     g, box = F.col("geometry"), bbox("geometry")
     margin = km / 110.0
     near = (box["s"] <= lat + margin) & (box["n"] >= lat - margin)
-    x, y = F.lit(float(lon)), F.lit(float(lat))
+    x, y = lon, lat
     to_points = F.array_min(F.transform(g["points"], lambda p: geodesic_km(x, y, p["lon"], p["lat"])))
     distance = F.when(F.size(g["rings"]) > 0, F.least(distance_to_rings_km(g["rings"], x, y), to_points)).otherwise(to_points)
     exact = ((F.col("location_precision") == "point") & (g["type"] == "Point")) | ((F.col("location_precision") == "area") & (F.size(g["rings"]) > 0))
-    return df.where(exact & near & (distance <= km))
+    return _false(exact & near & (distance <= km))
 
 
 def filter_scope(df: DataFrame, scope: str) -> DataFrame:
@@ -155,9 +164,17 @@ def filter_scope(df: DataFrame, scope: str) -> DataFrame:
     return df.where(F.arrays_overlap("countries", F.array(*map(F.lit, codes))))
 
 
-def scopes_df(spark: SparkSession, countries: list[str]) -> DataFrame:
-    """scope, label, countries (null for the world): a small static dimension."""
-    rows = [("world", "World", None), ("europe", "Europe", EUROPE), *((f"country:{c}", c, [c]) for c in countries)]
+def country_labels(spark: SparkSession, language: str = "en") -> dict[str, str]:
+    """Code and label of every country that the JVM's locale data list, and of XK."""
+    locale = spark._jvm.java.util.Locale
+    shown = locale.forLanguageTag(language)
+    return {c: locale.forLanguageTag(f"und-{c}").getDisplayCountry(shown) for c in sorted({*locale.getISOCountries(), "XK"})}
+
+
+def scopes_df(spark: SparkSession, countries: list[str] | None = None, language: str = "en") -> DataFrame:
+    """scope, label, countries (null for the world): a small static dimension; all countries unless some are named."""
+    labels = country_labels(spark, language)
+    rows = [("world", "World", None), ("europe", "Europe", EUROPE), *((f"country:{c}", labels.get(c, c), [c]) for c in (labels if countries is None else countries))]
     return spark.createDataFrame(rows, "scope string, label string, codes array<string>")
 
 
@@ -165,7 +182,7 @@ def normalize_scope(c: Column | str) -> Column:
     """Legacy names and bare country codes as scope ids; null for anything else."""
     s = F.lower(F.trim(col(c)))
     code = F.upper(F.regexp_extract(s, r"^(?:country:)?([a-z]{2})$", 1))
-    return F.when(s.isin("world", "europe"), s).when(s.isin("pl", "poland", "country:pl"), "country:PL").when(s.isin("eu"), "europe").when(code != "", F.concat(F.lit("country:"), code))
+    return F.when(s.isin("world", "europe"), s).when(s.isin("pl", "poland", "country:pl"), "country:PL").when(s == "turkey", "country:TR").when(s.isin("eu"), "europe").when(code != "", F.concat(F.lit("country:"), code))
 
 
 # --- background and briefing groups ----------------------------------------------------------------------------
@@ -301,18 +318,19 @@ def effective_state(df: DataFrame, now) -> DataFrame:
 
 def apply_absence(df: DataFrame, state: DataFrame) -> DataFrame:
     """Open-ended active hydro advisories that the last complete list lacks become unknown; those in it recover."""
-    s = state.select(F.col("source_id"), F.col("latest_observed_ingested_at").alias("__list"))
+    s = state.select(F.col("source_id"), F.col("current_list_ingested_at").alias("__list"))
     listed = has_tag("tags", "current_list_not_archive") & has_tag("tags", "until_revoked")
     subject = (F.col("source_id") == "imgw_hydro") & (F.col("kind") == "advisory") & F.col("valid_to").isNull() & listed
     gone = _false(subject & (F.col("last_seen_at") < F.col("__list")))
     marked = has_tag("tags", "not_in_current_source_list")
     status = F.when(gone & (F.col("lifecycle_status") == "active"), "unknown").when(subject & marked & ~gone & (F.col("lifecycle_status") == "unknown"), "active").otherwise(F.col("lifecycle_status"))
-    return df.join(F.broadcast(s), "source_id", "left").withColumns({"lifecycle_status": status, "tags": F.when(subject, set_tag("tags", "not_in_current_source_list", gone)).otherwise(F.col("tags"))}).drop("__list")
+    return df.join(small(s), "source_id", "left").withColumns({"lifecycle_status": status, "tags": F.when(subject, set_tag("tags", "not_in_current_source_list", gone)).otherwise(F.col("tags"))}).drop("__list")
 
 
-def backed_by_evidence(until) -> Column:
-    """Some evidence row names a listed source and was retrieved no later than five minutes after the clock."""
-    return _false(F.exists("evidence", lambda e: F.array_contains(F.col("source_ids"), e["source_id"]) & (e["retrieved_at"] <= _ts(until) + F.expr("INTERVAL 5 MINUTES"))))
+def backed_by_evidence(until, sources: list[str] | None = None) -> Column:
+    """Some evidence row names a source of the event (and one of `sources`, if given) and was retrieved no later than five minutes after the clock."""
+    known = lambda e: e["source_id"].isin(sources) if sources is not None else F.lit(True)
+    return _false(F.exists("evidence", lambda e: F.array_contains(F.col("source_ids"), e["source_id"]) & known(e) & (e["retrieved_at"] <= _ts(until) + F.expr("INTERVAL 5 MINUTES"))))
 
 
 # --- quarantine, search, views, projections ---------------------------------------------------------------------
@@ -416,27 +434,38 @@ def facts(df: DataFrame) -> DataFrame:
 
 
 def run_queries(queries: DataFrame, events: DataFrame, now, most: int = 2000) -> DataFrame:
-    """(query_id, id) matches of a table of queries: one pass over the events.
+    """(query_id, id) matches of a table of queries on all four bases: one pass over the events.
 
     The query table must be small (it is counted, and broadcast only within `most` rows); beyond that both sides are
-    binned by day and joined on (basis, day), each event once per query.
+    binned by day and joined on (basis, day). Validity periods are cut to the days that any query covers before they are
+    dealt to days. region, lat, lon and radius_km are read where the query table has them.
     """
     q = query_bounds(queries, now)
-    clocks = F.array(*(F.struct(F.lit(b).alias("time_basis"), F.col(c).alias("clock")) for b, c in BASIS_CLOCK.items() if b != "validity"))
-    ev = events.select("id", "category", "severity", "independent_source_count", "countries", "lifecycle_status", "valid_to", "tags", F.explode(clocks).alias("c")).select("*", "c.time_basis", "c.clock").drop("c").where("clock is not null")
-    by_day = has_tag("tags", DAY_TAG) & (F.col("time_basis") == "published")
-    ev = ev.withColumn("from", F.when(by_day, F.date_trunc("day", "clock")).otherwise(F.col("clock"))).withColumn("to", F.when(by_day, F.date_trunc("day", "clock") + F.expr(_DAY)).otherwise(F.col("clock")))
-    # points match since <= t < until, days by overlap
-    hit = F.when(by_day, (F.col("from") < F.col("until")) & (F.col("to") > F.col("since"))).otherwise((F.col("from") >= F.col("since")) & (F.col("from") < F.col("until")))
-    q = q.select("query_id", F.col("time_basis").alias("q_basis"), "since", "until", F.col("category").alias("q_category"), "country", "severity_min", "min_sources", F.coalesce("include_inactive", F.col("time_basis") != "occurred").alias("inactive"))
+    optional = {"region": "string", "lat": "double", "lon": "double", "radius_km": "double"}
+    q = q.withColumns({c: F.lit(None).cast(k) for c, k in optional.items() if c not in q.columns})
+    geometry = "geometry" in events.columns
+    period = lambda b: F.col("valid_to") if b == "validity" else F.lit(None).cast("timestamp")
+    clocks = F.array(*(F.struct(F.lit(b).alias("time_basis"), F.col(c).alias("clock"), period(b).alias("end")) for b, c in BASIS_CLOCK.items()))
+    ev = events.select("id", "category", "severity", "independent_source_count", "countries", "lifecycle_status", "valid_to", "tags", *(("geometry", "location_precision") if geometry else ()), F.explode(clocks).alias("c")).select("*", "c.time_basis", "c.clock", "c.end").drop("c").where("clock is not null")
+    by_day, valid = has_tag("tags", DAY_TAG) & (F.col("time_basis") == "published"), F.col("time_basis") == "validity"
+    ev = ev.withColumn("from", F.when(by_day, F.date_trunc("day", "clock")).otherwise(F.col("clock"))).withColumn("to", F.when(by_day, F.date_trunc("day", "clock") + F.expr(_DAY)).when(valid, F.col("end")).otherwise(F.col("clock")))
+    ev = ev.where(~valid | F.col("to").isNull() | (F.col("to") > F.col("from")))
+    # points match since <= t < until, days and periods by overlap; a period without an end is open
+    overlap = (F.col("from") < F.col("until")) & (F.col("to").isNull() | (F.col("to") > F.col("since")))
+    hit = F.when(by_day | valid, overlap).otherwise((F.col("from") >= F.col("since")) & (F.col("from") < F.col("until")))
+    q = q.select("query_id", F.col("time_basis").alias("q_basis"), "since", "until", F.col("category").alias("q_category"), "country", "severity_min", "min_sources", F.coalesce("include_inactive", F.col("time_basis") != "occurred").alias("inactive"), *optional)
     active = ~F.col("lifecycle_status").isin("expired", "withdrawn") & (F.col("valid_to").isNull() | (F.col("valid_to") > _ts(now)))
+    near = within_radius(F.col("lat"), F.col("lon"), F.col("radius_km")) if geometry else F.lit(False)
     rest = (
         (F.col("q_category").isNull() | (F.col("q_category") == F.col("category"))) & (F.col("country").isNull() | F.array_contains("countries", F.col("country")))
         & (F.col("severity") >= F.coalesce("severity_min", F.lit(0))) & (F.col("independent_source_count") >= F.coalesce("min_sources", F.lit(1))) & (F.col("inactive") | active)
+        & (~F.col("region").eqNullSafe("europe") | in_europe(geometry)) & (F.col("radius_km").isNull() | near)
     )
-    if q.limit(most + 1).count() <= most:
-        joined = ev.join(F.broadcast(q), (F.col("time_basis") == F.col("q_basis")) & hit & rest)
-    else:
-        days = q.withColumn("day", F.explode(F.sequence(F.to_date("since") - F.expr("INTERVAL 1 DAY"), F.to_date("until"))))
-        joined = ev.withColumn("day", F.to_date("from")).join(days.withColumnRenamed("day", "q_day"), (F.col("day") == F.col("q_day")) & (F.col("time_basis") == F.col("q_basis"))).where(hit & rest)
-    return joined.select("query_id", "id").distinct()
+    if q.limit(most + 1).count() <= most:  # each event has one row a basis, so a pair comes once
+        return ev.join(F.broadcast(q), (F.col("time_basis") == F.col("q_basis")) & hit & rest).select("query_id", "id")
+    range_ = q.agg(F.to_date(F.min("since")).alias("first_day"), F.to_date(F.max("until")).alias("last_day"))
+    ev = ev.crossJoin(F.broadcast(range_))  # one row
+    begin, end = F.greatest(F.to_date("from"), F.col("first_day")), F.least(F.coalesce(F.to_date("to"), F.col("last_day")), F.col("last_day"))
+    ev = ev.where(begin <= end).withColumn("day", F.explode(F.sequence(begin, end))).drop("first_day", "last_day")
+    days = q.withColumn("q_day", F.explode(F.sequence(F.to_date("since"), F.to_date("until"))))
+    return ev.join(days, (F.col("day") == F.col("q_day")) & (F.col("time_basis") == F.col("q_basis"))).where(hit & rest).select("query_id", "id").distinct()

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from eventlens.functions.arrays import add_tag, col, has_tag, norm_array, origin_family
 from eventlens.operators.filters import _ts, category_map, effective_state
 from eventlens.schemas import SOURCES
-from eventlens.sources.lineage import cut
+from eventlens.sources.lineage import cut, small
 
 #: Namespace of public ids (fixed value: the URL namespace of RFC 4122).
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
-#: Fields of a projection that make a change of it a revision.
+#: Fields of a projection that make a change of it a revision (fixed values).
 PROJECTION = ("kind", "category", "title", "description", "source_url", "occurred_start", "occurred_end", "issued_at", "source_updated_at", "valid_from", "valid_to", "countries", "location_precision", "time_precision", "severity", "original_severity", "lifecycle_status", "verification_status", "tags")
 
 
@@ -34,7 +34,8 @@ def payload_hash(c: Column | str) -> Column:
 def source_rank() -> Column:
     """Comparable rank of a version: current, source clock, numeric episode; unknown ranks lowest."""
     clock = F.coalesce("source_updated_at", "issued_at", "occurred_start")
-    return F.struct(F.coalesce("is_current", F.lit(True)).alias("current"), clock.alias("clock"), F.col("episode_id").try_cast("long").alias("episode"))
+    current = F.when(F.col("source_id") == "gdacs", F.coalesce("is_current", F.lit(False))).otherwise(F.lit(True))  # only disasters have episodes
+    return F.struct(current.alias("current"), clock.alias("clock"), F.coalesce(F.col("episode_id").try_cast("long"), F.lit(0)).alias("episode"))
 
 
 def newer_normalizer(new: Column | str, old: Column | str) -> Column:
@@ -98,7 +99,7 @@ def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataF
     joined = rows.join(key_components(rows), "record_id")
     if overrides is not None:
         o = overrides.select("source_id", "provider_record_id", F.col("event_id").alias("forced"))
-        joined = joined.join(F.broadcast(o) if o.limit(10_001).count() <= 10_000 else o, ["source_id", "provider_record_id"], "left")
+        joined = joined.join(small(o), ["source_id", "provider_record_id"], "left")
     else:
         joined = joined.withColumn("forced", F.lit(None).cast("string"))
     cap = lambda c: F.filter(c, lambda k: k.startswith("cap:"))
@@ -310,47 +311,77 @@ def upsert_events(current: DataFrame, rebuilt: DataFrame) -> DataFrame:
 
 
 def batch_status(stats: DataFrame, now) -> DataFrame:
-    """partial, stale, ok or ok_empty."""
-    troubled = (F.col("rejected") > 0) | (F.col("warnings") > 0) | F.coalesce("partial", F.lit(False)) | F.coalesce("truncated", F.lit(False))
+    """partial, stale, ok or ok_empty. A quake feed is stale 20 minutes after its clock, and partial if that is 5 minutes ahead."""
+    ahead = (F.col("source_id") == "usgs") & (F.col("provider_timestamp") > _ts(now) + F.expr("INTERVAL 5 MINUTES"))
+    troubled = (F.col("rejected") > 0) | (F.col("warnings") > 0) | F.coalesce("partial", F.lit(False)) | F.coalesce("truncated", F.lit(False)) | F.coalesce(ahead, F.lit(False))
     old = (F.col("source_id") == "usgs") & (F.unix_timestamp(_ts(now)) - F.unix_timestamp("provider_timestamp") > 1200)
     return stats.withColumn("status", F.when(troubled, "partial").when(F.coalesce(old, F.lit(False)), "stale").when(F.col("records") == 0, "ok_empty").otherwise("ok"))
 
 
-def advance_cursor(state: DataFrame, stats: DataFrame) -> DataFrame:
-    """High-water marks: complete reads, repairs, snapshots and lists never move back."""
-    s = stats.select("source_id", F.col("status").alias("b_status"), "finished_at", "repair_window", F.col("source_snapshot_at").alias("b_snapshot"), "current_list_complete", "current_list_fetched_at")
-    j, complete = state.join(s, "source_id", "left"), F.col("b_status").isin("ok", "ok_empty")
-    up = lambda old, new, on: F.when(on, F.greatest(old, new)).otherwise(F.col(old))
+def snapshot_clock_invalid(state: DataFrame, stats: DataFrame, now) -> DataFrame:
+    """source_id, invalid, refuse: a catalog's clock that is missing, ahead by 5 minutes or behind the last one.
+
+    Its rows are refused where it has a clock or had one before; a first catalog without a clock is kept, as partial.
+    """
+    j = stats.join(state.select("source_id", F.col("latest_snapshot_at").alias("prior")), "source_id", "left")
+    c, prior = F.col("provider_timestamp"), F.col("prior")
+    bad = (F.col("source_id") == "cisa_kev") & F.coalesce(c.isNull() | (c > _ts(now) + F.expr("INTERVAL 5 MINUTES")) | (c < prior), F.lit(False))
+    return j.select("source_id", bad.alias("invalid"), (bad & (c.isNotNull() | prior.isNotNull())).alias("refuse"))
+
+
+def advance_cursor(state: DataFrame, stats: DataFrame, now) -> DataFrame:
+    """High-water marks: complete reads, repairs, snapshots, lists seen and lists that were complete; none moves back.
+
+    stats: source_id, status, records, rejected, repair_window, source_snapshot_at, current_list_complete,
+    current_list_fetched_at, and list_invalid where a list's clock was refused.
+    """
+    s = stats.select("source_id", F.col("status").alias("b_status"), F.col("records").alias("b_records"), "repair_window", F.col("source_snapshot_at").alias("b_snapshot"), F.col("current_list_fetched_at").alias("b_list"), F.coalesce("list_invalid", F.lit(False)).alias("b_bad"), can_reconcile().alias("b_whole"))
+    j, no = state.join(small(s), "source_id", "left"), F.lit(False)
+    complete = F.coalesce(F.col("b_status").isin("ok", "ok_empty"), no)
+    listed = F.coalesce((F.col("source_id") == "imgw_hydro") & ~F.col("b_bad") & F.col("b_list").isNotNull(), no)
+    whole = listed & F.coalesce("b_whole", no)
+    up = lambda old, new, on: F.when(on, F.greatest(F.col(old), new)).otherwise(F.col(old))
     out = j.withColumns({
-        "initialized": F.coalesce("initialized", F.lit(False)) | F.coalesce(complete, F.lit(False)), "last_complete_at": up("last_complete_at", "finished_at", complete), "last_repair_at": up("last_repair_at", "finished_at", complete & F.col("repair_window")),
-        "latest_snapshot_at": up("latest_snapshot_at", "b_snapshot", complete), "latest_list_fetched_at": up("latest_list_fetched_at", "current_list_fetched_at", F.coalesce("current_list_complete", F.lit(False))),
+        "initialized": F.coalesce("initialized", no) | complete, "last_complete_at": up("last_complete_at", _ts(now), complete), "last_repair_at": up("last_repair_at", _ts(now), complete & F.coalesce("repair_window", no)),
+        "latest_snapshot_at": up("latest_snapshot_at", F.col("b_snapshot"), F.coalesce((F.col("b_records") > 0) | (F.col("b_status") != "partial"), no)),
+        "latest_observed_fetched_at": up("latest_observed_fetched_at", F.col("b_list"), listed), "latest_observed_ingested_at": up("latest_observed_ingested_at", _ts(now), listed),
+        "current_list_fetched_at": up("current_list_fetched_at", F.col("b_list"), whole), "current_list_ingested_at": up("current_list_ingested_at", _ts(now), whole),
     })
     return out.select(*state.columns)
 
 
 def list_clock_invalid(state: DataFrame, stats: DataFrame, now) -> DataFrame:
-    """source_id, invalid: a list's fetch clock that is missing, ahead by 5 minutes, or behind the last one."""
-    j = stats.join(state.select("source_id", "latest_list_fetched_at"), "source_id", "left")
-    c = F.col("current_list_fetched_at")
-    return j.select("source_id", (c.isNull() | (c > _ts(now) + F.expr("INTERVAL 5 MINUTES")) | F.coalesce(c < F.col("latest_list_fetched_at"), F.lit(False))).alias("invalid"))
+    """source_id, invalid: a current list whose fetch clock is missing though complete, ahead by 5 minutes, or not later
+    than any list seen before; or that comes no later than the last one was taken in."""
+    marks = ("current_list_fetched_at", "latest_observed_fetched_at", "current_list_ingested_at", "latest_observed_ingested_at")
+    j = stats.join(small(state.select("source_id", *(F.col(c).alias(f"p_{c}") for c in marks))), "source_id", "left")
+    c, previous, taken = F.col("current_list_fetched_at"), F.greatest(*(f"p_{m}" for m in marks[:2])), F.greatest(*(f"p_{m}" for m in marks[2:]))
+    rules = (F.col("current_list_complete") & c.isNull(), c > _ts(now) + F.expr("INTERVAL 5 MINUTES"), previous.isNotNull() & (c.isNull() | (c <= previous)), taken >= _ts(now))
+    bad = F.lit(False)
+    for r in rules:
+        bad = bad | F.coalesce(r, F.lit(False))
+    return j.select("source_id", ((F.col("source_id") == "imgw_hydro") & bad).alias("invalid"))
 
 
 def can_reconcile() -> Column:
-    return F.coalesce(F.col("current_list_complete") & F.col("status").isin("ok", "ok_empty") & (F.col("rejected") == 0), F.lit(False))
+    """A complete current list with a clock, read without a fault."""
+    return F.coalesce((F.col("source_id") == "imgw_hydro") & F.col("current_list_complete") & F.col("current_list_fetched_at").isNotNull() & F.col("status").isin("ok", "ok_empty") & (F.col("rejected") == 0), F.lit(False))
 
 
 def absent_from_list(records: DataFrame, state: DataFrame) -> DataFrame:
-    """Hydro records that the last complete list lacks."""
-    s = state.select("source_id", "latest_list_fetched_at")
-    return records.where("source_id = 'imgw_hydro'").join(s, "source_id").where(F.col("last_seen_at") < F.col("latest_list_fetched_at")).drop("latest_list_fetched_at")
+    """Hydro records not seen since the last complete list was taken in."""
+    s = state.select("source_id", "current_list_ingested_at")
+    return records.where("source_id = 'imgw_hydro'").join(small(s), "source_id").where(F.col("last_seen_at") < F.col("current_list_ingested_at")).drop("current_list_ingested_at")
 
 
-def update_source_state(state: DataFrame, stats: DataFrame) -> DataFrame:
-    s = stats.select("source_id", F.col("status").alias("b_status"), "finished_at", F.col("records").alias("b_records"), F.col("newest_content_at").alias("b_newest"))
-    j, has_data = state.join(s, "source_id", "left"), F.col("b_status").isin("ok", "ok_empty", "partial", "stale") & (F.col("b_records") > 0) | F.col("b_status").isin("ok", "ok_empty")
+def update_source_state(state: DataFrame, stats: DataFrame, now) -> DataFrame:
+    """status, clocks, record count and failures of each source after a batch (source_id, status, records, newest_content_at)."""
+    s = stats.select("source_id", F.col("status").alias("b_status"), F.col("records").alias("b_records"), F.col("newest_content_at").alias("b_newest"))
+    j, here = state.join(small(s), "source_id", "left"), F.col("b_status").isNotNull()
+    done = F.coalesce((F.col("b_records") > 0) | (F.col("b_status") != "partial"), F.lit(False))
     out = j.withColumns({
-        "status": F.coalesce("b_status", "status"), "last_attempt_at": F.greatest("last_attempt_at", "finished_at"), "last_success_at": F.when(has_data, F.greatest("last_success_at", "finished_at")).otherwise(F.col("last_success_at")),
-        "newest_content_at": F.greatest("newest_content_at", "b_newest"), "record_count": F.when(has_data, F.col("b_records")).otherwise(F.col("record_count")),
+        "status": F.coalesce("b_status", "status"), "last_attempt_at": F.when(here, F.greatest("last_attempt_at", _ts(now))).otherwise(F.col("last_attempt_at")), "last_success_at": F.when(done, F.greatest("last_success_at", _ts(now))).otherwise(F.col("last_success_at")),
+        "newest_content_at": F.greatest("newest_content_at", "b_newest"), "record_count": F.when(done, F.col("b_records")).otherwise(F.col("record_count")), "failures": F.when(F.coalesce(F.col("b_status") != "partial", F.lit(False)), 0).otherwise(F.col("failures")),
     })
     return out.select(*state.columns)
 
@@ -430,16 +461,21 @@ def split_source(tables: dict[str, DataFrame], event_id: str, source_id: str, re
     return out
 
 
-def public_ids(events: DataFrame, pairs: str = "pairs", label: str = "public_id") -> DataFrame:
-    """Version-5 UUIDs over the sorted (source, record) pairs of each event; the same pairs give the same id."""
-    name = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat_ws(":", p["source_id"], p["provider_record_id"])), "|")
+def public_ids(events: DataFrame, pairs: str = "pairs", label: str = "public_id", prefix: str = "public/event/") -> DataFrame:
+    """Version-5 UUIDs over the JSON list of the sorted (source, record) pairs of each event; the same pairs give the same id."""
+    name = F.concat(F.lit(prefix), F.to_json(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p["source_id"].alias("a"), p["provider_record_id"].alias("b")))), lambda p: F.array(p["a"], p["b"]))))
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(name, "utf-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
     return events.withColumn(label, uuid)
 
 
-#: Content fields of an event's fingerprint; read clocks, caches and relations are left out.
+def repeated_public_ids(events: DataFrame, label: str = "public_id") -> DataFrame:
+    """Public ids that more than one event would bear: a publication with any must be refused."""
+    return events.groupBy(label).agg(F.count("*").alias("n")).where("n > 1")
+
+
+#: Content fields of an event's fingerprint (fixed values); read clocks, caches and relations are left out.
 FINGERPRINT = ("kind", "category", "title", "description", "occurred_start", "occurred_end", "issued_at", "source_updated_at", "valid_from", "valid_to", "countries", "location_precision", "time_precision", "severity", "original_severity", "lifecycle_status", "source_ids", "independent_source_count", "source_url")
 
 
@@ -507,7 +543,7 @@ def retained_counts(events: DataFrame, sources: DataFrame) -> DataFrame:
 def event_evidence(records: DataFrame, observations: DataFrame, registry: DataFrame, ids: DataFrame) -> DataFrame:
     """id, evidence: what is known of each event's records, in order."""
     r = records.join(ids.select(F.col("id").alias("event_id")).distinct(), "event_id", "left_semi").select("event_id", "source_id", "provider_record_id", "observation_id")
-    j = r.join(observations.select("observation_id", "retrieved_at", "issued_at", "source_updated_at", "source_url"), "observation_id").join(F.broadcast(registry.select("source_id", F.col("name").alias("source_name"))), "source_id", "left")
+    j = r.join(observations.select("observation_id", "retrieved_at", "issued_at", "source_updated_at", "source_url"), "observation_id").join(small(registry.select("source_id", F.col("name").alias("source_name"))), "source_id", "left")
     item = F.struct("source_id", "provider_record_id", "source_name", "retrieved_at", "issued_at", "source_updated_at", "source_url", "observation_id")
     return j.groupBy(F.col("event_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("evidence"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from eventlens.functions.time import BASIS_CLOCK, local_day
-from eventlens.operators.filters import basis_value, high_severity, is_fresh
-from eventlens.sources.lineage import cut
+from eventlens.operators.filters import backed_by_evidence, basis_value, high_severity, is_fresh
+from eventlens.sources.lineage import cut, small
 
 
 def order_events(df: DataFrame, basis: str) -> DataFrame:
@@ -72,10 +73,20 @@ def has_newer(observations: DataFrame, keys: list[str], clock: str) -> DataFrame
     return observations.withColumn("has_newer", F.lead("observation_id").over(w).isNotNull())
 
 
-def high_water(df: DataFrame, keys: list[str], clock: str, order: str) -> DataFrame:
-    """The greatest clock among earlier rows of a key."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("high_water", F.max(clock).over(w))
+def high_water(df: DataFrame, keys: list[str], clock: str, order: str, width: float = 86_400) -> DataFrame:
+    """The greatest clock among earlier rows of a key.
+
+    A key's rows are dealt by runs of `width` in order (seconds, for a timestamp): the greatest clock of each run, those
+    of the runs before it, and a window within the run; so no task holds a hot key's rows.
+    """
+    at = F.unix_timestamp(order) if isinstance(df.schema[order].dataType, TimestampType) else F.col(order).cast("double")
+    runs = df.withColumn("__run", F.floor(at / width))
+    per = runs.groupBy(*keys, "__run").agg(F.max(clock).alias("__top"))
+    before = F.max("__top").over(Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.col("__run").alias("__of_run"), before.alias("__before"))
+    joined = runs.join(per, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys] + [F.col("__run").eqNullSafe(F.col("__of_run"))])
+    inside = F.max(clock).over(Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return joined.withColumn("high_water", F.greatest("__before", inside)).select(*df.columns, "high_water")
 
 
 def timeline_by_day(df: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -83,13 +94,18 @@ def timeline_by_day(df: DataFrame, tz: str = "UTC") -> DataFrame:
     return df.groupBy(local_day(basis_value(), tz).alias("day")).agg(F.count("*").alias("n"), F.max("severity").alias("max_severity")).orderBy(F.desc_nulls_last("day"))
 
 
-def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | None = None, keys: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
     """Up to n rows per key: one of each category, then fresh ones, sources not yet shown first; no repeats.
 
+    A repeat has the category, trimmed title and countries of a row picked before, or is related to it as possibly the
+    same. With `sources`, only rows count that evidence of one of these sources backs, retrieved by `until`.
+
     Order: fresh, high source severity, newest basis clock, id. Of rows that repeat one another, name the same sources
     and have no twin the best one stands for all. A pick depends on earlier ones, so each of the n rounds is a grouped
     minimum over all rows that are still allowed; no rank cuts them and no task sorts them.
     """
+    if sources is not None:
+        df = df.where(backed_by_evidence(until, sources))
     keys = keys or []
     one = [*keys, "__all"]
     of = [F.col(k).alias(f"__of_{k}") for k in one]
@@ -97,7 +113,7 @@ def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | N
     clock = F.unix_micros(basis_value().cast("timestamp"))
     rank = F.struct(low(is_fresh(since, until)).alias("fresh"), low(high_severity()).alias("high"), clock.isNull().alias("undated"), (-clock).alias("clock"), "id")
     none = F.array().cast("array<string>")
-    d = df.select(*keys, F.lit(1).alias("__all"), "id", "category", F.array_sort(F.coalesce("source_ids", none)).alias("source_ids"), F.concat_ws("|", "category", F.lower("title"), F.array_join("countries", ",")).alias("repeat_key"), rank.alias("rank"))
+    d = df.select(*keys, F.lit(1).alias("__all"), "id", "category", F.array_sort(F.coalesce("source_ids", none)).alias("source_ids"), F.concat_ws("|", "category", F.trim("title"), F.array_join(F.array_sort("countries"), ",")).alias("repeat_key"), rank.alias("rank"))
     twins = None
     if relations is not None:
         same = relations.where("relation_type = 'possible_same_event'")
@@ -112,7 +128,7 @@ def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | N
         step = F.lit(0)
         if taken is not None:
             state = taken.groupBy(*of).agg(F.collect_set("category").alias("categories"), F.collect_set("repeat_key").alias("seen"), F.flatten(F.collect_list(F.when(F.col("step") == "category", F.col("source_ids")))).alias("shown"))
-            rest = d.join(_small(state), [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in one], "left").drop(*(f"__of_{k}" for k in one)).where(~F.coalesce(F.array_contains("seen", F.col("repeat_key")), F.lit(False)))
+            rest = d.join(small(state), [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in one], "left").drop(*(f"__of_{k}" for k in one)).where(~F.coalesce(F.array_contains("seen", F.col("repeat_key")), F.lit(False)))
             step = F.when(F.coalesce(F.array_contains("categories", F.col("category")), F.lit(False)), 1).otherwise(0)
             shown = F.coalesce("shown", none)
             if twins is not None:
@@ -127,10 +143,6 @@ def highlights(df: DataFrame, since, until, n: int = 8, relations: DataFrame | N
     return taken.select(*keys, "id", "step", "position")
 
 
-def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def briefing_pick(df: DataFrame, ids: DataFrame, n: int = 12) -> tuple[DataFrame, DataFrame]:
     """(rows of the first n distinct picked ids that are in scope, ids that are not)."""
     wanted = ids.select("id").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
+#: Categories, kinds, states, default time bases and severity labels of the event contract (fixed values).
 CATEGORIES = ("earthquake", "disaster", "weather", "aviation", "cyber", "internet", "space_weather")
 KINDS = ("incident", "advisory", "measurement", "publication")
 LIFECYCLES = ("active", "expired", "withdrawn", "unknown")
@@ -43,6 +44,12 @@ EVENT_COLUMNS = {
     "lifecycle_status": "string", "verification_status": "string", "origins": "array<string>", "external_ids": "array<string>", "supersedes": "array<string>", "tags": "array<string>",
     "raw": "string", "raw_hash": "string", "is_current": "boolean", "episode_id": "string", "sender": "string", "source_snapshot_at": "timestamp",
 }
+#: What is known of a source after its reads, and what a read reports of itself.
+SOURCE_STATE = (
+    "source_id string, status string, last_attempt_at timestamp, last_success_at timestamp, newest_content_at timestamp, record_count bigint, failures int, initialized boolean, last_complete_at timestamp, last_repair_at timestamp,"
+    " latest_snapshot_at timestamp, latest_observed_fetched_at timestamp, latest_observed_ingested_at timestamp, current_list_fetched_at timestamp, current_list_ingested_at timestamp"
+)
+BATCH_REPORT = "source_id string, provider_timestamp timestamp, warnings int, partial boolean, truncated boolean, repair_window boolean, current_list_complete boolean, current_list_fetched_at timestamp"
 QUARANTINE = "source_id string, url string, record_id string, reason string, raw string"
 
 

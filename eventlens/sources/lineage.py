@@ -5,11 +5,20 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; one of our own where it is unset, as in tests."""
+    """checkpoint() in the folder that spark.checkpoint.dir names; one of our own where it is unset on one machine, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="eventlens-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="eventlens-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df with a broadcast hint if it was counted to hold at most `most` rows; otherwise joins shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -161,14 +161,15 @@ def session_stream(df: DataFrame, clock: str, gap: str, keys: tuple, delay: str
 
 
 def relate_stream(a: DataFrame, b: DataFrame, seconds: int = 600, km: float = 25.0, delay: str = "1 hour") -> DataFrame:
-    """Pairs of two streams close in space and time: a watermarked interval join on a cell, then the distance."""
+    """Pairs of two streams close in space and time: a watermarked interval join on the cells of the batch join, then the distance."""
     from eventlens.functions.geo import geodesic_km
+    from eventlens.operators.geo_joins import Grid
 
-    step = 1.0
-    cell = lambda c, o=0: F.floor((F.col(c) + 180) / step) + o
+    grid = Grid(km)
     left = a.select(F.col("id").alias("a"), F.col("clock").alias("ta"), F.col("lon").alias("xa"), F.col("lat").alias("ya")).withWatermark("ta", delay)
-    left = left.withColumn("cx", F.explode(F.array(*(cell("xa", o) for o in (-1, 0, 1))))).withColumn("cy", F.explode(F.array(*(cell("ya", o) for o in (-1, 0, 1)))))
-    right = b.select(F.col("id").alias("b"), F.col("clock").alias("tb"), F.col("lon").alias("xb"), F.col("lat").alias("yb")).withWatermark("tb", delay).withColumns({"dx": cell("xb"), "dy": cell("yb")})
+    left = left.withColumn("cy", F.explode(grid.rows_near(F.col("ya")))).withColumn("cx", F.explode(grid.columns_near(F.col("xa"), F.col("cy"))))
+    right = b.select(F.col("id").alias("b"), F.col("clock").alias("tb"), F.col("lon").alias("xb"), F.col("lat").alias("yb")).withWatermark("tb", delay).withColumn("dy", grid.row(F.col("yb")))
+    right = right.withColumn("dx", grid.column(F.col("xb"), F.col("dy")))
     gap = F.expr(f"INTERVAL {seconds} SECONDS")
     on = (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")) & (F.col("ta") >= F.col("tb") - gap) & (F.col("ta") <= F.col("tb") + gap)
     j = left.join(right, on).withColumn("km", geodesic_km(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")))

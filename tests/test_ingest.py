@@ -208,7 +208,7 @@ def test_absence_is_unknown_not_withdrawn(spark):
     tags = ["current_list_not_archive", "until_revoked"]
     rows = [("h1", "active", tags, NOW - timedelta(hours=2)), ("h2", "active", tags, NOW), ("h3", "unknown", [*tags, "not_in_current_source_list"], NOW), ("h4", "active", [], NOW - timedelta(hours=2))]
     df = spark.createDataFrame([("imgw_hydro", "advisory", i, s, t, None, at) for i, s, t, at in rows], "source_id string, kind string, id string, lifecycle_status string, tags array<string>, valid_to timestamp, last_seen_at timestamp")
-    state = spark.createDataFrame([("imgw_hydro", NOW - timedelta(hours=1))], "source_id string, latest_observed_ingested_at timestamp")
+    state = spark.createDataFrame([("imgw_hydro", NOW - timedelta(hours=1))], "source_id string, current_list_ingested_at timestamp")
     assert {r.id: r.lifecycle_status for r in X.apply_absence(df, state).collect()} == {"h1": "unknown", "h2": "active", "h3": "active", "h4": "active"}
 
 
