@@ -690,7 +690,7 @@ def d01_d02_parsing(spark, sf_dir):
     return e.select("id", F.unix_timestamp(time.parse_ts(iso)["ts"]).alias("a"), F.unix_timestamp(time.parse_ts(mail)["ts"]).alias("b"), F.unix_timestamp(time.parse_ts(ahead)["ts"]).alias("c"), time.is_iso_ts(iso).alias("ok"))
 
 
-@query("""SELECT id, (CASE WHEN value * 0.05 >= 7 THEN 4 WHEN value * 0.05 >= 5.5 THEN 3 WHEN value * 0.05 >= 4 THEN 2 ELSE 1 END)::INT AS quake, ['usgs', 'nasa:firms', NULL, 'other'][1 + n % 4] AS family FROM ev""")
+@query("""SELECT id, (CASE WHEN value * 0.05 > 15 OR value * 0.05 < -5 THEN 0 WHEN value * 0.05 >= 7 THEN 4 WHEN value * 0.05 >= 5.5 THEN 3 WHEN value * 0.05 >= 4 THEN 2 ELSE 1 END)::INT AS quake, ['usgs', 'nasa:firms', NULL, 'other'][1 + n % 4] AS family FROM ev""")
 def m01_r04_ladders(spark, sf_dir):
     e = ev(spark, sf_dir)
     origin = F.element_at(F.array(F.lit("usgs:ci"), F.lit(" GWIS "), F.lit("unknown:x"), F.lit("Other")), (1 + F.col("n") % 4).cast("int"))
