@@ -51,8 +51,11 @@ _QUAKE = "CASE WHEN value * 0.05 > 15 OR value * 0.05 < -5 THEN 0 WHEN value * 0
 @query(_sql("CASE WHEN n % 17 = 0 THEN 'bad_id' WHEN n % 19 = 0 THEN 'bad_type' END", "'q' || n", f"CASE WHEN n % 10 = 0 THEN 0 ELSE {_QUAKE} END", "CASE WHEN n % 10 = 0 THEN 'withdrawn' ELSE 'active' END", _SEC, "'usgs:alt' || provider_record_id || ',usgs:q' || n", "CASE WHEN n % 10 = 0 THEN 'instantaneous_event,withdraw_only_if_known' ELSE 'instantaneous_event,magnitude_not_damage' END", bad_record="CASE WHEN n % 17 <> 0 THEN 'q' || n END"))
 def s03_s05_quakes(spark, sf_dir):
     """Quake feeds: bad ids and types are rejected, other event types withdraw."""
-    e, n = ev(spark, sf_dir), F.col("n").cast("string")
-    u = F.col("provider_record_id")
+    return _shown(feeds.normalize_usgs(quake_documents(ev(spark, sf_dir))), "occurred_start", _TAGS)
+
+
+def quake_documents(e: DataFrame) -> DataFrame:
+    n, u = F.col("n").cast("string"), F.col("provider_record_id")
     kind = F.when(F.col("n") % 19 == 0, "").when(F.col("n") % 10 == 0, "quarry blast").otherwise("earthquake")
     ms = (F.unix_timestamp("ts") * 1000).cast("string")
     p = F.struct((F.col("value") * 0.05).alias("mag"), F.lit("Somewhere").alias("place"), ms.alias("time"), ms.alias("updated"), _text(",q", n, ",alt", u, ",").alias("ids"), F.lit("us").alias("net"), kind.alias("type"))
@@ -60,7 +63,7 @@ def s03_s05_quakes(spark, sf_dir):
     rid = F.when(F.col("n") % 17 == 0, _text("bad id ", n)).otherwise(_text("q", n))
     f = F.struct(F.lit("Feature").alias("type"), rid.alias("id"), p.alias("properties"), g.alias("geometry"))
     body = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.struct(F.lit(1).alias("count")).alias("metadata"), F.array(f).alias("features")))
-    return _shown(feeds.normalize_usgs(documents(e, "usgs", body)), "occurred_start", _TAGS)
+    return documents(e, "usgs", body)
 
 
 @query(_sql("CASE WHEN n % 7 = 0 THEN 'bad_cve' WHEN nth = 2 THEN 'duplicate_cve' END", "'CVE-2024-' || lpad(n::VARCHAR, 7, '0')", "0", "'active'", "date_trunc('day', ts)", "'cve:CVE-2024-' || lpad(n::VARCHAR, 7, '0')", "'catalog_date_added,date_only_utc_anchor,no_incident_location,not_an_attack_report' || CASE WHEN n % 4 = 0 THEN ',ransomware_use_reported' ELSE '' END",

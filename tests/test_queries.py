@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from eventlens import feed_queries, queries, state_queries  # noqa: F401  they register their queries
+from eventlens import feed_queries, queries, state_queries, stream_queries  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
 
