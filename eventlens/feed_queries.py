@@ -35,7 +35,11 @@ def _text(*parts) -> Column:
 
 
 _N = "n::VARCHAR"
-_TAGS = F.array_join("tags", ",")
+
+
+def _tags() -> Column:
+    return F.array_join("tags", ",")
+
 
 
 def _sql(reason: str, record: str, severity: str, state: str, clock: str, keys: str, more: str, source: str = "ev", bad_record: str | None = None) -> str:
@@ -51,7 +55,7 @@ _QUAKE = "CASE WHEN value * 0.05 > 15 OR value * 0.05 < -5 THEN 0 WHEN value * 0
 @query(_sql("CASE WHEN n % 17 = 0 THEN 'bad_id' WHEN n % 19 = 0 THEN 'bad_type' END", "'q' || n", f"CASE WHEN n % 10 = 0 THEN 0 ELSE {_QUAKE} END", "CASE WHEN n % 10 = 0 THEN 'withdrawn' ELSE 'active' END", _SEC, "'usgs:alt' || provider_record_id || ',usgs:q' || n", "CASE WHEN n % 10 = 0 THEN 'instantaneous_event,withdraw_only_if_known' ELSE 'instantaneous_event,magnitude_not_damage' END", bad_record="CASE WHEN n % 17 <> 0 THEN 'q' || n END"))
 def s03_s05_quakes(spark, sf_dir):
     """Quake feeds: bad ids and types are rejected, other event types withdraw."""
-    return _shown(feeds.normalize_usgs(quake_documents(ev(spark, sf_dir))), "occurred_start", _TAGS)
+    return _shown(feeds.normalize_usgs(quake_documents(ev(spark, sf_dir))), "occurred_start", _tags())
 
 
 def quake_documents(e: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def s11_vulnerabilities(spark, sf_dir):
     cve = F.when(F.col("n") % 7 == 0, _text("cve-", n)).otherwise(_text("CVE-2024-", F.lpad(n, 7, "0")))
     v = F.struct(cve.alias("cveID"), _text("Flaw ", n).alias("vulnerabilityName"), F.date_format("ts", "yyyy-MM-dd").alias("dateAdded"), F.when(F.col("n") % 4 == 0, "Known").otherwise("Unknown").alias("knownRansomwareCampaignUse"))
     body = F.to_json(F.struct(F.lit("1").alias("catalogVersion"), _iso().alias("dateReleased"), F.lit(1).alias("count"), F.when(F.col("n") % 5 == 0, F.array(v, v)).otherwise(F.array(v)).alias("vulnerabilities")))
-    return _shown(feeds.normalize_kev(documents(e, "cisa_kev", body)), "issued_at", _TAGS)
+    return _shown(feeds.normalize_kev(documents(e, "cisa_kev", body)), "issued_at", _tags())
 
 
 _END = "date_trunc('day', ts) + to_days((n % 40)::INT) + INTERVAL 1 DAY"
@@ -144,7 +148,7 @@ def s15_s16_d03_bulletins(spark, sf_dir):
     message = _text("Space Weather Message Code: WARK04\nSerial Number: ", F.when(F.col("n") % 13 == 0, "x").otherwise(n), "\nIssue Time: ", at(F.lit(0)), "\n\n", head, "\n", ref, "Valid From: ", at(F.lit(1)), "\nValid To: ", F.when(F.col("n") % 17 == 0, at(F.lit(0))).otherwise(at(F.lit(6))), "\n")
     body = F.to_json(F.array(F.struct(F.lit("K04W").alias("product_id"), message.alias("message"))))
     events, bad = feeds.normalize_swpc(documents(e, "noaa_swpc", body))
-    return _shown((feeds.resolve_swpc_refs(events), bad), "issued_at", _TAGS)
+    return _shown((feeds.resolve_swpc_refs(events), bad), "issued_at", _tags())
 
 
 @query(_sql("CASE WHEN n % 5 = 0 THEN 'category' WHEN n % 7 = 0 THEN 'guid_disagrees' END", "'2024/' || n", "0", "'unknown'", _SEC, "'cert_pl:2024/' || n", "'end_user_notice,no_incident_location,publication_index,validity_unknown'"))
@@ -155,7 +159,7 @@ def s04_s18_notices(spark, sf_dir):
     guid = F.when(F.col("n") % 7 == 0, "https://moje.cert.pl/komunikaty/2024/1x/").otherwise(link)
     item = _text("<item><title>t</title><link>", link, "</link><pubDate>", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), " +0000</pubDate><guid>", guid, "</guid><category>", F.when(F.col("n") % 5 == 0, "firms").otherwise("users"), "</category><category>x</category></item>")
     body = _text('<?xml version="1.0"?><rss><channel><title>c</title><link>https://moje.cert.pl/</link>', item, "</channel></rss>")
-    return _shown(feeds.normalize_cert(documents(e, "cert_pl", body)), "issued_at", _TAGS)
+    return _shown(feeds.normalize_cert(documents(e, "cert_pl", body)), "issued_at", _tags())
 
 
 @query(_sql("CASE WHEN n % 11 = 0 THEN 'unconfirmed' WHEN n % 13 = 0 THEN 'bad_degree' END", "(n + 1)::VARCHAR", "[2, 3, 4, 0][1 + n % 4]", f"CASE WHEN n % 6 = 0 THEN 'withdrawn' WHEN n % 5 = 0 THEN 'active' WHEN {_SEC} + INTERVAL 12 HOURS <= TIMESTAMP '2024-01-31' THEN 'expired' ELSE 'active' END", _SEC, "'imgw:hydro:' || (n + 1)", "CASE WHEN n % 5 = 0 THEN 'open' ELSE epoch(date_trunc('second', ts) + INTERVAL 12 HOURS)::BIGINT::VARCHAR END", "(SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-31')"))

@@ -21,7 +21,14 @@ from eventlens.sources import feeds, sinks
 
 MID = datetime(2024, 1, 15)
 _MID = "TIMESTAMP '2024-01-15'"
-_N, _U = F.col("n"), F.col("provider_record_id")
+
+
+def _n() -> Column:
+    return F.col("n")
+
+
+def _u() -> Column:
+    return F.col("provider_record_id")
 
 
 def _s(c: str | Column) -> Column:
@@ -29,7 +36,7 @@ def _s(c: str | Column) -> Column:
 
 
 def _mod(k: int, r: int = 0) -> Column:
-    return _N % k == r
+    return _n() % k == r
 
 
 def _at(x: datetime) -> Column:
@@ -48,8 +55,8 @@ def _rows(df: DataFrame, **values: Column) -> DataFrame:
 
 def _batch(e: DataFrame, k: int) -> DataFrame:
     """Batch k of three: the events of n % 3 = k; each (source, user) has as many versions as events."""
-    return _rows(e.where(F.col("n") % 3 == k), source_id=F.col("source_id"), provider_record_id=_U, kind=F.lit("incident"), category=F.lit("internet"), title=F.col("title"), source_updated_at=F.col("ts"), origins=F.array("source_id"), external_ids=F.array(F.concat(F.lit("a:"), _U)),
-                 lifecycle_status=F.col("lifecycle_status"), raw_hash=F.md5(F.concat_ws("|", "source_id", _U, _s("n"))))
+    return _rows(e.where(F.col("n") % 3 == k), source_id=F.col("source_id"), provider_record_id=_u(), kind=F.lit("incident"), category=F.lit("internet"), title=F.col("title"), source_updated_at=F.col("ts"), origins=F.array("source_id"), external_ids=F.array(F.concat(F.lit("a:"), _u())),
+                 lifecycle_status=F.col("lifecycle_status"), raw_hash=F.md5(F.concat_ws("|", "source_id", _u(), _s("n"))))
 
 
 @query("""WITH b AS (SELECT unnest([0, 1, 2]) AS k), r AS (SELECT k, source_id, provider_record_id, arg_max(ev.n, (ts, ev.n)) AS n, max(ts) AS ts FROM b JOIN ev ON ev.n % 3 <= k GROUP BY ALL),
@@ -73,7 +80,7 @@ SELECT 'w' || u AS record, CASE WHEN u % 3 = 0 THEN 'unknown' ELSE 'active' END
 def p07_i16_i20_current_lists(spark, sf_dir):
     """A complete list of warnings, one that lacks each third, and a late one that is refused whole."""
     users = ev(spark, sf_dir).groupBy("provider_record_id").agg(F.max("ts").alias("ts"))
-    warning = lambda rows: _rows(rows, source_id=F.lit("imgw_hydro"), provider_record_id=F.concat(F.lit("w"), _U), kind=F.lit("advisory"), category=F.lit("weather"), title=F.lit("Flood"), valid_from=_at(MID), tags=F.array(F.lit("current_list_not_archive"), F.lit("until_revoked")), origins=F.array(F.lit("imgw")), raw_hash=F.md5(_U))
+    warning = lambda rows: _rows(rows, source_id=F.lit("imgw_hydro"), provider_record_id=F.concat(F.lit("w"), _u()), kind=F.lit("advisory"), category=F.lit("weather"), title=F.lit("Flood"), valid_from=_at(MID), tags=F.array(F.lit("current_list_not_archive"), F.lit("until_revoked")), origins=F.array(F.lit("imgw")), raw_hash=F.md5(_u()))
     tables = P.empty_tables(spark) | {"state": spark.createDataFrame([("imgw_hydro",)], "source_id string").select("source_id", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in SOURCE_STATE.split(", ")[1:]))}
     runs, refused = [], None
     for hours, kept, clock in ((0, "true", 0), (1, "provider_record_id % 3 <> 0", 1), (2, "true", 0)):
@@ -112,15 +119,15 @@ def j01_latest_material(spark, sf_dir):
     """Records and the observation they point to."""
     e = ev(spark, sf_dir).where("n % 2 = 0")
     obs = e.select("source_id", "provider_record_id", F.concat(F.lit("v"), _s("n")).alias("observation_id"), "n")
-    rec = e.groupBy("source_id", "provider_record_id").agg(F.max("n").alias("m"), F.max("ts").alias("last_seen_at")).select("source_id", "provider_record_id", _U.alias("event_id"), F.concat(F.lit("v"), _s("m")).alias("observation_id"), "last_seen_at")
+    rec = e.groupBy("source_id", "provider_record_id").agg(F.max("n").alias("m"), F.max("ts").alias("last_seen_at")).select("source_id", "provider_record_id", _u().alias("event_id"), F.concat(F.lit("v"), _s("m")).alias("observation_id"), "last_seen_at")
     return I.latest_material(rec, obs).select("source_id", F.col("provider_record_id").alias("record"), "n", "observation_id")
 
 
 @query("SELECT id FROM ev WHERE provider_record_id::INT % 3 = 0 OR category = 'cyber'")
 def j03_known_only(spark, sf_dir):
     """Withdrawals of which some key is known."""
-    e = ev(spark, sf_dir).select(F.col("id").alias("record_id"), F.array(F.concat(F.lit("u:"), _U), F.concat(F.lit("c:"), "category")).alias("keys"), "provider_record_id")
-    known = e.where("provider_record_id % 3 = 0").select(F.concat(F.lit("u:"), _U).alias("external_id")).distinct().union(spark.createDataFrame([("c:cyber",)], "external_id string"))
+    e = ev(spark, sf_dir).select(F.col("id").alias("record_id"), F.array(F.concat(F.lit("u:"), _u()), F.concat(F.lit("c:"), "category")).alias("keys"), "provider_record_id")
+    known = e.where("provider_record_id % 3 = 0").select(F.concat(F.lit("u:"), _u()).alias("external_id")).distinct().union(spark.createDataFrame([("c:cyber",)], "external_id string"))
     return I.apply_known_only(e, known).select(F.col("record_id").alias("id"))
 
 
@@ -128,7 +135,7 @@ def j03_known_only(spark, sf_dir):
 def j04_overrides(spark, sf_dir):
     """Manual assignments win; against keys of another event they conflict."""
     r = ev(spark, sf_dir).select("source_id", "provider_record_id").distinct()
-    event = lambda k: F.concat(F.lit("E"), _s((_U % k).cast("int")))
+    event = lambda k: F.concat(F.lit("E"), _s((_u() % k).cast("int")))
     resolved = r.withColumns({"matches": F.array(event(6)), "event_id": event(6)})
     overrides = r.where("provider_record_id % 4 = 0").withColumn("event_id", event(8))
     return I.apply_overrides(resolved, overrides).select("source_id", F.col("provider_record_id").alias("record"), "event_id", "conflict")
@@ -161,7 +168,7 @@ def _relations(e: DataFrame) -> DataFrame:
 
     nxt = F.lead("id").over(Window.partitionBy("provider_record_id").orderBy("n"))
     r = e.select("id", "n", "ts", nxt.alias("o")).where((F.col("n") % 4 == 0) & F.col("o").isNotNull())
-    return r.select(F.least("id", "o").alias("event_a"), F.greatest("id", "o").alias("event_b"), F.when(_mod(8), "possible_same_event").otherwise("near_in_space_and_time").alias("relation_type"), (_N % 50).cast("double").alias("distance_km"), (_N % 6).cast("double").alias("time_delta_hours"), F.col("ts").alias("created_at"))
+    return r.select(F.least("id", "o").alias("event_a"), F.greatest("id", "o").alias("event_b"), F.when(_mod(8), "possible_same_event").otherwise("near_in_space_and_time").alias("relation_type"), (_n() % 50).cast("double").alias("distance_km"), (_n() % 6).cast("double").alias("time_delta_hours"), F.col("ts").alias("created_at"))
 
 
 _REL = """rel AS (SELECT least(id, o) AS a, greatest(id, o) AS b, CASE WHEN n % 8 = 0 THEN 'possible_same_event' ELSE 'near_in_space_and_time' END AS rkind, (n % 50)::DOUBLE AS km, (n % 6)::DOUBLE AS dt, ts AS created FROM (SELECT id, n, ts, lead(id) OVER (PARTITION BY provider_record_id ORDER BY n) AS o FROM ev) WHERE n % 4 = 0 AND o IS NOT NULL),
@@ -193,7 +200,7 @@ def w03_w04_recent(spark, sf_dir):
     """The latest relation of each event and the five latest revisions of each user."""
     e = ev(spark, sf_dir)
     rel = L.recent_relations(_relations(e), 1).select(F.lit("relation").alias("what"), "id", "other")
-    rev = L.recent_revisions(e.select(_U.alias("event_id"), F.col("ts").alias("changed_at"), F.col("id").alias("revision_id")), 5)
+    rev = L.recent_revisions(e.select(_u().alias("event_id"), F.col("ts").alias("changed_at"), F.col("id").alias("revision_id")), 5)
     return rel.unionByName(rev.select(F.lit("revision").alias("what"), F.col("event_id").alias("id"), F.col("revision_id").alias("other")))
 
 
@@ -204,7 +211,7 @@ def j12_not_superseded(spark, sf_dir):
 
     before = F.lag(_s("n")).over(Window.partitionBy("provider_record_id").orderBy("n"))
     m = ev(spark, sf_dir).withColumn("ref", before)
-    m = m.select("id", F.lit("meteoalarm").alias("source_id"), _U.alias("event_id"), _s("n").alias("provider_record_id"), F.when(_mod(2) & F.col("ref").isNotNull(), F.array("ref")).otherwise(F.array().cast("array<string>")).alias("supersedes"))
+    m = m.select("id", F.lit("meteoalarm").alias("source_id"), _u().alias("event_id"), _s("n").alias("provider_record_id"), F.when(_mod(2) & F.col("ref").isNotNull(), F.array("ref")).otherwise(F.array().cast("array<string>")).alias("supersedes"))
     return I.not_superseded(m).select("id")
 
 
@@ -236,9 +243,9 @@ SELECT 'status' AS what, status AS value, count(*) AS n FROM t GROUP BY 2 UNION
 UNION ALL SELECT 'refused', (src = 'imgw_hydro' AND (c IS NULL OR coalesce(c > {_MID} + INTERVAL 5 MINUTES, false) OR c <= TIMESTAMP '2024-01-10'))::VARCHAR, count(*) FROM t GROUP BY 2""")
 def i16_i18_i19_batch_rules(spark, sf_dir):
     """Status, reconcile rule and list clock of many reads after one earlier list."""
-    src = F.element_at(F.array(F.lit("usgs"), F.lit("imgw_hydro"), F.lit("other")), (1 + _N % 3).cast("int"))
+    src = F.element_at(F.array(F.lit("usgs"), F.lit("imgw_hydro"), F.lit("other")), (1 + _n() % 3).cast("int"))
     clock = F.when(_mod(2), F.col("issued_at"))
-    stats = ev(spark, sf_dir).select("n", src.alias("source_id"), clock.alias("provider_timestamp"), clock.alias("current_list_fetched_at"), _mod(5).alias("current_list_complete"), (_N % 11 == 0).cast("int").alias("rejected"), (_N % 13 == 0).cast("int").alias("warnings"), F.lit(False).alias("partial"), F.lit(None).cast("boolean").alias("truncated"), (_N % 4).alias("records"))
+    stats = ev(spark, sf_dir).select("n", src.alias("source_id"), clock.alias("provider_timestamp"), clock.alias("current_list_fetched_at"), _mod(5).alias("current_list_complete"), (_n() % 11 == 0).cast("int").alias("rejected"), (_n() % 13 == 0).cast("int").alias("warnings"), F.lit(False).alias("partial"), F.lit(None).cast("boolean").alias("truncated"), (_n() % 4).alias("records"))
     state = spark.createDataFrame([("imgw_hydro", datetime(2024, 1, 10), None, datetime(2024, 1, 10), None)], "source_id string, current_list_fetched_at timestamp, latest_observed_fetched_at timestamp, current_list_ingested_at timestamp, latest_observed_ingested_at timestamp")
     done = I.batch_status(stats, MID)
     count = lambda df, what, value: df.groupBy(F.lit(what).alias("what"), value.cast("string").alias("value")).agg(F.count("*").alias("n"))
@@ -249,7 +256,7 @@ def i16_i18_i19_batch_rules(spark, sf_dir):
 SELECT u AS source_id, st AS status, u::INT % 2 = 0 OR st = 'ok' AS initialized, CASE WHEN st = 'ok' THEN '2024-01-31' WHEN u::INT % 2 = 0 THEN '2024-01-15' END AS complete, CASE WHEN u::INT % 3 = 0 AND st = 'ok' THEN '2024-01-31' END AS repaired, epoch(date_trunc('second', ts))::BIGINT AS newest, CASE WHEN u::INT % 7 = 0 AND st = 'partial' THEN 5 ELSE records END AS record_count, CASE WHEN st = 'partial' THEN 2 ELSE 0 END::INT AS failures FROM s""")
 def i17_k05_source_state(spark, sf_dir):
     """Marks and state of many sources after a read each; every seventh came empty."""
-    r = ev(spark, sf_dir).groupBy(_U.alias("source_id")).agg(F.count("*").alias("records"), F.max("ts").alias("newest_content_at"))
+    r = ev(spark, sf_dir).groupBy(_u().alias("source_id")).agg(F.count("*").alias("records"), F.max("ts").alias("newest_content_at"))
     k = F.col("source_id").cast("int")
     none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in SOURCE_STATE.split(", ")}
     values = none | {"source_id": F.col("source_id"), "record_count": F.lit(5).cast("long"), "failures": F.lit(2), "initialized": k % 2 == 0, "last_complete_at": F.when(k % 2 == 0, _at(MID))}
@@ -265,7 +272,7 @@ def i17_k05_source_state(spark, sf_dir):
 @query("""WITH r AS (SELECT DISTINCT provider_record_id AS u FROM ev) SELECT u AS source_id, CASE WHEN u::INT % 2 = 0 THEN CASE WHEN u::INT % 7 = 0 THEN 'needs_credentials' ELSE 'disabled' END WHEN u::INT % 5 = 0 OR u::INT % 3 = 0 THEN 'pending' ELSE 'ok' END AS status FROM r""")
 def k13_seed_sources(spark, sf_dir):
     """A registry over earlier states: kept, unless disabled, without a key, new, or enabled again."""
-    r = ev(spark, sf_dir).select(_U.alias("source_id")).distinct()
+    r = ev(spark, sf_dir).select(_u().alias("source_id")).distinct()
     k = F.col("source_id").cast("int")
     registry = r.select("source_id", F.col("source_id").alias("name"), F.lit("internet").alias("category"), F.lit(300).alias("poll_seconds"), (k % 7 == 0).alias("needs_key"))
     state = r.where(k % 5 != 0).select("source_id", F.when(k % 3 == 0, "disabled").otherwise("ok").alias("status"), _at(MID).alias("last_success_at"))
@@ -278,7 +285,7 @@ def k13_seed_sources(spark, sf_dir):
 SELECT src AS source_id, state, CASE WHEN state = 'expired' THEN 'expired' ELSE 'updated' END AS change_type, count(*) AS n FROM y WHERE state <> lifecycle_status GROUP BY ALL""")
 def i20_expire(spark, sf_dir):
     """What a clock alone changes."""
-    e = ev(spark, sf_dir).withColumns({"source_id": F.element_at(F.array(F.lit("meteoalarm"), F.lit("noaa_swpc"), F.lit("other")), (1 + _N % 3).cast("int")), "event_id": F.col("id")})
+    e = ev(spark, sf_dir).withColumns({"source_id": F.element_at(F.array(F.lit("meteoalarm"), F.lit("noaa_swpc"), F.lit("other")), (1 + _n() % 3).cast("int")), "event_id": F.col("id")})
     return I.expire_advisories(e, MID).groupBy("source_id", F.col("lifecycle_status").alias("state"), "change_type").agg(F.count("*").alias("n"))
 
 
@@ -306,9 +313,9 @@ UNION ALL SELECT CASE WHEN mine THEN 'moving' ELSE 'staying' END, 'preview of ev
 def i22_i23_j18_split(spark, sf_dir):
     """One user's event split by source: preview, check of keys, and the tables after it."""
     e = ev(spark, sf_dir).withColumn("observation_id", F.concat(F.lit("o"), "id"))
-    rec = e.select("source_id", "provider_record_id", _U.alias("event_id")).distinct()
+    rec = e.select("source_id", "provider_record_id", _u().alias("event_id")).distinct()
     key = F.concat_ws(":", F.lit("record"), "source_id", "provider_record_id")
-    tables = {"records": rec, "external_ids": rec.select(key.alias("external_id"), "event_id"), "observations": e.select("observation_id", "source_id"), "evidence": e.select(_U.alias("event_id"), "observation_id"), "overrides": spark.createDataFrame([], "source_id string, provider_record_id string, event_id string, reason string, decided_at timestamp")}
+    tables = {"records": rec, "external_ids": rec.select(key.alias("external_id"), "event_id"), "observations": e.select("observation_id", "source_id"), "evidence": e.select(_u().alias("event_id"), "observation_id"), "overrides": spark.createDataFrame([], "source_id string, provider_record_id string, event_id string, reason string, decided_at timestamp")}
     seen = I.preview_split(tables, "7", "click").where("what = 'evidence'").select(F.col("side").alias("event_id"), F.lit("preview of evidence").alias("what"), "n")
     asked = tables["external_ids"].where("event_id = '7'")
     keys = I.check_split(tables, asked, "7").select(F.lit("keys of 7").alias("event_id"), F.when(F.col("ok"), "ok").otherwise("changed").alias("what"), F.col("keys").alias("n"))
@@ -331,7 +338,7 @@ def i25_fingerprints(spark, sf_dir):
 @query("SELECT lower(k) AS id FROM (SELECT CASE WHEN n % 10 = 0 THEN 'E' || (n + 1) ELSE id END AS k FROM ev) GROUP BY 1 HAVING count(*) = 1")
 def i26_baseline_ids(spark, sf_dir):
     """A baseline leaves out ids that are not unique without case."""
-    e = ev(spark, sf_dir).withColumn("id", F.when(_mod(10), F.concat(F.lit("E"), _s(_N + 1))).otherwise(F.col("id")))
+    e = ev(spark, sf_dir).withColumn("id", F.when(_mod(10), F.concat(F.lit("E"), _s(_n() + 1))).otherwise(F.col("id")))
     return I.make_baseline(e).select("id")
 
 
@@ -343,8 +350,8 @@ def j14_l10_i29_retained(spark, sf_dir):
     e = ev(spark, sf_dir).withColumn("source_ids", F.array("source_id"))
     pair = lambda r: F.array(F.struct("source_id", r.alias("provider_record_id")))
     failed = F.col("source_id").isin("click", "view")
-    current = e.where((_N % 2 == 0) & ~failed).select(F.concat(F.lit("c"), _s("n")).alias("id"), "source_ids", "tags", pair(_U).alias("pairs"))
-    previous = e.where(_N % 3 == 0).select(F.concat(F.lit("p"), _s("n")).alias("id"), "source_ids", "tags", pair(F.concat(F.lit("p"), _U)).alias("pairs"))
+    current = e.where((_n() % 2 == 0) & ~failed).select(F.concat(F.lit("c"), _s("n")).alias("id"), "source_ids", "tags", pair(_u()).alias("pairs"))
+    previous = e.where(_n() % 3 == 0).select(F.concat(F.lit("p"), _s("n")).alias("id"), "source_ids", "tags", pair(F.concat(F.lit("p"), _u())).alias("pairs"))
     sources = e.select("source_id").distinct().select("source_id", F.when(failed, "error").otherwise("ok").alias("status"), _at(MID).alias("last_success_at"), F.lit(1).cast("long").alias("record_count"))
     out = I.retain_previous(current, previous, sources)
     kept = I.retained_counts(out.where("id like 'p%'"), sources).where("status = 'error'").agg(F.lit("kept").alias("what"), F.sum("record_count").alias("n"))
@@ -366,15 +373,15 @@ SELECT source_id, (SELECT count(DISTINCT provider_record_id) FROM g WHERE g.sour
 def a12_a13_batch_stats(spark, sf_dir):
     """Accepted and rejected rows of each source, the newest content up to a clock."""
     e = ev(spark, sf_dir)
-    norm = e.where(_N % 10 != 0).select("source_id", "provider_record_id", F.col("ts").alias("source_updated_at"), F.lit(None).cast("timestamp").alias("issued_at"), F.lit(None).cast("timestamp").alias("occurred_start"))
-    bad = e.where(_mod(10)).select("source_id", F.concat(F.lit("reason"), _s(_N % 4)).alias("reason"))
+    norm = e.where(_n() % 10 != 0).select("source_id", "provider_record_id", F.col("ts").alias("source_updated_at"), F.lit(None).cast("timestamp").alias("issued_at"), F.lit(None).cast("timestamp").alias("occurred_start"))
+    bad = e.where(_mod(10)).select("source_id", F.concat(F.lit("reason"), _s(_n() % 4)).alias("reason"))
     return A.batch_stats(norm, bad, MID).select("source_id", "records", "rejected", F.array_join("reasons", ",").alias("reasons"), F.unix_timestamp("newest_content_at").alias("newest"))
 
 
 def _evidence(e: DataFrame) -> DataFrame:
     """Events with two evidence rows: at their clock, and n % 100 hours later."""
     item = lambda at: F.struct("source_id", at.alias("retrieved_at"))
-    return e.withColumn("evidence", F.array(item(F.col("ts")), item(F.col("ts") + F.make_interval(hours=(_N % 100).cast("int")))))
+    return e.withColumn("evidence", F.array(item(F.col("ts")), item(F.col("ts") + F.make_interval(hours=(_n() % 100).cast("int")))))
 
 
 @query("SELECT id, epoch(date_trunc('second', ts))::BIGINT AS oldest, epoch(date_trunc('second', ts + to_hours((n % 100)::INT)))::BIGINT AS newest, source_id IN ('click', 'view') AND ts <= TIMESTAMP '2024-01-15' + INTERVAL 5 MINUTES AS backed FROM ev")
@@ -393,7 +400,7 @@ def a21_country_extent(spark, sf_dir):
 
 @query("SELECT count(*) AS sources, count(*) FILTER (n % 3 = 0 OR (n % 3 = 1 AND n % 5 = 0)) AS errors, count(*) - count(DISTINCT source_id || provider_record_id) AS repeated, true AS publishable FROM ev")
 def a27_publication_status(spark, sf_dir):
-    s = ev(spark, sf_dir).select(F.concat("source_id", "provider_record_id").alias("source_id"), F.when(_mod(3), "error").when(_mod(3, 1), "partial").otherwise("ok").alias("status"), (_N % 5).alias("record_count"))
+    s = ev(spark, sf_dir).select(F.concat("source_id", "provider_record_id").alias("source_id"), F.when(_mod(3), "error").when(_mod(3, 1), "partial").otherwise("ok").alias("status"), (_n() % 5).alias("record_count"))
     return A.publication_status(s)
 
 
@@ -403,7 +410,7 @@ def l08_l13_picks(spark, sf_dir):
     e = ev(spark, sf_dir)
     both = L.intersect_views(e.where("severity = 4"), e.where("category = 'cyber'"))
     first, _ = L.briefing_pick(e, both, 1)
-    _, unknown = L.briefing_pick(e, e.select(F.concat(F.lit("e"), _s(_N * 3)).alias("id")))
+    _, unknown = L.briefing_pick(e, e.select(F.concat(F.lit("e"), _s(_n() * 3)).alias("id")))
     return both.agg(F.count("*").alias("both_views")).crossJoin(first.agg(F.min("id").alias("first"))).crossJoin(unknown.agg(F.count("*").alias("unknown")))
 
 
@@ -414,7 +421,7 @@ def l09_feed_order(spark, sf_dir):
 
     e = ev(spark, sf_dir).groupBy("provider_record_id").agg(F.max_by("lifecycle_status", "n").alias("lifecycle_status"), F.date_trunc("day", F.max("ts")).alias("source_updated_at"))
     e = feeds.feed_order(e.withColumns({"issued_at": F.lit(None).cast("timestamp"), "occurred_start": F.lit(None).cast("timestamp")})).withColumn("seq", F.monotonically_increasing_id())
-    return e.select(_U.alias("record"), F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
+    return e.select(_u().alias("record"), F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
 
 
 @query("SELECT count(*) AS background FROM ev WHERE change_type = 'initial_import' AND NOT (coalesce(issued_at >= TIMESTAMP '2024-01-24' AND issued_at < TIMESTAMP '2024-01-31', false) OR coalesce(n % 7 = 0 AND date_trunc('day', issued_at) < TIMESTAMP '2024-01-31' AND date_trunc('day', issued_at) + INTERVAL 1 DAY > TIMESTAMP '2024-01-24', false) OR coalesce(kind IN ('incident', 'measurement') AND occurred_start >= TIMESTAMP '2024-01-24' AND occurred_start < TIMESTAMP '2024-01-31', false) OR coalesce(kind IN ('incident', 'measurement') AND n % 7 = 0 AND date_trunc('day', occurred_start) < TIMESTAMP '2024-01-31' AND date_trunc('day', occurred_start) + INTERVAL 1 DAY > TIMESTAMP '2024-01-24', false))")
@@ -425,7 +432,7 @@ def a02_background_count(spark, sf_dir):
 @query(f"""WITH {_REL}, o AS (SELECT provider_record_id AS u, count(*) AS evidence, max(ts) AS newest FROM ev GROUP BY 1) SELECT 'user' || o.u AS id, evidence, epoch(date_trunc('second', newest))::BIGINT AS newest, least(30, evidence) AS revisions FROM o WHERE o.u::INT % 2 = 0""")
 def p02_j09_event_detail(spark, sf_dir):
     """Users as events: evidence of their records and at most 30 revisions."""
-    e = ev(spark, sf_dir).withColumns({"event_id": F.concat(F.lit("user"), _U), "observation_id": F.concat(F.lit("o"), "id")})
+    e = ev(spark, sf_dir).withColumns({"event_id": F.concat(F.lit("user"), _u()), "observation_id": F.concat(F.lit("o"), "id")})
     # every observation is a record of its own here
     rec = e.select("event_id", "source_id", F.col("id").alias("provider_record_id"), "observation_id")
     obs = e.select("observation_id", F.col("ts").alias("retrieved_at"), "issued_at", F.col("ts").alias("source_updated_at"), "source_url")
@@ -485,7 +492,7 @@ def s26_t09_scopes(spark, sf_dir):
 @query("""WITH q AS (SELECT provider_record_id::INT AS u, count(*) AS k FROM ev GROUP BY 1) SELECT u, concat_ws(',', CASE WHEN u % 5 = 0 THEN 'time_basis' END, CASE WHEN u % 7 = 0 THEN 'window_hours' END, CASE WHEN u % 3 = 0 THEN 'radius_incomplete' END, CASE WHEN u % 6 = 5 THEN 'severity_min' END) AS violations FROM q""")
 def f29_validate_queries(spark, sf_dir):
     """A query a user, some with faults."""
-    u = _U.cast("int")
+    u = _u().cast("int")
     q = ev(spark, sf_dir).select(u.alias("u")).distinct()
     q = q.select("u", F.col("u").cast("string").alias("query_id"), F.when(F.col("u") % 5 == 0, "other").otherwise("occurred").alias("time_basis"), F.when(F.col("u") % 7 == 0, 1000).otherwise(24).alias("window_hours"), F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("until"),
                  F.when(F.col("u") % 3 == 0, 1.0).alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("radius_km"), F.when(F.col("u") % 6 == 5, 9).otherwise(1).alias("severity_min"))
@@ -526,15 +533,15 @@ def t07_country_codes(spark, sf_dir):
     iso = lambda k: F.element_at(F.array(*map(F.lit, CODES)), (1 + k).cast("int"))
     table = _boundaries(spark, sf_dir).select("iso2", F.lit(None).cast("string").alias("iso3"), "name")
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.initcap("n_name").alias("country"))
-    e = ev(spark, sf_dir).withColumn("k", (_N + 1) % 25).join(F.broadcast(names), F.col("k") == F.col("n_nationkey"))
-    e = e.withColumn("places", F.concat_ws("; ", F.lower(iso(_N % 25)), "country", F.lit("Atlantis")))
+    e = ev(spark, sf_dir).withColumn("k", (_n() + 1) % 25).join(F.broadcast(names), F.col("k") == F.col("n_nationkey"))
+    e = e.withColumn("places", F.concat_ws("; ", F.lower(iso(_n() % 25)), "country", F.lit("Atlantis")))
     return D.country_codes(e, "places", table).select("id", F.array_join("countries", ",").alias("codes"))
 
 
 @query(r"""SELECT id, concat_ws(',', CASE WHEN n % 3 = 0 THEN 'DE' END, CASE WHEN n % 2 = 0 THEN 'PL' END) AS places, CASE n % 4 WHEN 0 THEN 'earthquake' WHEN 1 THEN 'weather' WHEN 2 THEN 'cyber' ELSE '' END AS topic FROM ev""")
 def t11_alias_tags(spark, sf_dir):
     """Country and category words of a question, whole words only."""
-    words = F.concat_ws(" ", F.when(_mod(2), "w Polsce").otherwise("plan"), F.when(_mod(3), "Niemcy"), F.element_at(F.array(F.lit("trzęsienia ziemi"), F.lit("ostrzeżenia pogodowe"), F.lit("podatności"), F.lit("kevlar")), (1 + _N % 4).cast("int")))
+    words = F.concat_ws(" ", F.when(_mod(2), "w Polsce").otherwise("plan"), F.when(_mod(3), "Niemcy"), F.element_at(F.array(F.lit("trzęsienia ziemi"), F.lit("ostrzeżenia pogodowe"), F.lit("podatności"), F.lit("kevlar")), (1 + _n() % 4).cast("int")))
     return ev(spark, sf_dir).select("id", F.array_join(text.tag_text(words, text.COUNTRY_ALIASES), ",").alias("places"), F.array_join(text.tag_text(words, text.CATEGORY_ALIASES), ",").alias("topic"))
 
 
@@ -550,7 +557,7 @@ def d02_d10_d12_m02_clocks(spark, sf_dir):
     from eventlens.functions import severity
 
     ms = F.unix_millis("ts").cast("string")
-    number = F.when(_mod(9), "NaN").otherwise(_s(_N % 400 - 200))
+    number = F.when(_mod(9), "NaN").otherwise(_s(_n() % 400 - 200))
     return ev(spark, sf_dir).select("id", F.unix_timestamp(time.epoch_ms(ms)).alias("at"), time.in_future("ts", _at(MID), "5 MINUTES").alias("future"), F.unix_timestamp(time.basis_clock("occurred")).alias("clock"), time.is_day_anchor().alias("anchored"), severity.finite_between(number, -90, 90).alias("lat"))
 
 
@@ -558,8 +565,8 @@ def d02_d10_d12_m02_clocks(spark, sf_dir):
  epoch(date_trunc('day', TIMESTAMP '2024-01-02' + to_minutes(m) + INTERVAL 1 HOUR))::BIGINT - 3600 AS today FROM w""")
 def d04_d05_local_times(spark, sf_dir):
     """Wall times around a change of clocks, and the start of the local day."""
-    wall = F.lit(datetime(2024, 3, 30)).cast("timestamp") + F.make_interval(mins=(_N % 2880).cast("int"))
-    now = F.lit(datetime(2024, 1, 2)).cast("timestamp") + F.make_interval(mins=(_N % 2880).cast("int"))
+    wall = F.lit(datetime(2024, 3, 30)).cast("timestamp") + F.make_interval(mins=(_n() % 2880).cast("int"))
+    now = F.lit(datetime(2024, 1, 2)).cast("timestamp") + F.make_interval(mins=(_n() % 2880).cast("int"))
     at = time.strict_local_to_utc(wall, "Europe/Warsaw")
     return ev(spark, sf_dir).select("id", F.unix_timestamp(at["ts"]).alias("utc"), at["reason"].alias("reason"), F.unix_timestamp(time.calendar_window("today", now, "Europe/Warsaw")["since"]).alias("today"))
 
@@ -577,11 +584,11 @@ def r01_r07_arrays(spark, sf_dir):
 @query("SELECT id, CASE n % 4 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'MultiPolygon' END AS type, CASE n % 4 WHEN 0 THEN 1 WHEN 3 THEN NULL ELSE 0 END::INT AS points, CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END::INT AS rings, CASE WHEN n % 4 IN (1, 2) THEN n % 5 <> 0 END AS valid, n % 4 <> 3 AS ok FROM ev")
 def g04_g05_g09_geometries(spark, sf_dir):
     """GeoJSON texts of four kinds: parsed, their rings checked, within the budget of positions."""
-    x, y = (_N % 100).cast("double"), F.when(_mod(5), 91.0).otherwise(40.0)
+    x, y = (_n() % 100).cast("double"), F.when(_mod(5), 91.0).otherwise(40.0)
     ring = F.array(F.array(x, F.lit(10.0)), F.array(x + 1, F.lit(10.0)), F.array(x + 1, y), F.array(x, F.lit(10.0)))
     make = lambda kind, c: F.to_json(F.struct(F.lit(kind).alias("type"), c.alias("coordinates")))
     g = F.when(_mod(4), make("Point", F.array(x, F.lit(1.0)))).when(_mod(4, 1), make("Polygon", F.array(ring))).when(_mod(4, 2), make("MultiPolygon", F.array(F.array(ring), F.array(ring)))).otherwise("{broken")
-    e = ev(spark, sf_dir).select("id", "n", g.alias("text")).withColumn("g", geo.parse_geojson(F.when(_N % 4 != 3, F.col("text"))))
+    e = ev(spark, sf_dir).select("id", "n", g.alias("text")).withColumn("g", geo.parse_geojson(F.when(_n() % 4 != 3, F.col("text"))))
     valid = F.forall("g.rings", geo.ring_valid)
     return e.select("id", F.col("g.type").alias("type"), F.size("g.points").alias("points"), F.size("g.rings").alias("rings"), F.when(F.size("g.rings") > 0, valid).alias("valid"), geo.geometry_ok("text", most=8).alias("ok"))
 
