@@ -39,6 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: float, *keys: str, per: int = 4_000_000) -> DataFrame:
+    """df dealt by keys to partitions of about `per` rows, where those are more than the session's shuffle partitions."""
+    parts = int(rows / per) + 1
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def plain(schema) -> pa.Schema:
     """The Arrow schema of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import OWN, slices, text_key, written
+from eventlens.llm.common import OWN, dealt, slices, text_key, written
 from eventlens.llm.components import LocalComponents, connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -110,13 +110,14 @@ def _count(k: int):
     return run
 
 
-def common_slots(rows: DataFrame, k: int, small: int, most_bits: int = 27) -> np.ndarray:
+def common_slots(rows: DataFrame, k: int, small: int, n_words: float, most_bits: int = 27) -> np.ndarray:
     """A bitmap (uint64 words) over the low hash bits that covers every shingle counted in more than `small` rows.
 
     It has about 32 slots a shingle, and 2^most_bits slots (16 MB) at most. A shingle whose slot is not set has at most
     `small` rows; one whose slot is set by another only takes the route of frequent ones.
     """
-    counted = rows.select("text").mapInArrow(_count(k), "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > small).select("token")
+    counted = rows.select("text").mapInArrow(_count(k), "token long, n int")
+    counted = dealt(counted, n_words * ZONE / 32, "token").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > small).select("token")
     counted = written(counted, "common")
     bits = min(most_bits, max(16, (32 * counted.count()).bit_length()))
     slot = F.col("token").bitwiseAND(F.lit((1 << bits) - 1))
@@ -213,7 +214,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     order of work, never the result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("tkey"), F.col(text_col).alias("text"))
-    bitmap = common_slots(rows, k, small)
+    n_words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # about
+    bitmap = common_slots(rows, k, small, n_words)
     sets = written(rows.mapInArrow(_sets(k, percent, bitmap), "doc long, tkey long, n long, k1 long, k2 long, sketch array<long>, prefix array<long>, dense array<boolean>"), "sets")
     usable, key = sets.where("n > 0 and doc is not null"), ["n", "k1", "k2"]
     first = usable.groupBy(*key).agg(F.min(F.struct("doc", "tkey")).alias("f")).select(*key, "f.doc", "f.tkey")
@@ -224,14 +226,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     token = reps.select("rep", "n", F.explode(F.arrays_zip("prefix", "dense")).alias("t")).select(F.col("t.prefix").alias("token"), F.col("t.dense").alias("dense"), F.struct("n", "rep").alias("m"))
 
     # regions of shingles that are frequent or not counted: their sizes, and the member of lowest hash, which names them
-    dense = written(token.where("dense").select("token", "m"), "dense")
+    n_tokens = n_words * (105 - percent) / 100  # about
+    dense = written(dealt(token.where("dense").select("token", "m"), n_tokens, "token"), "dense")
     order = F.struct(F.xxhash64("m.rep").alias("h"), F.col("m.rep").alias("rep"))
     sizes = written(dense.groupBy("token").agg(F.count("*").alias("size"), F.min(order)["rep"].alias("cell")).where("size > 1"), "sizes")
     dense = written(dense.join(sizes, "token"), "regions")
 
     # small regions: no list is longer than `small`, by the counts of all shingles, so all pairs of fitting sizes are taken
     few = token.where("not dense").select("token", "m").unionByName(dense.where(F.col("size") <= small).select("token", "m"))
-    lists = few.groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
+    lists = dealt(few, n_tokens, "token").groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
     ends = lambda x, i: F.transform(F.filter(F.slice("ms", i + 2, F.size("ms")), lambda y: _sizes_fit(percent, x["n"], y["n"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))
     near = lists.select(F.explode(F.flatten(F.transform("ms", ends))).alias("p")).select("p.a", "p.b").distinct()
     near = written(_plausible(near, reps, percent), "near")

@@ -263,11 +263,13 @@ def _query(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 4096, growth: float = 64, most_rows: int = 131_072, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept. Vectors are compared within a label and a dimension.
 
     Rows with a null id, label or vector, and vectors that are empty, zero or hold null or non-finite components link
     with nothing (component_id is their own id). Rows of one id are vectors of their own. An empty table gives no rows.
+    A label's shards hold growth * sqrt(vectors) of it, from shard_rows to most_rows, so that pairs of shards grow in
+    proportion to the label. Ties do not arise: what counts is whether a cosine reaches the threshold.
     """
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -277,7 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
     good = every.where("ok").select("vec_id", "label", "vec", *keys)
     reps = written(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vectors")
     per_label = reps.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
-    per_label = written(per_label.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")), "labels")
+    per_label = written(per_label.withColumn("shards", F.ceil(F.col("n") / F.least(F.greatest(growth * F.sqrt("n"), F.lit(float(shard_rows))), F.lit(float(most_rows)))).cast("int")), "labels")
     dealt = reps.withColumn("dim", F.size("vec")).join(per_label, ["label", "dim"])  # AQE splits a hot label
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     member = F.struct(F.col("rep").alias("vec_id"), "copies", "vec")

@@ -120,7 +120,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every row is one document, also when its id is null or repeated; null text is empty and holds end_id alone. Each
     id of a document, end_id included, lies in exactly one piece. sequence_id is unique over the table: the input
-    partition in the upper bits, a counter in the lower 33.
+    partition in the upper bits, a counter in the lower 33. Ties between fill levels go to the fullest. A text of any
+    length is packed whole. At most 2048 windows stay open in a task: when there are more, as with documents that are
+    all longer than half a window, the open ones are laid end to end and cut. In partitions of few documents that final
+    cut makes most windows.
     """
     path = vocabulary or vocabulary_path()
 

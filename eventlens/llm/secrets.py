@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import text_key, written
+from eventlens.llm.common import free_name, text_key, written
 
 
 @dataclass(frozen=True)
@@ -123,8 +123,10 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `secret_spans` added: array<struct<start, ord, end, kind>>, sorted by start, then by rule.
 
-    Null and empty texts hold none; repeated rows come back as often as they stand.
+    Null and empty texts hold none; repeated rows come back as often as they stand. A column of docs of that name stays;
+    the new one then ends in an underscore. Rules that start at one place come in their order. Texts are scanned whole.
     """
+    name = free_name(docs, "secret_spans")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     key = "__el_tkey"
     rows = docs.withColumn(key, text_key(text_col))
@@ -141,7 +143,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         spans = spans_of(text, rule, i)
         none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
         parts.append(spans if rule.kind not in queries else F.when(F.array_contains("__el_rules", rule.kind), spans).otherwise(none))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*parts))).select(*docs.columns, "secret_spans")
+    return rows.withColumn(name, F.array_sort(F.concat(*parts))).select(*docs.columns, name)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,85 @@ def test_quality_on_held_out_rows(spark):
     assert {r.score for r in quality.score_quality(docs, None).collect()} == {0.5}
 
 
+def naive_shares(text, dims):
+    """Hashed byte bigram and trigram shares of one text, gram by gram."""
+    half, out = dims // 2, np.zeros(dims)
+    bits = 32 - (half.bit_length() - 1)
+    for k, (width, factor) in enumerate(((2, 2654435761), (3, 2246822519))):
+        for i in range(len(text) - width + 1):
+            gram = int.from_bytes(text[i : i + width], "big")
+            out[k * half + ((gram * factor & 0xFFFFFFFF) >> bits)] += 1
+    return out / max(1, len(text))
+
+
+def naive_shape(text):
+    words, lines = text.split(), text.split(b"\n")
+    n, signs = max(1, len(words)), [c for c in range(33, 127) if not chr(c).isalnum()]
+    if not text:
+        return [0.0] * 6
+    near = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    return [near if len(set(words)) / n < 0.95 else 0.0, len(set(words)) / n, sum(65 <= c <= 90 for c in text) / len(text), sum(c in signs for c in text) / len(text), sum(len(w) == 1 and w[0] in signs for w in words) / n, 1 - len(set(lines)) / len(lines)]
+
+
+MIXED = ["The stone house of the river walks over the hills.", "BUY!!! NOW$$$ ###\nBUY!!! NOW$$$ ###", "a a a a - - + b\n\n", "où été déjà çà " * 50, "", "x", "é", "ab", None, "1 2 3"]
+
+
+def test_quality_scores_are_brute_force(spark):
+    """Scores of the job against a gram-by-gram computation in one process, with the trained model."""
+    rng = random.Random(3)
+    text = lambda q: " ".join(rng.choice((["the", "of", "river", "stone"] if q else ["BUY!!!", "NOW$$$", "###"])) for _ in range(30))
+    rows = [(i, text(i % 5 > 0)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 200, 2)] + [(2, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = quality.train_quality(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), labels)
+    assert (again.weights == model.weights).all() and again.prior == model.prior
+    docs = spark.createDataFrame([(i, t, 0.25) for i, t in enumerate(MIXED)] + [(0, MIXED[0], 0.25)], "doc_id long, text string, score double").repartition(2)
+    out = quality.score_quality(docs, model)
+    assert out.columns == ["doc_id", "text", "score", "score_"]
+    for r in out.collect():
+        t = (r.text or "").encode()
+        x = np.r_[naive_shares(t, 2048), naive_shape(t)]
+        z = ((x - model.mean) * model.scale * (len(t) / (len(t) + 24))) @ model.weights + model.bias
+        assert abs(1 / (1 + np.exp(-z)) - r.score_) < 1e-4 and r.score == 0.25
+
+
+def test_language_decoding_is_brute_force(spark):
+    """Predictions of the job against loss-weighted decoding word by word, bit by bit, in one process."""
+    words = {"aa": "kala mala tala vana", "bb": "strich knopf zwerg kopf", "cc": "où été déjà çà"}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(words[c].split()) for _ in range(12)), c) for i in range(120) for c in [rng.choice(list(words))]]
+    model = langid.train_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(i, t, "mine", 1, True) for i, t in enumerate(MIXED + ["kala knopf été", "x" * 3_000_000])], "doc_id long, text string, lang_pred string, lang_score int, lang_ambiguous boolean")
+    out = langid.identify_language(docs, model)
+    assert out.columns == ["doc_id", "text", "lang_pred", "lang_score", "lang_ambiguous", "lang_pred_", "lang_score_", "lang_ambiguous_"]
+    for r in out.collect():
+        t = (r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred_, r.lang_score_, r.lang_ambiguous_) == ("und", 0.0, False)
+            continue
+        if len(t) > 1_000_000:
+            assert r.lang_pred_ in words
+            continue
+        margin = ((naive_shares(t, 2048) - model.mean) * model.scale) @ model.weights + model.bias
+        losses = [4 * np.mean([np.log1p(np.exp(-m * bit)) for m, bit in zip(margin, word, strict=True)]) for word in model.code]
+        shares = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
+        assert r.lang_pred_ == model.names[int(np.argmin(losses))] and abs(r.lang_score_ - shares.max()) < 1e-4
+        assert r.lang_ambiguous_ == (np.sort(shares)[-1] - np.sort(shares)[-2] < 0.1)
+
+
+def test_samples_stay_bounded_at_any_count(spark):
+    from eventlens.llm import features
+
+    for n in (10, 10**6, 10**10, 10**13):
+        cut = features.threshold(3000, n)
+        assert cut < 1 << 63 and (n <= 3000 or abs((cut + (1 << 63)) / 2**64 * n - 3000) < 1)
+    df = spark.createDataFrame([(7, "the same row", "l")] * 300 + [(i, f"row {i}", "l") for i in range(300)], "doc_id long, text string, label string")
+    x, labels = features.sampled_features(df, "text", "label", 50, 1)
+    assert 20 < len(labels) == len(x) <= 50
+    y, _ = features.sampled_features(df.repartition(5), "text", "label", 50, 1)
+    assert (x == y).all()
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     shape = lambda n, c: np.c_[rng.random((n, 8)) + c, rng.random((n, quality.N_SHAPE)), np.ones(n)].astype(np.float32)
@@ -141,7 +220,7 @@ def vectors_brute(rows, threshold):
 @pytest.mark.parametrize("shard_rows", [4096, 40])
 def test_near_duplicates_are_brute_force(spark, shard_rows):
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int")
-    out = near_dup.near_duplicates(df, shard_rows=shard_rows).collect()
+    out = near_dup.near_duplicates(df, shard_rows=shard_rows, growth=1).collect()
     assert sorted(map(tuple, out)) == vectors_brute(vectors(), 0.93)
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
     kept = {r.vec_id for r in near_dup.keep_one(df).collect()}

@@ -373,6 +373,7 @@ def test_secrets_are_brute_force(spark, docs, nothing):
     out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted([(r.doc_id, r.text, [tuple(s) for s in r.secret_spans]) for r in out], key=repr) == sorted([(i, t, secrets_brute(t)) for i, t in rows], key=repr)
     assert secrets.scan_secrets(docs).columns == [*docs.columns, "secret_spans"]
+    assert secrets.scan_secrets(docs.withColumnRenamed("label", "Secret_Spans")).columns[-2:] == ["ids", "secret_spans_"]
     assert secrets.scan_secrets(nothing).count() == 0
 
 
