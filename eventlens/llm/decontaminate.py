@@ -100,7 +100,7 @@ def verified(docs: DataFrame, candidates: DataFrame, anchors: DataFrame, size: i
     per = per.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "cs")
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), F.col(text_col).alias("text"))
     rows = base.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")))
-    rows = rows.select("doc_id", "tkey", words(F.col("text")).alias("w"), F.explode("cs").alias("c"))
+    rows = rows.select("doc_id", "tkey", words(F.col("text")).alias("w"), "cs").select("doc_id", "tkey", "w", F.explode("cs").alias("c"))  # words are split once a text
     begin = F.when(F.col("c.near"), F.greatest(F.col("c.at") - (size - 1), F.lit(1))).otherwise(F.col("c.at"))
     length = F.when(F.col("c.near"), F.col("c.at") - begin + size).otherwise(size)
     rows = rows.select("doc_id", "tkey", "c.near", "c.id", "c.at", F.slice("w", begin, length).alias("seen"))
