@@ -614,3 +614,147 @@ def k09_table_fingerprint(spark, sf_dir):
     a, b = sinks.table_fingerprint(e), sinks.table_fingerprint(e.repartition(7, "n"))
     j = a.join(b.select("digest"), "digest", "left_semi")
     return j.select("n", F.col("n").alias("same"))
+
+
+# --- documents, snapshots, relations, keys ---------------------------------------------------------------------------
+
+
+@query("SELECT source_id, CASE WHEN n % 7 = 0 THEN 'status' WHEN n % 11 = 0 THEN 'empty_body' WHEN n % 13 = 0 THEN 'too_large' END AS reason, count(*) AS n FROM ev GROUP BY ALL")
+def s01_s02_admission(spark, sf_dir):
+    """Raw documents read back from files: bad status, empty bodies, and bodies beyond a source's limit fail."""
+    import uuid
+
+    from eventlens.sources.lineage import shared_folder
+
+    body = F.when(_mod(11), " ").when(_mod(13), F.repeat(F.lit("x"), 200)).otherwise("{}")
+    docs = ev(spark, sf_dir).select("source_id", F.col("id").alias("url"), F.when(_mod(7), 500).otherwise(200).alias("status"), F.lit("x").alias("content_type"), F.col("ts").alias("fetched_at"), F.lit(False).alias("not_modified"), body.alias("body"))
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    limits = {s: 100 for s in ("click", "view", "purchase", "signup", "error")}
+    good, bad = D.admit_documents(D.read_raw_documents(spark, path), limits)
+    return good.select("source_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("source_id", "reason")).groupBy("source_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'https://feed.example.org/' || n AS url, 'https://feeds.meteoalarm.org/cap/' || n || '/' || i AS href, false AS truncated FROM ev, (SELECT unnest(range(0, 3)) AS i) WHERE i < n % 3")
+def s08_cap_links(spark, sf_dir):
+    """Links of Atom documents: on the approved host, each once."""
+    from eventlens.feed_queries import documents
+
+    entry = lambda i, host: F.concat(F.lit("<entry><id>x</id><link type=\"application/cap+xml\" href=\"https://"), F.lit(host), F.lit("/cap/"), _s("n"), F.lit(f"/{i}\"/><link type=\"text/html\" href=\"https://feeds.meteoalarm.org/cap/h\"/></entry>"))
+    parts = [F.when(_n() % 3 > i, F.concat(entry(i, "feeds.meteoalarm.org"), entry(i, "feeds.meteoalarm.org"))).otherwise("") for i in (0, 1)]
+    body = F.concat(F.lit("<feed xmlns=\"http://www.w3.org/2005/Atom\"><id>f</id>"), *parts, entry(9, "other.example.org"), entry(9, "other.example.org"), F.lit("</feed>"))
+    return feeds.cap_links(documents(ev(spark, sf_dir), "meteoalarm", body)).select("url", "href", "truncated")
+
+
+@query("SELECT " + _CODE + "[1 + n_nationkey] AS iso2, n_name AS name, 1 AS rings, -180 + 14.4 * n_nationkey AS west, n_nationkey % 2 = 0 AS viewed FROM nation", uses_ev=False)
+def s21_s22_countries(spark, sf_dir):
+    """Boundaries from a GeoJSON file; a code that is no country falls back to the other field, a repeated one counts once."""
+    import uuid
+
+    from eventlens.sources.lineage import shared_folder
+
+    k, iso = F.col("n_nationkey").cast("double"), F.element_at(F.array(*map(F.lit, CODES)), (F.col("n_nationkey") + 1).cast("int"))
+    at = lambda x, y: F.array(x, F.lit(y))
+    w, e = -180 + 14.4 * k, -180 + 14.4 * (k + 1)
+    ring = F.array(at(w, -80.0), at(e, -80.0), at(e, 80.0), at(w, 80.0), at(w, -80.0))
+    make = lambda name: F.struct(F.lit("Feature").alias("type"), F.struct(F.when(F.col("n_nationkey") % 2 == 0, iso).otherwise("-99").alias("ISO_A2"), iso.alias("ISO_A2_EH"), name.alias("NAME")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.explode(F.array(make(F.col("n_name")), make(F.lit("again")))).alias("f"), "n_name")
+    rows = nations.withColumn("again", F.col("f.properties.NAME") == "again")
+    path = f"{shared_folder(spark)}/countries-{uuid.uuid4().hex}"
+    rows.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("again", "n_nationkey", "f"))), lambda x: x["f"]).alias("features"))).alias("value")).write.text(path)
+    found = D.read_countries(spark, path)
+    features = rows.select((F.col("n_nationkey") + F.when(F.col("again"), 100).otherwise(0)).alias("pos"), F.struct(F.struct("f.properties.ISO_A2", "f.properties.ISO_A2_EH").alias("properties"), F.col("f.geometry").alias("geometry")).alias("f"))
+    viewed = None
+    for code in CODES[::2]:
+        one = D.country_geometries(features.where("pos < 100"), code).where("f.properties.ISO_A2 <> '-99'").select("iso2")
+        viewed = one if viewed is None else viewed.unionByName(one)
+    found = found.join(F.broadcast(viewed.withColumn("viewed", F.lit(True))), "iso2", "left")
+    return found.select("iso2", "name", F.size("rings").alias("rings"), F.get(F.get("rings", 0), 0)["lon"].alias("west"), F.coalesce("viewed", F.lit(False)).alias("viewed"))
+
+
+@query("""WITH s AS (SELECT id, n, source_url FROM ev WHERE severity = 4 ORDER BY issued_at DESC NULLS LAST, id LIMIT 500) SELECT id, CASE WHEN source_url = 'http://10.0.0.1/x' THEN 'private_link' ELSE '' END AS reason FROM s""")
+def s23_k06_snapshot(spark, sf_dir):
+    """A snapshot of the 500 latest severe events written and read again, with what breaks its contract."""
+    import uuid
+
+    from eventlens.sources.lineage import shared_folder
+
+    e = L.order_view(ev(spark, sf_dir).where("severity = 4"), "issued_at").limit(500).select("id", "title", "source_url")
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    sources = ev(spark, sf_dir).select("source_id", F.lit("ok").alias("status")).distinct()
+    sinks.write_snapshot(e, sources, path, "2024-01-31T00:00:00Z")
+    schema = "format string, version int, generated_at string, events array<struct<id:string,title:string,source_url:string>>"
+    events, bad = sinks.read_snapshot(spark, path, schema, NOW)
+    return events.join(bad, "id", "full_outer").select("id", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("SELECT 'last' AS what, max_by('b' || n, (ts, 'b' || n)) AS run FROM ev WHERE n % 3 = 0 AND n % 2 = 0 AND countries[1] = 'PL' UNION ALL SELECT 'saved', count(*)::VARCHAR FROM ev WHERE n % 3 = 0")
+def s24_k07_briefing_runs(spark, sf_dir):
+    """Saved briefings: the latest of one scope."""
+    import uuid
+
+    from eventlens.sources.lineage import shared_folder
+
+    runs = ev(spark, sf_dir).where(_mod(3)).select(F.concat(F.lit("b"), _s("n")).alias("run_id"), F.get("countries", 0).alias("country"), F.when(_mod(2), 24).otherwise(72).alias("window_hours"), F.col("ts").alias("created_at"), F.col("ts").alias("until"))
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    sinks.save_briefing(path, runs, 1, 1)
+    saved = spark.read.parquet(path)
+    last = I.latest_briefing(saved, "PL", 24).select(F.lit("last").alias("what"), F.col("run_id").alias("run"))
+    return last.unionByName(saved.agg(F.lit("saved").alias("what"), _s(F.count("*")).alias("run")))
+
+
+@query("SELECT id, n % 3 <> 0 AS cve, n % 4 = 1 AS natural, n % 5 <> 0 AS notice FROM ev")
+def f33_allowlists(spark, sf_dir):
+    """Entries of three feeds against their allowlists."""
+    e = ev(spark, sf_dir).select("id", "n", F.concat(F.when(_mod(3), "CVE-24-").otherwise("CVE-2024-"), F.lpad(_s("n"), 5, "0")).alias("record_id"), F.array(F.when(_mod(4, 1), "volcanoes").otherwise("snow")).alias("category_ids"), F.array(F.when(_mod(5), "firms").otherwise("Użytkownicy")).alias("categories"))
+    return e.select("id", X.allowlisted(e, "cisa_kev").alias("cve"), X.allowlisted(e, "nasa_eonet").alias("natural"), F.coalesce(X.allowlisted(e, "cert_pl"), F.lit(False)).alias("notice"))
+
+
+@query(f"""WITH {_REL}, g AS (SELECT id, n, category, provider_record_id AS u, occurred_start AS t FROM ev WHERE location_precision = 'point' AND n % 7 <> 0 AND occurred_start IS NOT NULL),
+p AS (SELECT a.id AS a, b.id AS b, abs(epoch_us(a.t) - epoch_us(b.t)) AS dt, CASE WHEN a.category = 'earthquake' AND b.category = 'earthquake' AND abs(epoch_us(a.t) - epoch_us(b.t)) <= 600000000 THEN 'possible_same_event' WHEN a.category <> b.category AND abs(epoch_us(a.t) - epoch_us(b.t)) <= 21600000000 THEN 'near_in_space_and_time' END AS k FROM g a JOIN g b ON a.u = b.u AND a.id <> b.id WHERE a.n % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dt, b) AS rn FROM p WHERE k IS NOT NULL)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, k AS kind FROM r WHERE rn <= 20 UNION ALL SELECT a, b, rkind FROM rel JOIN ev x ON x.id = a JOIN ev y ON y.id = b WHERE x.n % 10 <> 0 AND y.n % 10 <> 0""")
+def j07_j08_update_relations(spark, sf_dir):
+    """Relations after each tenth event changed: theirs are found again by the fixed limits, the 20 nearest in time."""
+    e = ev(spark, sf_dir)
+    out = J.update_relations(_relations(e), e, e.where(_mod(10)))
+    return out.select(F.col("event_a").alias("a"), F.col("event_b").alias("b"), F.col("relation_type").alias("kind"))
+
+
+@query("""WITH r AS (SELECT DISTINCT provider_record_id AS u FROM ev) SELECT u AS record, CASE WHEN u::INT % 4 = 0 THEN 'cap_sender_conflict' WHEN u::INT % 4 = 1 THEN 'attached' ELSE 'new' END AS outcome, CASE WHEN u::INT % 3 = 0 THEN 3 ELSE 2 END::INT AS keys FROM r""")
+def i01_i03_cap_senders(spark, sf_dir):
+    """Hard keys of warnings, and stored ones that never change their sender."""
+    users = ev(spark, sf_dir).select("provider_record_id").distinct()
+    u = _u().cast("int")
+    batch = _rows(users, source_id=F.lit("meteoalarm"), provider_record_id=_u(), title=F.lit("Wind"), sender=F.lit("s1"), external_ids=F.array(F.concat(F.lit("cap:s1:"), _u()), F.lit("glide:x")), supersedes=F.when(u % 3 == 0, F.array(F.concat(F.lit("old"), _u()))).otherwise(F.array().cast("array<string>")), raw_hash=F.md5(_u()))
+    stored = users.where(u % 4 < 2).select(F.lit("meteoalarm").alias("source_id"), "provider_record_id", F.concat(F.lit("E"), _u()).alias("event_id"), F.array(F.concat(F.when(u % 4 == 0, "cap:other:").otherwise("cap:s1:"), _u())).alias("external_ids"))
+    good, bad = I.resolve_identity(batch, spark.createDataFrame([], "external_id string, event_id string"), None, stored)
+    rows = good.select(F.col("provider_record_id").alias("record"), F.when(F.col("is_new"), "new").otherwise("attached").alias("outcome"), F.size("keys").alias("keys"))
+    return rows.unionByName(bad.select(F.col("provider_record_id").alias("record"), F.col("reason").alias("outcome"), F.size("keys").alias("keys")))
+
+
+@query("""SELECT id, row_number() OVER (PARTITION BY provider_record_id ORDER BY (n % 2 = 0 OR n % 3 = 0) DESC, issued_at DESC NULLS LAST, CASE WHEN n % 5 = 0 THEN 0 ELSE n END DESC, id) AS place FROM (SELECT * REPLACE (coalesce(date_trunc('day', issued_at), date_trunc('day', occurred_start)) AS issued_at) FROM ev)""")
+def i05_source_rank(spark, sf_dir):
+    """Versions by rank: a current episode, then the source clock, then the episode's number."""
+    from pyspark.sql import Window
+
+    e = ev(spark, sf_dir).withColumns({"source_id": F.when(_mod(2), "usgs").otherwise("gdacs"), "is_current": F.when(_mod(3), True), "episode_id": F.when(_mod(5), "x").otherwise(_s("n")), "source_updated_at": F.lit(None).cast("timestamp"), "issued_at": F.date_trunc("day", "issued_at"), "occurred_start": F.date_trunc("day", "occurred_start")})
+    w = Window.partitionBy("provider_record_id").orderBy(F.col("rank").desc(), "id")
+    return e.withColumn("rank", I.source_rank()).select("id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT id, (SELECT count(DISTINCT source_id) FROM ev)::INT AS sources, (SELECT count(*) FROM (SELECT source_id FROM ev GROUP BY 1 HAVING max(n) % 2 = 0))::INT AS good FROM ev WHERE severity = 4")
+def j20_with_health(spark, sf_dir):
+    """Rows with the one list of source states."""
+    e = ev(spark, sf_dir)
+    health = e.groupBy("source_id").agg(F.when(F.max("n") % 2 == 0, "ok").otherwise("error").alias("status"))
+    out = I.with_health(e.where("severity = 4").select("id"), health)
+    return out.select("id", F.size("health").alias("sources"), F.size(F.filter("health", lambda h: h["status"] == "ok")).alias("good"))
+
+
+@query("SELECT id, round(6378.137 * radians((n % 60)::DOUBLE), 3) AS equator, round(CASE WHEN x <= 10 THEN 0 ELSE (x - 10) * radians(1.0) * 6371.0088 * cos(radians(5.0)) END, 3) AS area FROM (SELECT id, n, (n % 30)::DOUBLE AS x FROM ev)")
+def g02_g07_distances(spark, sf_dir):
+    """Distances on the ellipsoid along the equator, and from points east of a square at its own latitude."""
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))))
+    x, zero = (_n() % 30).cast("double"), F.lit(0.0)
+    return ev(spark, sf_dir).select("id", F.round(geo.geodesic_km(zero, zero, (_n() % 60).cast("double"), zero), 3).alias("equator"), F.round(geo.distance_to_rings_km(F.array(ring), x, F.lit(5.0)), 3).alias("area"))
