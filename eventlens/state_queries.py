@@ -14,7 +14,7 @@ from eventlens.operators import geo_joins as J
 from eventlens.operators import identity as I
 from eventlens.operators import ordering as L
 from eventlens.plans import pipelines as P
-from eventlens.queries import CODES, NOW, ev, query
+from eventlens.queries import _INSIDE, _OCC, _PUB, _SPAN, CODES, NOW, SINCE, UNTIL, S, U, _spans, ev, query
 from eventlens.schemas import BATCH_REPORT, EVENT_COLUMNS, SOURCE_STATE, EventQuery
 from eventlens.sources import documents as D
 from eventlens.sources import feeds, sinks
@@ -758,3 +758,35 @@ def g02_g07_distances(spark, sf_dir):
     ring = F.array(*(F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))))
     x, zero = (_n() % 30).cast("double"), F.lit(0.0)
     return ev(spark, sf_dir).select("id", F.round(geo.geodesic_km(zero, zero, (_n() % 60).cast("double"), zero), 3).alias("equator"), F.round(geo.distance_to_rings_km(F.array(ring), x, F.lit(5.0)), 3).alias("area"))
+
+
+_RANK = "fresh DESC, high DESC, clock DESC NULLS LAST, id"
+
+
+@query(f"""WITH {_SPAN}, r AS (SELECT *, basis <> 'validity' OR coalesce(issued_at >= {S} AND issued_at < {U}, false) OR coalesce(valid_from >= {S} AND valid_from < {U}, false) AS fresh, coalesce(severity >= 3 AND trim(original_severity) <> '', false) AS high, category || '|' || trim(title) || '|' || array_to_string(list_sort(countries), ',') AS rk FROM span WHERE {_INSIDE}),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_RANK}) AS rn FROM r) WHERE rn = 1), w AS (SELECT list(DISTINCT s) AS shown FROM (SELECT unnest(source_ids) AS s FROM c)),
+f AS (SELECT r.*, list_has_any(source_ids, shown) AS known FROM r, w WHERE fresh AND rk NOT IN (SELECT rk FROM c)), picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY known, {_RANK}) AS rn FROM f) WHERE rn = 1),
+t AS (SELECT id, row_number() OVER (ORDER BY known, {_RANK}) AS place FROM picks) SELECT id, 'category' AS step FROM c UNION ALL SELECT id, 'fill' FROM t WHERE place <= 12 - (SELECT count(*) FROM c)""")
+def w07_l07_highlights_whole(spark, sf_dir):
+    """Both steps of the highlights: one of each category, then fresh ones of other contents, new sources first."""
+    rows = _spans(spark, sf_dir).where(X.span_intersects("span", SINCE, UNTIL))
+    return L.highlights(rows, SINCE, UNTIL, n=12).select("id", "step")
+
+
+_WHEN = f"coalesce({_PUB}, {_OCC}, 'historical')".replace(S, "c.since")
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES (NULL, 168, true, {S}), ('PL', 72, false, TIMESTAMP '2024-01-10'), ('DE', 24, true, TIMESTAMP '2024-01-30')) AS t(country, hours, first, since)),
+x AS (SELECT coalesce(c.country, 'world') || '/' || hours AS scope_id, ev.*, source_url IS NOT NULL AS linked, CASE WHEN change_type = 'initial_import' THEN {_WHEN} WHEN change_type IN ('withdrawn', 'updated') THEN change_type WHEN first THEN {_WHEN} WHEN change_type = 'new' THEN 'new' ELSE 'other' END AS grp FROM c JOIN ev ON last_changed_at >= since AND last_changed_at < {U} AND (c.country IS NULL OR list_contains(countries, c.country))),
+t AS (SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY severity DESC, last_changed_at DESC, id) AS rn FROM x WHERE grp <> 'historical' AND linked)
+SELECT scope_id, count(*) AS processed, count(*) FILTER (grp = 'historical') AS historical, count(*) FILTER (grp <> 'historical' AND NOT linked) AS uncitable, count(*) FILTER (grp = 'new') AS n_new, count(*) FILTER (grp = 'updated') AS n_updated, count(*) FILTER (grp = 'withdrawn') AS n_withdrawn, count(*) FILTER (grp = 'published_in_window') AS n_published, count(*) FILTER (grp = 'occurred_in_window') AS n_occurred,
+ (SELECT string_agg(id, ',' ORDER BY rn) FROM t WHERE t.scope_id = x.scope_id AND rn <= 5) AS leading FROM x GROUP BY scope_id""")
+def p04_briefing_groups(spark, sf_dir):
+    """Counts of each group and the leading facts of three scopes, one of them from its saved cursor."""
+    scopes = spark.createDataFrame([(None, 168), ("PL", 72), ("DE", 24)], "country string, window_hours int")
+    runs = spark.createDataFrame([("r2", "PL", 72, datetime(2024, 1, 10), datetime(2024, 1, 10))], "run_id string, country string, window_hours int, created_at timestamp, until timestamp")
+    counts, top = P.briefing(ev(spark, sf_dir).withColumn("source_urls", F.array("source_url")), scopes, runs, NOW, 5)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("s"), (-F.unix_micros("last_changed_at")).alias("c"), "id")))
+    leading = top.groupBy("scope_id").agg(F.array_join(F.transform(order, lambda x: x["id"]), ",").alias("leading"))
+    counts = counts.select("scope_id", "processed", "historical", "uncitable", "n_new", "n_updated", "n_withdrawn", F.col("n_published_in_window").alias("n_published"), F.col("n_occurred_in_window").alias("n_occurred"))
+    return counts.join(leading, "scope_id", "left")

@@ -73,3 +73,9 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     q = jobs.start_ingest_stream(jobs.stream_raw_documents(spark, str(src), 1), str(tmp_path / "cp"), persist)
     q.awaitTermination(60)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_pairs_over_the_dateline_and_near_the_poles(stream):
+    at = [("a", T0, 179.99, 10.0), ("b", T0 + timedelta(minutes=5), -179.99, 10.0), ("c", T0, 20.0, 85.0), ("d", T0, 22.1, 85.0), ("e", T0, 20.0, -89.95), ("f", T0, -160.0, -89.95), ("g", T0 + timedelta(hours=2), 20.0, 85.0)]
+    got = stream([at], "id string, clock timestamp, lon double, lat double", lambda d: jobs.relate_stream(d, d.select("*"), 600, 25.0))
+    assert {(a, b) for a, b, *_ in got} == {("a", "b"), ("c", "d"), ("e", "f")} and len(got) == 3
