@@ -95,7 +95,7 @@ def p07_i16_i20_current_lists(spark, sf_dir):
     return out.select(F.col("provider_record_id").alias("record"), F.col("lifecycle_status").alias("status"), arrays.has_tag("tags", "not_in_current_source_list").alias("missing"), "reason", "runs", "refused")
 
 
-@query("""WITH p AS (SELECT source_id, provider_record_id AS u, arg_min(n, n) AS n, min(ts) AS ts FROM ev GROUP BY ALL), i AS (SELECT source_id, provider_record_id AS u, max(n) AS n, max(ts) AS ts FROM ev WHERE n % 5 <> 4 GROUP BY ALL),
+@query("""WITH p AS (SELECT source_id, provider_record_id AS u, arg_min(n, n) AS n, min(ts) AS ts FROM ev GROUP BY ALL), i AS (SELECT source_id, provider_record_id AS u, max(n) AS n, max(ts) AS ts FROM ev GROUP BY ALL),
 j AS (SELECT i.source_id, i.u, i.n % 2 = 0 AS same, i.n % 3 = 0 AS newer, CASE WHEN i.u::INT % 2 = 0 THEN p.ts END AS b, CASE WHEN i.n % 7 = 0 THEN p.ts WHEN i.n % 4 = 0 THEN i.ts END AS a, i.n % 10 = 1 AS seen, i.ts >= p.ts AND i.n % 13 <> 0 AS ranked FROM i JOIN p USING (source_id, u))
 SELECT source_id, u AS record, CASE WHEN coalesce(b IS NOT NULL AND (a IS NULL OR a < b OR (a = b AND NOT same)), false) THEN false WHEN (same AND newer) OR coalesce(a > b, false) THEN true ELSE ranked AND NOT (seen AND NOT same) END AS replaces FROM j""")
 def i04_i08_choose_current(spark, sf_dir):
@@ -104,7 +104,7 @@ def i04_i08_choose_current(spark, sf_dir):
     e = e.withColumns({"source_updated_at": F.col("ts")})
     key = ["source_id", "provider_record_id"]
     old = e.groupBy(*key).agg(F.min("ts").alias("ts"), F.min("n").alias("n"))
-    new = e.where("n % 5 <> 4").groupBy(*key).agg(F.max("ts").alias("ts"), F.max("n").alias("n")).join(old.select(*key, F.col("ts").alias("old_ts")), key)
+    new = e.groupBy(*key).agg(F.max("ts").alias("ts"), F.max("n").alias("n")).join(old.select(*key, F.col("ts").alias("old_ts")), key)
     rank = lambda current, clock: F.struct(current.alias("current"), clock.alias("clock"), F.lit(0).cast("long").alias("episode"))
     fixed = I.payload_hash(F.lit("first"))
     previous = old.select(*key, rank(F.lit(True), F.col("ts")).alias("rank"), fixed.alias("payload_hash"), F.lit(1).alias("normalizer_version"), F.when(F.col("provider_record_id") % 2 == 0, F.col("ts")).alias("source_snapshot_at"))
@@ -114,10 +114,10 @@ def i04_i08_choose_current(spark, sf_dir):
     return I.choose_current(previous, incoming, stored).select("source_id", F.col("provider_record_id").alias("record"), "replaces")
 
 
-@query("SELECT source_id, provider_record_id AS record, arg_max(n, n) AS n, 'v' || max(n) AS observation_id FROM ev WHERE n % 2 = 0 GROUP BY ALL")
+@query("SELECT source_id, provider_record_id AS record, max(n) AS n, 'v' || max(n) AS observation_id FROM ev GROUP BY ALL")
 def j01_latest_material(spark, sf_dir):
     """Records and the observation they point to."""
-    e = ev(spark, sf_dir).where("n % 2 = 0")
+    e = ev(spark, sf_dir)
     obs = e.select("source_id", "provider_record_id", F.concat(F.lit("v"), _s("n")).alias("observation_id"), "n")
     rec = e.groupBy("source_id", "provider_record_id").agg(F.max("n").alias("m"), F.max("ts").alias("last_seen_at")).select("source_id", "provider_record_id", _u().alias("event_id"), F.concat(F.lit("v"), _s("m")).alias("observation_id"), "last_seen_at")
     return I.latest_material(rec, obs).select("source_id", F.col("provider_record_id").alias("record"), "n", "observation_id")
@@ -342,16 +342,16 @@ def i26_baseline_ids(spark, sf_dir):
     return I.make_baseline(e).select("id")
 
 
-@query("""WITH f AS (SELECT DISTINCT source_id FROM ev WHERE source_id IN ('click', 'view')), c AS (SELECT 'c' || n AS id, source_id, provider_record_id AS u FROM ev WHERE n % 2 = 0 AND source_id NOT IN ('click', 'view')),
-p AS (SELECT 'p' || n AS id, source_id, 'p' || provider_record_id AS u, n FROM ev WHERE n % 3 = 0 AND source_id IN ('click', 'view')), k AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id, u ORDER BY id) AS rn FROM p) WHERE rn = 1)
+@query("""WITH f AS (SELECT DISTINCT source_id FROM ev WHERE source_id IN ('click', 'view')), c AS (SELECT 'c' || n AS id, source_id, provider_record_id AS u FROM ev WHERE source_id NOT IN ('click', 'view')),
+p AS (SELECT 'p' || n AS id, source_id, 'p' || provider_record_id AS u, n FROM ev WHERE source_id IN ('click', 'view')), k AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id, u ORDER BY id) AS rn FROM p) WHERE rn = 1)
 SELECT 'kept' AS what, count(*) AS n FROM k UNION ALL SELECT 'all', (SELECT count(*) FROM k) + (SELECT count(*) FROM c)""")
 def j14_l10_i29_retained(spark, sf_dir):
     """A new snapshot keeps events of failed sources from the one before, one a (source, record)."""
     e = ev(spark, sf_dir).withColumn("source_ids", F.array("source_id"))
     pair = lambda r: F.array(F.struct("source_id", r.alias("provider_record_id")))
     failed = F.col("source_id").isin("click", "view")
-    current = e.where((_n() % 2 == 0) & ~failed).select(F.concat(F.lit("c"), _s("n")).alias("id"), "source_ids", "tags", pair(_u()).alias("pairs"))
-    previous = e.where(_n() % 3 == 0).select(F.concat(F.lit("p"), _s("n")).alias("id"), "source_ids", "tags", pair(F.concat(F.lit("p"), _u())).alias("pairs"))
+    current = e.where(~failed).select(F.concat(F.lit("c"), _s("n")).alias("id"), "source_ids", "tags", pair(_u()).alias("pairs"))
+    previous = e.select(F.concat(F.lit("p"), _s("n")).alias("id"), "source_ids", "tags", pair(F.concat(F.lit("p"), _u())).alias("pairs"))
     sources = e.select("source_id").distinct().select("source_id", F.when(failed, "error").otherwise("ok").alias("status"), _at(MID).alias("last_success_at"), F.lit(1).cast("long").alias("record_count"))
     out = I.retain_previous(current, previous, sources)
     kept = I.retained_counts(out.where("id like 'p%'"), sources).where("status = 'error'").agg(F.lit("kept").alias("what"), F.sum("record_count").alias("n"))
@@ -429,7 +429,7 @@ def a02_background_count(spark, sf_dir):
     return A.background_count(ev(spark, sf_dir), X.is_background(datetime(2024, 1, 24), datetime(2024, 1, 31)))
 
 
-@query(f"""WITH {_REL}, o AS (SELECT provider_record_id AS u, count(*) AS evidence, max(ts) AS newest FROM ev GROUP BY 1) SELECT 'user' || o.u AS id, evidence, epoch(date_trunc('second', newest))::BIGINT AS newest, least(30, evidence) AS revisions FROM o WHERE o.u::INT % 2 = 0""")
+@query(f"""WITH {_REL}, o AS (SELECT provider_record_id AS u, count(*) AS evidence, max(ts) AS newest FROM ev GROUP BY 1) SELECT 'user' || o.u AS id, evidence, epoch(date_trunc('second', newest))::BIGINT AS newest, least(30, evidence) AS revisions FROM o""")
 def p02_j09_event_detail(spark, sf_dir):
     """Users as events: evidence of their records and at most 30 revisions."""
     e = ev(spark, sf_dir).withColumns({"event_id": F.concat(F.lit("user"), _u()), "observation_id": F.concat(F.lit("o"), "id")})
@@ -439,7 +439,7 @@ def p02_j09_event_detail(spark, sf_dir):
     users = e.groupBy("event_id").agg(F.max_by(F.struct("title", "lifecycle_status", "valid_from", "valid_to", "source_id", "kind", "tags", "severity", "source_ids"), "n").alias("x")).select(F.col("event_id").alias("id"), "x.*")
     rel = _relations(e).limit(0)
     tables = {"events": users, "records": rec, "observations": obs, "registry": D.sources_df(spark), "revisions": e.select("event_id", F.col("ts").alias("changed_at"), F.col("id").alias("revision_id"), "change_type"), "relations": rel}
-    out = P.event_detail(tables, users.where("cast(substring(id, 5) as int) % 2 = 0").select("id"), NOW)
+    out = P.event_detail(tables, users.select("id"), NOW)
     return out.select("id", F.size("evidence").cast("long").alias("evidence"), F.unix_timestamp(F.array_max(F.transform("evidence", lambda x: x["retrieved_at"]))).alias("newest"), F.size("revisions").cast("long").alias("revisions"))
 
 
@@ -688,14 +688,14 @@ def s23_k06_snapshot(spark, sf_dir):
     return events.join(bad, "id", "full_outer").select("id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("SELECT 'last' AS what, max_by('b' || n, (ts, 'b' || n)) AS run FROM ev WHERE n % 3 = 0 AND n % 2 = 0 AND countries[1] = 'PL' UNION ALL SELECT 'saved', count(*)::VARCHAR FROM ev WHERE n % 3 = 0")
+@query("SELECT 'last' AS what, max_by('b' || n, (ts, 'b' || n)) AS run FROM ev WHERE n % 2 = 0 AND countries[1] = 'PL' UNION ALL SELECT 'saved', count(*)::VARCHAR FROM ev")
 def s24_k07_briefing_runs(spark, sf_dir):
     """Saved briefings: the latest of one scope."""
     import uuid
 
     from eventlens.sources.lineage import shared_folder
 
-    runs = ev(spark, sf_dir).where(_mod(3)).select(F.concat(F.lit("b"), _s("n")).alias("run_id"), F.get("countries", 0).alias("country"), F.when(_mod(2), 24).otherwise(72).alias("window_hours"), F.col("ts").alias("created_at"), F.col("ts").alias("until"))
+    runs = ev(spark, sf_dir).select(F.concat(F.lit("b"), _s("n")).alias("run_id"), F.get("countries", 0).alias("country"), F.when(_mod(2), 24).otherwise(72).alias("window_hours"), F.col("ts").alias("created_at"), F.col("ts").alias("until"))
     path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     sinks.save_briefing(path, runs, 1, 1)
     saved = spark.read.parquet(path)
