@@ -17,7 +17,7 @@ def ngram_frequencies(texts: list[bytes | None], dims: int = DIMS) -> np.ndarray
     out = np.zeros((n, dims), np.float32)
     size = np.array([len(t or b"") for t in texts], np.int64)
     flat = np.frombuffer(b"".join(t or b"" for t in texts), np.uint8).astype(np.uint32)
-    doc = np.repeat(np.arange(n), size)
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # bytes from here to the text's end
     for k, (width, factor) in enumerate(((2, _K2), (3, _K3))):
         if len(flat) < width:
@@ -26,7 +26,7 @@ def ngram_frequencies(texts: list[bytes | None], dims: int = DIMS) -> np.ndarray
         for i in range(1, width):
             gram = gram << np.uint32(8) | flat[i : len(flat) - width + 1 + i]
         inside = left[: len(gram)] >= width
-        at = doc[: len(gram)] * half + ((gram * factor) >> shift)
+        at = doc[: len(gram)] * np.int64(half) + ((gram * factor) >> shift)
         out[:, k * half : (k + 1) * half] = np.bincount(at[inside], minlength=n * half)[: n * half].reshape(n, half)
     return out / np.maximum(size, 1)[:, None].astype(np.float32)
 
@@ -53,7 +53,7 @@ def sampled_features(df: DataFrame, text_col: str, label_col: str, most: int, sa
     from eventlens.llm.common import blobs, slices
 
     def run(batches):
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             x = features(blobs(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("label")], ["h", "x", "label"])
 
@@ -65,11 +65,22 @@ def sampled_features(df: DataFrame, text_col: str, label_col: str, most: int, sa
     rows = df.select(F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), label.alias("label"))
     rows = rows.where(F.col("h") <= F.try_element_at(cut, F.col("label"))).mapInArrow(run, "h long, x binary, label string")
     first = F.row_number().over(Window.partitionBy("label").orderBy("h", "x"))
-    rows = rows.withColumn("first", first).where(F.col("first") <= most).select("label", "x").toArrow()
-    pairs = sorted(zip(rows["label"].to_pylist(), rows["x"].to_pylist(), strict=True))  # so that the order of tasks does not matter
-    if not pairs:
+    table = rows.withColumn("first", first).where(F.col("first") <= most).select("label", "h", "x").toArrow()
+    if not len(table):
         return np.zeros((0, 0), np.float32), []
-    return np.frombuffer(b"".join(p[1] for p in pairs), np.float32).reshape(len(pairs), -1), [p[0] for p in pairs]
+    # in order of labels and hashes, so that the order of tasks does not matter; rows of one hash are equal
+    labels, order = table["label"].to_pylist(), np.lexsort((table["h"].to_numpy(), table["label"].to_numpy()))
+    width = len(table["x"][0].as_py()) // 4
+    flat, at = np.empty((len(order), width), np.float32), np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    start = 0
+    for chunk in table["x"].chunks:
+        for i, x in enumerate(chunk):
+            flat[at[start + i]] = np.frombuffer(x.as_buffer(), np.float32)
+        start += len(chunk)
+    del table
+    pa.default_memory_pool().release_unused()
+    return flat, [labels[i] for i in order]
 
 
 def shape_features(texts: list[bytes | None]) -> np.ndarray:

@@ -100,7 +100,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
     arrow, names = plain(schema), docs.columns
 
     def run(batches):
-        for b in slices(batches, text_col, 4 << 20):
+        for b in slices(batches, text_col, 1 << 20):
             texts = blobs(b.column(text_col))
             known = np.array([model is not None and has_letter(t) for t in texts])
             pred, score, gap = np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts))
