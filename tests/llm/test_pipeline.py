@@ -1,5 +1,10 @@
 """The pipeline's stages against brute force on their own input, on the smallest tables."""
 
+import numpy as np
+from tokenizers import Tokenizer
+
+from eventlens.llm import quality
+from eventlens.llm.tokens import vocabulary_path
 from tests.llm.test_text_operators import contamination_brute, jaccard_brute, lines_brute
 
 import corpus_pipeline
@@ -17,7 +22,10 @@ def test_stages(spark):
         before = rows(docs)
         docs = stage(spark, docs, SF).cache()
         if i == 4:
-            assert {r.doc_id for r in docs.collect()} == {d for d, _ in before}
+            library, pieces = Tokenizer.from_file(vocabulary_path()), {}
+            for r in sorted(docs.collect(), key=lambda r: r.start):
+                pieces.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+            assert pieces == {d: [*library.encode(t or "", add_special_tokens=False).ids, 1] for d, t in before}
             break
         assert docs.columns == spark.read.parquet(f"{SF}/documents.parquet").columns
         after = rows(docs)
@@ -25,6 +33,10 @@ def test_stages(spark):
         if i == 0:
             marked = [(labels[d], d in dict(after)) for d, _ in before if d in labels]
             assert sum(q == k for q, k in marked) >= 0.95 * len(marked)
+            whole = spark.read.parquet(f"{SF}/documents.parquet")
+            model = quality.train_quality(whole, spark.read.parquet(f"{SF}/labels.parquet"))
+            scores = {d: float(model.score(quality.features([None if t is None else t.encode()]))[0]) for d, t in before}
+            assert {d for d, _ in after} == {d for d, x in scores.items() if x >= 0.7}
         elif i == 1:
             assert sorted(after) == sorted((d, t) for d, _, _, t in lines_brute(before))
         elif i == 2:
