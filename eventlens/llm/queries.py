@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventlens.llm import decontaminate, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, token_files, warc
+from eventlens.llm import decontaminate, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, spelling, token_files, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_language": langid.op10_language,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_secret_scan": secrets.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }
