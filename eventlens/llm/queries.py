@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventlens.llm import decontaminate, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, spelling, token_files, warc
+from eventlens.llm import decontaminate, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, spelling, token_files, vector_codes, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_language": langid.op10_language,
     "op12_spelling": spelling.op12_spelling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
     "op12_spelling": spelling.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
