@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventlens.llm import decontaminate, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, spelling, token_files, vector_codes, warc
+from eventlens.llm import decontaminate, html_text, jaccard, langid, line_dedup, near_dup, packing, quality, secrets, spelling, token_files, vector_codes, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_language": langid.op10_language,
+    "op11_html_text": html_text.op11_html_text,
     "op12_spelling": spelling.op12_spelling,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
