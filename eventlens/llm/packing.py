@@ -26,7 +26,7 @@ _NONE = np.iinfo(np.int64).max
 class SumOfSquares:
     """The online packer. Pieces are (doc, start, ids, doc_tokens); finished windows go to `out`."""
 
-    def __init__(self, window: int, first_id: int = 0, max_open: int = 2048):
+    def __init__(self, window: int, first_id: int = 0, max_open: int = 16_384):
         self.window, self.next_id, self.max_open = window, first_id, max_open
         self.count = np.zeros(window + 1, np.int64)
         self.at: dict[int, list[list]] = {}
@@ -60,7 +60,8 @@ class SumOfSquares:
             start += w
         if start == total:
             return
-        piece, size = (doc, start, ids[start:], total), total - start
+        # a copy: a view would keep the whole document as long as its window is open
+        piece, size = (doc, start, ids[start:].copy(), total), total - start
         old = self.level(size)
         if old:
             pieces = self.at[old].pop()
@@ -121,9 +122,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every row is one document, also when its id is null or repeated; null text is empty and holds end_id alone. Each
     id of a document, end_id included, lies in exactly one piece. sequence_id is unique over the table: the input
     partition in the upper bits, a counter in the lower 33. Ties between fill levels go to the fullest. A text of any
-    length is packed whole. At most 2048 windows stay open in a task: when there are more, as with documents that are
-    all longer than half a window, the open ones are laid end to end and cut. In partitions of few documents that final
-    cut makes most windows.
+    length is packed whole. At most 16,384 windows stay open in a task, which hold their own ids and no more: 128 MB. When
+    there are more, as with documents that are all longer than half a window, the open ones are laid end to end and cut.
+    In partitions of few documents that final cut makes most windows.
     """
     path = vocabulary or vocabulary_path()
 

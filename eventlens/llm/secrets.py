@@ -102,13 +102,21 @@ def candidates(postings: DataFrame, queries: dict[str, list[set[str]]]) -> DataF
     return per.select("doc_id", "tkey", rules.alias("rules")).where(F.size("rules") > 0)
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, ord, end, kind>> of a rule's matches in a text, in code points, end exclusive."""
+def _once(value: Column, use) -> Column:
+    """use(value), for which value is evaluated once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spans_of(text: Column, rule: Rule, order: int, block: int = 512) -> Column:
+    """array<struct<start, ord, end, kind>> of a rule's matches in a text, in code points, end exclusive.
+
+    Each expression is run over the text once. Matches are folded in blocks, whose spans are put together afterwards: an
+    array that grows by one span at a time would be copied for each of them.
+    """
     pattern = F.lit(rule.pattern)
     found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["piece"])
@@ -116,8 +124,18 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         span = F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(F.char_length(x["value"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.transform(found, lambda x, i: F.struct(F.get(pieces, i).alias("piece"), x.alias("found"), F.get(value, i).alias("value")))
-    return F.when(F.regexp_like(text, pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def blocks(zipped: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(zipped), F.lit(block))
+
+        def more(acc: Column, at: Column) -> Column:
+            inner = F.aggregate(F.slice(zipped, at, F.lit(block)), F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+            return _once(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+        return F.aggregate(starts, F.struct(F.lit(0).alias("at"), empty.alias("out")), more, lambda acc: acc["out"])
+
+    # the text behind the last match is the last piece; it has no match beside it and adds no span
+    zipped = F.arrays_zip(pieces.alias("piece"), found.alias("found"), value.alias("value"))
+    return F.when(F.regexp_like(text, pattern), _once(zipped, blocks)).otherwise(empty)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -388,3 +388,29 @@ def test_text_key_tells_texts_apart(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (1, "a")], "doc_id long, text string")
     assert df.select(text_key()).distinct().count() == 3
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_text_of_many_secrets(spark):
+    import time
+
+    rng = random.Random(6)
+    one = [f"{rng.getrandbits(128):032x}" for _ in range(200_000)]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, "AKIA" + "A" * 14 + " " + one[0] + "é" + one[1])], "doc_id long, text string")
+    start = time.monotonic()
+    found = {r.doc_id: r.s for r in secrets.scan_secrets(df).selectExpr("doc_id", "transform(secret_spans, x -> struct(x.start, x.end)) AS s").collect()}
+    assert time.monotonic() - start < 60
+    assert [tuple(x) for x in found[1]] == [(33 * i, 33 * i + 32) for i in range(200_000)]
+    assert [tuple(x) for x in found[2]] == [(0, 18), (19, 51), (52, 84)]
+
+
+def test_open_windows_hold_their_own_ids_alone():
+    import tracemalloc
+
+    packer, rng = packing.SumOfSquares(2048), np.random.default_rng(2)
+    tracemalloc.start()
+    for i in range(300):
+        packer.add(i, np.zeros(1_000_000 + int(rng.integers(2048)), "<u4"))
+        packer.out = []
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 50 << 20
