@@ -1,14 +1,18 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs.
 
 Equal vectors of one label collapse to a representative with a multiplicity. A label's representatives are dealt to
-shards of bounded size; a task builds a navigable graph for each shard. Every shard is then queried with the vectors of
-every shard of its label, in blocks. Beams widen until an audit against brute force passes; a query whose beam is full
-of links is answered by scanning the shard, and so are all queries of a block whose audit fails at the widest beam. Cosines are verified in double precision. A block returns one row per
-vector: its number of links, and the smallest vector it is tied to in that block; links never leave as pairs.
+shards of bounded size; a task builds a navigable graph for each shard and puts it into a file on the shared folder.
+Every shard is then queried with the vectors of every shard of its label: a task gets the names of two files, no vector
+is shuffled again. Beams widen until an audit against brute force passes; a query whose beam is full of links is
+answered by scanning the shard, and so are all queries of a pair of shards whose audit fails at the widest beam. Cosines
+are verified in double precision. Scanned queries are counted row by row, so a dense group of any size never becomes a
+list of pairs; those of beams that are not full are bounded by their width. A pair of shards returns one row per vector:
+its number of links, and the smallest vector it is tied to there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import OWN, written
+from eventlens.llm.common import OWN, scratch_path, written
 from eventlens.llm.components import LocalComponents, connected_components
+from eventlens.llm.files import get, put
 
 _EXPAND = 4
 
@@ -178,11 +183,12 @@ def _full(sims: np.ndarray, floor: np.float32, ef: int, n: int) -> np.ndarray:
     return (sims >= floor).all(1) & (ef < n)
 
 
-def links_between(graph: Graph, queries: np.ndarray, own: bool, threshold: float, audit: int = 128, target: float = 0.99, widest: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) pairs that the search found, of cosine near the threshold or above (in single precision, with a margin).
+def beam_links(graph: Graph, queries: np.ndarray, own: bool, threshold: float, audit: int = 128, target: float = 0.99, widest: int = 256, block: int = 4096) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
+    """((query, node) pairs that beams found, queries that are to be scanned, width of the beams or 0 where all are scanned).
 
-    own: the queries are the graph's own nodes, and each starts from itself. Full beams are answered by a scan, and all
-    queries are where the audit still fails at the widest beam.
+    Pairs have a cosine near the threshold or above (in single precision, with a margin). own: the queries are the
+    graph's own nodes, and each starts from itself. To be scanned are full beams, and all queries where the audit still
+    fails at the widest beam. The queries to scan are complete when the pairs are used up.
     """
     floor, n = np.float32(threshold - 1e-5), len(graph.x)
     q = queries.astype(np.float32)
@@ -190,86 +196,150 @@ def links_between(graph: Graph, queries: np.ndarray, own: bool, threshold: float
     ef = min(32, n)
     while not (passed := _audit(graph, q, entry, own, floor, ef, audit, target)) and ef < min(widest, n):
         ef = min(2 * ef, n, widest)
-    todo = np.arange(len(q))
-    if passed:
-        got, sims = graph.search(q, entry, 0, ef)
-        full = _full(sims, floor, ef, n)
-        ok = ~full
-        row, column = np.nonzero((sims[ok] >= floor) & (got[ok] >= 0))
-        yield todo[ok][row], got[ok][row, column]
-        todo = todo[full]
+    scan = np.full(len(q), not passed)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(q) if passed else 0, block):
+            got, sims = graph.search(q[i : i + block], entry[i : i + block], 0, ef)
+            full = _full(sims, floor, ef, n)
+            scan[i : i + block] = full
+            row, column = np.nonzero((sims >= floor) & (got >= 0) & ~full[:, None])
+            yield i + row, got[row, column]
+
+    return pairs(), scan, ef if passed else 0
+
+
+def links_between(graph: Graph, queries: np.ndarray, own: bool, threshold: float, **options) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of beams and scans, of cosine near the threshold or above."""
+    pairs, scan, _ = beam_links(graph, queries, own, threshold, **options)
+    yield from pairs
+    todo, q = np.flatnonzero(scan), queries.astype(np.float32)
     for i in range(0, len(todo), 256):
-        part = todo[i : i + 256]
-        row, column = np.nonzero(q[part] @ graph.x.T >= floor)
-        yield part[row], column
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):
-            rows = b.slice(i, 1)
-            members = rows.column("members")[0].values
-            ids = members.field("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            flat = members.field("vec")
-            x = np.array(flat.to_pylist(), np.float64)[order]
-            graph = Graph.build(unit(x).astype(np.float32))
-            blobs = [np.ascontiguousarray(z).tobytes() for z in (ids[order], members.field("copies").to_numpy()[order], x, *graph.layers)]
-            widths = [z.shape[1] for z in graph.layers]
-            yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("dim"), rows.column("shard"), *(pa.array([z], pa.binary()) for z in blobs[:3]), pa.array([widths], pa.list_(pa.int32())), pa.array([blobs[3:]], pa.list_(pa.binary()))], ["label", "dim", "shard", "ids", "copies", "vecs", "widths", "layers"])
-
-
-def _query(threshold: float):
+        row, column = np.nonzero(q[todo[i : i + 256]] @ graph.x.T >= np.float32(threshold - 1e-5))
+        yield todo[i : i + 256][row], column
+
+
+class LinkCounts:
+    """Links of two shards, or of one with itself: a weighted number and a component for each vector."""
+
+    def __init__(self, x: np.ndarray, copies: np.ndarray, x2: np.ndarray, copies2: np.ndarray, own: bool, threshold: float):
+        self.x, self.copies, self.x2, self.copies2, self.own, self.threshold = x, copies, x2, copies2, own, threshold
+        self.base = 0 if own else len(x)
+        self.links = np.zeros(self.base + len(x2), np.int64)
+        self.parts = LocalComponents(len(self.links))
+
+    def verified(self, q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", self.x2[q[i : i + 65536]], self.x[node[i : i + 65536]]) >= self.threshold for i in range(0, len(q), 65536))])
+        return q[keep], node[keep]
+
+    def add(self, q: np.ndarray, node: np.ndarray) -> None:
+        """Verified pairs, each once."""
+        np.add.at(self.links, self.base + q, self.copies[node])
+        np.add.at(self.links, node, self.copies2[q])
+        self.parts.add(self.base + q, node)
+
+    def scan(self, which: np.ndarray, block: int = 64) -> None:
+        """All links of the queries that `which` marks, row by row; a pair of marked ones of one shard counts once for each."""
+        todo, other = np.flatnonzero(which), (~which if self.own else np.ones(len(self.x), bool)).astype(np.int64)
+        for i in range(0, len(todo), block):
+            part = todo[i : i + block]
+            near = self.x2[part] @ self.x.T >= self.threshold
+            if self.own:
+                near[np.arange(len(part)), part] = False
+            self.links[self.base + part] += near @ self.copies
+            self.links[: len(self.x)] += (self.copies2[part] @ near) * other
+            for k, q in enumerate(part):
+                fresh = np.flatnonzero(near[k] & (self.parts.root[: len(self.x)] != self.parts.root[self.base + q]))
+                if len(fresh):
+                    self.parts.add(np.full(len(fresh), self.base + q), fresh)
+
+
+def count_links(graph: Graph, x: np.ndarray, copies: np.ndarray, x2: np.ndarray, copies2: np.ndarray, own: bool, threshold: float) -> tuple[LinkCounts, int]:
+    """Links of the unit vectors x2 with those of the graph, in double precision, and the width of the beams (0: all scanned)."""
+    counts = LinkCounts(x, copies, x2, copies2, own, threshold)
+    pairs, scan, width = beam_links(graph, x2, own, threshold)
+    n, held = len(x), []
+    for q, node in pairs:
+        if own:  # found from either side, so they are kept until both are there: less than the beams' width for each row
+            q, node = np.minimum(q, node), np.maximum(q, node)
+            code = np.unique(q[q != node].astype(np.int64) * n + node[q != node])
+            q, node = counts.verified(code // n, code % n)
+            held.append(q * n + node)
+        else:
+            counts.add(*counts.verified(q, node))
+    if held:
+        code = np.unique(np.concatenate(held))
+        q, node = code // n, code % n
+        both = ~scan[q] & ~scan[node]  # what is scanned has all its links from there
+        counts.add(q[both], node[both])
+    counts.scan(scan)
+    return counts, width
+
+
+def _shard_file(uri: str, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, layers: list[np.ndarray]) -> str:
+    """A file of a shard's arrays: a first line of rows, components and widths, then the arrays; its name."""
+    head = " ".join(map(str, (len(ids), x.shape[1], *(z.shape[1] for z in layers)))).encode() + b"\n"
+    name = f"{uuid.uuid4().hex}.shard"
+    put(uri, name, head + b"".join(np.ascontiguousarray(z).tobytes() for z in (ids, copies, x, *layers)))
+    return name
+
+
+def _shard(uri: str, name: str, links: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, copies, unit vectors, layers) of a shard's file; without links, no layers."""
+    data = get(uri, name)
+    at = data.index(b"\n") + 1
+    n, d, *widths = map(int, data[: at - 1].split())
+    out = []
+    for kind, width in ((np.int64, 1), (np.int64, 1), (np.float64, d), *((np.int32, w) for w in widths if links)):
+        out.append(np.frombuffer(data, kind, n * width, at).reshape(n, width))
+        at += out[-1].nbytes
+    return out[0][:, 0], out[1][:, 0], unit(out[2]), out[3:]
+
+
+def _build(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                members = row.column("members")[0].values
+                ids = members.field("vec_id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                vec = members.field("vec")
+                x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)[order]
+                graph = Graph.build(unit(x).astype(np.float32))
+                name = _shard_file(uri, ids[order], members.field("copies").to_numpy()[order], x, graph.layers)
+                yield pa.RecordBatch.from_arrays([row.column("label"), row.column("dim"), row.column("shard"), pa.array([name])], ["label", "dim", "shard", "file"])
+
+    return run
+
+
+def _query(uri: str, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                own = r["shard"] == r["shard2"]
-                ids, copies = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64)
-                x = unit(np.frombuffer(r["vecs"], np.float64).reshape(len(ids), -1))
-                layers = [np.frombuffer(z, np.int32).reshape(len(ids), w) for z, w in zip(r["layers"], r["widths"], strict=True)]
+            for first, others in zip(b.column("file").to_pylist(), b.column("others").to_pylist(), strict=True):
+                ids, copies, x, layers = _shard(uri, first, True)
                 graph = Graph(x.astype(np.float32), layers, 0)
-                ids2, copies2, x2 = (ids, copies, x) if own else (np.frombuffer(r["ids2"], np.int64), np.frombuffer(r["copies2"], np.int64), unit(np.frombuffer(r["vecs2"], np.float64).reshape(len(r["ids2"]) // 8, -1)))
-                n, base = len(ids), len(ids)
-                every = np.concatenate([ids, ids2]) if not own else ids
-                links, parts, known = np.zeros(len(every), np.int64), LocalComponents(len(every)), set()
-                for q, node in links_between(graph, x2, own, threshold):
-                    if own:
-                        q, node = np.minimum(q, node), np.maximum(q, node)  # found from either side
-                    pair = np.unique(q.astype(np.int64) * n + node)
-                    if own:
-                        pair = pair[pair // n != pair % n]
-                        known.add(pair.tobytes())
-                        continue
-                    q, node = pair // n, pair % n
-                    near = np.einsum("ij,ij->i", x2[q], x[node]) >= threshold
-                    q, node = q[near], node[near]
-                    np.add.at(links, base + q, copies[node])
-                    np.add.at(links, node, copies2[q])
-                    parts.add(base + q, node)
-                if own and known:
-                    pair = np.unique(np.concatenate([np.frombuffer(z, np.int64) for z in known]))
-                    for i in range(0, len(pair), 1 << 20):
-                        q, node = pair[i : i + (1 << 20)] // n, pair[i : i + (1 << 20)] % n
-                        near = np.einsum("ij,ij->i", x[q], x[node]) >= threshold
-                        q, node = q[near], node[near]
-                        np.add.at(links, q, copies[node])
-                        np.add.at(links, node, copies[q])
-                        parts.add(q, node)
-                tied = np.flatnonzero(links)
-                least = np.full(len(every), np.iinfo(np.int64).max)
-                np.minimum.at(least, parts.root, every)
-                yield pa.RecordBatch.from_arrays([pa.array(every[tied]), pa.array(links[tied]), pa.array(least[parts.root[tied]])], ["vec_id", "n", "root"])
+                for name in others:
+                    own = name == first
+                    ids2, copies2, x2, _ = (ids, copies, x, None) if own else _shard(uri, name, False)
+                    counts, width = count_links(graph, x, copies, x2, copies2, own, threshold)
+                    every = ids if own else np.concatenate([ids, ids2])
+                    tied = np.flatnonzero(counts.links)
+                    least = np.full(len(every), np.iinfo(np.int64).max)
+                    np.minimum.at(least, counts.parts.root, every)
+                    yield pa.RecordBatch.from_arrays([pa.array(every[tied]), pa.array(counts.links[tied]), pa.array(least[counts.parts.root[tied]]), pa.array(np.full(len(tied), width, np.int32))], ["vec_id", "n", "root", "beam"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 4096, growth: float = 64, most_rows: int = 131_072, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 4096, growth: float = 64, most_rows: int = 131_072, most_bytes: int = 64 << 20, together: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept. Vectors are compared within a label and a dimension.
 
     Rows with a null id, label or vector, and vectors that are empty, zero or hold null or non-finite components link
     with nothing (component_id is their own id). Rows of one id are vectors of their own. An empty table gives no rows.
     A label's shards hold growth * sqrt(vectors) of it, from shard_rows to most_rows, so that pairs of shards grow in
-    proportion to the label. Ties do not arise: what counts is whether a cosine reaches the threshold.
+    proportion to the label, but not more than most_bytes of doubles. Ties do not arise: what counts is whether a cosine
+    reaches the threshold.
     """
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -279,19 +349,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
     good = every.where("ok").select("vec_id", "label", "vec", *keys)
     reps = written(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vectors")
     per_label = reps.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
-    per_label = written(per_label.withColumn("shards", F.ceil(F.col("n") / F.least(F.greatest(growth * F.sqrt("n"), F.lit(float(shard_rows))), F.lit(float(most_rows)))).cast("int")), "labels")
+    per_label = written(per_label.withColumn("shards", F.ceil(F.col("n") / F.least(F.greatest(growth * F.sqrt("n"), F.lit(float(shard_rows))), F.lit(float(most_rows)), F.greatest(F.lit(1.0), most_bytes / (8 * F.col("dim"))))).cast("int")), "labels")
     dealt = reps.withColumn("dim", F.size("vec")).join(per_label, ["label", "dim"])  # AQE splits a hot label
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     member = F.struct(F.col("rep").alias("vec_id"), "copies", "vec")
     shards = dealt.groupBy("label", "dim", "shard").agg(F.collect_list(member).alias("members"))  # about shard_rows rows each
-    index = written(shards.mapInArrow(_build, "label string, dim int, shard int, ids binary, copies binary, vecs binary, widths array<int>, layers array<binary>"), "graphs")
+    uri = scratch_path(vectors.sparkSession, "shards")
+    index = written(shards.mapInArrow(_build(uri), "label string, dim int, shard int, file string"), "graphs")
+    # a task takes a shard and up to `together` others, itself first; only names are joined
     pairs = per_label.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "shards").select("label", "dim", "shard", F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard2"))
-    second = index.select("label", "dim", F.col("shard").alias("shard2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vecs").alias("vecs2"))
-    # a shard is queried with itself from its own row; the others come by a join
-    same = index.withColumns({"shard2": F.col("shard"), **{c: F.lit(None).cast("binary") for c in ("ids2", "copies2", "vecs2")}})
-    cross = pairs.where("shard < shard2").join(index, ["label", "dim", "shard"]).join(second, ["label", "dim", "shard2"])
-    work = same.unionByName(cross).repartition(F.col("label"), F.col("dim"), F.col("shard"), F.col("shard2"))
-    found = written(work.mapInArrow(_query(threshold), "vec_id long, n long, root long"), "links")
+    named = pairs.join(index, ["label", "dim", "shard"]).join(index.select("label", "dim", F.col("shard").alias("shard2"), F.col("file").alias("file2")), ["label", "dim", "shard2"])
+    work = named.groupBy("label", "dim", "shard", "file", F.floor((F.col("shard2") - F.col("shard")) / together).alias("run")).agg(F.collect_list("file2").alias("others"))
+    work = written(work.select("file", "others", "run"), "shard-pairs")
+    work = work.repartition(max(1, min(work.count(), 10_000)), "file", "run")
+    found = written(work.select("file", "others").mapInArrow(_query(uri, threshold), "vec_id long, n long, root long, beam int"), "links")
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     component = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     known = reps.select("label", "k1", "k2", F.col("rep").alias("vec_id"), "copies").join(links, "vec_id", "left").join(component.withColumnRenamed("id", "vec_id"), "vec_id", "left")

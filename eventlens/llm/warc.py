@@ -57,46 +57,64 @@ def arc_record(version: int, url: str, date: str, mime: str, content: bytes, off
     return f"{url} 0.0.0.0 {date} {mime}{middle} {len(content)}\n".encode() + content + b"\n"
 
 
+def _declared(words: list[str], content: bytes, first: bool) -> int | None:
+    """The version that a record declares, if it is a version block: the first of its file, or one of another file put behind it.
+
+    A page may bear any URL; what makes a block is its place, or its type and the line of field names in its content.
+    """
+    if not words[0].startswith("filedesc:") or not first and words[3] != "text/plain":
+        return None
+    found = re.match(rb"(\d+) \d+ [^\n]*\nURL IP-address Archive-date ", content)
+    if found is None and not first:
+        return None
+    version = int(found[1]) if found else int(content.split(b" ", 1)[0])
+    if version not in ARC_FIELDS:
+        raise ValueError(f"ARC version {version}")
+    return version
+
+
 def read_arc(stream) -> Iterator[ArcRecord]:
     """Records of an ARC stream, each by the header line of the version that the last version block declared."""
-    version = 1
+    version, first = 1, True
     while line := stream.readline():
         if line == b"\n":
             continue
         words = line.decode("utf-8", "replace").rstrip("\n").split(" ")
-        content = None
-        if words[0].startswith("filedesc:"):
-            content = stream.read(int(words[-1]))
-            version = int(content.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version}")
-            continue
-        names = ARC_FIELDS[version]
-        if len(words) != len(names) or not words[-1].isdigit():
+        if len(words) not in map(len, ARC_FIELDS.values()) or not words[-1].isdigit():
             raise ValueError(f"bad ARC header line: {line[:80]!r}")
-        fields = dict(zip(names, words, strict=True))
-        content = stream.read(int(fields["length"]))
-        if len(content) != int(fields["length"]):
+        content = stream.read(int(words[-1]))
+        if len(content) != int(words[-1]):
             raise ValueError("ARC record is shorter than declared")
-        yield ArcRecord(fields, content)
+        declared, first = _declared(words, content, first), False
+        if declared is not None:
+            version = declared
+            continue
+        if len(words) != len(ARC_FIELDS[version]):
+            raise ValueError(f"bad ARC header line: {line[:80]!r}")
+        yield ArcRecord(dict(zip(ARC_FIELDS[version], words, strict=True)), content)
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(source: int | None) -> str:
-    """A version-8 (custom) UUID that carries the 64-bit source id; null has a variant of its own."""
+def place_mark(file: str, k: int) -> int:
+    """46 bits of where a record stands: they tell records of one source id apart."""
+    return int.from_bytes(hashlib.sha1(f"{file}:{k}".encode()).digest()[:6]) >> 2
+
+
+def record_id(source: int | None, mark: int = 0) -> str:
+    """A version-8 (custom) UUID that carries the 64-bit source id and a mark; null has a variant of its own."""
     n = (source or 0) & (1 << 64) - 1
     high = (n >> 16) << 80 | 8 << 76 | (1 if source is None else 0) << 64
-    return f"urn:uuid:{uuid.UUID(int=high | 2 << 62 | (n & 0xFFFF) << 16 | 0xE1)}"
+    return f"urn:uuid:{uuid.UUID(int=high | 2 << 62 | (n & 0xFFFF) << 46 | mark)}"
 
 
 def source_of(urn: str) -> int | None:
     x = uuid.UUID(urn.removeprefix("<").removesuffix(">").removeprefix("urn:uuid:")).int
     if x >> 64 & 1:
         return None
-    n = (x >> 80) << 16 | x >> 16 & 0xFFFF
+    n = (x >> 80) << 16 | x >> 46 & 0xFFFF
     return n - (1 << 64) if n >> 63 else n
 
 
@@ -108,20 +126,20 @@ def _head(content: bytes) -> int:
     return len(content) if end < 0 else end + 4
 
 
-def to_warc(record: ArcRecord, source: int | None, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record: response, revisit (head only), or resource where the content is no HTTP message."""
-    cut = _head(record.content)
+def to_warc(record: ArcRecord, source: int | None, mark: int = 0, refers_to: tuple[int, int] | None = None) -> bytes:
+    """One WARC record: response, revisit (head only; refers_to: source id and mark of the first), or resource where the content is no HTTP message."""
+    cut, revisit = _head(record.content), refers_to is not None
     payload, d = record.content[cut:], record.fields["date"].ljust(14, "0")
     block = record.content[:cut] if revisit else record.content
     kind = "revisit" if revisit else "response" if cut else "resource"
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(source)}>", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(source, mark)}>", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         f"WARC-Target-URI: {record.fields['url']}", f"WARC-IP-Address: {record.fields['ip']}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         f"X-Payload-Length: {len(payload)}", f"Content-Type: {'application/http; msgtype=response' if cut else record.fields['type']}", f"Content-Length: {len(block)}",
     ]
     if revisit:
         lines.insert(2, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.insert(3, f"WARC-Refers-To: <{record_id(refers_to)}>")
+        lines.insert(3, f"WARC-Refers-To: <{record_id(*refers_to)}>")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -200,8 +218,8 @@ def _records(uri: str, name: str) -> Iterator[ArcRecord]:
 
 
 def payload_keys(uri: str, arcs: DataFrame) -> DataFrame:
-    """file, k (number in the file), source, sha (of the payload), size of every ARC record."""
-    schema = "file string, k long, source long, sha binary, size long"
+    """file, k (number in the file), source, mark, sha (of the payload), size of every ARC record."""
+    schema = "file string, k long, source long, mark long, sha binary, size long"
     arrow = plain(schema)
 
     def rows(batches) -> Iterator[tuple]:
@@ -209,7 +227,7 @@ def payload_keys(uri: str, arcs: DataFrame) -> DataFrame:
             for name in b.column("file").to_pylist():
                 for k, record in enumerate(_records(uri, name)):
                     payload = memoryview(record.content)[_head(record.content) :]
-                    yield 100, (name, k, source_id(record), hashlib.sha1(payload).digest(), len(payload))
+                    yield 100, (name, k, source_id(record), place_mark(name, k), hashlib.sha1(payload).digest(), len(payload))
 
     return spread(arcs).mapInArrow(lambda batches: batches_of(rows(batches), arrow), schema)
 
@@ -225,9 +243,9 @@ def write_archives(pages: DataFrame, uri: str | None = None, id_col: str = "page
     arc_uri, arcs = write_arc(pages, None, id_col, url_col, body_col)
     keys = written(payload_keys(arc_uri, arcs), "payloads")
     # one row per payload that repeats; partial sums make a hot payload one row per task before it is shuffled
-    firsts = keys.where(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.max("source").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    firsts = keys.where(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.max(F.when(F.col("source").isNotNull(), F.struct("source", "mark"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     # AQE splits the hot payloads of this join: the other side has one row for each
-    again = keys.join(written(firsts, "firsts"), "sha").where("first is not null and (source is null or source <> first)")
+    again = keys.join(written(firsts, "firsts"), "sha").where("first is not null and (source is null or source <> first.source)")
     again = again.groupBy("file").agg(F.collect_list("k").alias("ks"), F.collect_list("first").alias("firsts"))  # at most the records of one file
     work = written(arcs.join(again, "file", "left").select("file", "n", "ks", "firsts"), "conversions")
 
@@ -235,9 +253,9 @@ def write_archives(pages: DataFrame, uri: str | None = None, id_col: str = "page
         out, made, n = RollingWriter(uri, ".warc.gz"), [], 0
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                revisits = dict(zip(row["ks"] or [], row["firsts"] or [], strict=True))
+                revisits = {k: (f["source"], f["mark"]) for k, f in zip(row["ks"] or [], row["firsts"] or [], strict=True)}
                 for k, record in enumerate(_records(arc_uri, row["file"])):
-                    out.write(_member(to_warc(record, source_id(record), revisits.get(k), k in revisits)))
+                    out.write(_member(to_warc(record, source_id(record), place_mark(row["file"], k), revisits.get(k))))
                     n += 1
                     if out.full:
                         made.append((out.roll(), n))

@@ -1,6 +1,7 @@
 """Classifiers, archives, embeddings and components."""
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -177,12 +178,12 @@ def test_arc_versions():
     body = warc.arc_version_block(2) + warc.arc_record(2, "http://a/ b", "20200102030405", "text/plain", b"dns answer") + warc.arc_version_block(1) + warc.arc_record(1, "http://c", "2020", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi")
     records = list(warc.read_arc(io.BytesIO(body)))
     assert [r.fields["url"] for r in records] == ["http://a/%20b", "http://c"] and records[0].fields["status"] == "200"
-    kinds = [next(warc.read_warc(io.BytesIO(warc.to_warc(r, i, None, False))))[0] for i, r in enumerate(records)]
+    kinds = [next(warc.read_warc(io.BytesIO(warc.to_warc(r, i))))[0] for i, r in enumerate(records)]
     assert [k["warc-type"] for k in kinds] == ["resource", "response"] and kinds[1]["warc-date"] == "2020-00-00T00:00:00Z"
     with pytest.raises(ValueError, match="header"):
         list(warc.read_arc(io.BytesIO(b"http://x 1 2\n")))
     for n in (0, 1, 2**40 + 7, 2**63 - 1, -1, -(2**63), None):
-        assert warc.source_of(warc.record_id(n)) == n
+        assert warc.source_of(warc.record_id(n)) == n and warc.source_of(warc.record_id(n, (1 << 46) - 1)) == n
 
 
 def vectors():
@@ -288,3 +289,53 @@ def test_components(spark):
     pairs = [(a, b) for a, b in edges if a is not None]
     local.add(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
     assert all(local.root[i] == find(i) for i in root)
+
+
+def test_a_dense_shard_stays_small():
+    """20,000 vectors that all link: 200 million pairs, counted without a list of them."""
+    import resource
+
+    rng = np.random.default_rng(4)
+    x = near_dup.unit(np.ones(16) + rng.normal(size=(20_000, 16)) * 0.01)
+    graph = near_dup.Graph.build(x.astype(np.float32))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    counts, _ = near_dup.count_links(graph, x, np.ones(len(x), np.int64), x, np.ones(len(x), np.int64), True, 0.93)
+    assert (counts.links == len(x) - 1).all() and not counts.parts.root.any()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kilobytes
+
+
+def test_link_counts_equal_brute_force():
+    rng = np.random.default_rng(5)
+    x = near_dup.unit(np.concatenate([rng.normal(size=(300, 8)), np.ones(8) + rng.normal(size=(300, 8)) * 0.05]))
+    y = near_dup.unit(x[::2] + rng.normal(size=(300, 8)) * 0.02)
+    copies, copies2 = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+    graph = near_dup.Graph.build(x.astype(np.float32))
+    for own, q, c in ((True, x, copies), (False, y, copies2)):
+        counts, _ = near_dup.count_links(graph, x, copies, q, c, own, 0.93)
+        near = q @ x.T >= 0.93
+        if own:
+            np.fill_diagonal(near, False)
+            assert (counts.links == near @ copies).all()
+        else:
+            assert (counts.links == np.concatenate([c @ near, near @ copies])).mean() > 0.99
+
+
+def test_one_vector_of_each_component_is_kept(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, None, 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(r.vec_id for r in near_dup.keep_one(df).collect()) == [1, 3, 3, 4]
+    assert near_dup.keep_one(df.limit(0)).collect() == []
+
+
+def test_version_blocks_are_told_by_place_and_type(spark):
+    url = "filedesc://x.arc"
+    rows = [(1, url, "<p>a</p>"), (2, url, None), (3, "http://a/", "<p>a</p>"), (3, "http://b/", "<p>b</p>"), (3, "http://c/", "<p>b</p>")]
+    uri, files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    found = warc.read_archives(uri, files).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in found) == [(1, 8, "revisit", 3), (2, 0, "response", 0), (3, 8, "response", 0), (3, 8, "response", 0), (3, 8, "response", 0)]
+    ids = []
+    for f in files.collect():
+        with table_of_files.open_file(uri, f.file) as raw:
+            ids += [h["warc-record-id"] for h, _ in warc.read_warc(io.BytesIO(gzip.decompress(raw.read())))]
+    assert len(ids) == len(set(ids)) == 5
+    joined = warc.arc_version_block(2) + warc.arc_record(2, url, "2024", "text/html", b"x") + warc.arc_version_block(1) + warc.arc_record(1, url, "2024", "text/html", b"y")
+    assert [r.content for r in warc.read_arc(io.BytesIO(joined))] == [b"x", b"y"]
