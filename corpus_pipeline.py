@@ -14,8 +14,10 @@ from eventlens.llm.common import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.7 or more."""
+    """Documents whose quality score is 0.7 or more; all of them where no trusted positive is there to learn from."""
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
     return quality.score_quality(docs, model, column="__el_score").where("__el_score >= 0.7").drop("__el_score")
 
 

@@ -133,7 +133,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.mapInArrow(_emit(min_chars, "doc", "body", "tkey"), _LINES)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size >> 28) + 1)  # a partition has the lines of about 256 MB at most
-    ordered = lines.withColumn("down", -F.col("doc")).repartitionByRange(parts, "h1", "h2", "down").sortWithinPartitions("h1", "h2", "down", "tkey", "pos").drop("down")
+    ordered = lines.withColumn("down", F.bitwise_not("doc")).repartitionByRange(parts, "h1", "h2", "down").sortWithinPartitions("h1", "h2", "down", "tkey", "pos").drop("down")
     seen = written(ordered.mapInArrow(_stream(min_docs), _SEEN), "lines")
     edges = seen.where("open").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= min_docs)
     # at most two hashes per task of the sorted pass, so this side stays small: tasks x 32 bytes
