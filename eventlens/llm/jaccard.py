@@ -7,14 +7,16 @@ below 1, in regions of documents that share a shingle.
 1. Equal sets collapse to one representative; representatives of one id are tied.
 2. A pair within r shares a shingle among the first n - ceil(similarity * n) + 1 of both sets in any one order of all
    shingles. The order here puts shingles that are frequent in the corpus last. Every such shingle spans a region: the
-   documents that hold it there. Small regions are compared at once.
-3. A large region is a Voronoi diagram. Pivots lie further than 2r apart and stand for different components; every member
-   has its exact distance to each. It belongs to the cell of its nearest pivot, or to the outer cell if none is within
-   1 - 2r. By the triangle inequality a partner of a member of pivot p's cell lies within 2r of its own nearest distance
-   and within 1 - r of p: such boundary documents are replicated to the cell of p.
-4. Cells that still hold several components recur as regions with pivots of their own, until they are small or a
-   diagram doesn't split them; then they are compared block by block. A projection that never enlarges distances (sizes,
-   then 1024 parity bits) rules out pairs by triangle windows before whole sets are compared.
+   documents that hold it there. A region of two is one distance; all others are Voronoi diagrams.
+3. Pivots lie further than 2r apart and stand for different components; every member has its exact distance to each, and
+   so its links to them. It belongs to the cell of its nearest pivot, or to the outer cell if none is within 1 - 2r. By
+   the triangle inequality a partner of a member of pivot p's cell lies within 2r of its own nearest distance and within
+   1 - r of p: such boundary documents are replicated to the cell of p.
+4. Cells that still hold several components recur with pivots of their own: large ones as regions dealt over tasks, those
+   of up to `leaf` members inside one task, where a pivot, once measured, leaves its cell, until two members are left. A
+   projection that never enlarges distances (sizes, then 1024 parity bits) leaves out members without any plausible
+   partner before whole sets are shipped. Large cells that a diagram does not split are compared by that projection,
+   block by block under triangle windows, and what it leaves is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 SKETCH_BITS = 1024
 #: Share of the hash space in which shingles are counted exactly, in 32nds; prefixes of most documents end before it.
 ZONE = 9
+#: A cell of more shingles is dealt over tasks, whatever the number of its members.
+LEAF_SHINGLES = 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -205,13 +209,15 @@ def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return written(pairs.mapInArrow(_distances, "a long, b long, shared long, total long").where(F.expr(f"100 * shared >= {percent} * total")).select("a", "b"), "links")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, pivots: int = 8, leaf: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: documents link when 100 * shared >= percent * all shingles of both.
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, pivots: int = 8, leaf: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id, by_pivot for each row: documents link when 100 * shared >= percent * all shingles of both.
+
+    by_pivot: a diagram found a link of this document's set by its distance to a pivot.
 
     Rows of one id are one node, whatever their texts. Rows without words or without an id link with nothing;
-    component_id is their own id. Texts of any length are taken whole; an empty table gives no rows. small: regions up to
-    this size are compared at once; pivots: of a diagram; leaf: cells up to this size are not split. They affect the
-    order of work, never the result.
+    component_id is their own id. Texts of any length are taken whole; an empty table gives no rows. small: shingles of
+    more rows count as frequent; pivots: of a diagram; leaf: cells up to this size recur inside one task. They affect
+    the order of work and by_pivot, never the components.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("tkey"), F.col(text_col).alias("text"))
     n_words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # about
@@ -232,33 +238,75 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     sizes = written(dense.groupBy("token").agg(F.count("*").alias("size"), F.min(order)["rep"].alias("cell")).where("size > 1"), "sizes")
     dense = written(dense.join(sizes, "token"), "regions")
 
-    # small regions: no list is longer than `small`, by the counts of all shingles, so all pairs of fitting sizes are taken
+    # lists of shingles that are not frequent hold `small` members at most, by the counts of all shingles
     few = token.where("not dense").select("token", "m").unionByName(dense.where(F.col("size") <= small).select("token", "m"))
     lists = dealt(few, n_tokens, "token").groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
-    ends = lambda x, i: F.transform(F.filter(F.slice("ms", i + 2, F.size("ms")), lambda y: _sizes_fit(percent, x["n"], y["n"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))
-    near = lists.select(F.explode(F.flatten(F.transform("ms", ends))).alias("p")).select("p.a", "p.b").distinct()
-    near = written(_plausible(near, reps, percent), "near")
-
-    # large regions: those of one name make one region, so a group of copies has a few regions and not one per shingle
-    region = written(dense.where(F.col("size") > small).select("cell", "m.rep", "m.n").distinct(), "region")
-    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(region.select("rep")).distinct()
+    lists = written(lists.select("ms").distinct(), "lists")
+    two = lists.where(F.size("ms") == 2).select(F.col("ms")[0].alias("x"), F.col("ms")[1].alias("y")).where(_sizes_fit(percent, F.col("x.n"), F.col("y.n")))
+    near = written(_plausible(two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), reps, percent), "near")
+
+    # regions of one name make one region, so a group of copies has a few regions and not one per shingle
+    named = F.array_min(F.transform("ms", lambda m: F.struct(F.xxhash64(m["rep"]).alias("h"), m["rep"].alias("rep"))))["rep"]
+    listed = lists.where(F.size("ms") > 2).select(named.alias("cell"), F.explode("ms").alias("m"))
+    region = listed.unionByName(dense.where(F.col("size") > small).select("cell", "m")).select("cell", "m.rep", "m.n").distinct()
+    region = _with_partners(written(region, "region"), reps, percent, leaf)
+    lower = F.when(F.xxhash64("a") < F.xxhash64("b"), F.col("a")).otherwise(F.col("b"))
+    pair = near.select(lower.alias("cell"), F.explode(F.array("a", "b")).alias("rep")).join(reps.select("rep", "n"), "rep")
+    region = written(region.unionByName(pair).distinct(), "partners")
+    wanted = region.select("rep").distinct()
     texts = rows.join(first.join(wanted, "rep", "left_semi").select("doc", "tkey", "rep"), ["doc", "tkey"]).dropDuplicates(["doc", "tkey"])
     whole = written(texts.select("rep", "text").mapInArrow(_whole(k), "rep long, whole binary"), "whole")
     spread = written(nodes.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("doc", "b"), "ids")
-    links = [nodes.join(spread, "doc").select(F.col("rep").alias("a"), "b").distinct(), _links(near, whole, percent)]
-    links, component, leaves = _diagrams(region, whole, links, percent, pivots, leaf)
-    if leaves is not None:
-        links.append(_block_links(_state(leaves, component), reps, whole, percent, leaf // 2))
+    links = [nodes.join(spread, "doc").select(F.col("rep").alias("a"), "b").distinct()]
+    links, component, cells, blocks = _diagrams(region, whole, links, percent, pivots, leaf)
+    by_pivot = links[1:]
+    if cells is not None:
+        links.append(_cell_links(_state(cells, component), whole, percent, pivots))
+        by_pivot.append(links[-1])
+    if blocks is not None:
+        found = _block_pairs(_state(blocks, component), reps, percent, leaf)
+        links.append(_links(_plausible(found, reps, percent), whole, percent))
+    if cells is not None or blocks is not None:
         component = connected_components(_union(links))
+    ends = _union(by_pivot) if by_pivot else links[0].where("false")
+    ends = written(ends.select(F.col("a").alias("rep")).union(ends.select("b")).distinct().withColumn("by_pivot", F.lit(True)), "ends")
     names = component.withColumnRenamed("id", "rep").join(first.select("rep", "doc"), "rep")
     least = written(names.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
     known = written(component.join(least, "component").select(F.col("id").alias("rep"), "component_id"), "known")
-    known = written(first.select("rep", "doc").join(known, "rep", "left").select("rep", F.coalesce("component_id", "doc").alias("component_id")), "names")
-    out = nodes.join(known, "rep").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
+    known = first.select("rep", "doc").join(known, "rep", "left").join(ends, "rep", "left")
+    known = written(known.select("rep", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("by_pivot", F.lit(False)).alias("by_pivot")), "names")
+    out = nodes.join(known, "rep").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "by_pivot")
+    alone = sets.where("n = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(False).alias("by_pivot"))
     return out.unionByName(alone)
 
 
+def _with_partners(region: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """The members of regions of up to `leaf` that sizes and sketches leave a partner there; larger regions as they are."""
+    size = written(region.groupBy("cell").agg(F.count("*").alias("size")), "sizes-of")
+    region = region.join(size, "cell")
+    held = region.where(F.col("size") <= leaf).join(reps.select("rep", "sketch"), "rep").select("cell", "rep", "n", "sketch")
+
+    def run(cell: pa.Table) -> pa.Table:
+        n, sk = cell["n"].to_numpy(), _sketch_rows(cell)
+        some = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            fits = np.flatnonzero(100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])) + i + 1
+            differ = np.bitwise_count(sk[fits] ^ sk[i]).sum(1, dtype=np.int64)
+            fits = fits[(100 + percent) * differ <= (100 - percent) * (n[fits] + n[i])]
+            some[fits] = True
+            some[i] |= len(fits) > 0
+        return cell.select(["cell", "rep", "n"]).filter(pa.array(some))
+
+    kept = held.groupBy("cell").applyInArrow(run, "cell long, rep long, n long")
+    return kept.unionByName(region.where(F.col("size") > leaf).select("cell", "rep", "n"))
+
+
+def _sketch_rows(table: pa.Table) -> np.ndarray:
+    flat = table.combine_chunks()["sketch"].combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
@@ -274,16 +322,16 @@ def _state(cells: DataFrame, component: DataFrame) -> DataFrame:
     return now.join(written(sides, "open"), "cell")
 
 
-def _diagrams(cells: DataFrame, whole: DataFrame, links: list[DataFrame], percent: int, pivots: int, leaf: int) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
-    """Split large cells until none is left: (links with those to pivots, components by them, cells to be compared in blocks).
+def _diagrams(cells: DataFrame, whole: DataFrame, links: list[DataFrame], percent: int, pivots: int, leaf: int) -> tuple[list[DataFrame], DataFrame, DataFrame | None, DataFrame | None]:
+    """Split large cells until none is left: (links with those to pivots, components by them, cells for one task each, cells to be compared in blocks).
 
     A split counts if the cells that stay open have at most twice the members, and each has three quarters of the
     members or half of the components at most; so the recursion ends.
     """
-    component, leaves = connected_components(_union(links)), []
+    component, leaves, blocks = connected_components(_union(links)), [], []
     state = _state(cells, component)
     while True:
-        is_leaf = F.col("members") <= leaf
+        is_leaf = (F.col("members") <= leaf) & (F.col("shingles") <= LEAF_SHINGLES)
         leaves.append(state.where(is_leaf).select("cell", "rep", "n"))
         big = written(state.where(~is_leaf), "big")
         if big.isEmpty():
@@ -296,9 +344,9 @@ def _diagrams(cells: DataFrame, whole: DataFrame, links: list[DataFrame], percen
         per = inner.select("parent", "cell", "members", "components").distinct().groupBy("parent").agg(F.sum("members").alias("all"), F.max("members").alias("most"), F.max("components").alias("open"))
         was = big.select(F.col("cell").alias("parent"), F.col("members").alias("was"), F.col("components").alias("had")).distinct()
         per = written(per.join(was, "parent").select("parent", ((F.col("all") <= 2 * F.col("was")) & ((4 * F.col("most") <= 3 * F.col("was")) | (2 * F.col("open") <= F.col("had")))).alias("pays")), "pays")
-        leaves.append(big.join(per.where("not pays"), big["cell"] == per["parent"], "left_semi").select("cell", "rep", "n"))
+        blocks.append(big.join(per.where("not pays"), big["cell"] == per["parent"], "left_semi").select("cell", "rep", "n"))
         state = inner.join(per.where("pays").select("parent"), "parent", "left_semi").drop("parent")
-    return links, component, _union(leaves)
+    return links, component, _union(leaves) if leaves else None, _union(blocks) if blocks else None
 
 
 def _split(state: DataFrame, whole: DataFrame, percent: int, pivots: int) -> DataFrame:
@@ -349,44 +397,95 @@ def _distance(x: np.ndarray, y: np.ndarray) -> float:
     return 1 - shared / (len(x) + len(y) - shared)
 
 
-def _block_links(state: DataFrame, reps: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b) links that tie different components of a cell, written.
+def _cell_links(state: DataFrame, whole: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """(a, b) links that tie different components of small cells, each cell solved by recurring diagrams in one task; written."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        order = np.argsort(mix(cell["rep"].to_numpy().view(np.uint64)), kind="stable")
+        rep, comp = cell["rep"].to_numpy()[order], cell["component"].to_numpy()[order]
+        held = cell["whole"].to_pylist()
+        found = recurring_diagrams([np.frombuffer(held[i], np.uint64) for i in order], comp, percent, pivots)
+        return pa.table({c: pa.array([rep[f[i]] for f in found], pa.int64()) for i, c in enumerate("ab")})
+
+    members = state.select("cell", "rep", "component").join(whole, "rep").select("cell", "rep", "component", "whole")
+    return written(members.groupBy("cell").applyInArrow(run, "a long, b long"), "cell-links")
 
-    A cell is dealt to blocks of about `block` members; each pair of blocks is one group of work. Bits in which two
-    sketches differ are a metric that never exceeds the sets' difference, so within a pair of blocks only members whose
-    distances to the first member lie in one triangle window are looked at. Pairs that sizes and sketches leave are
-    verified on whole sets unless links found before have tied their components; one link a merger comes out.
+
+def recurring_diagrams(sets: list[np.ndarray], comp: np.ndarray, percent: int, pivots: int) -> list[tuple[int, int]]:
+    """Links between ascending sets that tie all components whose members link, each by the distance of a member to a pivot.
+
+    A cell's pivots are the first of its members, of different components, that lie further than 2 radii apart. Each has
+    its distance to all others and leaves; the others go to the cells of near pivots and to the outer cell. At least one
+    member leaves with every diagram, and a cell of one component is done.
     """
-    parts = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / 500_000)).cast("int")
+    radius = 1 - percent / 100
+    names, roots = np.unique(comp, return_inverse=True)
+    tied, found, todo = LocalComponents(len(names)), [], [np.arange(len(sets))]
+    while todo:
+        cell = todo.pop()
+        root = tied.root[roots[cell]]
+        if len(cell) < 2 or (root == root[0]).all():
+            continue
+        chosen, seen = [], set()
+        for i, c in zip(cell, root, strict=True):
+            if c not in seen and all(_distance(sets[i], sets[p]) > 2 * radius for p in chosen):
+                chosen.append(i)
+                if len(chosen) >= min(pivots, 1 + len(cell) // 8):
+                    break
+            seen.add(c)
+            if len(seen) > 2 * pivots:
+                break
+        rest = cell[~np.isin(cell, chosen)]
+        far = np.empty((len(rest), len(chosen)))
+        for j, p in enumerate(chosen):
+            for i, x in enumerate(rest):
+                shared = _shared(sets[x], sets[p])
+                total = len(sets[x]) + len(sets[p]) - shared
+                far[i, j] = 1 - shared / total
+                if 100 * shared >= percent * total and tied.root[roots[x]] != tied.root[roots[p]]:
+                    found.append((int(x), int(p)))
+                    tied.add(roots[x : x + 1], roots[p : p + 1])
+        if len(rest) > 1:
+            nearest = far.min(1)
+            inside = (far <= nearest[:, None] + 2 * radius + 1e-9) & (far <= 1 - radius + 1e-9)
+            cells = [rest[inside[:, j]] for j in range(len(chosen))]
+            todo += [c for c in (*cells, rest[nearest > 1 - 2 * radius - 1e-9]) if len(c) > 1]
+    return found
+
+
+def _block_pairs(state: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) pairs of different components of a cell that sizes and sketches do not rule out.
+
+    A cell is dealt to blocks of about `block` members; each pair of blocks is one group of work, to which sizes and
+    sketches are shipped, never whole sets. Bits in which two sketches differ are a metric that never exceeds the sets'
+    difference, so within a pair of blocks only members whose distances to the first member lie in one triangle window
+    are looked at.
+    """
+    parts = F.ceil(F.col("members") / block).cast("int")
     m = state.select("cell", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int").alias("own"))
-    m = written(m.join(reps.select("rep", "n", "sketch"), "rep").join(whole, "rep"), "blocks")
+    m = written(m.join(reps.select("rep", "n", "sketch"), "rep"), "blocks")
     left = m.withColumn("b1", F.col("own")).withColumn("b2", F.explode(F.sequence("own", F.col("parts") - 1)))
     right = m.where("own > 0").select(*(F.col(c).alias(c) for c in m.columns)).withColumn("b2", F.col("own")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
 
     def arrays(x: pa.Table) -> tuple[np.ndarray, ...]:
-        x = x.combine_chunks()
-        flat = x["sketch"].combine_chunks()
-        sketch = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy().view(np.uint64).reshape(len(x), -1)
-        return (*(x[c].to_numpy() for c in ("rep", "n", "component")), sketch, [np.frombuffer(w, np.uint64) for w in x["whole"].to_pylist()])
+        return (*(x[c].to_numpy() for c in ("rep", "n", "component")), _sketch_rows(x))
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
-        found = []
-        if len(one):
-            rep, n, comp, sk, sets = arrays(one)
-            same = one["b1"][0] == one["b2"][0]
-            rep2, n2, comp2, sk2, sets2 = (rep, n, comp, sk, sets) if same else arrays(two) if len(two) else (None,) * 5
-            if rep2 is not None:
-                found = _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same, percent)
-        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate("ab")})
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        same = len(one) and one["b1"][0] == one["b2"][0]
+        if len(one) and (same or len(two)):
+            rows = arrays(one)
+            other = rows if same else arrays(two)
+            i, j = _plausible_rows(*rows[1:], *other[1:], same, percent)
+            a, b = rows[0][i], other[0][j]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     work = left.groupBy("cell", "b1", "b2").cogroup(right.groupBy("cell", "b1", "b2"))
-    return written(work.applyInArrow(run, "a long, b long"), "block-links")
+    return work.applyInArrow(run, "a long, b long")
 
 
-def _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same: bool, percent: int) -> list[tuple]:
-    """Links between two blocks (or within one) that tie components not tied before."""
-    names, roots = np.unique(np.concatenate([comp, comp2]), return_inverse=True)
-    r, r2, tied = roots[: len(comp)], roots[len(comp) :], LocalComponents(len(names))
+def _plausible_rows(n, comp, sk, n2, comp2, sk2, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of two blocks (or of one) of different components within reach of each other."""
     to = np.bitwise_count(sk2 ^ sk[0]).sum(1, dtype=np.int64)  # distances to the first member
     own = np.bitwise_count(sk ^ sk[0]).sum(1, dtype=np.int64)
     order = np.argsort(to, kind="stable")
@@ -394,20 +493,17 @@ def _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same: bool, percen
     # 100 (S - D) >= percent (S + D) for sizes that sum to S and D differing shingles
     reach = (100 - percent) * (n + n * 100 // percent + 1) // (100 + percent)
     lo, hi = np.searchsorted(to, own - reach, "left"), np.searchsorted(to, own + reach, "right")
-    found = []
-    for j in range(len(rep)):
-        at = order[lo[j] : hi[j]]
-        at = at[(tied.root[r2[at]] != tied.root[r[j]]) & (100 * np.minimum(n2[at], n[j]) >= percent * np.maximum(n2[at], n[j]))]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(n)):
+        at = order[lo[i] : hi[i]]
+        at = at[(comp2[at] != comp[i]) & (100 * np.minimum(n2[at], n[i]) >= percent * np.maximum(n2[at], n[i]))]
         if same:
-            at = at[at > j]
-        differ = np.bitwise_count(sk2[at] ^ sk[j]).sum(1, dtype=np.int64)
-        for x in at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[j])]:
-            if tied.root[r2[x]] != tied.root[r[j]]:
-                shared = _shared(sets[j], sets2[x])
-                if 100 * shared >= percent * (n[j] + n2[x] - shared):
-                    found.append((rep[j], rep2[x]))
-                    tied.add(r[j : j + 1], r2[x : x + 1])
-    return found
+            at = at[at > i]
+        differ = np.bitwise_count(sk2[at] ^ sk[i]).sum(1, dtype=np.int64)
+        at = at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[i])]
+        left.append(np.full(len(at), i))
+        right.append(at)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

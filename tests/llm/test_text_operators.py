@@ -414,3 +414,24 @@ def test_open_windows_hold_their_own_ids_alone():
     held, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert held < 50 << 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_recurring_diagrams_tie_what_links(seed):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(4000, 60, replace=False)
+        for _ in range(8):
+            base = np.where(rng.random(60) < 0.04, rng.choice(4000, 60), base)
+            sets.append(np.unique(base).astype(np.uint64))
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    links = jaccard.recurring_diagrams(sets, np.arange(len(sets)), 80, 1 + seed)
+    share = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    assert all(share(i, j) >= 0.8 for i, j in links)
+    got, want = jaccard.LocalComponents(len(sets)), jaccard.LocalComponents(len(sets))
+    got.add(np.array([i for i, _ in links]), np.array([j for _, j in links]))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if share(i, j) >= 0.8]
+    want.add(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+    assert (got.root == want.root).all() and len(pairs) > 20
