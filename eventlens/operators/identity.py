@@ -84,12 +84,63 @@ def apply_overrides(resolved: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumns({"conflict": clash, "event_id": F.coalesce("__forced", "event_id")}).drop("__forced")
 
 
-def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataFrame | None = None, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _claims_in_rounds(line: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(decided rows: record_id, raw_hash, event_id, is_new, reason; rows left for the replay, which know what was decided).
+
+    A key belongs to the event of its earliest bearer that was not rejected. A row is decided once every key that it
+    bears has an owner or no earlier bearer that is still open: the first row of a hot key decides in one round and all
+    others of it in the next. A round is a grouped minimum over the bearers of each key and a join back. What a chain of
+    keys still holds back after the rounds, and records with several warnings, whose senders follow each other, are left.
+    """
+    order = F.struct("__priority", F.col("__clock").isNull().alias("c"), "__clock", "record_id", F.col("raw_hash").isNull().alias("h"), "raw_hash")
+    none = F.array().cast("array<string>")
+    warned = line.where("caps is not null").groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1").select("record_id")
+    serial = line.join(warned, "record_id", "left_semi").select("component").distinct().withColumn("serial", F.lit(True))
+    rows = line.join(serial, "component", "left").withColumns({"rank": order, "row": F.struct("record_id", "raw_hash"), "serial": F.coalesce("serial", F.lit(False))})
+    for c in ("open", "known"):
+        rows = rows.withColumn(c, F.coalesce(c, none))
+    rows = cut(rows)
+    state = rows.where("not serial").select("row", "rank", "open", "known", "forced", "stored", "stored_caps", "caps", "least")
+    bearers = cut(state.select("row", "rank", F.explode("open").alias("key")))
+    done = None
+    for _ in range(rounds):
+        live = bearers if done is None else bearers.join(done.where("reason is not null").select("row"), "row", "left_anti")
+        live = live.withColumn("owner", F.lit(None).cast("string")) if done is None else live.join(done.select("row", F.col("event_id").alias("owner")), "row", "left")
+        heads = live.groupBy("key").agg(F.min(F.struct("rank", "row", "owner")).alias("head"))
+        waiting = state if done is None else state.join(done.select("row"), "row", "left_anti")
+        seen = bearers.select("row", "key").join(waiting.select("row"), "row", "left_semi").join(heads, "key")
+        held = F.col("head.owner").isNull() & (F.col("head.row") != F.col("row"))
+        seen = seen.groupBy("row").agg(F.max(held).alias("held"), F.collect_set("head.owner").alias("owners"))
+        ready = waiting.join(seen, "row", "left").where("not coalesce(held, false)")
+        found = F.array_distinct(F.concat("known", F.coalesce("owners", none), F.array_compact(F.array("stored"))))
+        ready = ready.withColumn("found", found)
+        sender = (F.size(F.coalesce("caps", none)) > 0) & (F.size(F.coalesce("stored_caps", none)) > 0) & ~F.arrays_overlap("caps", "stored_caps")
+        against = F.when(F.col("stored").isNotNull(), F.col("stored") != F.col("forced")).otherwise(F.exists("found", lambda m: m != F.col("forced")))
+        reason = F.when(sender, "cap_sender_conflict").when(F.col("forced").isNotNull() & against, "override_conflict").when(F.col("forced").isNull() & (F.size("found") > 1), "identity_conflict")
+        fresh = F.col("forced").isNull() & (F.size("found") == 0) & reason.isNull()
+        event = F.when(reason.isNull(), F.coalesce("forced", F.get("found", F.lit(0)), F.concat(F.lit("ev:"), "least")))
+        now = ready.select("row", event.alias("event_id"), F.coalesce(fresh, F.lit(False)).alias("is_new"), reason.alias("reason"))
+        before, done = done, cut(now if done is None else done.unionByName(now))
+        if done.count() == state.count() or before is not None and done.count() == before.count():
+            break
+    left = rows if done is None else rows.join(done.select("row"), "row", "left_anti")
+    if done is not None:  # keys whose owner is decided are known events to what is left
+        owned = bearers.join(done.where("reason is null").select("row", "event_id"), "row").groupBy("key").agg(F.min(F.struct("rank", "event_id"))["event_id"].alias("owner"))
+        told = left.select("row", F.explode("open").alias("key")).join(owned, "key").groupBy("row").agg(F.collect_set("owner").alias("owners"), F.collect_set("key").alias("settled"))
+        left = left.join(told, "row", "left").withColumns({"known": F.array_distinct(F.concat("known", F.coalesce("owners", none))), "open": F.array_except("open", F.coalesce("settled", none))})
+    columns = ["record_id", "raw_hash", "event_id", "is_new", "reason"]
+    decided = None if done is None else done.select("row.record_id", "row.raw_hash", *columns[2:])
+    return decided, left.select(*line.columns)
+
+
+def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataFrame | None = None, records: DataFrame | None = None, rounds: int = 6, replayed: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(rows with event_id and is_new, rejected rows with `reason`).
 
     No match opens an event, one attaches, more than one is a conflict that is rejected and never merges. Records of
-    one key component replay in order of (priority, clock, record), as one at a time would. A component of any size
-    streams through one task in sorted order, which remembers the owners of keys that more than one row bears.
+    one key component replay in order of (priority, clock, record), as one at a time would: in `rounds` over all rows at
+    once, so that a hot key is many tasks' work, and what chains of keys leave streams through one task a component in
+    sorted order, which remembers the owners of keys that more than one row bears. A batch of up to `replayed` rows is
+    replayed at once, which costs fewer jobs and gives the same.
     `records` are stored ones with the event_id and external_ids of their current material: a record stays with its
     event, an override that agrees with it wins over keys, and a CAP message never changes its sender.
     """
@@ -113,6 +164,10 @@ def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataF
     owners = borne.distinct().join(shared, "external_id", "left").join(external_ids.select("external_id", "event_id"), "external_id", "left").where("__shared or event_id is not null")
     owners = owners.groupBy("record_id", "__keys").agg(F.collect_set(F.when(F.col("event_id").isNull(), F.col("external_id"))).alias("open"), F.collect_set("event_id").alias("known"))
     line = joined.join(owners, ["record_id", "__keys"], "left").select("component", "record_id", "raw_hash", "forced", "stored", "stored_caps", "caps", "open", "known", F.array_min("keys").alias("least"), "__priority", "__clock")
+    line = line.dropDuplicates(["record_id", "raw_hash"])
+    first = None
+    if rounds and line.limit(replayed + 1).count() > replayed:
+        first, line = _claims_in_rounds(line, rounds)
     line = line.repartition("component").sortWithinPartitions("component", "__priority", F.asc_nulls_last("__clock"), "record_id", F.asc_nulls_last("raw_hash"))
 
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +203,8 @@ def resolve_identity(batch: DataFrame, external_ids: DataFrame, overrides: DataF
                 out.append((r.record_id, r.raw_hash, event if reason is None else None, new, reason))
             yield pd.DataFrame(out, columns=["record_id", "raw_hash", "event_id", "is_new", "reason"])
 
-    decided = line.select("component", "record_id", "raw_hash", "forced", "stored", "stored_caps", "caps", "open", "known", "least").mapInPandas(replay, "record_id string, raw_hash string, event_id string, is_new boolean, reason string").dropDuplicates(["record_id", "raw_hash"])
+    decided = line.select("component", "record_id", "raw_hash", "forced", "stored", "stored_caps", "caps", "open", "known", "least").mapInPandas(replay, "record_id string, raw_hash string, event_id string, is_new boolean, reason string")
+    decided = decided if first is None else decided.unionByName(first)
     done = joined.join(decided, ["record_id", "raw_hash"], "left").drop("__keys", "__priority", "__clock", "component", "stored", "stored_caps", "caps")
     return done.where("reason is null").drop("reason"), done.where("reason is not null")
 

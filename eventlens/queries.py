@@ -19,7 +19,7 @@ from eventlens.operators import geo_joins as J
 from eventlens.operators import identity as I
 from eventlens.operators import ordering as L
 from eventlens.plans import pipelines as P
-from eventlens.schemas import CATEGORIES, DEFAULT_BASIS, EUROPE, KINDS, SEVERITY_LABELS, EventQuery
+from eventlens.schemas import CATEGORIES, DEFAULT_BASIS, EUROPE, KINDS, SEVERITY_LABELS, SOURCES, EventQuery
 from eventlens.sources import sinks
 from eventlens.streaming import jobs
 
@@ -457,11 +457,27 @@ def w07_l07_highlights(spark, sf_dir):
 # --- joins, identity, change data -----------------------------------------------------------------------------------
 
 
-@query("SELECT event_a.id AS a, event_b.id AS b FROM ev AS event_a JOIN ev AS event_b ON event_a.provider_record_id = event_b.provider_record_id AND event_a.id < event_b.id AND abs(epoch(event_a.occurred_start) - epoch(event_b.occurred_start)) <= 3600 AND event_a.category <> event_b.category WHERE event_a.location_precision = 'point' AND event_b.location_precision = 'point' AND event_a.n % 7 <> 0 AND event_b.n % 7 <> 0")
+_PLACED = """placed AS (SELECT id, n, category, occurred_start AS t, CASE n % 3 WHEN 0 THEN CASE WHEN n % 10 < 5 THEN 179.93 ELSE -179.98 END WHEN 1 THEN 45.0 * (n % 8) - 180 ELSE 20.0 + 0.37 * (n % 11) END + 0.0013 * (n % 97) AS lon,
+  CASE n % 3 WHEN 0 THEN 10.0 + 0.2 * (n % 7) WHEN 1 THEN 89.6 + 0.05 * (n % 6) ELSE 45.3 + 0.11 * (n % 5) END + 0.0007 * (n % 89) AS lat FROM ev WHERE occurred_start IS NOT NULL)"""
+_REDUCED = "atan((1 - 1 / 298.257223563) * tan(radians({0})))"
+
+
+@query(f"""WITH {_PLACED}, w AS (SELECT *, {_REDUCED.format("lat")} AS lr, floor(epoch_us(t) / 21600000000)::BIGINT AS tb FROM placed),
+v AS (SELECT a.id AS a, b.id AS b, abs(epoch_us(a.t) - epoch_us(b.t)) AS dt, a.category AS ca, b.category AS cb, pow(sin((b.lr - a.lr) / 2), 2) + cos(a.lr) * cos(b.lr) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h, (a.lr + b.lr) / 2 AS p, (b.lr - a.lr) / 2 AS q
+  FROM w a, (SELECT unnest([-1, 0, 1]) AS o) JOIN w b ON b.tb = a.tb + o AND a.id <> b.id AND abs(epoch_us(a.t) - epoch_us(b.t)) <= 21600000000 AND (a.category <> b.category OR a.category = 'earthquake')),
+s AS (SELECT *, 2 * asin(sqrt(least(h, 1.0))) AS s FROM v WHERE h < 0.0001),
+d AS (SELECT *, CASE WHEN s < 1e-12 THEN 0 ELSE 6378.137 * (s - 1 / 298.257223563 / 2 * ((s - sin(s)) * pow(sin(p) * cos(q), 2) / greatest(pow(cos(s / 2), 2), 1e-15) + (s + sin(s)) * pow(cos(p) * sin(q), 2) / greatest(pow(sin(s / 2), 2), 1e-15))) END AS km FROM s),
+k AS (SELECT *, CASE WHEN ca = 'earthquake' AND cb = 'earthquake' AND dt <= 600000000 AND km <= 25 THEN 'possible_same_event' WHEN ca <> cb AND km <= 100 THEN 'near_in_space_and_time' END AS kind FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dt, km, b) AS rn FROM k WHERE kind IS NOT NULL)
+SELECT least(a, b) AS a, greatest(a, b) AS b, kind, round(min(km), 3) AS km, round(min(dt) / 3600000000.0, 6) AS hours FROM r WHERE rn <= 20 GROUP BY 1, 2, 3""")
 def j07_relations(spark, sf_dir):
-    """Pairs of different categories within an hour and 1 km; users stand on distinct grid points more than 1 km apart."""
-    e = ev(spark, sf_dir)
-    return J.relate_events(e, same=(0, 0.0), near=(3600, 1.0), per_event=10_000).select(F.col("event_a").alias("a"), F.col("event_b").alias("b"))
+    """Relations over the dateline, round a pole and over borders of cells, by the fixed limits, the 20 nearest in time of each event."""
+    lon = F.when(F.col("n") % 3 == 0, F.when(F.col("n") % 10 < 5, 179.93).otherwise(-179.98)).when(F.col("n") % 3 == 1, 45.0 * (F.col("n") % 8) - 180).otherwise(20.0 + 0.37 * (F.col("n") % 11)) + 0.0013 * (F.col("n") % 97)
+    lat = F.when(F.col("n") % 3 == 0, 10.0 + 0.2 * (F.col("n") % 7)).when(F.col("n") % 3 == 1, 89.6 + 0.05 * (F.col("n") % 6)).otherwise(45.3 + 0.11 * (F.col("n") % 5)) + 0.0007 * (F.col("n") % 89)
+    shape = F.struct(F.lit("Point").alias("type"), F.array(F.struct(lon.alias("lon"), lat.alias("lat"))).alias("points"))
+    e = ev(spark, sf_dir).withColumns({"geometry": shape, "location_precision": F.lit("point"), "time_precision": F.lit("second")})
+    out = J.relate_events(e)
+    return out.select(F.col("event_a").alias("a"), F.col("event_b").alias("b"), F.col("relation_type").alias("kind"), F.round("distance_km", 3).alias("km"), F.round("time_delta_hours", 6).alias("hours"))
 
 
 _BOX = "box AS (SELECT r_regionkey, r_name, -180 + 72.0 * r_regionkey AS w, -180 + 72.0 * (r_regionkey + 1) AS e FROM region)"
@@ -593,17 +609,21 @@ def _records(spark, sf_dir):
     return last.select(*(values.get(c, F.lit(None)).cast(k).alias(c) for c, k in EVENT_COLUMNS.items()))
 
 
-@query("""WITH r AS (SELECT DISTINCT source_id, provider_record_id::INT AS u FROM ev), k AS (SELECT u, count(*) AS n FROM r GROUP BY u)
-SELECT CASE WHEN u % 30 = 0 THEN 'conflict' WHEN u % 3 = 0 OR u % 10 = 0 THEN 'attached' END AS status, sum(n)::BIGINT AS n FROM k WHERE u % 3 = 0 OR u % 10 = 0 GROUP BY 1
-UNION ALL SELECT 'new', count(*) FROM k WHERE u % 3 <> 0 AND u % 10 <> 0 UNION ALL SELECT 'attached_to_new', sum(n - 1)::BIGINT FROM k WHERE u % 3 <> 0 AND u % 10 <> 0""")
+_PRIORITY = "CASE source_id " + " ".join(f"WHEN '{x[0]}' THEN {x[5]}" for x in SOURCES) + " ELSE 2 END"
+
+
+@query(f"""WITH r AS (SELECT source_id, provider_record_id AS u, max(ts) AS ts FROM ev GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY {_PRIORITY}, ts, concat(source_id, '|', u)) AS k FROM r)
+SELECT concat(source_id, '|', u) AS record, CASE WHEN u::INT % 30 = 0 THEN NULL WHEN u::INT % 3 = 0 THEN 'E' || u WHEN u::INT % 10 = 0 THEN 'F' || u ELSE 'ev:a:' || u END AS event_id, u::INT % 3 <> 0 AND u::INT % 10 <> 0 AND k = 1 AS is_new,
+  CASE WHEN u::INT % 30 = 0 THEN 'identity_conflict' END AS reason FROM o""")
 def i02_identity(spark, sf_dir):
-    """Records of a user share a key; some users are known by one event, some by two (a conflict, never merged)."""
+    """Records of a user share a key; some users are known by one event, some by two (a conflict, never merged): what became of every row."""
     rec = _records(spark, sf_dir).withColumn("external_ids", F.array(F.concat(F.lit("a:"), "provider_record_id"), F.concat(F.lit("b:"), "provider_record_id")))
     users = rec.select(F.col("provider_record_id").alias("u")).distinct()
     known = users.where("u % 3 = 0").select(F.concat(F.lit("a:"), "u").alias("external_id"), F.concat(F.lit("E"), "u").alias("event_id")).union(users.where("u % 10 = 0").select(F.concat(F.lit("b:"), "u"), F.concat(F.lit("F"), "u")))
-    good, bad = I.resolve_identity(rec, known)
-    status = F.when(F.col("is_new"), "new").when(F.col("event_id").rlike("^[EF]"), "attached").otherwise("attached_to_new")
-    return good.select(status.alias("status")).union(bad.select(F.lit("conflict"))).groupBy("status").agg(F.count("*").alias("n"))
+    good, bad = I.resolve_identity(rec, known, replayed=0)
+    record = F.concat_ws("|", "source_id", "provider_record_id").alias("record")
+    kept = good.select(record, "event_id", "is_new", F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(bad.select(record, F.lit(None).cast("string").alias("event_id"), F.lit(False).alias("is_new"), "reason"))
 
 
 @query("""WITH r AS (SELECT source_id, provider_record_id, max(ts) AS ts, arg_max(title, (ts, n)) AS title FROM ev GROUP BY 1, 2)

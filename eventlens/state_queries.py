@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from eventlens.queries import _INSIDE, _OCC, _PUB, _SPAN, CODES, NOW, SINCE, UNT
 from eventlens.schemas import BATCH_REPORT, EVENT_COLUMNS, SOURCE_STATE, EventQuery
 from eventlens.sources import documents as D
 from eventlens.sources import feeds, sinks
+from eventlens.sources.lineage import shared_folder
 
 MID = datetime(2024, 1, 15)
 _MID = "TIMESTAMP '2024-01-15'"
@@ -66,12 +68,12 @@ c AS (SELECT p.*, e.lifecycle_status AS status, e.title, q.lifecycle_status AS p
   FROM p JOIN ev e ON e.n = p.n LEFT JOIN ev q ON q.n = p.p_n)
 SELECT 'ev:a:' || u AS event_id, max_by(title, k) AS title, max_by(status, k) AS status, array_to_string(max_by(sources, k), ',') AS sources, max_by(origins, k) AS origins, max_by(change, k) FILTER (change IS NOT NULL) AS change_type, count(change) AS revisions FROM c GROUP BY u""")
 def k02_p07_three_batches(spark, sf_dir):
-    """Three batches of versions: newer ones replace, older ones stay evidence, changes and revisions follow."""
-    e, tables = ev(spark, sf_dir), P.empty_tables(spark)
+    """Three batches of versions into a store: newer ones replace, older ones stay evidence, changes and revisions follow."""
+    e, store = ev(spark, sf_dir), P.event_store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 16)
     for k in range(3):
-        tables, _ = P.persist_batch(tables, _batch(e, k), NOW + timedelta(hours=k))
-    revisions = tables["revisions"].groupBy("event_id").agg(F.count("*").alias("revisions"))
-    out = tables["events"].join(revisions, "event_id")
+        P.persist_increment(store, _batch(e, k), NOW + timedelta(hours=k))
+    revisions = store.rows("revisions").groupBy("event_id").agg(F.count("*").alias("revisions"))
+    out = store.rows("events").join(revisions, "event_id")
     return out.select("event_id", "title", F.col("lifecycle_status").alias("status"), F.array_join("source_ids", ",").alias("sources"), F.col("independent_source_count").alias("origins"), "change_type", "revisions")
 
 

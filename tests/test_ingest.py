@@ -323,3 +323,18 @@ def test_snapshot_document(spark, tmp_path):
         sinks.write_snapshot(events, sources, f"file://{tmp_path}/doc2", "x", most_events=1)
     with pytest.raises(ValueError, match="all sources failed"):
         sinks.write_snapshot(events, sources.where("status = 'error'"), f"file://{tmp_path}/doc3", "x")
+
+
+def test_relations_are_the_same_at_any_density(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"e{i:03}", rng.choice(["earthquake", "flood", "cyber"]), NOW + timedelta(seconds=rng.choice([rng.randrange(40_000), 60 * (i % 7)])), rng.choice([179.9, -179.9, 30.0]) + rng.random() * 0.7, rng.choice([89.7, 10.0, 10.3]) + rng.random() * 0.2) for i in range(250)]
+    schema = "id string, category string, occurred_start timestamp, lon double, lat double"
+    e = spark.createDataFrame(rows, schema).selectExpr("id", "category", "occurred_start", "'point' AS location_precision", "'second' AS time_precision", "struct('Point' AS type, array(struct(lon, lat)) AS points) AS geometry").checkpoint()
+    found = lambda **how: sorted(map(repr, map(tuple, J.relate_events(e, **how).drop("distance_km").collect())))
+    for per_event in (3, 20):
+        want = found(per_event=per_event, dense=10**9)
+        assert found(per_event=per_event, dense=1) == want and len(want) > 100
+    some = e.where("id < 'e060'")
+    assert found(changed=some, dense=2) == found(changed=some, dense=10**9)
