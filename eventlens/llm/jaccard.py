@@ -14,7 +14,7 @@ below 1, in regions of documents that share a shingle.
    1 - r of p: such boundary documents are replicated to the cell of p.
 4. Cells that still hold several components recur with pivots of their own: large ones as regions dealt over tasks, those
    of up to `leaf` members inside one task, where a pivot, once measured, leaves its cell, until two members are left. A
-   projection that never enlarges distances (sizes, then 1024 parity bits) leaves out members without any plausible
+   projection that never enlarges distances (sizes, then 1024 parity bits, more for larger sets) leaves out members without any plausible
    partner before whole sets are shipped. Large cells that a diagram does not split are compared by that projection,
    block by block under triangle windows, and what it leaves is verified on whole sets.
 """
@@ -34,6 +34,8 @@ from eventlens.llm.components import LocalComponents, connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SKETCH_BITS = 1024
+#: Bits of the sketches that larger sets have besides, at most: 8 KB.
+WIDEST = 1 << 16
 #: Share of the hash space in which shingles are counted exactly, in 32nds; prefixes of most documents end before it.
 ZONE = 9
 #: A cell of more shingles is dealt over tasks, whatever the number of its members.
@@ -101,6 +103,23 @@ def sketches(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8).reshape(len(counts), SKETCH_BITS), axis=1).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Parities of a larger set in about two buckets a shingle, as packed bits; empty where SKETCH_BITS are enough."""
+    if 2 * len(s) <= SKETCH_BITS:
+        return b""
+    width = min(WIDEST, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded to the other's width first. 0 where one is empty."""
+    x, y = sorted((x, y), key=len)
+    if not x:
+        return 0
+    folded = np.bitwise_xor.reduce(np.frombuffer(y, np.uint64).reshape(-1, len(x) // 8), axis=0)
+    return int(np.bitwise_count(folded ^ np.frombuffer(x, np.uint64)).sum(dtype=np.int64))
+
+
 def _count(k: int):
     """Shingles of the exact zone, with the number of documents in this task's slices; elsewhere only those that a slice repeats."""
 
@@ -155,7 +174,8 @@ def _sets(k: int, percent: int, bitmap: np.ndarray):
             prefix = pa.ListArray.from_arrays(offsets, pa.array(s[head].view(np.int64)))
             flags = pa.ListArray.from_arrays(offsets, pa.array(dense))
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * 16), pa.array(sketches(s, counts).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tkey"), pa.array(counts), *map(pa.array, keys), sketch, prefix, flags], ["doc", "tkey", "n", "k1", "k2", "sketch", "prefix", "dense"])
+            wide = pa.array([wide_sketch(s[j - n : j]) for j, n in zip(ends, counts, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tkey"), pa.array(counts), *map(pa.array, keys), sketch, wide, prefix, flags], ["doc", "tkey", "n", "k1", "k2", "sketch", "wide", "prefix", "dense"])
 
     return run
 
@@ -222,13 +242,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("tkey"), F.col(text_col).alias("text"))
     n_words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # about
     bitmap = common_slots(rows, k, small, n_words)
-    sets = written(rows.mapInArrow(_sets(k, percent, bitmap), "doc long, tkey long, n long, k1 long, k2 long, sketch array<long>, prefix array<long>, dense array<boolean>"), "sets")
+    sets = written(rows.mapInArrow(_sets(k, percent, bitmap), "doc long, tkey long, n long, k1 long, k2 long, sketch array<long>, wide binary, prefix array<long>, dense array<boolean>"), "sets")
     usable, key = sets.where("n > 0 and doc is not null"), ["n", "k1", "k2"]
     first = usable.groupBy(*key).agg(F.min(F.struct("doc", "tkey")).alias("f")).select(*key, "f.doc", "f.tkey")
     first = written(first.withColumn("rep", F.monotonically_increasing_id()), "first")
     nodes = written(usable.select("doc", *key).join(first.select(*key, "rep"), key).select("doc", "n", "rep"), "nodes")
     reps = usable.drop(*key[1:]).join(first.select("doc", "tkey", "rep"), ["doc", "tkey"]).dropDuplicates(["doc", "tkey"])
-    reps = written(reps.select("rep", "n", "sketch", "prefix", "dense"), "reps")
+    reps = written(reps.select("rep", "n", "sketch", "wide", "prefix", "dense"), "reps")
     token = reps.select("rep", "n", F.explode(F.arrays_zip("prefix", "dense")).alias("t")).select(F.col("t.prefix").alias("token"), F.col("t.dense").alias("dense"), F.struct("n", "rep").alias("m"))
 
     # regions of shingles that are frequent or not counted: their sizes, and the member of lowest hash, which names them
@@ -249,10 +269,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     named = F.array_min(F.transform("ms", lambda m: F.struct(F.xxhash64(m["rep"]).alias("h"), m["rep"].alias("rep"))))["rep"]
     listed = lists.where(F.size("ms") > 2).select(named.alias("cell"), F.explode("ms").alias("m"))
     region = listed.unionByName(dense.where(F.col("size") > small).select("cell", "m")).select("cell", "m.rep", "m.n").distinct()
-    region = _with_partners(written(region, "region"), reps, percent, leaf)
     lower = F.when(F.xxhash64("a") < F.xxhash64("b"), F.col("a")).otherwise(F.col("b"))
     pair = near.select(lower.alias("cell"), F.explode(F.array("a", "b")).alias("rep")).join(reps.select("rep", "n"), "rep")
-    region = written(region.unionByName(pair).distinct(), "partners")
+    region = written(region.unionByName(pair).distinct(), "region")
+    region = written(_with_partners(region, reps, percent, leaf), "partners")
     wanted = region.select("rep").distinct()
     texts = rows.join(first.join(wanted, "rep", "left_semi").select("doc", "tkey", "rep"), ["doc", "tkey"]).dropDuplicates(["doc", "tkey"])
     whole = written(texts.select("rep", "text").mapInArrow(_whole(k), "rep long, whole binary"), "whole")
@@ -284,15 +304,17 @@ def _with_partners(region: DataFrame, reps: DataFrame, percent: int, leaf: int)
     """The members of regions of up to `leaf` that sizes and sketches leave a partner there; larger regions as they are."""
     size = written(region.groupBy("cell").agg(F.count("*").alias("size")), "sizes-of")
     region = region.join(size, "cell")
-    held = region.where(F.col("size") <= leaf).join(reps.select("rep", "sketch"), "rep").select("cell", "rep", "n", "sketch")
+    held = region.where(F.col("size") <= leaf).join(reps.select("rep", "sketch", "wide"), "rep").select("cell", "rep", "n", "sketch", "wide")
 
     def run(cell: pa.Table) -> pa.Table:
-        n, sk = cell["n"].to_numpy(), _sketch_rows(cell)
+        n, sk, wide = cell["n"].to_numpy(), _sketch_rows(cell), cell["wide"].to_pylist()
         some = np.zeros(len(n), bool)
         for i in range(len(n) - 1):
             fits = np.flatnonzero(100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])) + i + 1
             differ = np.bitwise_count(sk[fits] ^ sk[i]).sum(1, dtype=np.int64)
             fits = fits[(100 + percent) * differ <= (100 - percent) * (n[fits] + n[i])]
+            if wide[i]:
+                fits = fits[[(100 + percent) * differing_bits(wide[i], wide[j]) <= (100 - percent) * (n[j] + n[i]) for j in fits]]
             some[fits] = True
             some[i] |= len(fits) > 0
         return cell.select(["cell", "rep", "n"]).filter(pa.array(some))

@@ -435,3 +435,14 @@ def test_recurring_diagrams_tie_what_links(seed):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if share(i, j) >= 0.8]
     want.add(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
     assert (got.root == want.root).all() and len(pairs) > 20
+
+
+def test_wide_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in ((600, 650), (1000, 1100), (5000, 4000), (60_000, 70_000)):
+        both = rng.integers(0, 1 << 63, n + m).astype(np.uint64)
+        x, y = np.unique(both[:n]), np.unique(both[n // 2 : n // 2 + m])
+        true = len(np.setxor1d(x, y))
+        found = jaccard.differing_bits(jaccard.wide_sketch(x), jaccard.wide_sketch(y))
+        assert found == jaccard.differing_bits(jaccard.wide_sketch(y), jaccard.wide_sketch(x)) and 0.3 * true < found <= true
+    assert jaccard.wide_sketch(x[:512]) == b"" and jaccard.differing_bits(b"", jaccard.wide_sketch(x)) == 0
