@@ -540,11 +540,14 @@ def t07_country_codes(spark, sf_dir):
     return D.country_codes(e, "places", table).select("id", F.array_join("countries", ",").alias("codes"))
 
 
-@query(r"""SELECT id, concat_ws(',', CASE WHEN n % 3 = 0 THEN 'DE' END, CASE WHEN n % 2 = 0 THEN 'PL' END) AS places, CASE n % 4 WHEN 0 THEN 'earthquake' WHEN 1 THEN 'weather' WHEN 2 THEN 'cyber' ELSE '' END AS topic FROM ev""")
+@query(r"""SELECT id, concat_ws(',', CASE WHEN n % 5 = 0 THEN 'BY' END, CASE WHEN n % 3 = 0 THEN 'DE' END, CASE WHEN n % 2 = 0 THEN 'PL' END) AS places, CASE n % 4 WHEN 0 THEN 'earthquake' WHEN 1 THEN 'weather' WHEN 2 THEN 'disaster' ELSE '' END AS topic,
+  trim(concat(CASE WHEN n % 2 = 0 THEN 'w' ELSE 'plan' END, CASE WHEN n % 5 = 0 THEN '' ELSE ' by' END, CASE WHEN n % 4 = 3 THEN ' stormy' ELSE '' END)) AS rest FROM ev""")
 def t11_alias_tags(spark, sf_dir):
-    """Country and category words of a question, whole words only."""
-    words = F.concat_ws(" ", F.when(_mod(2), "w Polsce").otherwise("plan"), F.when(_mod(3), "Niemcy"), F.element_at(F.array(F.lit("trzęsienia ziemi"), F.lit("ostrzeżenia pogodowe"), F.lit("podatności"), F.lit("kevlar")), (1 + _n() % 4).cast("int")))
-    return ev(spark, sf_dir).select("id", F.array_join(text.tag_text(words, text.COUNTRY_ALIASES), ",").alias("places"), F.array_join(text.tag_text(words, text.CATEGORY_ALIASES), ",").alias("topic"))
+    """Country and category words of a question: whole words, each used once; "by" is no country, BY is; a flood disaster is no flood."""
+    topic = F.element_at(F.array(F.lit("Earthquake tremor"), F.lit("weather warning storm"), F.lit("flood disaster"), F.lit("stormy")), (1 + _n() % 4).cast("int"))
+    words = F.concat_ws(" ", F.when(_mod(2), "w Polsce").otherwise("plan"), F.when(_mod(5), "BY").otherwise("by"), F.when(_mod(3), "Niemcy"), topic)
+    e = ev(spark, sf_dir).select("id", text.tag_question(words).alias("q"))
+    return e.select("id", F.array_join("q.countries", ",").alias("places"), F.array_join("q.categories", ",").alias("topic"), "q.rest")
 
 
 @query("""SELECT id, '{"category":"' || category || '","id":"' || id || '","severity":' || severity || ',"source_url":' || CASE WHEN source_url IS NULL THEN 'null' ELSE '"' || source_url || '"' END || '}' AS canonical, '<a><b>' || n || '</b></a>' AS xml FROM ev""")
@@ -609,13 +612,17 @@ def k08_briefing_text(spark, sf_dir):
     return out.select((F.size(F.split("value", "\n"))).cast("long").alias("n"), "value")
 
 
-@query("SELECT count(*) AS n, count(*) AS same FROM ev")
+_LEAVES = """l AS (SELECT substr(md5(k), 1, 2) AS node, count(*) AS n, md5(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT)::HUGEINT) AS digest FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH r AS (SELECT id AS k, md5(concat_ws('|', id, title, n)) AS h FROM ev), s AS (SELECT id AS k, md5(concat_ws('|', id, CASE WHEN n % 97 = 5 THEN 'other' ELSE title END, n)) AS h FROM ev WHERE n % 101 <> 7),
+{_LEAVES}, {_LEAVES.replace("l AS", "m AS").replace("FROM r", "FROM s")} SELECT coalesce(l.node, m.node) AS node, coalesce(l.n, 0) AS n, coalesce(m.n, 0) AS n_other FROM l FULL JOIN m ON l.node = m.node WHERE l.digest IS DISTINCT FROM m.digest""")
 def k09_table_fingerprint(spark, sf_dir):
-    """The order-independent fingerprint of a table and of the same rows dealt anew agree; n counts the rows."""
-    e = ev(spark, sf_dir).drop("geometry")
-    a, b = sinks.table_fingerprint(e), sinks.table_fingerprint(e.repartition(7, "n"))
-    j = a.join(b.select("digest"), "digest", "left_semi")
-    return j.select("n", F.col("n").alias("same"))
+    """The key ranges in which a table differs from another, which lacks some rows and has others changed."""
+    e = ev(spark, sf_dir).select("id", "title", "n")
+    other = e.where("n % 101 <> 7").withColumn("title", F.when(F.col("n") % 97 == 5, "other").otherwise(F.col("title"))).repartition(5, "title")
+    row = F.concat_ws("|", "id", "title", F.col("n").cast("string"))
+    return sinks.differing_ranges(sinks.digest_tree(e, "id", row), sinks.digest_tree(other, "id", row)).select("node", "n", "n_other")
 
 
 # --- documents, snapshots, relations, keys ---------------------------------------------------------------------------

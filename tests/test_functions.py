@@ -81,3 +81,11 @@ def test_geometry(spark):
     assert one(spark, geo.geometry_ok(poly)) is True and one(spark, geo.geometry_ok(F.lit("[" * 9 + "1" + "]" * 9))) is False and one(spark, geo.geometry_ok(F.lit("{"))) is False
     line = geo.parse_geojson(F.lit('{"type":"Polygon","coordinates":[[[170,0],[-170,0],[-170,10],[170,10],[170,0]]]}'))
     assert tuple(one(spark, geo.lon_ranges(line))[0]) == (170.0, 190.0)
+
+
+def test_questions_use_each_word_once(spark):
+    from eventlens.functions import text
+
+    rows = [("BY oraz by", ["BY"], [], "oraz"), ("by pl", ["PL"], [], "by"), (None, [], [], ""), ("flood disaster, flood", [], ["disaster", "weather"], ","), ("disaster", [], ["disaster"], ""), ("kevlar plan", [], [], "kevlar plan")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "q string").select("q", text.tag_question("q").alias("t"))
+    assert [(r.q, r.t.countries, r.t.categories, r.t.rest) for r in df.collect()] == rows

@@ -284,15 +284,16 @@ def test_highlights_see_past_repeats(spark):
     assert sorted((r.scope, r.position, r.id, r.step) for r in out) == [("a", 1, "r0000", "category"), ("a", 2, "x1", "fill"), ("b", 1, "y1", "category"), ("b", 2, "y3", "category")]
 
 
-def test_fingerprint_streams_in_blocks(spark):
-    import hashlib
-
-    digest = lambda rows: hashlib.md5("".join(sorted(hashlib.md5(str(r).encode()).hexdigest() for r in rows)).encode()).hexdigest()
-    for rows in ([i % 700 for i in range(3000)] + [5] * 600, []):
-        df = sinks.md5_fingerprint(spark.createDataFrame([(r,) for r in rows], "x long").repartition(7), F.col("x").cast("string"))
-        assert [tuple(r) for r in df.collect()] == [(len(rows), digest(rows))]
-        assert "collect_list" not in df._jdf.queryExecution().toString()  # nothing holds all rows at once
-    assert sinks.md5_fingerprint(spark.createDataFrame([(None,), (1,)], "x long"), F.col("x").cast("string")).first() == (2, digest([1]))
+def test_digest_trees_name_what_differs(spark):
+    rows = [(i, f"v{i}") for i in range(500)]
+    tree = lambda r, d=2: sinks.digest_tree(spark.createDataFrame(r, "k int, v string").repartition(5), F.col("k").cast("string"), F.concat_ws("|", F.col("k").cast("string"), "v"), d)
+    one = tree(rows)
+    assert one.where("level = 0").first().n == 500 and sinks.differing_ranges(one, tree(rows[::-1])).collect() == []
+    changed = [(k, "x" if k == 7 else v) for k, v in rows if k != 300]
+    found = sinks.differing_ranges(one, tree(changed)).collect()
+    want = {spark.sql(f"SELECT substr(md5('{k}'), 1, 2) AS n").first().n for k in (7, 300)}
+    assert {r.node for r in found} == want and sum(r.n - r.n_other for r in found) == 1
+    assert tree(rows[:0]).collect() == [] and tree([(None, None)], 1).count() == 2
 
 
 def test_versioned_tables_and_split(spark, tmp_path):
