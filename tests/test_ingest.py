@@ -339,3 +339,23 @@ def test_relations_are_the_same_at_any_density(spark):
         assert found(per_event=per_event, dense=1) == want and len(want) > 100
     some = e.where("id < 'e060'")
     assert found(changed=some, dense=2) == found(changed=some, dense=10**9)
+
+
+def test_each_breach_of_the_snapshot_contract_has_a_row(spark, tmp_path):
+    pair = lambda *p: [{"source_id": a, "provider_record_id": b} for a, b in p]
+    given = [pair(("usgs", "1")), pair(("usgs", "2"), ("gdacs", "2")), pair(("usgs", "1")), [], pair(("usgs", "5")), pair(("usgs", "6"))]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(given)], "n int, pairs array<struct<source_id:string,provider_record_id:string>>")
+    ids = {r.n: r.public_id for r in I.public_ids(table).collect()}
+    sources = [["usgs"], ["gdacs", "usgs"], ["usgs"], [], ["usgs"], ["gdacs"]]
+    events = [{"id": ids[n], "source_ids": sources[n], "evidence": p, "geometry": {"type": "LineString", "coordinates": [[1.5, 2], [-3, 4.25]]}} for n, p in enumerate(given)]
+    events[1]["evidence"][0]["raw"] = "{}"
+    events[4] |= {"id": "made-up", "secret": 1}
+    doc = {"format": "public-events", "version": 1, "generated_at": "2024-05-01T10:00:00Z", "sources": [{"source_id": "usgs", "token": "x"}], "events": events, "notes": []}
+    (tmp_path / "doc").write_text(json.dumps(doc))
+    schema = "format string, version int, generated_at string, sources array<struct<source_id:string>>, events array<struct<id:string,source_ids:array<string>,evidence:array<struct<source_id:string,provider_record_id:string>>,geometry:struct<type:string>>>"
+    schema = schema.replace("evidence:", "source_url:string,evidence:")
+    found, bad = sinks.read_snapshot(spark, f"file://{tmp_path}/doc", schema, NOW, most_positions=11)
+    want = {(None, "unknown_field"), (None, "geometry_budget"), (ids[1], "unknown_evidence_field"), ("made-up", "unknown_field"), ("made-up", "wrong_id"), (ids[0], "duplicate_evidence"), (ids[0], "repeated_id"), (ids[3], "no_evidence"), (ids[5], "sources_differ")}
+    assert found.count() == 6 and {(r.id, r.reason) for r in bad.collect()} == want
+    assert bad.where("id IS NULL AND reason = 'unknown_field'").count() == 2  # the document's and a source's
+    assert (None, "geometry_budget") not in {(r.id, r.reason) for r in sinks.read_snapshot(spark, f"file://{tmp_path}/doc", schema, NOW)[1].collect()}
