@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,9 +71,10 @@ def match_keys(records: DataFrame, external_ids: DataFrame) -> DataFrame:
     return keys.join(external_ids.select("external_id", "event_id"), "external_id").groupBy("record_id").agg(F.array_sort(F.collect_set("event_id")).alias("matches"))
 
 
-def apply_known_only(signals: DataFrame, external_ids: DataFrame) -> DataFrame:
-    """Withdrawals that apply only where a key is known."""
-    known = signals.select("record_id", F.explode("keys").alias("external_id")).join(external_ids.select("external_id"), "external_id", "left_semi").select("record_id").distinct()
+def apply_known_only(signals: DataFrame, external_ids: DataFrame, prefixes: tuple = ("usgs:", "record:")) -> DataFrame:
+    """Withdrawals that apply only where they concern what is known: by a key of the catalogue itself, or because the record is stored."""
+    keys = signals.select("record_id", F.explode("keys").alias("external_id")).where(F.col("external_id").rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"))
+    known = keys.join(external_ids.select("external_id"), "external_id", "left_semi").select("record_id").distinct()
     return signals.join(known, "record_id", "left_semi")
 
 
