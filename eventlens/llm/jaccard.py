@@ -15,8 +15,8 @@ below 1, in regions of documents that share a shingle.
 4. Cells that still hold several components recur with pivots of their own: large ones as regions dealt over tasks, those
    of up to `leaf` members inside one task, where a pivot, once measured, leaves its cell, until two members are left. A
    projection that never enlarges distances (sizes, then 1024 parity bits, more for larger sets) leaves out members without any plausible
-   partner before whole sets are shipped. Large cells that a diagram does not split are compared by that projection,
-   block by block under triangle windows, and what it leaves is verified on whole sets.
+   partner before whole sets are shipped. Large cells that a diagram does not split are compared block by block under
+   triangle windows of that projection and verified at once: a group of near copies gives one link a merger, no pairs.
 """
 
 from __future__ import annotations
@@ -197,17 +197,6 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        shared, total = [], []
-        for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            n = _shared(x, y)
-            shared.append(n)
-            total.append(len(x) + len(y) - n)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
-
-
 def _sizes_fit(percent: int, a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -222,13 +211,6 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select("a", "b")
 
 
-def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that link, by whole sets; written."""
-    for side in ("a", "b"):
-        pairs = pairs.join(whole.select(F.col("rep").alias(side), F.col("whole").alias(f"w{side}")), side)
-    return written(pairs.mapInArrow(_distances, "a long, b long, shared long, total long").where(F.expr(f"100 * shared >= {percent} * total")).select("a", "b"), "links")
-
-
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = 16, pivots: int = 8, leaf: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, by_pivot for each row: documents link when 100 * shared >= percent * all shingles of both.
 
@@ -284,8 +266,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         links.append(_cell_links(_state(cells, component), whole, percent, pivots))
         by_pivot.append(links[-1])
     if blocks is not None:
-        found = _block_pairs(_state(blocks, component), reps, percent, leaf)
-        links.append(_links(_plausible(found, reps, percent), whole, percent))
+        links.append(_block_links(_state(blocks, component), reps, whole, percent, leaf))
     if cells is not None or blocks is not None:
         component = connected_components(_union(links))
     ends = _union(by_pivot) if by_pivot else links[0].where("false")
@@ -475,39 +456,41 @@ def recurring_diagrams(sets: list[np.ndarray], comp: np.ndarray, percent: int, p
     return found
 
 
-def _block_pairs(state: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b) pairs of different components of a cell that sizes and sketches do not rule out.
+def _block_links(state: DataFrame, reps: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) links that tie different components of a cell, written.
 
-    A cell is dealt to blocks of about `block` members; each pair of blocks is one group of work, to which sizes and
-    sketches are shipped, never whole sets. Bits in which two sketches differ are a metric that never exceeds the sets'
-    difference, so within a pair of blocks only members whose distances to the first member lie in one triangle window
-    are looked at.
+    A cell is dealt to blocks of about `block` members; each pair of blocks is one group of work. Bits in which two
+    sketches differ are a metric that never exceeds the sets' difference, so within a pair of blocks only members whose
+    distances to the first member lie in one triangle window are looked at. Pairs that sizes and sketches leave are
+    verified on whole sets unless links found before have tied their components; one link a merger comes out.
     """
-    parts = F.ceil(F.col("members") / block).cast("int")
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / 500_000)).cast("int")
     m = state.select("cell", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int").alias("own"))
-    m = written(m.join(reps.select("rep", "n", "sketch"), "rep"), "blocks")
+    m = written(m.join(reps.select("rep", "n", "sketch"), "rep").join(whole, "rep"), "blocks")
     left = m.withColumn("b1", F.col("own")).withColumn("b2", F.explode(F.sequence("own", F.col("parts") - 1)))
     right = m.where("own > 0").select(*(F.col(c).alias(c) for c in m.columns)).withColumn("b2", F.col("own")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
 
     def arrays(x: pa.Table) -> tuple[np.ndarray, ...]:
-        return (*(x[c].to_numpy() for c in ("rep", "n", "component")), _sketch_rows(x))
+        return (*(x[c].to_numpy() for c in ("rep", "n", "component")), _sketch_rows(x), [np.frombuffer(w, np.uint64) for w in x["whole"].to_pylist()])
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        same = len(one) and one["b1"][0] == one["b2"][0]
-        if len(one) and (same or len(two)):
-            rows = arrays(one)
-            other = rows if same else arrays(two)
-            i, j = _plausible_rows(*rows[1:], *other[1:], same, percent)
-            a, b = rows[0][i], other[0][j]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found = []
+        if len(one):
+            rep, n, comp, sk, sets = arrays(one)
+            same = one["b1"][0] == one["b2"][0]
+            rep2, n2, comp2, sk2, sets2 = (rep, n, comp, sk, sets) if same else arrays(two) if len(two) else (None,) * 5
+            if rep2 is not None:
+                found = _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same, percent)
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate("ab")})
 
     work = left.groupBy("cell", "b1", "b2").cogroup(right.groupBy("cell", "b1", "b2"))
-    return work.applyInArrow(run, "a long, b long")
+    return written(work.applyInArrow(run, "a long, b long"), "block-links")
 
 
-def _plausible_rows(n, comp, sk, n2, comp2, sk2, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of two blocks (or of one) of different components within reach of each other."""
+def _tie(rep, n, comp, sk, sets, rep2, n2, comp2, sk2, sets2, same: bool, percent: int) -> list[tuple]:
+    """Links between two blocks (or within one) that tie components not tied before."""
+    names, roots = np.unique(np.concatenate([comp, comp2]), return_inverse=True)
+    r, r2, tied = roots[: len(comp)], roots[len(comp) :], LocalComponents(len(names))
     to = np.bitwise_count(sk2 ^ sk[0]).sum(1, dtype=np.int64)  # distances to the first member
     own = np.bitwise_count(sk ^ sk[0]).sum(1, dtype=np.int64)
     order = np.argsort(to, kind="stable")
@@ -515,17 +498,20 @@ def _plausible_rows(n, comp, sk, n2, comp2, sk2, same: bool, percent: int) -> tu
     # 100 (S - D) >= percent (S + D) for sizes that sum to S and D differing shingles
     reach = (100 - percent) * (n + n * 100 // percent + 1) // (100 + percent)
     lo, hi = np.searchsorted(to, own - reach, "left"), np.searchsorted(to, own + reach, "right")
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(n)):
-        at = order[lo[i] : hi[i]]
-        at = at[(comp2[at] != comp[i]) & (100 * np.minimum(n2[at], n[i]) >= percent * np.maximum(n2[at], n[i]))]
+    found = []
+    for j in range(len(rep)):
+        at = order[lo[j] : hi[j]]
+        at = at[(tied.root[r2[at]] != tied.root[r[j]]) & (100 * np.minimum(n2[at], n[j]) >= percent * np.maximum(n2[at], n[j]))]
         if same:
-            at = at[at > i]
-        differ = np.bitwise_count(sk2[at] ^ sk[i]).sum(1, dtype=np.int64)
-        at = at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[i])]
-        left.append(np.full(len(at), i))
-        right.append(at)
-    return np.concatenate(left), np.concatenate(right)
+            at = at[at > j]
+        differ = np.bitwise_count(sk2[at] ^ sk[j]).sum(1, dtype=np.int64)
+        for x in at[(100 + percent) * differ <= (100 - percent) * (n2[at] + n[j])]:
+            if tied.root[r2[x]] != tied.root[r[j]]:
+                shared = _shared(sets[j], sets2[x])
+                if 100 * shared >= percent * (n[j] + n2[x] - shared):
+                    found.append((rep[j], rep2[x]))
+                    tied.add(r[j : j + 1], r2[x : x + 1])
+    return found
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
