@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.arrays import col, has_tag, norm_array, set_tag
 from eventlens.functions.geo import bbox, distance_to_rings_km, geodesic_km, intersects_bbox
+from eventlens.functions.intervals import tree_cover, tree_path
 from eventlens.functions.text import contains_words, fold, is_public_url, label, safe_url, search_words
 from eventlens.functions.time import BASIS_CLOCK, DAY_TAG, display_time
 from eventlens.schemas import DEFAULT_BASIS, EUROPE, EUROPE_BOX, SEVERITY_LABELS, EventQuery
@@ -438,9 +439,9 @@ def facts(df: DataFrame) -> DataFrame:
 def run_queries(queries: DataFrame, events: DataFrame, now, most: int = 2000) -> DataFrame:
     """(query_id, id) matches of a table of queries on all four bases: one pass over the events.
 
-    The query table must be small (it is counted, and broadcast only within `most` rows); beyond that both sides are
-    binned by day and joined on (basis, day). Validity periods are cut to the days that any query covers before they are
-    dealt to days. region, lat, lon and radius_km are read where the query table has them.
+    The query table is counted, and broadcast only within `most` rows; beyond that events meet the days of windows by
+    their first day, and the first days of windows by tree nodes of the days they hold, two a level at most: a validity
+    period without an end has a logarithm of rows. region, lat, lon and radius_km are read where the query table has them.
     """
     q = query_bounds(queries, now)
     optional = {"region": "string", "lat": "double", "lon": "double", "radius_km": "double"}
@@ -465,9 +466,14 @@ def run_queries(queries: DataFrame, events: DataFrame, now, most: int = 2000) ->
     )
     if q.limit(most + 1).count() <= most:  # each event has one row a basis, so a pair comes once
         return ev.join(F.broadcast(q), (F.col("time_basis") == F.col("q_basis")) & hit & rest).select("query_id", "id")
-    range_ = q.agg(F.to_date(F.min("since")).alias("first_day"), F.to_date(F.max("until")).alias("last_day"))
-    ev = ev.crossJoin(F.broadcast(range_))  # one row
-    begin, end = F.greatest(F.to_date("from"), F.col("first_day")), F.least(F.coalesce(F.to_date("to"), F.col("last_day")), F.col("last_day"))
-    ev = ev.where(begin <= end).withColumn("day", F.explode(F.sequence(begin, end))).drop("first_day", "last_day")
+    # a pair meets once: the event begins on a day of the window, or holds the window's first day and began before it
+    low, high = q.agg(F.unix_date(F.to_date(F.min("since"))), F.unix_date(F.to_date(F.max("since")))).first()
+    day = lambda c: F.unix_date(F.to_date(c))
     days = q.withColumn("q_day", F.explode(F.sequence(F.to_date("since"), F.to_date("until"))))
-    return ev.join(days, (F.col("day") == F.col("q_day")) & (F.col("time_basis") == F.col("q_basis"))).where(hit & rest).select("query_id", "id").distinct()
+    begun = ev.withColumn("day", F.to_date("from")).join(days, (F.col("day") == F.col("q_day")) & (F.col("time_basis") == F.col("q_basis")))
+    levels = (high - low).bit_length()
+    held = tree_cover(F.greatest(day("from") + 1 - low, F.lit(0)), F.least(F.coalesce(day("to"), F.lit(high)), F.lit(high)) + 1 - low, levels)
+    nodes = ev.where(F.col("to").isNull() | (day("to") > day("from"))).withColumn("at", F.explode(held))
+    starts = q.withColumn("q_at", F.explode(tree_path(day("since") - low, levels)))
+    running = nodes.join(starts, (F.col("at") == F.col("q_at")) & (F.col("time_basis") == F.col("q_basis")))
+    return begun.where(hit & rest).select("query_id", "id").unionByName(running.where(hit & rest).select("query_id", "id"))
