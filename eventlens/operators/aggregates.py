@@ -44,6 +44,15 @@ def bin_hours(window_hours: int) -> int:
     return 1 if window_hours <= 24 else 3 if window_hours <= 72 else 6 if window_hours <= 168 else 24
 
 
+def bins_of(span: Column, since: Column, until: Column, hours: Column, last: Column) -> tuple[Column, Column]:
+    """(first, final) number of the bins of so many hours that a span meets which lies in the window or reaches into it."""
+    us, width = F.unix_micros(since), hours.cast("long") * F.lit(3_600_000_000)
+    stop = F.least(F.coalesce(span["end"], until), until)
+    start = F.floor((F.unix_micros(span["start"]) - us) / width)
+    final = F.when(span["point"], start).otherwise(F.floor((F.unix_micros(stop) - us - 1) / width))
+    return F.greatest(start, F.lit(0)).cast("int"), F.least(final, last).cast("int")
+
+
 def timeline(df: DataFrame, since, window_hours: int, until=None) -> DataFrame:
     """Counts per bin, in total and per basis; an event counts in each bin it meets, open ends run to the window's end.
 
@@ -52,13 +61,12 @@ def timeline(df: DataFrame, since, window_hours: int, until=None) -> DataFrame:
     h = bin_hours(window_hours)
     since = _ts(since)
     end = _ts(until) if until is not None else since + F.make_interval(hours=F.lit(window_hours))
-    us, width, last = F.unix_micros(since), F.lit(h * 3_600_000_000), -(-window_hours // h) - 1
+    last = -(-window_hours // h) - 1
     s = F.col("span")
     stop = F.least(F.coalesce(s["end"], end), end)
-    first = F.greatest(F.floor((F.unix_micros(s["start"]) - us) / width), F.lit(0))
-    final = F.when(s["point"], F.floor((F.unix_micros(s["start"]) - us) / width)).otherwise(F.floor((F.unix_micros(stop) - us - 1) / width))
+    first, final = bins_of(s, since, end, F.lit(h), F.lit(last))
     inside = F.when(s["point"], (s["start"] >= since) & (s["start"] < end)).otherwise((s["start"] < end) & (stop > since))
-    bins = df.where(s.isNotNull() & inside).select("basis", F.explode(F.sequence(first.cast("int"), F.least(final, F.lit(last)).cast("int"))).alias("bin"))
+    bins = df.where(s.isNotNull() & inside).select("basis", F.explode(F.sequence(first, final)).alias("bin"))
     out = bins.groupBy("bin").agg(F.count("*").alias("n"), *(F.count_if(F.col("basis") == b).alias(f"n_{b}") for b in ("occurred", "published", "validity")))
     start = since + F.make_interval(hours=F.col("bin") * h)
     return out.select("bin", start.alias("bin_start"), F.least(start + F.make_interval(hours=F.lit(h)), end).alias("bin_end"), "n", "n_occurred", "n_published", "n_validity")

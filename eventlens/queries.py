@@ -588,6 +588,24 @@ def p05_situations(spark, sf_dir):
     return P.situations(ev(spark, sf_dir), scopes, [24, 168], NOW)
 
 
+_IN_HOURS = f"dated AND CASE WHEN point THEN s >= {U} - to_hours(hours) AND s < {U} ELSE s < {U} AND (open OR e > {U} - to_hours(hours)) END"
+
+
+@query(f"""WITH {_SPAN}, w AS (SELECT * FROM (VALUES ('world'), ('europe'), ('country:PL'), ('country:DE')) AS a(scope) CROSS JOIN (VALUES (24, 1), (72, 3), (168, 6), (720, 24)) AS b(hours, width)),
+r AS (SELECT scope, hours, width, span.*, coalesce({_IN_HOURS}, false) AS inside FROM w JOIN span ON scope = 'world' OR (scope = 'europe' AND list_has_any(countries, {_EUROPE})) OR list_contains(countries, scope[9:]))
+SELECT scope, hours, 'category' AS part, category AS name, count(*) AS n FROM r WHERE inside GROUP BY ALL
+UNION ALL SELECT scope, hours, 'kind', kind, count(*) FROM r WHERE inside GROUP BY ALL
+UNION ALL SELECT scope, hours, 'advisory', {_STATE.format(at=U)}, count(*) FROM r WHERE inside AND kind = 'advisory' GROUP BY ALL
+UNION ALL SELECT scope, hours, 'unknown', 'time', count(*) FROM r WHERE NOT coalesce(dated, false) GROUP BY ALL
+UNION ALL SELECT scope, hours, 'unknown', 'country', count(*) FROM r WHERE coalesce(len(countries), 0) = 0 GROUP BY ALL
+UNION ALL SELECT scope, hours, 'unknown', 'cached', count(*) FROM r WHERE list_contains(tags, 'cached_public_data') GROUP BY ALL
+UNION ALL SELECT scope, hours, 'bin', bin::VARCHAR, count(*) FROM (SELECT *, unnest(range(hours // width)) AS bin FROM r WHERE inside)
+  WHERE CASE WHEN point THEN s >= {U} - to_hours(hours - bin * width) AND s < {U} - to_hours(hours - (bin + 1) * width) ELSE s < {U} - to_hours(hours - (bin + 1) * width) AND (open OR e > {U} - to_hours(hours - bin * width)) END GROUP BY ALL""")
+def p05_situation_parts(spark, sf_dir):
+    """Every part of the situation of four scopes over four windows, timelines by difference counts."""
+    return P.situation_parts(ev(spark, sf_dir), X.scopes_df(spark, ["PL", "DE"]), [24, 72, 168, 720], NOW)
+
+
 @query("SELECT id FROM ev WHERE source_url IS NOT NULL")
 def f26_citable(spark, sf_dir):
     return X.citable(ev(spark, sf_dir).withColumn("source_urls", F.array("source_url"))).select("id")
