@@ -284,6 +284,28 @@ def test_highlights_see_past_repeats(spark):
     assert sorted((r.scope, r.position, r.id, r.step) for r in out) == [("a", 1, "r0000", "category"), ("a", 2, "x1", "fill"), ("b", 1, "y1", "category"), ("b", 2, "y3", "category")]
 
 
+def test_fingerprint_streams_in_blocks(spark):
+    import hashlib
+
+    digest = lambda rows: hashlib.md5("".join(sorted(hashlib.md5(str(r).encode()).hexdigest() for r in rows)).encode()).hexdigest()
+    for rows in ([i % 700 for i in range(3000)] + [5] * 600, []):
+        df = sinks.md5_fingerprint(spark.createDataFrame([(r,) for r in rows], "x long").repartition(7), F.col("x").cast("string"))
+        assert [tuple(r) for r in df.collect()] == [(len(rows), digest(rows))]
+        assert "collect_list" not in df._jdf.queryExecution().toString()  # nothing holds all rows at once
+    assert sinks.md5_fingerprint(spark.createDataFrame([(None,), (1,)], "x long"), F.col("x").cast("string")).first() == (2, digest([1]))
+
+
+def test_fingerprint_query_digests_all_rows_in_order(spark, tmp_path):
+    import duckdb
+    from eventlens import queries
+
+    rows = [(1, "a", "x"), (2, "a", None), (2, "a", ""), (3, None, "y"), (None, "b", "z")]
+    for rows in (rows, []):
+        spark.createDataFrame(rows, "event_id long, event_type string, props string").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        want = duckdb.sql(f"WITH events AS (SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')) {queries.ORACLE_SQL['k09_fingerprint']}").fetchall()
+        assert [tuple(r) for r in queries.QUERIES["k09_fingerprint"](spark, str(tmp_path)).collect()] == want
+
+
 def test_digest_trees_name_what_differs(spark):
     rows = [(i, f"v{i}") for i in range(500)]
     tree = lambda r, d=2: sinks.digest_tree(spark.createDataFrame(r, "k int, v string").repartition(5), F.col("k").cast("string"), F.concat_ws("|", F.col("k").cast("string"), "v"), d)
