@@ -348,6 +348,16 @@ def test_snapshot_document(spark, tmp_path):
         sinks.write_snapshot(events, sources.where("status = 'error'"), f"file://{tmp_path}/doc3", "x")
 
 
+def test_relations_keep_whole_microseconds(spark):
+    """Hours come from microseconds by one division: by way of seconds, some halves of the sixth digit fall to the other side."""
+    start, gaps = datetime(2024, 1, 1), [3_600_000_000 + 3600 * i + 1800 for i in range(0, 4000, 7)]
+    rows = [(f"a{i}", "weather", start + timedelta(days=2 * i)) for i in range(len(gaps))] + [(f"b{i}", "cyber", start + timedelta(days=2 * i, microseconds=g)) for i, g in enumerate(gaps)]
+    e = spark.createDataFrame(rows, "id string, category string, occurred_start timestamp")
+    shape = F.struct(F.lit("Point").alias("type"), F.array(F.struct(F.lit(21.0).alias("lon"), F.lit(52.0).alias("lat"))).alias("points"))
+    out = J.relate_events(e.withColumns({"geometry": shape, "location_precision": F.lit("point"), "time_precision": F.lit("second")})).collect()
+    assert {r.event_a: r.time_delta_hours for r in out} == {f"a{i}": g / 3_600_000_000 for i, g in enumerate(gaps)}
+
+
 def test_relations_are_the_same_at_any_density(spark):
     import random
 
