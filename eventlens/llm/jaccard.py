@@ -13,7 +13,7 @@ below 1, in regions of documents that share a shingle.
    the triangle inequality a partner of a member of pivot p's cell lies within 2r of its own nearest distance and within
    1 - r of p: such boundary documents are replicated to the cell of p.
 4. Cells that still hold several components recur with pivots of their own: large ones as regions dealt over tasks, those
-   of up to `leaf` members inside one task, where a pivot, once measured, leaves its cell, until two members are left. A
+   of up to `leaf` members inside one task, where a pivot, once measured, leaves all cells, until two members are left. A
    projection that never enlarges distances (sizes, then 1024 parity bits, more for larger sets) leaves out members without any plausible
    partner before whole sets are shipped. Large cells that a diagram does not split are compared block by block under
    triangle windows of that projection and verified at once: a group of near copies gives one link a merger, no pairs.
@@ -418,39 +418,51 @@ def recurring_diagrams(sets: list[np.ndarray], comp: np.ndarray, percent: int, p
     """Links between ascending sets that tie all components whose members link, each by the distance of a member to a pivot.
 
     A cell's pivots are the first of its members, of different components, that lie further than 2 radii apart. Each has
-    its distance to all others and leaves; the others go to the cells of near pivots and to the outer cell. At least one
-    member leaves with every diagram, and a cell of one component is done.
+    its distance to all sets, once, and leaves every cell; the others go to the cells of near pivots and to the outer
+    cell. So there are at most as many diagrams as sets, however often members are replicated. A cell of one component
+    is done.
     """
     radius = 1 - percent / 100
     names, roots = np.unique(comp, return_inverse=True)
+    size = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(size)
+    words, code = np.unique(np.concatenate(sets), return_inverse=True)
     tied, found, todo = LocalComponents(len(names)), [], [np.arange(len(sets))]
+    left = np.ones(len(sets), bool)
+
+    def distances(p: int) -> np.ndarray:
+        held = np.zeros(len(words), np.int32)
+        held[code[ends[p] - size[p] : ends[p]]] = 1
+        shared = np.add.reduceat(held[code], ends - size).astype(np.int64)
+        total = size + size[p] - shared
+        for x in np.flatnonzero(100 * shared >= percent * total):
+            if tied.root[roots[x]] != tied.root[roots[p]]:
+                found.append((int(x), int(p)))
+                tied.add(roots[x : x + 1], roots[p : p + 1])
+        return 1 - shared / total
+
     while todo:
         cell = todo.pop()
+        cell = cell[left[cell]]
         root = tied.root[roots[cell]]
         if len(cell) < 2 or (root == root[0]).all():
             continue
-        chosen, seen = [], set()
+        chosen, far, seen = [], [], set()
         for i, c in zip(cell, root, strict=True):
-            if c not in seen and all(_distance(sets[i], sets[p]) > 2 * radius for p in chosen):
+            if c not in seen and all(x[i] > 2 * radius for x in far):
                 chosen.append(i)
+                far.append(distances(i))
                 if len(chosen) >= min(pivots, 1 + len(cell) // 8):
                     break
             seen.add(c)
             if len(seen) > 2 * pivots:
                 break
-        rest = cell[~np.isin(cell, chosen)]
-        far = np.empty((len(rest), len(chosen)))
-        for j, p in enumerate(chosen):
-            for i, x in enumerate(rest):
-                shared = _shared(sets[x], sets[p])
-                total = len(sets[x]) + len(sets[p]) - shared
-                far[i, j] = 1 - shared / total
-                if 100 * shared >= percent * total and tied.root[roots[x]] != tied.root[roots[p]]:
-                    found.append((int(x), int(p)))
-                    tied.add(roots[x : x + 1], roots[p : p + 1])
+        left[chosen] = False
+        rest = cell[left[cell]]
         if len(rest) > 1:
-            nearest = far.min(1)
-            inside = (far <= nearest[:, None] + 2 * radius + 1e-9) & (far <= 1 - radius + 1e-9)
+            away = np.stack([x[rest] for x in far], axis=1)
+            nearest = away.min(1)
+            inside = (away <= nearest[:, None] + 2 * radius + 1e-9) & (away <= 1 - radius + 1e-9)
             cells = [rest[inside[:, j]] for j in range(len(chosen))]
             todo += [c for c in (*cells, rest[nearest > 1 - 2 * radius - 1e-9]) if len(c) > 1]
     return found

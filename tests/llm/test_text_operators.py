@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import signal
 import zlib
 
 import numpy as np
@@ -437,6 +438,26 @@ def test_recurring_diagrams_tie_what_links(seed):
     assert (got.root == want.root).all() and len(pairs) > 20
 
 
+def test_recurring_diagrams_measure_each_pivot_once():
+    """Members half alike to each other stand in the cells of many pivots; each still leaves all of them with its own diagram."""
+
+    def late(*_):
+        raise TimeoutError
+
+    rng = np.random.default_rng(5)
+    shared = rng.choice(10_000, 200, replace=False)
+    sets = [np.unique(np.r_[rng.choice(shared, 140, replace=False), 10_000 + rng.choice(100_000, 40)]).astype(np.uint64) for _ in range(250)]
+    sets[249] = np.r_[sets[3][:-2], sets[3][-1] + np.uint64(7)]
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        links = jaccard.recurring_diagrams(sets, np.arange(250), 80, 8)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert [set(x) for x in links] == [{3, 249}]
+
+
 def test_wide_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     for n, m in ((600, 650), (1000, 1100), (5000, 4000), (60_000, 70_000)):
