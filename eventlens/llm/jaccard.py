@@ -533,7 +533,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = r"""

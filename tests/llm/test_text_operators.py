@@ -438,6 +438,14 @@ def test_recurring_diagrams_tie_what_links(seed):
     assert (got.root == want.root).all() and len(pairs) > 20
 
 
+def test_jaccard_query_has_the_columns_of_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    assert jaccard.op1_jaccard_join(spark, "/root/testdata/sf0.001").columns == con.sql(f"SELECT * FROM ({jaccard.ORACLE_SQL}) LIMIT 0").columns
+
+
 def test_recurring_diagrams_measure_each_pivot_once():
     """Members half alike to each other stand in the cells of many pivots; each still leaves all of them with its own diagram."""
 
