@@ -160,18 +160,27 @@ def session_stream(df: DataFrame, clock: str, gap: str, keys: tuple, delay: str
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
-def relate_stream(a: DataFrame, b: DataFrame, seconds: int = 600, km: float = 25.0, delay: str = "1 hour") -> DataFrame:
-    """Pairs of two streams close in space and time: a watermarked interval join on the cells of the batch join, then the distance."""
+def relate_stream(a: DataFrame, b: DataFrame, seconds: int = 600, km: float = 25.0, delay: str = "1 hour", by: tuple = ()) -> DataFrame:
+    """Pairs of two streams close in space and time: a watermarked interval join on cells and time buckets, then the distance.
+
+    A row of the second stream stands in one cell and bucket, one of the first visits those that its limits touch: cells
+    are eight limits wide and buckets two, so that state is read for the rows around it alone and held for few copies. With
+    `by`, only rows alike in those columns are paired.
+    """
     from eventlens.functions.geo import geodesic_km
     from eventlens.operators.geo_joins import Grid
 
-    grid = Grid(km)
-    left = a.select(F.col("id").alias("a"), F.col("clock").alias("ta"), F.col("lon").alias("xa"), F.col("lat").alias("ya")).withWatermark("ta", delay)
-    left = left.withColumn("cy", F.explode(grid.rows_near(F.col("ya")))).withColumn("cx", F.explode(grid.columns_near(F.col("xa"), F.col("cy"))))
-    right = b.select(F.col("id").alias("b"), F.col("clock").alias("tb"), F.col("lon").alias("xb"), F.col("lat").alias("yb")).withWatermark("tb", delay).withColumn("dy", grid.row(F.col("yb")))
-    right = right.withColumn("dx", grid.column(F.col("xb"), F.col("dy")))
+    grid, span = Grid(8 * km), 2 * seconds * 1_000_000
+    at = lambda c, shift: F.floor((F.unix_micros(c) + shift * 1_000_000) / span).cast("long")
+    left = a.select(F.col("id").alias("a"), F.col("clock").alias("ta"), F.col("lon").alias("xa"), F.col("lat").alias("ya"), *(F.col(c).alias(f"{c}_a") for c in by)).withWatermark("ta", delay)
+    left = left.withColumn("cy", F.explode(grid.rows_within(F.col("ya"), km))).withColumn("cx", F.explode(grid.columns_within(F.col("xa"), F.col("ya"), F.col("cy"), km)))
+    left = left.withColumn("ca", F.explode(F.sequence(at("ta", -seconds), at("ta", seconds))))
+    right = b.select(F.col("id").alias("b"), F.col("clock").alias("tb"), F.col("lon").alias("xb"), F.col("lat").alias("yb"), *(F.col(c).alias(f"{c}_b") for c in by)).withWatermark("tb", delay).withColumn("dy", grid.row(F.col("yb")))
+    right = right.withColumn("dx", grid.column(F.col("xb"), F.col("dy"))).withColumn("cb", at("tb", 0))
     gap = F.expr(f"INTERVAL {seconds} SECONDS")
-    on = (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")) & (F.col("ta") >= F.col("tb") - gap) & (F.col("ta") <= F.col("tb") + gap)
+    on = (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")) & (F.col("ca") == F.col("cb")) & (F.col("ta") >= F.col("tb") - gap) & (F.col("ta") <= F.col("tb") + gap)
+    for c in by:
+        on = on & (F.col(f"{c}_a") == F.col(f"{c}_b"))
     j = left.join(right, on).withColumn("km", geodesic_km(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")))
     return j.where((F.col("km") <= km) & (F.col("a") < F.col("b"))).select("a", "b", "ta", "tb", "km")
 
