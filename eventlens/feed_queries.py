@@ -9,7 +9,8 @@ from eventlens.queries import NOW, ev, query
 from eventlens.sources import feeds
 
 def documents(rows: DataFrame, source: str, body: Column, url: Column | None = None) -> DataFrame:
-    """One raw document a row."""
+    """One raw document a row, dealt to tasks by number: a few bytes of a table become a whole document, and reading it is the work."""
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "n")
     link = F.concat(F.lit("https://feed.example.org/"), F.col("n").cast("string")) if url is None else url
     return rows.select(F.lit(source).alias("source_id"), link.alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("content_type"), F.lit(NOW).cast("timestamp").alias("fetched_at"), F.lit(False).alias("not_modified"), body.alias("body"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.schemas import RAW_DOCUMENT, SOURCES
+from eventlens.sources.lineage import once
 
 #: Size caps in bytes (fixed values): general, and of single sources.
 MAX_BYTES = 10 << 20
@@ -56,7 +57,7 @@ def decode_json_feed(docs: DataFrame, source: str, element: str, path: str | Non
         for name in path.split("."):
             rows = rows[name]
         ok = valid & body.startswith("{")
-    base = docs.select("source_id", "url", "fetched_at", "body", env.alias("env"), rows.alias("rows"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    base = once(docs.select("source_id", "url", "fetched_at", env.alias("env"), rows.alias("rows"), F.coalesce(ok, F.lit(False)).alias("ok")))
     good = F.col("ok") & F.col("rows").isNotNull()
     failed = base.where(~good).select("source_id", "url", F.lit("bad_envelope").alias("reason"))
     out = base.where(good).select("source_id", "url", "fetched_at", "env", F.posexplode("rows").alias("index", "rec"))
@@ -69,8 +70,8 @@ def decode_xml_feed(docs: DataFrame, source: str, root: str, schema: str, option
     declared = F.col("body").rlike(r"(?i)<!\s*(DOCTYPE|ENTITY)")
     tag = F.regexp_extract(F.regexp_replace("body", r"(?s)<\?.*?\?>|<!--.*?-->", ""), r"^\s*<([A-Za-z0-9_:.-]+)", 1)
     parsed = F.from_xml("body", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE", **(options or {})})
-    out = docs.withColumn("reason", F.when(declared, "declares_entities").when(~F.regexp_replace(tag, "^.*:", "").eqNullSafe(root), "root_tag"))
-    out = out.withColumn("xml", F.when(F.col("reason").isNull(), parsed))
+    out = once(docs, {"reason": F.when(declared, "declares_entities").when(~F.regexp_replace(tag, "^.*:", "").eqNullSafe(root), "root_tag")})
+    out = once(out, {"xml": F.when(F.col("reason").isNull(), parsed)})
     out = out.withColumn("reason", F.coalesce("reason", F.when(F.col("xml").isNull() | F.col("xml._corrupt_record").isNotNull(), "malformed")))
     return out.where("reason is null").drop("reason"), out.where("reason is not null").select("source_id", "url", "reason")
 

@@ -16,6 +16,7 @@ from eventlens.functions.text import identifier, plain, required_title, safe_url
 from eventlens.functions.time import DAY_TAG, epoch_ms, parse_bulletin_ts, parse_ts
 from eventlens.schemas import EVENT_COLUMNS, GEOMETRY
 from eventlens.sources.documents import decode_json_feed, decode_xml_feed
+from eventlens.sources.lineage import cut, once
 
 Batch = tuple[DataFrame, DataFrame]
 
@@ -59,10 +60,10 @@ def _failed(failed: DataFrame) -> DataFrame:
 
 def dedupe_feed(df: DataFrame, key: str, payload: str = "raw_hash") -> Batch:
     """Identical repeats collapse; a key with different payloads loses all of them."""
-    per = df.groupBy(key).agg(F.count_distinct(payload).alias("__versions"))
-    marked = df.join(per, key)
-    one = marked.where("__versions = 1").drop("__versions").dropDuplicates([key, payload])
-    return one, marked.where("__versions > 1").drop("__versions")
+    w = Window.partitionBy(key)
+    marked = df.where(F.col(key).isNotNull()).withColumns({"__least": F.min(payload).over(w), "__most": F.max(payload).over(w)})
+    one = marked.where("__least = __most").drop("__least", "__most").dropDuplicates([key, payload])
+    return one, marked.where("__least <> __most").drop("__least", "__most")
 
 
 def normalize_usgs(docs: DataFrame) -> Batch:
@@ -396,35 +397,42 @@ def normalize_eonet(docs: DataFrame, days: int = 30) -> Batch:
     return kept, bad.unionByName(conflict).unionByName(_failed(failed))
 
 
-def _message_field(name: str) -> Column:
-    """The one value of a `Name: value` line; null without one or with several."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("message", F.lit(rf"(?im)^{name}:[ \t]*([^\n]*)$"), F.lit(1)), lambda x: F.trim(x)))
-    return F.when(F.size(found) == 1, found[0])
+#: Fields of a bulletin that hold times, and all that are read (fixed values).
+_SWPC_CLOCKS = ("Issue Time", "Valid From", "Valid To", "Now Valid Until", "Threshold Reached", "Begin Time", "End Time", "Original Issue Time")
+_SWPC_FIELDS = (*_SWPC_CLOCKS, "Space Weather Message Code", "Serial Number", "Continuation of Serial Number", "Extension to Serial Number", "Cancel Serial Number", "NOAA Scale")
+
+
+def _field_values(name: str) -> Column:
+    """The distinct values of `Name: value` lines."""
+    return F.array_distinct(F.transform(F.regexp_extract_all("message", F.lit(rf"(?im)^{name}:[ \t]*([^\n]*)$"), F.lit(1)), lambda x: F.trim(x)))
 
 
 def normalize_swpc(docs: DataFrame, days: int = 30) -> Batch:
     """Space-weather bulletins. Keeps `code`, `serial`, `minute` and `refs` for resolve_swpc_refs()."""
     rec, failed = decode_json_feed(docs, "noaa_swpc", "struct<product_id:string,issue_datetime:string,message:string>", None)
-    rec = rec.withColumn("message", F.regexp_replace("rec.message", "\r\n?", "\n"))
-    code, serial, minute = _message_field("Space Weather Message Code"), _message_field("Serial Number"), parse_bulletin_ts(_message_field("Issue Time"))
+    rec = once(rec, {"message": F.regexp_replace("rec.message", "\r\n?", "\n")})
+    rec = once(rec, {f"found:{name}": _field_values(name) for name in _SWPC_FIELDS})
+    field = lambda name: F.when(F.size(F.col(f"found:{name}")) == 1, F.col(f"found:{name}")[0])  # noqa: E731  null without one value or with several
+    rec = once(rec, {f"at:{name}": parse_bulletin_ts(field(name)) for name in _SWPC_CLOCKS})
+    at = lambda name: F.col(f"at:{name}")
     clock = F.try_to_timestamp(F.concat(F.regexp_replace(F.regexp_extract("rec.issue_datetime", r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})", 1), " ", "T"), F.lit("Z")))
     lines = F.regexp_extract_all("message", F.lit(r"(?im)^((?:(?:EXTENDED|CONTINUED|CANCEL|CANCELLED)\s+)?(?:WARNING|WATCH|ALERT|SUMMARY):[^\n]*)$"), F.lit(1))
-    rec = rec.withColumns({"code": code, "serial": serial, "minute": minute, "headlines": lines})
-    head = F.upper(F.get("headlines", 0))
-    cancelled, kind = head.rlike("^CANCEL"), F.regexp_extract(head, "(WARNING|WATCH|ALERT|SUMMARY):", 1)
+    rec = once(rec, {"code": field("Space Weather Message Code"), "serial": field("Serial Number"), "minute": at("Issue Time"), "headlines": lines, "clock": clock})
+    clock, head = F.col("clock"), F.upper(F.get("headlines", 0))
+    rec = once(rec, {"cancelled": head.rlike("^CANCEL"), "type": F.regexp_extract(head, "(WARNING|WATCH|ALERT|SUMMARY):", 1)})
+    cancelled, kind = F.col("cancelled"), F.col("type")
     forecast, now = kind.isin("WARNING", "WATCH"), F.col("fetched_at")
-    at = lambda name: parse_bulletin_ts(_message_field(name))
     seen = lambda name: F.when(at(name) <= F.col("minute") + F.expr("INTERVAL 5 MINUTES"), at(name))
     a, b = F.when(forecast, at("Valid From")), F.when(forecast, F.coalesce(at("Now Valid Until"), at("Valid To")))
     start, end = F.when(~forecast, F.coalesce(seen("Threshold Reached"), seen("Begin Time"))), F.when(~forecast, seen("End Time"))
     state = F.when(cancelled, "withdrawn").when(forecast & (b <= now), "expired").when(forecast & (a <= now) & (b > now), "active").when(~forecast & end.isNotNull(), "expired").otherwise("unknown")
     rid = F.concat_ws(":", "code", "serial", F.date_format("minute", "yyyyMMdd'T'HHmm'Z'"))
-    ref = lambda name: F.when(_message_field(name).rlike(r"^\d{1,12}$"), F.struct(_message_field(name).alias("serial"), at("Original Issue Time").alias("minute")))
+    ref = lambda name: F.when(field(name).rlike(r"^\d{1,12}$"), F.struct(field(name).alias("serial"), at("Original Issue Time").alias("minute")))
     refs = F.array_compact(F.array(*(ref(n) for n in ("Continuation of Serial Number", "Extension to Serial Number", "Cancel Serial Number"))))
-    rec = rec.withColumn("refs", refs).withColumn("rid", rid)
+    rec = once(rec, {"refs": refs, "rid": rid})
     columns = {
         "provider_record_id": F.col("rid"), "kind": F.when(forecast, "advisory").otherwise("measurement"), "category": F.lit("space_weather"), "title": plain(F.get("headlines", 0), 800), "description": plain("message"), "source_url": F.lit("https://services.swpc.noaa.gov/products/alerts.json"),
-        "occurred_start": start, "occurred_end": end, "issued_at": F.col("minute"), "source_updated_at": F.col("minute"), "valid_from": a, "valid_to": b, "time_precision": F.lit("minute"), "original_severity": _message_field("NOAA Scale"),
+        "occurred_start": start, "occurred_end": end, "issued_at": F.col("minute"), "source_updated_at": F.col("minute"), "valid_from": a, "valid_to": b, "time_precision": F.lit("minute"), "original_severity": field("NOAA Scale"),
         "lifecycle_status": state, "verification_status": F.lit("official_bulletin"), "origins": F.array(F.lit("noaa:swpc")), "external_ids": F.array(F.concat(F.lit("swpc:"), F.col("rid"))),
         "tags": _tags("swpc_bulletin", "unlocated_space_weather", _when(forecast, "forecast"), _when(kind == "ALERT", "observed_alert"), _when(kind == "SUMMARY", "observed_summary"), _when(cancelled, "source_cancellation")),
     }
@@ -444,14 +452,20 @@ def normalize_swpc(docs: DataFrame, days: int = 30) -> Batch:
 
 def resolve_swpc_refs(events: DataFrame) -> DataFrame:
     """Adds the keys of bulletins that a bulletin names: an explicit original time, or the only earlier one of that serial."""
-    r = events.select(F.col("provider_record_id").alias("id"), "code", "minute", F.explode("refs").alias("r")).select("id", "code", "minute", F.col("r.serial").alias("serial"), F.col("r.minute").alias("original"))
-    explicit = r.where("original is not null").select("id", F.concat_ws(":", "code", "serial", F.date_format("original", "yyyyMMdd'T'HHmm'Z'")).alias("target"))
+    stamp = lambda r: F.concat_ws(":", F.col("code"), r["serial"], F.date_format(r["minute"], "yyyyMMdd'T'HHmm'Z'"))
+    none = F.array().cast("array<string>")
+    explicit = F.transform(F.filter("refs", lambda r: r["minute"].isNotNull()), lambda r: F.concat(F.lit("swpc:"), stamp(r)))
+    out = events.withColumn("external_ids", F.array_sort(F.array_union("external_ids", F.coalesce(explicit, none))))
+    # only bulletins without an original time are looked up; the rest know their keys
+    r = events.select(F.col("provider_record_id").alias("id"), "code", "minute", F.explode(F.filter("refs", lambda r: r["minute"].isNull())).alias("r"))
+    r = cut(r.select("id", "code", "minute", F.col("r.serial").alias("serial")))
+    if r.isEmpty():
+        return out
     prior = events.select("code", "serial", F.col("minute").alias("m2"), F.col("provider_record_id").alias("target"))
-    implicit = r.where("original is null").join(prior, ["code", "serial"], "left").groupBy("id", "serial").agg(F.count_if(F.col("m2") < F.col("minute")).alias("n"), F.min(F.when(F.col("m2") < F.col("minute"), F.col("target"))).alias("t"))
-    found = explicit.unionByName(implicit.select("id", F.when(F.col("n") == 1, F.col("t")).alias("target")))
+    found = r.join(prior, ["code", "serial"], "left").groupBy("id", "serial").agg(F.count_if(F.col("m2") < F.col("minute")).alias("n"), F.min(F.when(F.col("m2") < F.col("minute"), F.col("target"))).alias("t"))
+    found = found.select("id", F.when(F.col("n") == 1, F.col("t")).alias("target"))
     per = found.groupBy("id").agg(F.collect_set(F.concat(F.lit("swpc:"), F.col("target"))).alias("__keys"), F.bool_or(F.col("target").isNull()).alias("__open"))
-    out = events.join(per.withColumnRenamed("id", "provider_record_id"), "provider_record_id", "left")
-    none = F.array().cast("array<string>")
+    out = out.join(per.withColumnRenamed("id", "provider_record_id"), "provider_record_id", "left")
     return out.withColumns({"external_ids": F.array_sort(F.array_union("external_ids", F.coalesce("__keys", none))), "tags": F.when(F.col("__open"), F.array_sort(F.array_union("tags", F.array(F.lit("unresolved_source_reference"))))).otherwise(F.col("tags"))}).drop("__keys", "__open")
 
 

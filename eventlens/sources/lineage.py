@@ -27,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def once(df: DataFrame, columns: dict | None = None) -> DataFrame:
+    """df with more columns, all of which are computed once a row, however often filters and columns behind it name them.
+
+    The optimizer copies an expression to all places that name it; it never copies one into or over a generated row.
+    """
+    df = df.withColumns(columns) if columns else df
+    return df.select(F.explode(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("__row")).select("__row.*")
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df with a broadcast hint if it was counted to hold at most `most` rows; otherwise joins shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
