@@ -211,11 +211,10 @@ def normalize_gdacs(docs: DataFrame) -> Batch:
     xml, failed = decode_xml_feed(docs, "gdacs", "rss", f"channel struct<pubDate:string,item:array<struct<{fields}>>>")
     rec = xml.select("url", "fetched_at", "xml.channel.pubDate", F.posexplode("xml.channel.item").alias("index", "rec")).withColumn("raw", F.to_json("rec"))
     g = lambda name: F.col(f"rec.`gdacs:{name}`")
-    kind, number = F.upper(identifier(g("eventtype"))), identifier(g("eventid"))
+    rec = once(rec, {"eventtype": F.upper(identifier(g("eventtype"))), "number": identifier(g("eventid")), "start": parse_ts(g("fromdate")), "end": parse_ts(g("todate"))["ts"], "updated": parse_ts(g("datemodified"))["ts"], "pair": F.split(F.trim(F.col("rec.`georss:point`")), r"\s+")})
+    kind, number, start, end, updated, pair = (F.col(c) for c in ("eventtype", "number", "start", "end", "updated", "pair"))
     rid = F.concat(kind, F.lit(":"), number)
-    start, end = parse_ts(g("fromdate")), parse_ts(g("todate"))["ts"]
     end = F.when(~F.coalesce(end < start["ts"], F.lit(False)), end)
-    updated, pair = parse_ts(g("datemodified"))["ts"], F.split(F.trim(F.col("rec.`georss:point`")), r"\s+")
     geometry = F.coalesce(_point(F.col("rec.`geo:Point`.`geo:long`"), F.col("rec.`geo:Point`.`geo:lat`")), _point(F.get(pair, 1), F.get(pair, 0)))
     links = F.coalesce(F.transform(F.col("rec.`gdacs:resources`.`gdacs:resource`"), lambda r: r["_url"]), F.array().cast("array<string>"))
     upstream = F.array_compact(F.transform(F.array_append(links, F.col("rec.link")), lambda u: F.nullif(F.regexp_extract(u, r"^https?://earthquake\.usgs\.gov/(?:earthquakes/eventpage/|fdsnws/event/[^?]*\?(?:[^#]*&)?eventid=)([A-Za-z0-9._-]{1,128})", 1), F.lit(""))))
