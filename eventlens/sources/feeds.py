@@ -253,20 +253,24 @@ def normalize_cap(docs: DataFrame, country: str) -> Batch:
     """CAP 1.2 warnings: one language, references of the same sender, polygons from lat,lon text."""
     xml, failed = decode_xml_feed(docs, "meteoalarm", "alert", f"identifier string, sender string, sent string, status string, msgType string, scope string, references string, info array<{_CAP_INFO}>")
     rec = xml.select("url", "fetched_at", "body", F.col("xml").alias("rec"), F.to_json("xml").alias("raw"))
-    rid, sender, kind = identifier("rec.identifier"), identifier("rec.sender"), F.col("rec.msgType")
-    infos = F.coalesce("rec.info", F.array().cast(f"array<{_CAP_INFO}>"))
+    rec = once(rec, {"rid": identifier("rec.identifier"), "from": identifier("rec.sender"), "infos": F.coalesce("rec.info", F.array().cast(f"array<{_CAP_INFO}>"))})
+    rid, sender, kind, infos = F.col("rid"), F.col("from"), F.col("rec.msgType"), F.col("infos")
     language = lambda i: F.coalesce(F.trim(i["language"]), F.lit("unknown"))
-    languages = F.array_distinct(F.transform(infos, language))
+    rec = once(rec, {"languages": F.array_distinct(F.transform(infos, language))})
+    languages = F.col("languages")
     chosen = F.get(languages, 0)
     for prefix in ("en", "pl") if country == "PL" else ("en",):
         chosen = F.coalesce(F.get(F.filter(languages, _of_language(prefix)), 0), chosen)
-    rec = rec.withColumn("languages", languages).withColumn("selected", F.filter(infos, lambda i: language(i) == chosen))
+    rec = once(rec, {"chosen": chosen})
+    rec = once(rec, {"selected": F.filter(infos, lambda i: language(i) == F.col("chosen"))})
     s = F.col("selected")
     clock = lambda name: F.transform(s, lambda i: parse_ts(i[name])["ts"])
-    sent, onset, ends = parse_ts("rec.sent"), F.array_min(F.array_compact(clock("onset"))), clock("expires")
-    start = F.coalesce(F.array_min(F.array_compact(clock("effective"))), sent["ts"])
+    rec = once(rec, {"sent": parse_ts("rec.sent"), "onset": F.array_min(F.array_compact(clock("onset"))), "effective": F.array_min(F.array_compact(clock("effective"))), "ends": clock("expires")})
+    sent, onset, ends = F.col("sent"), F.col("onset"), F.col("ends")
+    start = F.coalesce("effective", sent["ts"])
     end = F.when((F.size(s) > 0) & F.forall(ends, lambda x: x.isNotNull()), F.array_max(ends))
-    end = F.when(~F.coalesce((end < start) | (end < onset), F.lit(False)), end)
+    rec = once(rec, {"until": F.when(~F.coalesce((end < start) | (end < onset), F.lit(False)), end)})
+    end = F.col("until")
     refs = F.transform(F.split(F.trim(F.coalesce("rec.references", F.lit(""))), r"\s+"), lambda r: F.split(r, ","))
     refs = F.transform(F.filter(refs, lambda r: (F.size(r) == 3) & (F.get(r, 0) == sender)), lambda r: identifier(F.get(r, 1)))
     refs = F.filter(norm_array(refs), lambda r: r != rid)
