@@ -478,15 +478,16 @@ def normalize_cert(docs: DataFrame, most: int = 10, user_category: str = "users"
     xml, failed = decode_xml_feed(docs, "cert_pl", "rss", f"channel struct<title:string,link:string,lastBuildDate:string,item:array<{item}>>")
     rec = xml.select("url", "fetched_at", F.posexplode("xml.channel.item").alias("index", "rec")).withColumn("raw", F.to_json("rec"))
     article = lambda c: F.nullif(F.regexp_extract(c, r"^https://moje\.cert\.pl/(?:[a-z-]+/)*(\d{4}/\d+)(?:/[A-Za-z0-9_-]*/?)?$", 1), F.lit(""))
-    rid, issued = article("rec.link"), parse_ts("rec.pubDate")
-    rec = rec.withColumn("rid", rid).withColumn("nth", F.row_number().over(Window.partitionBy("url", "fetched_at", "rid").orderBy("index")))
+    rec = once(rec, {"rid": article("rec.link"), "guid": article("rec.guid"), "issued": parse_ts("rec.pubDate")})
+    issued = F.col("issued")
+    rec = rec.withColumn("nth", F.row_number().over(Window.partitionBy("url", "fetched_at", "rid").orderBy("index")))
     raw = F.to_json(F.struct(F.col("rid").alias("publication_id"), issued["ts"].alias("published_at"), issued["precision"].alias("time_precision")))
     columns = {
         "provider_record_id": F.col("rid"), "kind": F.lit("advisory"), "category": F.lit("cyber"), "title": F.concat(F.lit("CERT notice "), F.col("rid")), "source_url": F.col("rec.link"), "issued_at": issued["ts"], "time_precision": issued["precision"],
         "verification_status": F.lit("published_by_cert_pl"), "origins": F.array(F.lit("cert_pl")), "external_ids": F.array(F.concat(F.lit("cert_pl:"), F.col("rid"))), "tags": _tags("publication_index", "end_user_notice", "no_incident_location", "validity_unknown"), "raw": raw,
     }
     listed = F.coalesce(F.exists("rec.category", lambda c: F.lower(F.trim(c)) == user_category), F.lit(False))
-    reason = F.when(F.col("index") >= most, "beyond_list_limit").when(~listed, "category").when(F.col("rid").isNull(), "article_link").when(F.col("rec.guid").isNotNull() & ~article("rec.guid").eqNullSafe(F.col("rid")), "guid_disagrees").when(F.col("nth") > 1, "duplicate_id")
+    reason = F.when(F.col("index") >= most, "beyond_list_limit").when(~listed, "category").when(F.col("rid").isNull(), "article_link").when(F.col("rec.guid").isNotNull() & ~F.col("guid").eqNullSafe(F.col("rid")), "guid_disagrees").when(F.col("nth") > 1, "duplicate_id")
     events, bad = _finish(rec, "cert_pl", columns, reason)
     return events, bad.unionByName(_failed(failed))
 
