@@ -62,3 +62,21 @@ def test_withdrawals_count_keys_of_the_given_kinds(spark):
 
     found = {n: {r.id for r in queries.QUERIES[n](spark, "/root/testdata/sf0.001").collect()} for n in ("j03_known_only", "j03_known_own_keys")}
     assert found["j03_known_own_keys"] < found["j03_known_only"]
+
+
+def test_wide_cuts_leave_compressed_tables_and_no_shuffles(spark, tmp_path):
+    """What is cut holds less than its rows, keeps its schema when empty, and its job's shuffle files are gone."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from eventlens.sources.lineage import cut_wide
+
+    sizes = lambda root, name: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs if name in f)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    before, shuffled = sizes(folder, ""), sizes(local, "shuffle_")
+    df = spark.range(20_000).select("id", F.repeat(F.lit("wide "), 200).alias("text")).repartition(3, "id")
+    out = cut_wide(df)
+    assert out.dtypes == df.dtypes and out.count() == 20_000 and cut_wide(df.where("id < 0")).dtypes == df.dtypes
+    assert sizes(folder, "") - before < 2_000_000 and sizes(local, "shuffle_") - shuffled < 100_000
